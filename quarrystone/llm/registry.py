@@ -22,6 +22,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrystone.llm.media import text_media
+
+    return text_media(_read(spark, sf_dir, "documents"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrystone.llm.pieces import encode_pieces
+
+    return encode_pieces(_read(spark, sf_dir, "documents"), model=tokenizer_path("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.llm.packing import pack
 
@@ -29,6 +41,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media": op2_media,
+    "op5_pieces": op5_pieces,
     "op10_packing": op10_packing,
 }
 
