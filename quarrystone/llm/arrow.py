@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 
@@ -35,3 +35,16 @@ def values(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names))
+
+
+def grouped(rows: Iterable[tuple], weight: Callable[[tuple], int], most: int = 2_000_000, at_most: int = 1_000) -> Iterator[list[tuple]]:
+    """Lists of rows whose weights add up to little more than ``most``."""
+    kept, total = [], 0
+    for row in rows:
+        kept.append(row)
+        total += weight(row)
+        if total >= most or len(kept) >= at_most:
+            yield kept
+            kept, total = [], 0
+    if kept:
+        yield kept

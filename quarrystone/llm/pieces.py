@@ -15,11 +15,12 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.arrow import Rows, values
+from quarrystone.llm.arrow import Rows, grouped, values
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
@@ -115,17 +116,18 @@ class DoubleArray:
                 node = children[node][b]
             ids[node] = value
         self.base, self.check, self.value = array("i", [0]), array("i", [-2]), array("i", [ids[0]])
-        free, todo = 1, [(0, 0)]
+        first, todo = 1, [(0, 0)]
         for node, state in todo:
             if not children[node]:
                 continue
             letters = sorted(children[node])
-            while free < len(self.check) and self.check[free] != -1:
-                free += 1
-            base = max(1, free - letters[0])
-            while any(base + b < len(self.check) and self.check[base + b] != -1 for b in letters):
-                base += 1
-            self.base[state] = base
+            at, taken = max(first, letters[0] + 1), 0
+            while at < len(self.check) and any(at - letters[0] + b < len(self.check) and self.check[at - letters[0] + b] != -1 for b in letters):
+                taken += self.check[at] != -1
+                at += 1
+            if at - first > 64 and taken >= 0.9 * (at - first):  # what lies before is nearly full: later searches start here
+                first = at
+            base = self.base[state] = at - letters[0]
             grow = base + letters[-1] + 1 - len(self.check)
             if grow > 0:
                 self.base.extend([0] * grow)
@@ -142,10 +144,10 @@ class DoubleArray:
 
 
 class Unigram:
-    """Encoder and decoder. ``cache`` bounds the units remembered with their ids."""
+    """Encoder and decoder. At most about twice ``cache`` units are remembered with their ids."""
 
-    def __init__(self, vocabulary: Vocabulary, cache: int = 150_000):
-        v, self.cache, self.known = vocabulary, cache, {}
+    def __init__(self, vocabulary: Vocabulary, cache: int = 250_000):
+        v, self.cache, self.known, self.older = vocabulary, cache, {}, {}
         self.prefix = MARK if v.dummy_prefix else ""
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(v.pieces, v.types)) if t == BYTE}
         self.unknown = next((i for i, t in enumerate(v.types) if t == UNKNOWN), 0)
@@ -157,6 +159,7 @@ class Unigram:
         self.scores = [len(p) * high - 0.1 if t == USER else s for p, s, t in zip(v.pieces, v.scores, v.types)]
         keys = {p.encode(): i for i, (p, t) in enumerate(zip(v.pieces, v.types)) if t in (NORMAL, USER) and p}
         self.trie = DoubleArray(keys)
+        self.arrays = tuple(np.array(x, "i4") for x in (self.trie.base, self.trie.check, self.trie.value))
         self.texts = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, t in zip(v.pieces, v.types)]
         # No piece crosses a cut before a marker that follows another character, or around a line's end,
         # if none holds such a place; then units are segmented on their own.
@@ -199,22 +202,110 @@ class Unigram:
             end = at
         return out[::-1]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit numbers."""
+    def viterbi_many(self, units: list[bytes]) -> list[bytes]:
+        """Packed ids of many units: the search of ``viterbi``, a step of all units at a time."""
+        lengths = np.array([len(u) for u in units])
+        text = np.frombuffer(b"".join(units), "u1")
+        first = np.cumsum(lengths) - lengths
+        unit_of = np.repeat(np.arange(len(units)), lengths)
+        stop = (first + lengths)[unit_of]
+        chars = np.flatnonzero((text & 0xC0) != 0x80)
+        width = np.zeros(len(text), "i8")
+        width[chars] = np.diff(np.append(chars, len(text)))  # a unit begins with a character
+        base, check, value = self.arrays
+        at, state, depth, found = chars, np.zeros(len(chars), "i4"), 0, []
+        single = np.zeros(len(text), bool)
+        while len(at):
+            inside = at + depth < stop[at]
+            at, state = at[inside], state[inside]
+            to = base[state] + text[at + depth]
+            good = check[to] == state
+            at, state = at[good], to[good]
+            depth += 1
+            hit = value[state] >= 0
+            found.append((at[hit], np.full(hit.sum(), depth), value[state[hit]]))
+            single[at[hit][width[at[hit]] == depth]] = True
+        bare = chars[~single[chars]]
+        found.append((bare, width[bare], np.full(len(bare), -1)))
+        start, length, piece = (np.concatenate(x) for x in zip(*found))
+        score = np.append(self.scores, self.no_piece)[piece]
+        relative = start - first[unit_of[start]]
+        order = np.lexsort((length, relative))
+        start, length, piece, score, relative = start[order], length[order], piece[order], score[order], relative[order]
+        cuts = np.flatnonzero((np.diff(relative) != 0) | (np.diff(length) != 0)) + 1
+        place = start + unit_of[start]  # each unit has a place more than bytes
+        best = np.full(len(text) + len(units), -math.inf)
+        best[first + np.arange(len(units))] = 0.0
+        back, chosen = np.zeros(len(best), "i8"), np.full(len(best), -1)
+        for low, high in zip([0, *cuts], [*cuts, len(start)]):  # in order of the place in the unit, the shorter first
+            total = best[place[low:high]] + score[low:high]
+            end = place[low:high] + length[low:high]
+            better = total > best[end]
+            end = end[better]
+            best[end], back[end], chosen[end] = total[better], place[low:high][better], piece[low:high][better]
+        who, place, steps = np.arange(len(units)), first + lengths + np.arange(len(units)), []
+        begin = first + np.arange(len(units))
+        while len(who):
+            steps.append((who, chosen[place]))
+            place = back[place]
+            going = place > begin[who]
+            who, place = who[going], place[going]
+        who = np.concatenate([w for w, _ in steps])
+        piece = np.concatenate([p for _, p in steps])
+        order = np.lexsort((-np.arange(len(who)), who))
+        who, piece = who[order], piece[order]
+        ids = piece.astype("<u4").tobytes()
+        cut = 4 * np.searchsorted(who, np.arange(len(units) + 1))
+        out = [ids[low:high] for low, high in zip(cut, cut[1:])]
+        for i in np.unique(who[piece < 0]):  # byte pieces
+            out[i] = array("I", self.viterbi(units[i])).tobytes()
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [self._words(t) for t in texts]
+        known, older = self.known, self.older
+        new = set().union(*split).difference(known)
+        for w in new.intersection(older):
+            known[w] = older[w]
+            new.discard(w)
+        whole, parts = [], []
+        for w in new:
+            marked = w[1:] if w[:1] == MARK else self.prefix + w
+            units = [marked] if self.units is None else self.units.findall(marked)
+            whole.append((w, len(units)))
+            parts.extend(u.encode("utf-8", "replace") for u in units)
+        short = [i for i, raw in enumerate(parts) if len(raw) <= 64]
+        ids: list[bytes] = [b""] * len(parts)
+        for i, got in zip(short, self.viterbi_many([parts[i] for i in short]) if short else []):
+            ids[i] = got
+        for i, raw in enumerate(parts):
+            if len(raw) > 64:
+                ids[i] = array("I", self.viterbi(raw)).tobytes()
+        at, large = 0, []
+        for w, n in whole:
+            known[w] = ids[at] if n == 1 else b"".join(ids[at : at + n])
+            at += n
+            if len(w) > 64:
+                large.append(w)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in large:
+            del known[w]
+        if len(known) >= self.cache:  # what the last texts used stays for another round
+            self.known, self.older = {}, known
+        return out
+
+    def _words(self, text: str) -> list[str]:
+        """What is remembered: a word stands for its marker and itself; any other unit follows a marker."""
         if not text:
-            return b""
+            return []
+        if self.units is not None and self.prefix and text[0] != " " and text[-1] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
         marked = self.prefix + text.replace(" ", MARK)
-        known, out = self.known, []
-        for unit in [marked] if self.units is None else self.units.findall(marked):
-            ids = known.get(unit)
-            if ids is None:
-                ids = array("I", self.viterbi(unit.encode("utf-8", "replace"))).tobytes()
-                if len(unit) <= 64:
-                    if len(known) >= self.cache:
-                        known.clear()
-                    known[unit] = ids
-            out.append(ids)
-        return b"".join(out)
+        return [MARK + u for u in ([marked] if self.units is None else self.units.findall(marked))]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids: markers to spaces, byte pieces to bytes, the dummy prefix removed."""
@@ -248,17 +339,15 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ddl = "doc_id bigint, n_ids bigint, n_byte_ids bigint, ids_crc32 bigint, decoded_crc32 bigint, round_trip boolean" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         u, rows = unigram(model, scores), Rows(schema)
         is_byte = np.zeros(len(u.texts), bool)
         is_byte[list(u.bytes.values())] = True
-        for doc, text in values(batches, "doc_id", "text"):
-            ids = u.encode(text or "")
-            numbers = np.frombuffer(ids, "<u4")
-            back = u.decode(ids)
-            row = (doc, len(numbers), int(is_byte[numbers].sum()), zlib.crc32(ids), zlib.crc32(back.encode()), back == (text or ""))
-            rows.add(*row, *([numbers.astype("i4"), back] if with_ids else []), weight=len(ids) * with_ids)
+        for group in grouped(values(batches, "doc_id", "text"), lambda row: len(row[1] or "")):
+            for (doc, text), ids in zip(group, u.encode_many([text or "" for _, text in group])):
+                numbers = np.frombuffer(ids, "<u4")
+                back = u.decode(ids)
+                row = (doc, len(numbers), int(is_byte[numbers].sum()), zlib.crc32(ids), zlib.crc32(back.encode()), back == (text or ""))
+                rows.add(*row, *([numbers.astype("i4"), back] if with_ids else []), weight=len(ids) * with_ids)
             if rows.full():
                 yield rows.batch()
         yield rows.batch()
