@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrystone.llm import line_dedup, secret_scan, url_filter
+
 
 def tokenizer_path(name: str) -> str:
     """A public vocabulary file; QUARRYSTONE_TOKENIZERS names another folder."""
@@ -22,6 +24,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+URL_RULES = [
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.llm.media import text_media
 
@@ -34,6 +48,14 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_read(spark, sf_dir, "documents"), model=tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.llm.packing import pack
 
@@ -41,9 +63,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_media": op2_media,
     "op5_pieces": op5_pieces,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.oracle_sql(URL_RULES),
+    "op8_secret_scan": secret_scan.oracle_sql(),
+    "op9_line_dedup": line_dedup.ORACLE,
+}
