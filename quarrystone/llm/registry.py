@@ -42,6 +42,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrystone.llm.toxicity import toxicity_report
+
+    return toxicity_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.llm.pieces import encode_pieces
 
@@ -65,6 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_media": op2_media,
+    "op4_toxicity": op4_toxicity,
     "op5_pieces": op5_pieces,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
