@@ -54,6 +54,12 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_read(spark, sf_dir, "documents"), model=tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrystone.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op4_toxicity": op4_toxicity,
     "op5_pieces": op5_pieces,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
