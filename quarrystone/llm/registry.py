@@ -42,6 +42,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrystone.llm.jaccard_join import jaccard_join
+
+    return jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrystone.llm.toxicity import toxicity_report
 
@@ -77,6 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_media": op2_media,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_pieces": op5_pieces,
     "op6_substring_dedup": op6_substring_dedup,
