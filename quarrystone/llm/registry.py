@@ -66,6 +66,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op7_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrystone.llm.hash_forest import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_read(spark, sf_dir, "documents"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_pieces": op5_pieces,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_hash_forest": op7_hash_forest,
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
