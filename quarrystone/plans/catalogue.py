@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quarrystone.plans import q_events, q_occupancy, q_ranking, q_sequences, q_terms, q_trees
+from quarrystone.plans.register import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "q_events", "q_occupancy", "q_ranking", "q_sequences", "q_terms", "q_trees"]
