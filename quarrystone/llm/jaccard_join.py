@@ -169,7 +169,8 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: float) -> D
     bins = max(1, -(-int(chosen.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]) // BLOCK))
     block = F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")
     placed = chosen.join(blocks, "root").select("number", "root", "at", "mark", "copies", "blocks", block.alias("block"))
-    texts = docs.select(F.coalesce("doc_id", F.col("mark")).alias("at"), "mark", "text").join(placed, ["at", "mark"])
+    # Always a shuffle: the chosen classes grow with the corpus, so a broadcast that small inputs allow would only hide the cost.
+    texts = docs.select(F.coalesce("doc_id", F.col("mark")).alias("at"), "mark", "text").join(placed.hint("merge"), ["at", "mark"])
 
     # A component of one block shares a task with others; of a larger one each pair of blocks is a task.
     low, high = F.least("block", F.col("p")), F.greatest("block", F.col("p"))
