@@ -147,9 +147,9 @@ shifted AS (SELECT *, base_rank - rank AS shift, CASE WHEN scenario = 'baseline'
 WHEN score >= 60 AND domains >= 5 THEN 'tier2_supported' WHEN score >= 45 AND domains >= 4 THEN 'tier3_exploratory' ELSE 'lower_priority' END AS tier FROM ranked)"""
 
 
-@query(f"WITH {RANKED} SELECT scenario, grp, family, score, eligible, tier FROM shifted")
+@query(f"WITH {RANKED} SELECT scenario, grp, family, CAST(floor(score + 0.00037) AS BIGINT) AS score, eligible, tier FROM shifted")
 def scenario_scores(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("scenario", "grp", "family", "score", "eligible", "tier")
+    return _ranked(spark, sf_dir).select("scenario", "grp", "family", F.floor(F.col("score") + 0.00037).alias("score"), "eligible", "tier")
 
 
 @query(f"""WITH {RANKED} SELECT scenario, grp, round(corr(base_rank, rank), 6) AS rho, max(abs(shift)) AS largest_shift FROM shifted GROUP BY 1, 2""")

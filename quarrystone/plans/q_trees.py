@@ -1 +1,90 @@
-"""Queries."""
+"""Queries of trees: region, nation and customer are levels of one tree; literal gene trees are reconciled."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarrystone.functions import arrays as arr
+from quarrystone.operators import trees as tr
+from quarrystone.plans.base import table
+from quarrystone.plans.register import query
+
+EDGES = """edges AS (
+  SELECT 'C' || c_custkey AS node, 'N' || c_nationkey AS parent FROM customer UNION ALL
+  SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION ALL SELECT 'R' || r_regionkey, 'root' FROM region
+), reach AS (
+  SELECT node, node AS ancestor, 0 AS steps FROM (SELECT node FROM edges UNION SELECT 'root')
+  UNION ALL SELECT r.node, e.parent, r.steps + 1 FROM reach r JOIN edges e ON r.ancestor = e.node
+)"""
+
+
+def _edges(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    e = c.select(name("C", "c_custkey").alias("node"), name("N", "c_nationkey").alias("parent"))
+    e = e.unionByName(n.select(name("N", "n_nationkey").alias("node"), name("R", "n_regionkey").alias("parent")))
+    return e.unionByName(r.select(name("R", "r_regionkey").alias("node"), F.lit("root").alias("parent")))
+
+
+@query(f"WITH RECURSIVE {EDGES} SELECT * FROM reach")
+def tree_closure(spark, sf_dir):
+    return tr.closure(_edges(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {EDGES} SELECT node, steps AS depth FROM reach WHERE ancestor = 'root'")
+def tree_distance(spark, sf_dir):
+    return tr.closure(_edges(spark, sf_dir)).where("ancestor = 'root'").select("node", F.col("steps").alias("depth"))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, pairs AS (SELECT 'C' || c_custkey AS a, 'C' || (c_custkey + 1) AS b FROM customer WHERE c_custkey + 1 < (SELECT count(*) FROM customer)),
+m AS (SELECT a, b, x.ancestor AS lca, x.steps + y.steps AS distance FROM pairs JOIN reach x ON x.node = a JOIN reach y ON y.node = b AND y.ancestor = x.ancestor)
+SELECT a, b, arg_min(lca, distance) AS lca, min(distance) AS distance FROM m GROUP BY 1, 2""")
+def lca_pairs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    last = c.agg(F.max("c_custkey")).first()[0]
+    name = lambda x: F.concat(F.lit("C"), x.cast("string"))
+    pairs = c.where(F.col("c_custkey") < last).select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"))
+    return tr.common_ancestor(pairs, tr.closure(_edges(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {EDGES} SELECT ancestor AS node, count(*) AS leaves FROM reach WHERE starts_with(node, 'C') GROUP BY 1""")
+def leaf_counts(spark, sf_dir):
+    reach = tr.closure(_edges(spark, sf_dir)).where(F.col("node").startswith("C"))
+    return reach.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("leaves"))
+
+
+# Literal trees: the gene families of the reconciliation query.
+SPECIES = "((A:1,B:1):1,(C:1,D:1):1);"
+GENES = [
+    ("f1", "((a1:1,a2:1)90/97:1,(b1:1,c1:1)70/60:1);", {"a1": "A", "a2": "A", "b1": "B", "c1": "C"}),
+    ("f2", "((a1:1,b1:1):1,(c1:1,d1:1):1);", {"a1": "A", "b1": "B", "c1": "C", "d1": "D"}),
+    ("f3", "((a1:1,c1:1):1,(b1:1,d1:1):1,a2:1);", {"a1": "A", "c1": "C", "b1": "B", "d1": "D", "a2": "A"}),
+    ("f4", "((a1:1,b1:1):1,x:1);", {"a1": "A", "b1": "B"}),
+]
+
+
+@query()
+def reconcile_dl(spark, sf_dir):
+    families = spark.createDataFrame(GENES, "family string, newick string, genes map<string,string>")
+    return tr.reconcile_families(families, SPECIES)
+
+
+@query()
+def newick_nodes(spark, sf_dir):
+    trees = spark.createDataFrame([(f, t) for f, t, _ in GENES], "tree_id string, newick string")
+    return tr.ultrametric(tr.node_table(trees))
+
+
+@query("""SELECT * FROM (VALUES ('s1', 'MKA', 'ATGAAAGCN'), ('s2', 'MK', 'ATGAAATAA'), ('s3', NULL, 'ATGA')) t(id, protein, cds)""")
+def translate_check(spark, sf_dir):
+    rows = spark.createDataFrame([("s1", "atgaaagcn"), ("s2", "AUGAAAUAA"), ("s3", "ATGA")], "id string, raw string")
+    cds = arr.clean_cds(F.col("raw"))
+    return rows.select("id", arr.translated(cds).alias("protein"), cds.alias("cds"))
+
+
+@query("""SELECT * FROM (VALUES ('g1', 'ATGAAA'), ('g2', 'ATG---'), ('g3', 'ATGAAC')) t(id, kept)""")
+def codon_column_filter(spark, sf_dir):
+    from quarrystone.operators.evolution import kept_codons
+
+    rows = spark.createDataFrame([("f", "g1", "ATG---AAANNN"), ("f", "g2", "ATGTAA---NNA"), ("f", "g3", "ATG---AACTAA")], "family string, id string, seq string")
+    return kept_codons(rows, least=2).select("id", "kept")
