@@ -181,7 +181,8 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
 
     ranked = rows.join(ranks(x), x).join(ranks(y), y)
     got = ranked.agg(F.count("*").cast("double").alias("n"), pearson(F.col(f"_{x}_rank"), F.col(f"_{y}_rank")).alias("rho"))
-    t = F.try_divide(F.col("rho") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0.0))), F.sqrt(F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(0.0))))
+    rest = F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(0.0))
+    t = F.when(rest == 0, F.lit(float("inf"))).otherwise(F.col("rho") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0.0))) / F.sqrt(F.greatest(rest, F.lit(1e-300))))
     return got.withColumn("t", t).select("n", "rho", two_sided_student("t", F.col("n") - 2).alias("p_value"))
 
 

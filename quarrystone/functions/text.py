@@ -29,7 +29,7 @@ def any_present(*columns: Column) -> Column:
 
 def terms(x: Column, separator: str = ",") -> Column:
     """Distinct trimmed parts in order, missing tokens left out."""
-    parts = F.transform(F.split(F.coalesce(x, F.lit("")), separator), F.trim)
+    parts = F.transform(F.split(F.coalesce(x, F.lit("")), separator), lambda p: F.trim(p))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda p: ~p.isin(*MISSING))))
 
 
