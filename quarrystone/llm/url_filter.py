@@ -69,13 +69,13 @@ def _strength(groups: DataFrame, least: float, most: float) -> float:
     """Pseudo-count of the prior over ``groups`` (n, bad, up_n, up_bad): by
     moments, from how far the groups' rates lie from those of the level above,
     beyond what binomial chance explains."""
-    p = F.col("up_bad") / F.col("up_n")
+    n, p, part = F.col("n"), F.try_divide("up_bad", "up_n"), F.try_divide("n", "up_n")
     got = (
         groups.where("n > 0 and up_bad > 0 and up_bad < up_n")
         .agg(
-            F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - p, 2)).alias("spread"),
-            F.sum(p * (1 - p) * (1 - F.col("n") / F.col("up_n"))).alias("chance"),
-            F.sum(p * (1 - p) * F.col("n") * (1 - F.col("n") / F.col("up_n"))).alias("scale"),
+            F.sum(n * F.pow(F.try_divide("bad", "n") - p, 2)).alias("spread"),
+            F.sum(p * (1 - p) * (1 - part)).alias("chance"),
+            F.sum(p * (1 - p) * n * (1 - part)).alias("scale"),
         )
         .first()
     )
