@@ -226,7 +226,7 @@ def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
         np.add.at(mark, at + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark)[: n - window + 1] > 0)
         h = Hasher(words, 2)
-        h1, h2 = h.at(starts, window, 0), h.at(starts, window, 1)
+        h1, h2 = h.at(starts, window, 0), h.at(starts, window, 1) & 0xFFFFFFFF  # 96 bits tell windows apart
         if copies:
             starts, h1, h2 = np.append(starts, ALL), np.append(h1, 0), np.append(h2, 0)
         whole = lambda x: np.full(len(starts), x, "i8")
