@@ -120,26 +120,33 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
     toxic tokens. Weights and moves are fitted by gradient ascent on the
     conditional likelihood with an L2 penalty.
     """
-    bad, good, n_bad = Counter(), Counter(), sum(toxic)
+    n_bad = sum(toxic)
     n_good = len(texts) - n_bad
-    split = [tokens(t) for t in texts]
-    for words, y in zip(split, toxic):
-        (bad if y else good).update({f for w in set(words) for f in features(w)})
+    pool: dict[str, str] = {}
+    split = [[pool.setdefault(w, w) for w in tokens(t)] for t in texts]  # equal words are one object
+    del pool
+    bad = Counter(f for words, y in zip(split, toxic) if y for f in {f for w in set(words) for f in features(w)})
+    bad = {f: k for f, k in bad.items() if k >= least}
+    good = Counter(f for words, y in zip(split, toxic) if not y for f in {f for w in set(words) for f in features(w) if f in bad})
     tied = []
     for f, k in bad.items():
         a, b, c, d = k + 0.5, n_bad - k + 0.5, good[f] + 0.5, n_good - good[f] + 0.5
-        if k >= least and math.log(a * d / (b * c)) - 2 * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > 1:
+        if math.log(a * d / (b * c)) - 2 * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d) > 1:
             tied.append(f)
     index = {f: i + 1 for i, f in enumerate(sorted(tied))}  # 0: no feature
     per = 1 + len(HEADS)
-    known: dict[str, list[int]] = {}
+    heads = frozenset(f.rstrip("*")[: HEADS[0]] for f in index)
+    nothing = [0] * per
     chains, labels = [], []
+
+    def numbers(word: str) -> list[int]:
+        if word[: HEADS[0]] not in heads:
+            return nothing
+        got = [index[f] for f in features(word) if f in index]
+        return got + [0] * (per - len(got))
+
     for words, y in zip(split, toxic):
-        for w in words:
-            if w not in known:
-                got = [index[f] for f in features(w) if f in index]
-                known[w] = got + [0] * (per - len(got))
-        ids = np.array([known[w] for w in words] or [[0] * per])
+        ids = np.array([numbers(w) for w in words] or [nothing])
         hits = np.flatnonzero(ids[:, 0])
         for at in hits[:8] if len(hits) else [len(ids) // 2]:
             part = ids[max(0, at - window // 2) : at + window // 2 + 1]
@@ -175,7 +182,7 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
         moves += rate * ((seen - got) / np.maximum(1, seen.sum(axis=1, keepdims=True)) - decay * moves)
     model = Model(
         {f: float(weights[i]) for f, i in index.items()}, float(bias), float(first), tuple(map(tuple, moves.tolist())),
-        frozenset(f.rstrip("*")[: HEADS[0]] for f in index),
+        heads,
     )
     model = replace(model, rest=model.marginals([model.bias] * 4 * GAP)[2 * GAP])
     # The score: a logistic curve over the log of the expected toxic tokens, with a prior of one text of each label.
@@ -257,19 +264,21 @@ class Scorer:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list[tuple[int, str, int]]:
-    """At most about ``most`` labelled rows outside the held-out third, chosen by a hash of the id."""
+    """At most about ``most`` labelled rows outside the held-out third, chosen by
+    a hash of the id: whole texts, of which those longer than TRAINING_CHARS
+    are left to others. Only the fit is bounded; every text is scored whole."""
     crc = F.crc32(F.col("_id").cast("string").cast("binary"))
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null")
     marks = marks.where(crc % 3 != 1).groupBy("_id").agg(F.max("_y").alias("_y"))
     n = marks.count()
     share = min(1.0, most / max(1, n))
     chosen = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAINING_CHARS).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.length("_text") <= TRAINING_CHARS)
     rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("_text").alias("_text"), F.first("_y").alias("_y")).collect()
     return sorted((r._id, r._text, r._y) for r in rows)
 
 
-#: Bounds of the sample that the chain is fitted on: rows, and characters of each.
+#: Bounds of the sample that the chain is fitted on: rows, and characters of the longest text in it.
 TRAINING_ROWS, TRAINING_CHARS = 4000, 20_000
 
 
