@@ -4,8 +4,8 @@ Token labels come from labelled documents: the words of a toxic document that
 the labelled documents tie to toxicity are its toxic tokens. From these a
 two-state chain (clean, toxic) learns weights of words, of word shapes and of
 transitions by maximum likelihood. Forward-backward marginals then say for
-each token of a text how likely it is toxic; their sum gives the document's
-score, and the runs above one half give the offending spans.
+each token of a text how likely it is toxic; their sum gives the
+document's score, and the runs above one half give the offending spans.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ class Model:
     tied to toxicity, ``heads`` the first letters of words that may have one;
     ``bias`` is the gain of every word, ``rest`` P(toxic) of a token far from
     any word with a weight. ``offset`` and ``slope`` turn the log of the
-    expected number of toxic tokens into the logit of the score.
+    expected number of toxic words into the logit of the score.
     """
 
     weights: dict[str, float]
@@ -110,7 +110,7 @@ def in_training(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 != 1
 
 
-def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12, rounds: int = 80, rate: float = 0.5, decay: float = 0.02) -> Model:
+def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12, rounds: int = 120, rate: float = 0.5, decay: float = 0.02, prior: float = 1.0) -> Model:
     """A model from labelled texts.
 
     A feature is tied to toxicity if at least ``least`` toxic texts hold it and
@@ -147,8 +147,9 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
 
     for words, y in zip(split, toxic):
         ids = np.array([numbers(w) for w in words] or [nothing])
-        hits = np.flatnonzero(ids[:, 0])
-        for at in hits[:8] if len(hits) else [len(ids) // 2]:
+        _, firsts = np.unique(ids[:, 0], return_index=True)  # a word that a text repeats is shown once
+        hits = sorted(int(i) for i in firsts if ids[i, 0])
+        for at in hits[:8] if hits else [len(ids) // 2]:
             part = ids[max(0, at - window // 2) : at + window // 2 + 1]
             chains.append(part)
             labels.append((part[:, 0] > 0) & bool(y))
@@ -175,7 +176,7 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
             for b in range(2):
                 both = ahead[:, :-1, a] + moves[a, b] + b * gain[:, 1:] + behind[:, 1:, b] - z[:, None]
                 got[a, b] = np.exp(np.clip(both, -700, 0))[pair].sum()
-        weights += rate * (2 * (gold_feature - by_feature(p)) / (count + 1) - decay * weights)
+        weights += rate * (gold_feature - by_feature(p) - prior * weights) / (count + prior)
         weights[0] = 0.0
         bias += rate * (4 * (gold[mask].sum() - p[mask].sum()) / max(1, mask.sum()) - decay * bias)
         first += rate * ((gold[:, 0] - p[:, 0])[mask[:, 0]].sum() / total - decay * first)
@@ -185,9 +186,9 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
         heads,
     )
     model = replace(model, rest=model.marginals([model.bias] * 4 * GAP)[2 * GAP])
-    # The score: a logistic curve over the log of the expected toxic tokens, with a prior of one text of each label.
+    # The score: a logistic curve over the evidence, with a prior of one text of each label.
     scorer = Scorer(model)
-    x = np.array([scorer.evidence(scorer.near(t.split())) for t in texts] + [0.0, 2.0])
+    x = np.array([scorer.evidence(w, scorer.near(w)) for w in map(str.split, texts)] + [0.0, 2.0])
     y = np.array([float(v) for v in toxic] + [0.0, 1.0])
     a, b = 0.0, 0.0
     for _ in range(50):
@@ -201,7 +202,7 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
     return replace(model, offset=a, slope=max(0.0, b))
 
 
-GAP = 24
+GAP, REPEATS = 24, 3.0
 
 
 class Scorer:
@@ -242,14 +243,23 @@ class Scorer:
             at = end + 1
         return out
 
-    def evidence(self, near: list[tuple[int, float]]) -> float:
-        """log1p of the expected toxic tokens beyond those of as long a neutral text."""
-        return math.log1p(max(0.0, sum(p - self.model.rest for _, p in near)))
+    def evidence(self, words: list[str], near: list[tuple[int, float]]) -> float:
+        """log1p of the expected number of toxic words, beyond those of a neutral text.
+
+        A word counts at most ``REPEATS`` times: one odd word repeated at
+        length is no stronger sign.
+        """
+        total: dict[str, float] = {}
+        for i, p in near:
+            w = words[i].lower()
+            total[w] = total.get(w, 0.0) + p - self.model.rest
+        return math.log1p(max(0.0, sum(min(REPEATS, t) for t in total.values())))
 
     def judge(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score from 0 to 1, and the spans (start, end, mean P(toxic)) in code points, end exclusive."""
-        near = self.near(text.split())
-        score = 1 / (1 + math.exp(-(self.model.offset + self.model.slope * self.evidence(near))))
+        words = text.split()
+        near = self.near(words)
+        score = 1 / (1 + math.exp(-(self.model.offset + self.model.slope * self.evidence(words, near))))
         toxic = [(i, p) for i, p in near if p >= 0.5]
         if not toxic:
             return score, []
