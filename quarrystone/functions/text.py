@@ -60,21 +60,24 @@ def composite_id(x: Column) -> tuple[Column, Column, Column, Column]:
     return F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), good
 
 
-# Identifier patterns, in order of preference, with the rule's name.
-GENE_RULES: Sequence[tuple[str, str]] = (
-    (r"gene[:=]([^\s;|]+)", "gene_tag"),
-    (r"^(\S+_g\d+)_i\d+", "assembly_gene"),
-    (r"\b(LOC\d+)\b", "locus"),
-    (r"\b((?:EGW|ElyMa|PoB)[A-Za-z0-9_]*?\d+)", "named_locus"),
+# Patterns of gene identifiers in order of preference: where to look, pattern, name of the rule, what stands before the key.
+GENE_RULES: Sequence[tuple[str, str, str, str]] = (
+    ("header", r"(?:^|\s)gene:([^\s]+)", "ensembl_gene", "ensembl_gene:"),
+    ("id", r"_g(\d+)_i\d+(?:\.p\d+)?(?:\b|$)", "transdecoder_gene", "transdecoder_gene:g"),
+    ("header", r"\b(LOC\d+)\b", "refseq_locus", "refseq_locus:"),
+    ("header", r"\b(EGW\d+_\d+)\b", "egw_locus", "egw_locus:"),
+    ("header", r"\b(ElyMa_\d+)\b", "elyma_locus", "elyma_locus:"),
+    ("header", r"\b(PoB_\d+)\b", "pob_locus", "pob_locus:"),
 )
 
 
 def gene_key(header: Column, identifier: Column) -> tuple[Column, Column]:
     """The gene that a sequence belongs to and the rule that says so; its own id if none does."""
-    key, rule = identifier, F.lit("unique_id")
-    for pattern, name in reversed(GENE_RULES):
-        found = F.regexp_extract(header, pattern, 1)
-        key, rule = F.when(found != "", found).otherwise(key), F.when(found != "", F.lit(name)).otherwise(rule)
+    key, rule = F.concat(F.lit("unique_id:"), identifier), F.lit("unique_id")
+    for where, pattern, name, prefix in reversed(GENE_RULES):
+        found = F.regexp_extract(header if where == "header" else identifier, pattern, 1)
+        key = F.when(found != "", F.concat(F.lit(prefix), found)).otherwise(key)
+        rule = F.when(found != "", F.lit(name)).otherwise(rule)
     return key, rule
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions import newick
@@ -236,3 +236,49 @@ def pruned(text: str, keep: set[str], tags: dict[str, str] | None = None) -> str
         raise ValueError("no leaf is kept")
     put(-1, parts[0])
     return newick.write(out)
+
+
+def rooted_like(text: str, reference: str) -> str:
+    """The tree rooted so that its root parts the leaves as the reference's does."""
+    tree, other = newick.parse(text), newick.parse(reference)
+    sets, wanted = tree.leaf_sets(), other.leaf_sets()
+    if sets[0] != wanted[0]:
+        raise ValueError(f"leaves differ: {sorted(sets[0] ^ wanted[0])}")
+    if len(other.down[0]) != 2:
+        raise ValueError("the reference is not rooted")
+    sides = {wanted[c] for c in other.down[0]}
+    if {sets[c] for c in tree.down[0]} == sides and len(tree.down[0]) == 2:
+        return newick.write(tree)
+    for rooted, _ in rootings(tree):
+        found = rooted.leaf_sets()
+        if {found[c] for c in rooted.down[0]} == sides:
+            return newick.write(rooted)
+    raise ValueError("the tree has no such root")
+
+
+def with_identical(text: str, sequences: dict[str, str]) -> str:
+    """The tree with every label of ``sequences`` that it lacks put beside the
+    smallest leaf of the same sequence, at no distance."""
+    tree = newick.parse(text)
+    there = {tree.name[i] for i in tree.leaves()}
+    stands: dict[str, str] = {}
+    for name in sorted(there, reverse=True):
+        stands[sequences[name]] = name
+    beside: dict[str, list[str]] = {}
+    for name in sorted(set(sequences) - there):
+        if sequences[name] not in stands:
+            raise ValueError(f"{name} has a sequence that no leaf has")
+        beside.setdefault(stands[sequences[name]], []).append(name)
+    out = Tree()
+    new = {-1: -1}
+    for i in range(len(tree.up)):
+        more = beside.get(tree.name[i], []) if not tree.down[i] else []
+        new[i] = out.add(new[tree.up[i]], "" if more else tree.name[i], tree.length[i])
+        for name in [tree.name[i], *more] if more else []:
+            out.add(new[i], name, 0.0)
+    return newick.write(out)
+
+
+def priority(high: Column, strong: Column, duplications: Column, low: Column, optimal_roots: Column) -> Column:
+    """How much a reconciled family deserves a look."""
+    return 100 * high + 10 * strong + duplications - low - F.greatest(F.lit(0), optimal_roots - 1)

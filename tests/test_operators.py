@@ -10,7 +10,7 @@ from quarrystone.functions import newick
 from quarrystone.functions import numbers as nm
 from quarrystone.functions import stats as st
 from quarrystone.functions import text as tx
-from quarrystone.operators import annotation, events, evolution, joins, occupancy, ranking, scoring, trees, validation
+from quarrystone.operators import annotation, audit, events, evolution, joins, occupancy, ranking, scoring, selection, trees, validation
 
 
 def one(spark, **columns):
@@ -29,7 +29,9 @@ def test_text(spark):
     assert one(spark, a=tx.label(F.lit("..a b/c..")), b=tx.label(F.lit("///"))) == ("a_b_c", "sequence")
     assert one(spark, **dict(zip("abc", tx.node_parts(F.lit("A<12>"))))) == ("A", 12, True)
     assert one(spark, **dict(zip("abc", tx.node_parts(F.lit("<7>"))))) == ("", 7, False)
-    assert one(spark, **dict(zip("ab", tx.gene_key(F.lit("x LOC12 y"), F.lit("x"))))) == ("LOC12", "locus")
+    assert one(spark, **dict(zip("ab", tx.gene_key(F.lit("x LOC12 y"), F.lit("x"))))) == ("refseq_locus:LOC12", "refseq_locus")
+    assert one(spark, **dict(zip("ab", tx.gene_key(F.lit("t_g7_i2.p1 LOC12"), F.lit("t_g7_i2.p1"))))) == ("transdecoder_gene:g7", "transdecoder_gene")
+    assert one(spark, **dict(zip("ab", tx.gene_key(F.lit("x"), F.lit("x"))))) == ("unique_id:x", "unique_id")
     assert one(spark, **dict(zip("abcd", tx.composite_id(F.lit("s|g|OG1"))))) == ("s", "g", "OG1", True)
     assert one(spark, a=tx.reasons((F.lit(True), "x"), (F.lit(False), "y"), (F.lit(True), "z"))) == "x;z"
 
@@ -144,6 +146,38 @@ def test_trees(spark):
     assert top.where("name = 'A'").first().branch_length == pytest.approx(2 / 3 * 100)
 
 
+def test_rerooting_and_restoring():
+    t = trees.rooted_like("(A:1,(B:1,(C:1,D:1):1):1);", "((A,B),(C,D));")
+    assert sorted(sorted(newick.parse(t).leaf_sets()[c]) for c in newick.parse(t).down[0]) == [["A", "B"], ["C", "D"]]
+    for bad in ("((A,C),(B,D));", "((A,B),(C,E));", "(A,B,(C,D));"):
+        with pytest.raises(ValueError):
+            trees.rooted_like("(A:1,(B:1,(C:1,D:1):1):1);", bad)
+    assert trees.with_identical("(a:1,b:2);", {"a": "S", "b": "T", "c": "S"}) == "((a:0,c:0):1,b:2);"
+    with pytest.raises(ValueError):
+        trees.with_identical("(a:1,b:2);", {"a": "S", "b": "T", "c": "U"})
+
+
+def test_selection_rules(spark):
+    ok, why = selection.eligible(F.lit(3), F.lit(2), F.lit(3))
+    assert one(spark, a=ok, b=why) == (False, "too_few_strict_sequences;too_few_species")
+    rows = spark.createDataFrame([("x", 81.25), ("y", 70.0)], "species string, complete_pct double")
+    assert {r.species: (r.analysis_role, r.reason) for r in selection.core_set(rows).collect()} == {"x": ("core", "BUSCO complete 81.3% >= 80.0%"), "y": ("supplementary", "BUSCO complete 70.0% < 80.0%")}
+    with pytest.raises(ValueError):
+        selection.core_set(rows, least_core=4)
+
+
+def test_bar_chart():
+    svg = audit.bar_chart("a < b", [("x & y", 3.0), ("z", 0.0)])
+    assert svg.startswith("<svg") and "a &lt; b" in svg and "x &amp; y" in svg
+
+
+def test_archive(tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.txt").write_text("x")
+    assert audit.archive(str(tmp_path / "in"), str(tmp_path / "o.tar.gz")) == 1
+    assert audit.versions([("python", ["python", "--version"]), ("none", ["no-such-tool"])])[1][1] == "missing"
+
+
 def test_json_results(spark):
     doc = '{"test results": {"p-value": 0.02, "LRT": 4.5}, "branch attributes": {"0": {"n1": {"Corrected P-value": 0.01, "omega ratio": 2.0}, "n2": {"x": 1}}}}'
     rows = spark.createDataFrame([("f", doc), ("g", "oops"), ("h", None)], "family string, doc string")
