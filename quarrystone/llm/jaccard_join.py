@@ -159,9 +159,10 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: float) -> D
     of their component, and the documents of the classes they are linked to."""
     spark = docs.sparkSession
     comps = candidate_components(signed)
-    members = signed.where("n > 0").join(comps, "c1")
     speaker = F.min(F.struct(F.coalesce("doc_id", F.col("mark")).alias("at"), "mark")).alias("speaker")
-    members = members.groupBy("root", "c1", "c2").agg(speaker, F.count("*").alias("copies"), F.first("n").alias("n"))
+    # Copies are merged before anything is joined, so a class of very many is one row.
+    classes = signed.where("n > 0").groupBy("c1", "c2").agg(speaker, F.count("*").alias("copies"), F.first("n").alias("n"))
+    members = classes.join(comps, "c1")
     chosen = written(members.select(F.monotonically_increasing_id().alias("number"), "root", "c1", "c2", "speaker.at", "speaker.mark", "copies", "n"), "classes")
 
     weight = F.col("n") + EACH
@@ -271,7 +272,8 @@ def jaccard_join(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: the one whose id names it.
 
-    Repeated rows of one id and text are one document and leave one row. A row
+    Null, empty and blank texts have no class and stay; other columns stay as
+    they are. Repeated rows of one id and text are one document and leave one row. A row
     without an id goes if its class holds an id; rows of a class of nulls alone
     all stay.
     """

@@ -332,7 +332,11 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs`` without the rows whose text scores ``threshold`` or more."""
+    """``docs`` without the rows whose text scores ``threshold`` or more.
+
+    A null or empty text has no toxic word and stays; repeated rows are judged
+    alike; without labels nothing is toxic. An empty table stays empty.
+    """
     model = train(docs, labels, text_col=text_col)
 
     @F.pandas_udf("double")
