@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, BITS, BLOCK, CHUNK = 48, 32, 32_768, 16_384
@@ -142,7 +142,7 @@ def nearest(
     if not shares:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
 
-    def of(i: int) -> F.Column:
+    def of(i: int) -> Column:
         return F.element_at(F.create_map(*[F.lit(v) for d, s in shares.items() for v in (d, s[i])]), F.col("dim"))
 
     sized = vectors.withColumns({"blocks": of(0), "chunks": of(1), "share": of(2), "own": F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 40))})
