@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import written
 from quarrystone.functions import newick
 from quarrystone.functions.newick import Tree
 
@@ -45,6 +46,7 @@ def closure(edges: DataFrame) -> DataFrame:
     while True:
         a, b = reach.alias("a"), reach.alias("b")
         longer = a.join(b, (F.col("a.ancestor") == F.col("b.node")) & (F.col("a.steps") == step)).select(F.col("a.node"), F.col("b.ancestor"), (F.col("a.steps") + F.col("b.steps")).alias("steps"))
+        longer = written(longer, "paths")  # else each round would walk all rounds before it again
         if longer.isEmpty():
             break
         reach, step = reach.unionByName(longer), step * 2
