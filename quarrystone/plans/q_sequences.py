@@ -27,8 +27,7 @@ def dup_groups_md5(spark, sf_dir):
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS ch FROM documents WHERE length(text) < 2000), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch >= 'a' AND ch <= 'z' AND length(ch) = 1 GROUP BY 1, 2),
 t AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id)::DOUBLE AS p FROM n) SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM t GROUP BY 1""")
 def entropy_bits(spark, sf_dir):
-    d = _docs(spark, sf_dir).where(F.length("text") < 2000)
-    return va.entropy(d, "doc_id", F.lower("text"), "^[a-z]$").select("doc_id", F.round("bits", 6).alias("bits"))
+    return va.entropy(_docs(spark, sf_dir), "doc_id", F.lower("text"), "^[a-z]$").select("doc_id", F.round("bits", 6).alias("bits"))
 
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS ch FROM documents) WHERE ch IN ('!', '#', '$', '%', '&', '*', '|') GROUP BY 1")
