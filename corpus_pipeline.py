@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage works on all that the one before kept. Toxic documents go; lines
-that are boilerplate of their source go, the document stays; of documents
+that are boilerplate of their source go, the document stays (linked copies
+count as one page there); of documents
 linked as near-duplicates one stays; secrets are masked in place; the rest is
 packed. All but the last return the columns of ``documents``, with ``n_chars``
 that of the new text.
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.core.shared import written
-from quarrystone.llm.jaccard_join import one_of_each
+from quarrystone.llm.jaccard_join import copy_classes, one_of_each
 from quarrystone.llm.line_dedup import drop_boilerplate
 from quarrystone.llm.packing import pack
 from quarrystone.llm.registry import tokenizer_path
@@ -30,7 +31,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(drop_boilerplate(docs), docs.columns)
+    # Copies and near copies are one page: else a large group of them makes all its own lines boilerplate.
+    return _measured(drop_boilerplate(docs, classes=written(copy_classes(docs), "copy_classes")), docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

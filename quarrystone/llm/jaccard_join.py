@@ -254,6 +254,11 @@ def jaccard_join(
     Null ids take part; a class of nulls alone has class_id null. Other columns
     are not read; an empty table gives no rows.
     """
+    return _classed(docs, id_col, text_col, words, threshold, trees, longest, recall).select("doc_id", "class_id", "n_links")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
+    """The rows of ``jaccard_join`` with mark, the hash of the text."""
     depth = prefix_length(threshold, trees, longest, recall)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     signed = written(signatures(source, words, trees, depth), "signatures")
@@ -264,9 +269,17 @@ def jaccard_join(
     known = known.join(tops, "top", "left").select(
         "c1", "c2", F.coalesce("lead", F.when(F.col("top").isNull(), F.col("first"))).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    done = signed.select("doc_id", "c1", "c2", "n").join(known, ["c1", "c2"], "left")
+    done = signed.select("doc_id", "mark", "c1", "c2", "n").join(known, ["c1", "c2"], "left")
     alone = F.col("n") == 0
-    return done.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+    return done.select("doc_id", "mark", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+
+
+def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(mark, page): for the hash of each text, null as an empty one, a number
+    that it shares with all texts it is linked to directly or through others."""
+    # A key for each id and text: a group of copies stays as many keys as it has ids.
+    keyed = docs.select(F.xxhash64(id_col, text_col).alias("_at"), F.col(text_col).alias("_text"))
+    return _classed(keyed, "_at", "_text", **options).groupBy("mark").agg(F.min("class_id").alias("page"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

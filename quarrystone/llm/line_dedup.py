@@ -18,31 +18,45 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = 0.02, least: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = 0.02, least: int = 5, classes: DataFrame | None = None) -> DataFrame:
     """(host, keys): hashes of the lines that more than ``ratio`` of a host's
     pages contain, and at least ``least`` of them.
 
     A host has at most (mean distinct lines of its pages) / ratio such lines,
     so ``keys`` is bounded however many pages the host has.
+
+    Every row is a page; with ``classes`` (mark, page; see ``copy_classes``) all
+    texts of a class are one page of a host, which holds the lines of each.
     """
-    own = docs.select(F.col(host_col).alias("host"), F.array_distinct(F.transform(_lines(F.col(text_col)), _key)).alias("keys"))
-    pages = own.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = own.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    keys = F.array_distinct(F.transform(_lines(F.col(text_col)), _key)).alias("keys")
+    if classes is None:
+        own = docs.select(F.col(host_col).alias("host"), keys)
+        pages = own.groupBy("host").agg(F.count("*").alias("pages"))
+        seen = own.select("host", F.explode("keys").alias("key"))
+    else:
+        own = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), keys)
+        own = own.dropDuplicates(["host", "mark"]).join(classes, "mark")
+        pages = own.groupBy("host").agg(F.countDistinct("page").alias("pages"))
+        seen = own.select("host", "page", F.explode("keys").alias("key")).distinct()
+    counts = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     pages = pages.withColumnRenamed("host", "_host")
     often = counts.join(pages, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set("key").alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = 0.02, least: int = 5) -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = 0.02, least: int = 5, classes: DataFrame | None = None
+) -> DataFrame:
     """``docs`` with ``text_col`` free of boilerplate lines, and two columns
     more: ``_n_lines`` and ``_n_dropped``.
 
     Lines are compared without spaces at either end; empty lines stay. Every
-    row is a page, repeated ones too; null hosts are a host of their own. A
+    row is a page, repeated ones too, unless ``classes`` names the copies (see
+    ``boilerplate``); null hosts are a host of their own. A
     null text counts as one empty line and stays null; the other columns stay
     as they are. An empty table stays empty.
     """
-    common = written(boilerplate(docs, host_col, text_col, ratio=ratio, least=least), "boilerplate").select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
+    common = written(boilerplate(docs, host_col, text_col, ratio=ratio, least=least, classes=classes), "boilerplate").select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
     if written_bytes(common) <= BROADCAST_BYTES:
         common = F.broadcast(common)
     joined = docs.join(common, docs[host_col].eqNullSafe(F.col("_host")), "left").withColumn("_lines", _lines(F.col(text_col)))
