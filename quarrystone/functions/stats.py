@@ -48,6 +48,20 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, by: Sequence[str] = (),
     return done.unionByName(df.where(~good | F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
+def places(df: DataFrame, first: Column, value: str, *ties: Column, out: str = "place", parts: int = 32) -> DataFrame:
+    """``df``, read several times, with each row's place from 1: by ``first``
+    upwards, then ``value`` downwards, then ``ties``.
+
+    As in ``benjamini_hochberg``: ranges of ``value``, and a row per range.
+    """
+    dealt = _buckets(df, value, parts)[0].withColumn("_first", first)
+    sizes = dealt.groupBy("_first", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_first", F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = F.broadcast(sizes.select("_first", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    inside = F.row_number().over(Window.partitionBy("_first", "_bucket").orderBy(F.desc(value), *ties))
+    return dealt.join(starts, ["_first", "_bucket"]).withColumn(out, F.col("_start") + inside).drop("_first", "_bucket", "_start")
+
+
 def average_rank(value: Column, by: Sequence[str | Column] = (), descending: bool = False) -> Column:
     """Fractional rank: ties share the mean of their places."""
     same = Window.partitionBy(*by, value)

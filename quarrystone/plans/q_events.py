@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.stats import benjamini_hochberg
+from quarrystone.core.shared import written
+from quarrystone.functions.stats import benjamini_hochberg, places
 from quarrystone.operators import events as ev
 from quarrystone.plans.base import supplied, table
 from quarrystone.plans.register import query
@@ -78,9 +79,7 @@ row_number() OVER (ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'fdr_supported' TH
 SELECT * FROM o WHERE place <= 100""")
 def family_ranked(spark, sf_dir):
     f = ev.families(_events(spark, sf_dir)).select("family", "tier", "score", "high_events", "candidate_events", "terminal_expansions", "terminal_contractions")
-    order = [ev.order_of(F.col("tier"), ev.FAMILY_ORDER), F.desc("score"), F.col("family")]
-    top = f.orderBy(*order).limit(100)  # the report's head: the hundred best
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return places(written(f, "families"), ev.order_of(F.col("tier"), ev.FAMILY_ORDER), "score", F.col("family"))
 
 
 @query(f"""WITH {CHANGES}, b AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, node, direction DESC, change DESC) AS rn FROM tiered)
