@@ -123,7 +123,7 @@ def union_distinct_sources(spark, sf_dir):
     sources = {
         "documents": _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"),
         "benchmark": table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"),
-        "conversations": table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), "text"),
+        "conversations": table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "text"),
     }
     return an.union_distinct(sources, "id", "text").select("id", F.array_join("sources", ";").alias("sources"), "conflicts")
 

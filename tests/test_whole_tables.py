@@ -43,3 +43,11 @@ def test_family_ranked_has_every_family(spark):
     assert len(got) == len(families) > 100 and {r.family for r in got} == families
     want = sorted(got, key=lambda r: (tiers[r.tier], -r.score, r.family))
     assert [r.place for r in want] == list(range(1, len(got) + 1))
+
+
+def test_union_takes_later_turns(spark, tmp_path):
+    stored(spark, tmp_path, "documents", [(1, "a"), (2, "b")], "doc_id bigint, text string")
+    stored(spark, tmp_path, "benchmark", [(1, "a")], "item_id bigint, text string")
+    stored(spark, tmp_path, "conversations", [(1, 0, "a"), (1, 1, "c"), (3, 0, "d"), (3, 1, "d"), (4, 2, "e")], "conv_id bigint, turn int, text string")
+    got = {(r.id, r.sources, r.conflicts) for r in catalogue.QUERIES["union_distinct_sources"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "benchmark;conversations;documents", 1), (2, "documents", 0), (3, "conversations", 0), (4, "conversations", 0)}
