@@ -1,12 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
-
-Documents with the same set of word n-grams form a class. Each tree of the
-forest sorts the classes by a signature of MinHash values; classes below one
-node of its prefix trie are candidates. Prefixes start at ``longest`` values
-and are shortened while pairs just at the threshold would be found with less
-than the target recall. A trie's node is a group of equal prefixes, so nodes
-are formed by grouping; each links its members to its smallest, which costs a
-row per member. The components of these links hold all candidates; in each
+"""N-gram Jaccard join by fixed MinHash banding, verified exactly.
+
+Documents with the same set of word n-grams form a class. Each tree (a band)
+has one prefix of MinHash values, all of one length: the longest, up to
+``longest`` values, at which pairs just at the threshold are found with the
+target recall. It is computed from the parameters alone; nothing adapts to the
+matches found. Classes with an equal prefix in some tree are candidates; each
+such group links its members to its smallest, which costs a row per member.
+The components of these links hold all candidates; in each
 every pair is compared exactly, in blocks if a component is large, and only
 pairs at or above the threshold are links.
 """
