@@ -193,7 +193,7 @@ def decode_media(df: DataFrame, id_col: str, bytes_col: str, tile: int = 256, th
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(bytes_col).alias("data")).mapInArrow(run, ddl)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, form: str = "pgm", width: int = 64, keep: bool = False) -> DataFrame:
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, form: str = "pgm", width: int = 64, tile: int = 256, keep: bool = False) -> DataFrame:
     """Each whole text stored as an image, read back and described.
 
     The UTF-8 bytes, followed by bytes 0 up to a positive multiple of
@@ -201,8 +201,9 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``form`` (pgm or bmp). All columns but n_bytes are computed from the image
     decoded from the stored bytes: payload_bytes, payload_sha256, tail_crc32
     (of the last ``width`` bytes), media_bytes, media_sha256 and ``feature``:
-    size, difference hash and the digest of a 32 x 32 NPY thumbnail. ``keep``
-    adds the stored bytes as ``media``.
+    size, difference hash, the digest of a 32 x 32 NPY thumbnail, and one over
+    the place, NPY bytes and difference hash of every tile. ``keep`` adds
+    the stored bytes as ``media``.
 
     A null text counts as empty and gives one row of samples 0; repeated rows
     give repeated results; other columns are not read.
@@ -223,7 +224,10 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             image = decode(media)
             back = image.tobytes()
             thumbnail = npy(np.round(area_resize(image, 32, 32)).astype("u1"))
-            feature = f"{image.shape[1]}x{image.shape[0]}:{difference_hash(image)}:{hashlib.sha256(thumbnail).hexdigest()[:16]}"
+            cut = hashlib.sha256()
+            for r, c, block, mark in tiles(image, tile):
+                cut.update(b"%d %d %d %s\n" % (r, c, len(block), mark.encode()) + block)
+            feature = f"{image.shape[1]}x{image.shape[0]}:{difference_hash(image)}:{hashlib.sha256(thumbnail).hexdigest()[:16]}:{cut.hexdigest()[:16]}"
             row = (doc, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-width:]), len(media), hashlib.sha256(media).hexdigest(), feature)
             rows.add(*row, *([media] if keep else []), weight=len(media) * keep)
             if rows.full():
