@@ -258,7 +258,7 @@ def jaccard_join(
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
-    """The rows of ``jaccard_join`` with mark, the hash of the text."""
+    """The rows of ``jaccard_join`` with mark, the hash of the text, and n, its runs."""
     depth = prefix_length(threshold, trees, longest, recall)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     signed = written(signatures(source, words, trees, depth), "signatures")
@@ -271,7 +271,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, th
     )
     done = signed.select("doc_id", "mark", "c1", "c2", "n").join(known, ["c1", "c2"], "left")
     alone = F.col("n") == 0
-    return done.select("doc_id", "mark", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+    return done.select("doc_id", "mark", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
 
 
 def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -290,15 +290,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without an id goes if its class holds an id; rows of a class of nulls alone
     all stay.
     """
-    at = F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = docs.withColumn("_at", at)
-    named = keyed.select("_at", F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
-    joined = jaccard_join(named, "_at", "_text", **options)
-    # A class is named by its smallest key; where that is the hash of a row without an id, the smallest id names it.
-    ids = named.groupBy("_at").agg(F.max(F.col("_id").isNotNull()).alias("named"), F.count("*").alias("rows"))
-    classes = joined.join(ids, joined["doc_id"] == ids["_at"]).select("_at", "class_id", "named", "rows")
-    leads = classes.groupBy("class_id").agg(F.min(F.when(F.col("named"), F.col("_at"))).alias("lead"))
-    goes = classes.join(leads, "class_id").where("lead is not null and lead <> _at").select(F.col("_at").alias("_goes")).distinct()
-    kept = keyed.join(goes, F.col("_at") == F.col("_goes"), "left_anti").drop("_at")
-    again = ids.where("named and rows > 1").limit(1)
-    return kept if again.isEmpty() else kept.dropDuplicates([id_col, text_col])
+    ident = F.col(id_col).cast("bigint")
+    keyed = docs.withColumn("_at", F.xxhash64(ident, F.col(text_col)))  # an id may come with several texts
+    ids = keyed.groupBy("_at").agg(F.max(ident).alias("id"), F.count("*").alias("rows"))
+    joined = _classed(keyed.select("_at", F.col(text_col).alias("_text")), "_at", "_text", **options)
+    found = joined.groupBy("doc_id").agg(F.max("class_id").alias("class_id"), F.max("n").alias("n"))
+    classes = written(found.join(ids, F.col("doc_id") == F.col("_at")).select("_at", "class_id", "n", "id", "rows"), "members")
+    leads = classes.where("id is not null").groupBy("class_id").agg(F.min(F.struct("id", "_at")).alias("lead"))
+    goes = classes.join(leads, "class_id").where("lead._at <> _at").select("_at")
+    kept = keyed.join(goes, "_at", "left_anti")
+    again = classes.where("id is not null and n > 0 and rows > 1").select("_at")
+    one = kept.join(again, "_at", "left_semi").dropDuplicates(["_at"])
+    return kept.join(again, "_at", "left_anti").unionByName(one).select(*docs.columns)
