@@ -103,11 +103,11 @@ def _anchor_starts(n: int, window: int, period: int, cover: np.ndarray) -> np.nd
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and what stands for the text: a 64-bit hash and the length
-    in bytes. Equal texts have the same windows, whoever holds them."""
+    """doc_id, text, and what stands for the text: a 64-bit hash and another of
+    31 bits. Equal texts have the same windows, whoever holds them."""
     body = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.withColumns({"key": F.xxhash64(body), "size": F.octet_length(body)})
+    return source.withColumns({"key": F.xxhash64(body), "size": F.hash(body).bitwiseAND(0x7FFFFFFF)})
 
 
 def _combined(hashes: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
@@ -159,7 +159,7 @@ def _anchors(source: DataFrame, window: int, period: int) -> DataFrame:
 
 
 def _place(size: np.ndarray, at: np.ndarray, again: np.ndarray) -> np.ndarray:
-    """A text's size, a position from -1 on and whether what is there is known to occur again, in one number."""
+    """A text's second hash, a position from -1 on and whether what is there is known to occur again, in one number."""
     return size << 32 | (at + 1) << 1 | again
 
 
@@ -195,7 +195,7 @@ ALL = -1
 
 def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
     """(h1, h2, key, place): the windows that hold a repeated anchor of their
-    text. A text that the row before held too speaks for both: a row with no
+    text, told apart by 128 bits. A text that the row before held too speaks for both: a row with no
     start (ALL) says that all its windows occur again, and its windows, of
     size -1, wait for no answer."""
     anchor = window - period + 1
@@ -226,7 +226,7 @@ def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
         np.add.at(mark, at + 1, -1)
         starts = np.flatnonzero(np.cumsum(mark)[: n - window + 1] > 0)
         h = Hasher(words, 2)
-        h1, h2 = h.at(starts, window, 0), h.at(starts, window, 1) & 0xFFFFFFFF  # 96 bits tell windows apart
+        h1, h2 = h.at(starts, window, 0), h.at(starts, window, 1)
         if copies:
             starts, h1, h2 = np.append(starts, ALL), np.append(h1, 0), np.append(h2, 0)
         whole = lambda x: np.full(len(starts), x, "i8")
@@ -282,9 +282,10 @@ def remove_repeats(
         for doc, text, repeated in values(batches, "doc_id", "text", "starts"):
             words = words_of(text)
             n = len(words)
-            if repeated:
+            if repeated and n >= window:
                 mark = np.zeros(n + 1, "i8")
                 at = np.arange(n - window + 1) if ALL in repeated else np.array(repeated, "i8")
+                at = at[at <= n - window]  # a text that collides in all 95 bits may have brought others
                 mark[at] += 1
                 mark[at + window] -= 1
                 words = [w for w, covered in zip(words, np.cumsum(mark).tolist()) if not covered]
