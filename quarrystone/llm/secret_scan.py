@@ -1,10 +1,12 @@
 """Secret scans behind a trigram inverted index, in DataFrame operations only.
 
 From each rule's regex a Boolean query over trigrams is derived that every
-match satisfies. The index holds postings (trigram, document) of the trigrams
-that the queries name, over lower-cased text; merging a document's postings
-and asking the queries gives its candidate rules, and only these are matched
-against the text. A rule without a mandatory trigram is matched everywhere.
+match satisfies. The index has a posting list, in blocks of documents, of each
+trigram that the queries name, over lower-cased text; a clause intersects the
+lists of an alternative's trigrams and unites its alternatives, a query
+intersects its clauses. The documents left are the rule's candidates, and only
+these are matched against it. A rule without a mandatory trigram is matched
+everywhere.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.core.shared import written, written_bytes
+from quarrystone.llm.names import free_names
 
 BROADCAST_BYTES = 8_000_000
+#: Documents whose postings lie in one block of the index.
+BLOCK = 8192
 
 
 class Rule(NamedTuple):
@@ -126,76 +131,120 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
     return clauses
 
 
-def _holds(query: Query, there: Column) -> Column:
-    every = lambda alternative: reduce(lambda a, b: a & b, [F.array_contains(there, t) for t in sorted(alternative)])
-    return reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, map(every, clause)) for clause in query])
+def postings(docs: DataFrame, key: Column, text: Column, trigrams: Sequence[str]) -> DataFrame:
+    """(key, there): the documents that hold some of the trigrams, case aside, and which."""
+    lowered = docs.select(key.alias("key"), F.lower(text).alias("lower"))
+    there = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("lower"), t))
+    return lowered.select("key", there.alias("there")).where(F.size("there") > 0)
 
 
-def postings(docs: DataFrame, key: Column, text: Column, trigrams: Sequence[str]) -> DataFrame:
-    """(trigram, key): which documents hold which of the trigrams, case aside."""
-    lowered = docs.select(key.alias("key"), F.lower(text).alias("_lower"))
-    there = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("_lower"), t))
-    return lowered.select(F.explode(there).alias("trigram"), "key")
+def posting_lists(there: DataFrame, trigrams: Sequence[str], blocks: int) -> DataFrame:
+    """A row per block of documents with the posting list, an array of keys, of
+    each trigram (columns t0, t1, ...). Documents are dealt to blocks by a hash
+    of their key, so a list holds about ``BLOCK`` keys however many there are."""
+    block = F.pmod(F.xxhash64("key", F.lit(17)), F.lit(blocks))
+    pairs = there.select(block.alias("block"), "key", F.explode("there").alias("trigram"))
+    lists = pairs.groupBy("block", "trigram").agg(F.collect_set("key").alias("docs"))
+    lifted = F.map_from_entries(F.collect_list(F.struct("trigram", "docs"))).alias("lists")
+    nothing = F.array().cast("array<bigint>")
+    by_trigram = [F.coalesce(F.try_element_at("lists", F.lit(t)), nothing).alias(f"t{i}") for i, t in enumerate(trigrams)]
+    return lists.groupBy("block").agg(lifted).select("block", *by_trigram)
+
+
+def candidates(lists: DataFrame, trigrams: Sequence[str], queries: dict[str, Query]) -> DataFrame:
+    """(key, kinds): the rules whose query a document satisfies, by intersecting and uniting posting lists."""
+    place = {t: f"t{i}" for i, t in enumerate(trigrams)}
+    together = lambda columns: reduce(F.array_intersect, columns)
+    either = lambda columns: reduce(F.array_union, columns)
 
+    def answer(query: Query) -> Column:
+        return together([either([together([F.col(place[t]) for t in sorted(alternative)]) for alternative in clause]) for clause in query])
 
-def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """(key, kinds): the rules whose query a document's postings satisfy.
+    found = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), answer(q).alias("docs")) for kind, q in queries.items()]))
+    flat = lists.select(found.alias("hit")).select("hit.kind", F.explode("hit.docs").alias("key"))
+    return flat.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
-    A document has at most as many postings here as the queries name trigrams,
-    and they are merged before the shuffle.
+
+def _running(parts: Column, start: Column, step) -> Column:
+    """For each element of the integer array ``parts`` what ``step`` has made of
+    ``start`` and the elements before it, and one value more at the end.
+
+    Built in two levels, of about the square root of the length each, as an
+    array that grows by appending costs the square of its own length.
     """
-    merged = index.groupBy("key").agg(F.collect_set("trigram").alias("there"))
-    kinds = F.array_compact(F.array(*[F.when(_holds(q, F.col("there")), k) for k, q in queries.items()]))
-    return merged.select("key", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    none = F.array().cast("array<int>")
+
+    def cut(parts: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / wide).cast("int")), lambda k: F.slice(parts, k * wide + 1, wide))
+        return F.when(F.size(parts) == 0, F.array().cast("array<array<int>>")).otherwise(chunks)
+
+    def walk(values: Column, first: Column, by) -> Column:
+        """(now, seen): the state after all of ``values``, and those before each."""
+        begin = F.struct(first.alias("now"), none.alias("seen"))
+        return F.aggregate(values, begin, lambda acc, v: F.struct(by(acc["now"], v).alias("now"), F.array_append(acc["seen"], acc["now"]).alias("seen")))
+
+    def joined(chunks: Column) -> Column:
+        outer = walk(chunks, start, lambda now, chunk: F.aggregate(chunk, now, step))
+        return _once(outer, lambda o: F.array_append(F.flatten(F.zip_with(chunks, o["seen"], lambda chunk, first: walk(chunk, first, step)["seen"])), o["now"]))
+
+    return _once(_once(parts, cut), joined)
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, place of the rule, end) in code points, end exclusive.
 
-    The text between matches and the matches come by split and extract; a
-    running sum of their lengths gives the offsets.
+    The text between matches and the matches come by split and extract; running
+    sums of their lengths give the offsets.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
     between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
-    parts = F.arrays_zip(
-        F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("long"), F.transform(held, F.length).alias("held")
-    )
-    span = lambda start, end: F.struct(start.cast("int").alias("start"), F.lit(order).alias("rule"), end.cast("int").alias("end"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rule:int,end:int>>").alias("found"))
+    lengths = F.struct(F.transform(between, F.length).alias("gap"), F.transform(whole, F.length).alias("long"), F.transform(held, F.length).alias("held"))
+
+    def placed(of: Column) -> Column:
+        steps = F.zip_with(of["gap"], of["long"], lambda gap, long: gap + long)
+        ends = F.slice(_running(steps, F.lit(0), lambda at, n: at + n), F.lit(2), F.size(of["gap"]))
+        spans = F.transform(F.arrays_zip(ends.alias("end"), of["long"].alias("long"), of["held"].alias("held")), lambda m: F.struct(
+            (m["end"] - m["long"]).alias("start"), F.lit(order).alias("rule"), m["end"].alias("end"), m["held"].alias("held")
+        ))
+        kept = F.filter(spans, lambda m: m["held"] >= rule.least)
+        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["rule"].alias("rule"), m["end"].alias("end")))
 
-    def step(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + part["gap"]
-        end = begin + part["long"]
-        return F.struct(end.alias("at"), F.when(part["held"] >= rule.least, F.array_append(acc["found"], span(begin, end))).otherwise(acc["found"]).alias("found"))
+    return _once(lengths, placed)
 
-    return F.aggregate(parts, start, step, lambda acc: acc["found"])
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-def scan(docs: DataFrame, text_col: str = "text", *, key: Column, rules: Sequence[Rule] = BASE + ADDED) -> DataFrame:
-    """``docs`` with a column ``_spans`` more: the array of (start, rule, end)
-    of all matches in order; ``rule`` is the place in ``rules``.
 
-    ``key`` tells rows apart; rows that share one share their candidates, which
-    costs time and changes nothing. A null text counts as empty; repeated rows
-    are each scanned; an empty table stays empty.
+def scan(docs: DataFrame, text_col: str = "text", *, key: Column, rules: Sequence[Rule] = BASE + ADDED, spans: str = "spans") -> DataFrame:
+    """``docs`` with a column more, named by ``spans``: the array of (start,
+    rule, end) of all matches in order; ``rule`` is the place in ``rules``.
+
+    ``key`` (bigint) tells rows apart; rows that share one share their
+    candidates, which costs time and changes nothing. A null text counts as
+    empty; repeated rows are each scanned; an empty table stays empty. Columns
+    of ``docs`` may have any names but that of ``spans``.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for clause in q for a in clause for t in a})
-    joined = docs
+    joined, (own, kinds) = docs, free_names([*docs.columns, spans], "_key", "_kinds")
     if trigrams:
-        found = written(candidates(postings(docs, key, F.col(text_col), trigrams), queries), "candidates")
-        found = found.select(F.col("key").alias("_key"), F.col("kinds").alias("_kinds"))
+        there = written(postings(docs, key, F.col(text_col), trigrams), "postings")
+        lists = posting_lists(there, trigrams, -(-there.count() // BLOCK) or 1)
+        found = written(candidates(lists, trigrams, queries), "candidates").select(F.col("key").alias(own), F.col("kinds").alias(kinds))
         if written_bytes(found) <= BROADCAST_BYTES:
             found = F.broadcast(found)
-        joined = docs.join(found, key == F.col("_key"), "left")
+        joined = docs.join(found, key == found[own], "left")
     none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
     parts = []
     for i, r in enumerate(rules):
-        asked = F.array_contains("_kinds", r.kind) if r.kind in queries else F.rlike(F.col(text_col), F.lit(r.pattern))
+        asked = F.array_contains(kinds, r.kind) if r.kind in queries else F.rlike(F.col(text_col), F.lit(r.pattern))
         parts.append(F.when(asked, spans_of(F.col(text_col), r, i)).otherwise(none))
-    out = joined.withColumn("_spans", F.array_sort(F.concat(*parts)))
-    return out.drop("_key", "_kinds") if trigrams else out
+    out = joined.withColumn(spans, F.array_sort(F.concat(*parts)))
+    return out.drop(own, kinds) if trigrams else out
 
 
 def _listed(spans: Column, rules: Sequence[Rule]) -> Column:
@@ -208,32 +257,62 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", added: Sequence[Rule] = ADDED) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each document."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each document.
+
+    A null or empty text has no span, and the digest of an empty list; repeated
+    rows give repeated results, rows without an id take part; other columns are
+    not read; an empty table gives no rows.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rules = BASE + tuple(added)
-    done = scan(source, "_text", key=row_key("doc_id", "_text"), rules=rules).select("doc_id", "_spans")
-    base = F.filter("_spans", lambda s: s["rule"] < len(BASE))
+    done = scan(source, key=row_key("doc_id", "text"), rules=rules).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["rule"] < len(BASE))
 
     def count(i: int) -> Column:
-        return F.size(F.filter("_spans", lambda s: s["rule"] == i)).cast("bigint").alias(f"n_{BASE[i].kind}")
+        return F.size(F.filter("spans", lambda s: s["rule"] == i)).cast("bigint").alias(f"n_{BASE[i].kind}")
 
-    return done.select("doc_id", *map(count, range(len(BASE))), F.sha2(_listed(base, rules), 256).alias("base_sha256"), _listed(F.col("_spans"), rules).alias("spans"))
+    return done.select("doc_id", *map(count, range(len(BASE))), F.sha2(_listed(base, rules), 256).alias("base_sha256"), _listed(F.col("spans"), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mask: str = "[SECRET]", rules: Sequence[Rule] = BASE + ADDED) -> DataFrame:
-    """``docs`` with every span replaced by ``mask`` (overlapping ones by one);
-    all other columns, and texts without a span, stay as they are."""
-    found = scan(docs, text_col, key=row_key(id_col, text_col), rules=rules)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+def _masked(text: Column, spans: Column, mask: str) -> Column:
+    """``text`` with each stretch of overlapping spans replaced by ``mask``.
+
+    The kept stretches are cut in two levels: a text is read once for each of
+    about the square root of its stretches, not once for each.
+    """
+
+    def pieces(kept: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(kept))).cast("int")
+
+        def cut(chunk: Column) -> Column:
+            base = F.element_at(chunk, 1)["start"]
+            part = F.substring(text, base + 1, F.element_at(chunk, -1)["end"] - base)
+            return _once(F.struct(part.alias("part"), chunk.alias("chunk"), base.alias("base")), lambda of: F.transform(of["chunk"], lambda s: F.substring(of["part"], s["start"] - of["base"] + 1, s["end"] - s["start"])))
+
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(kept) - 1) / wide).cast("int")), lambda k: F.slice(kept, k * wide + 1, wide))
+        return F.array_join(F.flatten(F.transform(chunks, cut)), mask)
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(acc["parts"], piece)).otherwise(acc["parts"]).alias("parts"))
+    def stretches(of: Column) -> Column:
+        reached = _running(F.transform(of, lambda s: s["end"]), F.lit(0), lambda at, end: F.greatest(at, end))
+        starts = F.concat(F.transform(of, lambda s: s["start"]), F.array(F.length(text)))
+        both = F.zip_with(reached, starts, lambda begin, end: F.struct(begin.alias("start"), end.alias("end")))
+        # A span that begins before the end of those ahead of it opens no new stretch; the last stretch, to the text's end, always counts.
+        return F.filter(both, lambda s: s["end"] >= s["start"])
 
-    masked = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, masked).otherwise(text)).drop("_spans")
+    return _once(stretches(spans), pieces)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, mask: str = "[SECRET]", rules: Sequence[Rule] = BASE + ADDED) -> DataFrame:
+    """``docs`` with every span replaced by ``mask`` (overlapping ones by one).
+
+    All other columns, whatever their names, and texts without a span stay as
+    they are, null and empty ones too; repeated rows are each masked; an empty
+    table stays empty.
+    """
+    (spans,) = free_names(docs.columns, "_spans")
+    found = scan(docs, text_col, key=row_key(id_col, text_col), rules=rules, spans=spans)
+    text = F.col(text_col)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, _masked(text, F.col(spans), mask)).otherwise(text)).select(*docs.columns)
 
 
 def oracle_sql(rules: Sequence[Rule] = BASE + ADDED) -> str:
