@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.core.shared import written, written_bytes
+from quarrystone.llm.names import free_names
 
 BROADCAST_BYTES = 8_000_000
+#: Share of a host's pages above which a line of several pages is boilerplate.
+RATIO = 0.05
 
 
 def _lines(text: Column) -> Column:
@@ -18,72 +21,77 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = 0.02, least: int = 5, classes: DataFrame | None = None) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = RATIO, classes: DataFrame | None = None) -> DataFrame:
     """(host, keys): hashes of the lines that more than ``ratio`` of a host's
-    pages contain, and at least ``least`` of them.
+    pages, and more than one of them, contain.
 
     A host has at most (mean distinct lines of its pages) / ratio such lines,
     so ``keys`` is bounded however many pages the host has.
 
     Every row is a page; with ``classes`` (mark, page; see ``copy_classes``) all
     texts of a class are one page of a host, which holds the lines of each.
+    Null hosts are a host of their own, and a null text is one empty line. An
+    empty table gives no rows.
     """
-    keys = F.array_distinct(F.transform(_lines(F.col(text_col)), _key)).alias("keys")
+    host, text = F.col(host_col), F.col(text_col)
+    keys = F.array_distinct(F.transform(_lines(text), _key)).alias("keys")
     if classes is None:
-        own = docs.select(F.col(host_col).alias("host"), keys)
+        own = docs.select(host.alias("host"), keys)
         pages = own.groupBy("host").agg(F.count("*").alias("pages"))
         seen = own.select("host", F.explode("keys").alias("key"))
     else:
-        own = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), keys)
+        own = docs.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), keys)
         own = own.dropDuplicates(["host", "mark"]).join(classes, "mark")
         pages = own.groupBy("host").agg(F.countDistinct("page").alias("pages"))
         seen = own.select("host", "page", F.explode("keys").alias("key")).distinct()
-    counts = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    pages = pages.withColumnRenamed("host", "_host")
-    often = counts.join(pages, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > ratio * F.col("pages"))
+    counts = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
+    pages = pages.withColumnRenamed("host", "of")
+    often = counts.join(pages, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.collect_set("key").alias("keys"))
 
 
-def drop_boilerplate(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = 0.02, least: int = 5, classes: DataFrame | None = None
-) -> DataFrame:
-    """``docs`` with ``text_col`` free of boilerplate lines, and two columns
-    more: ``_n_lines`` and ``_n_dropped``.
+def _judged(docs: DataFrame, host_col: str, text_col: str, ratio: float, classes: DataFrame | None) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more, and their names: the lines of the text, and those of them that stay."""
+    host, keys, lines, met, kept = free_names(docs.columns, "_host", "_keys", "_lines", "_met", "_kept")
+    common = written(boilerplate(docs, host_col, text_col, ratio=ratio, classes=classes), "boilerplate").select(F.col("host").alias(host), F.col("keys").alias(keys))
+    if written_bytes(common) <= BROADCAST_BYTES:
+        common = F.broadcast(common)
+    joined = docs.join(common, docs[host_col].eqNullSafe(common[host]), "left").withColumn(lines, _lines(F.col(text_col)))
+    # The document's own share of the host's keys first: one hash set a document, not a search of all keys a line.
+    joined = joined.withColumn(met, F.array_intersect(F.transform(lines, _key), F.coalesce(F.col(keys), F.array().cast("array<bigint>"))))
+    stays = F.filter(lines, lambda line: (F.trim(line) == "") | ~F.array_contains(F.col(met), _key(line)))
+    return joined.withColumn(kept, F.when(F.size(met) == 0, F.col(lines)).otherwise(stays)).drop(host, keys, met), lines, kept
+
+
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = RATIO, classes: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``text_col`` free of boilerplate lines.
 
     Lines are compared without spaces at either end; empty lines stay. Every
     row is a page, repeated ones too, unless ``classes`` names the copies (see
-    ``boilerplate``); null hosts are a host of their own. A
-    null text counts as one empty line and stays null; the other columns stay
-    as they are. An empty table stays empty.
+    ``boilerplate``); null hosts are a host of their own. A null text counts as
+    one empty line and stays null; all other columns, whatever their names,
+    stay as they are. An empty table stays empty.
     """
-    common = written(boilerplate(docs, host_col, text_col, ratio=ratio, least=least, classes=classes), "boilerplate").select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
-    if written_bytes(common) <= BROADCAST_BYTES:
-        common = F.broadcast(common)
-    joined = docs.join(common, docs[host_col].eqNullSafe(F.col("_host")), "left").withColumn("_lines", _lines(F.col(text_col)))
-    kept = F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda line: (F.trim(line) == "") | ~F.array_contains(F.col("_keys"), _key(line)))
-    )
-    return (
-        joined.withColumn("_kept", kept)
-        .withColumns(
-            {
-                text_col: F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n")),
-                "_n_lines": F.size("_lines").cast("bigint"),
-                "_n_dropped": (F.size("_lines") - F.size("_kept")).cast("bigint"),
-            }
-        )
-        .drop("_host", "_keys", "_lines", "_kept")
-    )
-
-
-def line_report(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", *, ratio: float = 0.02, least: int = 5) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_sha256 (of the kept text) of each document."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("_source"), F.col(text_col).alias("_text"))
-    done = drop_boilerplate(source, "_source", "_text", ratio=ratio, least=least)
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("_text", F.lit("")), 256).alias("kept_sha256"))
-
-
-ORACLE = """
+    done, _, kept = _judged(docs, host_col, text_col, ratio, classes)
+    return done.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.array_join(kept, "\n"))).select(*docs.columns)
+
+
+def line_report(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", *, ratio: float = RATIO) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 (of the kept text) of each document.
+
+    As ``drop_boilerplate``: a null text has one line and the digest of an
+    empty one, repeated rows give repeated results, other columns are not read
+    and an empty table gives no rows.
+    """
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    done, lines, kept = _judged(source, "host", "text", ratio, None)
+    return done.select(
+        "doc_id", F.size(lines).cast("bigint").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("bigint").alias("n_dropped"),
+        F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256"),
+    )
+
+
+ORACLE = f"""
 WITH own AS (
   SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
 ), pages AS (
@@ -93,7 +101,7 @@ WITH own AS (
 ), often AS (
   SELECT s.source, s.line FROM (SELECT source, line, count(*) AS n FROM seen GROUP BY source, line) s
   JOIN pages p ON s.source IS NOT DISTINCT FROM p.source
-  WHERE s.n >= 5 AND s.n > 0.02 * p.pages AND s.line <> ''
+  WHERE s.n > 1 AND s.n > {RATIO} * p.pages AND s.line <> ''
 ), common AS (
   SELECT source, list(line) AS common FROM often GROUP BY source
 ), kept AS (
