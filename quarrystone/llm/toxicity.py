@@ -4,15 +4,15 @@ Token labels come from labelled documents: the words of a toxic document that
 the labelled documents tie to toxicity are its toxic tokens. From these a
 two-state chain (clean, toxic) learns weights of words, of word shapes and of
 transitions by maximum likelihood. Forward-backward marginals then say for
-each token of a text how likely it is toxic; their sum gives the
-document's score, and the runs above one half give the offending spans.
+each token of a text how likely it is toxic. Their sum, the expected number of
+toxic words, gives the document's score; runs above one half give the offending
+spans.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -42,9 +42,8 @@ class Model:
 
     ``weights`` has the gain of state toxic over clean of each feature that is
     tied to toxicity, ``heads`` the first letters of words that may have one;
-    ``bias`` is the gain of every word, ``rest`` P(toxic) of a token far from
-    any word with a weight. ``offset`` and ``slope`` turn the log of the
-    expected number of toxic words into the logit of the score.
+    ``bias`` is the gain of every word. ``offset`` and ``slope`` turn the log of
+    the expected number of toxic words into the logit of the score.
     """
 
     weights: dict[str, float]
@@ -54,7 +53,6 @@ class Model:
     heads: frozenset[str] = frozenset()
     offset: float = 0.0
     slope: float = 0.0
-    rest: float = 0.0
 
     def gain(self, word: str) -> float | None:
         """The gain of a word with a weight of its own, else None."""
@@ -64,25 +62,63 @@ class Model:
         return self.bias + sum(found) if found else None
 
     def marginals(self, gains: list[float]) -> list[float]:
-        """P(toxic) of each token of one chain by forward-backward.
-
-        Only the ratio of toxic to clean is carried: ahead, of all before and
-        with the token; behind, of all after it.
+        """P(toxic) of each token of one chain by forward-backward."""
+        return self.sparse_marginals(len(gains), dict(enumerate(gains)))[0] if gains else []
+
+    def sparse_marginals(self, n: int, gains: dict[int, float]) -> tuple[list[float], list[int]]:
+        """P(toxic) along a chain of ``n`` tokens of which only those in
+        ``gains`` (place, gain) differ from the bias: a value per run of tokens
+        that share it, and where each run ends.
+
+        Both passes run over the whole chain and carry the ratio of toxic to
+        clean: ahead, of all before and with the token; behind, of all after
+        it. Between two listed tokens a message soon repeats itself to the last
+        bits (a difference below 1e-15 of it); from there on every later one is
+        the same, and the rest of the gap is one run.
         """
         (cc, ct), (tc, tt) = ((math.exp(x) for x in row) for row in self.moves)
-        odds = [math.exp(min(50.0, g)) for g in gains]
-        ahead, ratio = [], math.exp(self.first)
-        for o in odds:
-            ratio *= o
-            ahead.append(ratio)
-            ratio = (ct + ratio * tt) / (cc + ratio * tc)
-        behind, out = 1.0, []
-        for o, a in zip(reversed(odds), reversed(ahead)):
-            both = a * behind
-            out.append(both / (1 + both))
-            step = o * behind
-            behind = (tc + step * tt) / (cc + step * ct)
-        return out[::-1]
+        odds = {i: math.exp(min(50.0, g)) for i, g in gains.items()}
+        plain, places = math.exp(min(50.0, self.bias)), sorted(gains)
+
+        def messages(begin: float, step, order: list[int], at: int, way: int) -> dict[int, float]:
+            """The message at each token where it still changes; the others have that of the one before."""
+            out, now, k = {}, begin, 0
+            stop = n if way > 0 else -1
+            while at != stop:
+                nxt = order[k] if k < len(order) else stop
+                while at != nxt:
+                    out[at] = now
+                    new = step(now, plain)
+                    at += way
+                    if abs(new - now) <= 1e-15 * now:
+                        at = nxt
+                    now = new
+                if at != stop:
+                    out[at], now, at, k = now, step(now, odds[at]), at + way, k + 1
+            return out
+
+        def onward(r: float, o: float) -> float:
+            r *= o
+            return (ct + r * tt) / (cc + r * tc)
+
+        def back(r: float, o: float) -> float:
+            r *= o
+            return (tc + r * tt) / (cc + r * ct)
+
+        before = messages(math.exp(self.first), onward, places, 0, 1)
+        after = messages(1.0, back, places[::-1], n - 1, -1)
+        # A run starts where either message changes: the one behind holds from a token down to where the next one is given.
+        starts = sorted(set(before) | {i + 1 for i in after if i + 1 < n} | {0} | set(places) | {i + 1 for i in places if i + 1 < n})
+        values, ends = [], []
+        ahead, marks, k = before[0], sorted(after), 0
+        for i, s in enumerate(starts):
+            ahead = before.get(s, ahead)
+            while marks[k] < s:
+                k += 1
+            both = ahead * odds.get(s, plain) * after[marks[k]]
+            values.append(both / (1 + both))
+            ends.append(starts[i + 1] if i + 1 < len(starts) else n)
+        return values, ends
 
 
 def _passes(gain: np.ndarray, mask: np.ndarray, first: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,18 +142,14 @@ def tokens(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def in_training(doc_id: int | None) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 3 != 1
-
-
 def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12, rounds: int = 120, rate: float = 0.5, decay: float = 0.02, prior: float = 1.0) -> Model:
-    """A model from labelled texts.
+    """A model from labelled texts, whole.
 
     A feature is tied to toxicity if at least ``least`` toxic texts hold it and
     its log odds, with half a count on each side, lie two standard errors above
-    1. Windows of ``window`` tokens around words with such a feature, and one
-    of each other text, are the chains; in toxic texts these words are the
-    toxic tokens. Weights and moves are fitted by gradient ascent on the
+    1. Windows of ``window`` tokens around the first place of each word with
+    such a feature, wherever in the text it lies, and one of each text without,
+    are the chains; in toxic texts these words are the toxic tokens. Weights and moves are fitted by gradient ascent on the
     conditional likelihood with an L2 penalty.
     """
     n_bad = sum(toxic)
@@ -146,16 +178,16 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
         return got + [0] * (per - len(got))
 
     for words, y in zip(split, toxic):
-        ids = np.array([numbers(w) for w in words] or [nothing])
+        ids = np.array([numbers(w) for w in words] or [nothing], "i4")
         _, firsts = np.unique(ids[:, 0], return_index=True)  # a word that a text repeats is shown once
         hits = sorted(int(i) for i in firsts if ids[i, 0])
-        for at in hits[:8] if hits else [len(ids) // 2]:
+        for at in hits if hits else [len(ids) // 2]:
             part = ids[max(0, at - window // 2) : at + window // 2 + 1]
             chains.append(part)
             labels.append((part[:, 0] > 0) & bool(y))
     weights, bias, first, moves = np.zeros(len(index) + 1), 0.0, 0.0, np.zeros((2, 2))
     n = max(map(len, chains), default=1)
-    mask, gold, ids = np.zeros((len(chains), n), bool), np.zeros((len(chains), n), int), np.zeros((len(chains), n, per), int)
+    mask, gold, ids = np.zeros((len(chains), n), bool), np.zeros((len(chains), n), "i1"), np.zeros((len(chains), n, per), "i4")
     for i, (c, g) in enumerate(zip(chains, labels)):
         mask[i, : len(c)], ids[i, : len(c)], gold[i, : len(c)] = True, c, g
     pair = mask[:, 1:] & mask[:, :-1]
@@ -185,10 +217,9 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
         {f: float(weights[i]) for f, i in index.items()}, float(bias), float(first), tuple(map(tuple, moves.tolist())),
         heads,
     )
-    model = replace(model, rest=model.marginals([model.bias] * 4 * GAP)[2 * GAP])
     # The score: a logistic curve over the evidence, with a prior of one text of each label.
     scorer = Scorer(model)
-    x = np.array([scorer.evidence(w, scorer.near(w)) for w in map(str.split, texts)] + [0.0, 2.0])
+    x = np.array([scorer.evidence(*scorer.tagged(w)) for w in map(str.split, texts)] + [0.0, 2.0])
     y = np.array([float(v) for v in toxic] + [0.0, 1.0])
     a, b = 0.0, 0.0
     for _ in range(50):
@@ -202,9 +233,6 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
     return replace(model, offset=a, slope=max(0.0, b))
 
 
-GAP, REPEATS = 24, 3.0
-
-
 class Scorer:
     """Scores texts by a model. Tokens are what white space separates; a
     token's gain is the largest of the words in it. At most ``cache`` tokens
@@ -225,42 +253,22 @@ class Scorer:
             found = list(map(known.__getitem__, words))
         return {i: g for i, g in enumerate(found) if g != 0} if any(found) else {}
 
-    def near(self, words: list[str]) -> list[tuple[int, float]]:
-        """(token, P(toxic)) of all tokens within ``GAP`` of one with a weight.
+    def tagged(self, words: list[str]) -> tuple[list[float], list[int]]:
+        """P(toxic) along the whole text, and where each run of equal values ends."""
+        return self.model.sparse_marginals(len(words), self.gains(words)) if words else ([], [])
 
-        Further away the chain has forgotten its ends, and P is the model's
-        ``rest``; so the forward-backward passes cost what the words with
-        weights cost, however long the text is.
-        """
-        gains, bias = self.gains(words), self.model.bias
-        hits, out, at = sorted(gains), [], 0
-        while at < len(hits):
-            end = at
-            while end + 1 < len(hits) and hits[end + 1] - hits[end] <= 2 * GAP:
-                end += 1
-            low, high = max(0, hits[at] - GAP), min(len(words), hits[end] + GAP + 1)
-            out.extend(zip(range(low, high), self.model.marginals([gains.get(i, bias) for i in range(low, high)])))
-            at = end + 1
-        return out
-
-    def evidence(self, words: list[str], near: list[tuple[int, float]]) -> float:
-        """log1p of the expected number of toxic words, beyond those of a neutral text.
-
-        A word counts at most ``REPEATS`` times: one odd word repeated at
-        length is no stronger sign.
-        """
-        total: dict[str, float] = {}
-        for i, p in near:
-            w = words[i].lower()
-            total[w] = total.get(w, 0.0) + p - self.model.rest
-        return math.log1p(max(0.0, sum(min(REPEATS, t) for t in total.values())))
+    def evidence(self, p: list[float], ends: list[int]) -> float:
+        """log1p of the expected number of toxic words, beyond what as many of
+        the text's least likely token would give."""
+        ground = min(p, default=0.0)
+        return math.log1p(sum((v - ground) * (end - begin) for v, begin, end in zip(p, [0, *ends], ends)))
 
     def judge(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score from 0 to 1, and the spans (start, end, mean P(toxic)) in code points, end exclusive."""
         words = text.split()
-        near = self.near(words)
-        score = 1 / (1 + math.exp(-(self.model.offset + self.model.slope * self.evidence(words, near))))
-        toxic = [(i, p) for i, p in near if p >= 0.5]
+        values, ends = self.tagged(words)
+        score = 1 / (1 + math.exp(-(self.model.offset + self.model.slope * self.evidence(values, ends))))
+        toxic = [(i, p) for p, low, high in zip(values, [0, *ends], ends) if p >= 0.5 for i in range(low, high)]
         if not toxic:
             return score, []
         found = [m.span() for m in re.finditer(r"\S+", text)]
@@ -273,27 +281,40 @@ class Scorer:
         return score, [(found[r[0][0]][0], found[r[-1][0]][1], sum(p for _, p in r) / len(r)) for r in runs]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list[tuple[int, str, int]]:
-    """At most about ``most`` labelled rows outside the held-out third, chosen by
-    a hash of the id: whole texts, of which those longer than TRAINING_CHARS
-    are left to others. Only the fit is bounded; every text is scored whole."""
-    crc = F.crc32(F.col("_id").cast("string").cast("binary"))
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null")
-    marks = marks.where(crc % 3 != 1).groupBy("_id").agg(F.max("_y").alias("_y"))
-    n = marks.count()
-    share = min(1.0, most / max(1, n))
-    chosen = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(F.length("_text") <= TRAINING_CHARS)
-    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.first("_text").alias("_text"), F.first("_y").alias("_y")).collect()
-    return sorted((r._id, r._text, r._y) for r in rows)
-
-
-#: Bounds of the sample that the chain is fitted on: rows, and characters of the longest text in it.
-TRAINING_ROWS, TRAINING_CHARS = 4000, 20_000
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAINING_ROWS) -> Model:
-    rows = training_rows(docs, labels, id_col, text_col, label_col, most)
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> list[tuple[int, str, int]]:
+    """Labelled rows outside the held-out third, whole texts: the first in the
+    order of a hash of the id, at most ``most`` of them, up to the one with
+    which they would exceed ``most_chars`` together. Only the fit is bounded;
+    every text is scored whole. An id that occurs several times counts with its
+    smallest text and its largest label."""
+    crc = F.crc32(F.col("id").cast("string").cast("binary"))
+    marks = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
+    marks = marks.where(crc % 3 != 1).groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = F.xxhash64("id")
+    # First the hashes and lengths of the rows in question, then the texts of those that fit.
+    first = texts.select("id", F.length("text").alias("n")).join(marks, "id").groupBy("id", "y").agg(F.max("n").alias("n")).orderBy(order, "id").limit(most).collect()
+    chosen, total = {}, 0
+    for r in first:
+        total += r.n
+        if total > most_chars:
+            break
+        chosen[r.id] = int(r.y)
+    if not chosen:
+        return []
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id bigint")  # at most ``most`` numbers
+    rows = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).collect()
+    return sorted((r.id, r.text, chosen[r.id]) for r in rows)
+
+
+#: Bounds of the sample that the chain is fitted on: rows, and characters of all its texts together.
+TRAINING_ROWS, TRAINING_CHARS = 4000, 20_000_000
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAINING_ROWS, most_chars: int = TRAINING_CHARS
+) -> Model:
+    rows = training_rows(docs, labels, id_col, text_col, label_col, most, most_chars)
     return fit([t for _, t, _ in rows], [int(y > 0) for _, _, y in rows])
 
 
@@ -325,10 +346,17 @@ def held_out(id_col: Column) -> Column:
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, and n_spans of all documents, from a
-    model trained on the labelled rows that are not held out."""
+    """doc_id, held_out, score, predicted, n_spans and spans (start:end of each
+    offending stretch in code points, end exclusive, comma-joined) of all
+    documents, from a model trained on the labelled rows that are not held out.
+
+    A null text counts as empty; a null id is not held out; repeated rows give
+    repeated results; without labels no document is toxic; other columns are
+    not read; an empty table gives no rows.
+    """
     done = tag_spans(docs, train(docs, labels))
-    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), listed.alias("spans"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
