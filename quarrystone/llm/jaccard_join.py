@@ -1,14 +1,23 @@
-"""N-gram Jaccard join by fixed MinHash banding, verified exactly.
-
-Documents with the same set of word n-grams form a class. Each tree (a band)
-has one prefix of MinHash values, all of one length: the longest, up to
-``longest`` values, at which pairs just at the threshold are found with the
-target recall. It is computed from the parameters alone; nothing adapts to the
-matches found. Classes with an equal prefix in some tree are candidates; each
-such group links its members to its smallest, which costs a row per member.
-The components of these links hold all candidates; in each
-every pair is compared exactly, in blocks if a component is large, and only
-pairs at or above the threshold are links.
+"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+
+Documents with the same set of word n-grams form a class. Each tree of the
+forest gives a class a string of ``longest`` MinHash values; all strings of a
+tree, sorted, are its prefix trie, and a class's longest match is with a
+neighbour in that order. The whole forest is one table sorted by (tree and
+first values, other values), dealt out by ranges, so that no prefix, however
+common, makes a large task. Each class is linked to the first of the run that
+shares its longest match; classes that share a prefix of some length are then
+connected by links of at least that length.
+
+The matches used are first those of full length. A bounded sample of them is
+compared exactly; the similarities found, each weighted by the inverse of its
+chance to be found at that length, estimate what a length finds of all links.
+The prefix is shortened to the longest at which this reaches the target
+recall. The components at that length hold the candidates; in each every pair
+is compared exactly, in blocks if a component is large. The links of this full
+pass give the estimate again, and if it falls short the prefix is shortened
+further, down to the length at which pairs just at the threshold are found
+with the target recall, whatever the data.
 """
 
 from __future__ import annotations
@@ -19,23 +28,48 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.core.shared import written
 from quarrystone.llm.arrow import Rows, values
 from quarrystone.llm.components import connected_components
+from quarrystone.llm.names import free_names
 from quarrystone.llm.substring_dedup import Hasher, words_of
 
 WORDS, THRESHOLD, TREES, LONGEST, RECALL = 5, 0.8, 32, 10, 0.9999
 #: Of a block that is compared in one task: n-grams, and what each document adds to them.
 BLOCK, EACH = 400_000, 400
+#: Matched pairs of the sample that the first prefix length is fitted on, and steps of similarity that links are counted by.
+FIT_PAIRS, STEPS = 2000, 50
+
+
+def found_share(similarity: float, depth: int, trees: int = TREES) -> float:
+    """The chance that a pair shares a prefix of ``depth`` values in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold shares a node of some tree with probability ``recall``."""
+    """The longest prefix at which a pair at the threshold is found with probability ``recall``: no shorter one is needed on any data."""
     depth = longest
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and found_share(threshold, depth, trees) < recall:
+        depth -= 1
+    return depth
+
+
+def estimated_recall(counts: dict[float, int], seen_at: int, depth: int, trees: int = TREES) -> float:
+    """The share of all links that prefixes of ``depth`` find, judged by links
+    (similarity: how many) found at ``seen_at``; each stands for as many as its
+    chance to be found says. Without any, nothing is known: 0."""
+    weights = {s: n / found_share(s, seen_at, trees) for s, n in counts.items() if n}
+    total = sum(weights.values())
+    return sum(w * found_share(s, depth, trees) for s, w in weights.items()) / total if total else 0.0
+
+
+def shortened(counts: dict[float, int], seen_at: int, floor: int, trees: int, recall: float) -> int:
+    """The longest prefix up to ``seen_at`` whose estimated recall reaches the target, ``floor`` at least."""
+    depth = seen_at
+    while depth > floor and estimated_recall(counts, seen_at, depth, trees) < recall:
         depth -= 1
     return depth
 
@@ -50,50 +84,61 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 class Forest:
-    """MinHash prefixes of sets of 64-bit hashes, one for each tree."""
+    """MinHash strings of sets of 64-bit hashes, one for each tree: a key, which
+    stands for the tree and the first ``floor`` values, and the other values."""
 
-    def __init__(self, trees: int, depth: int, seed: int = 7):
+    def __init__(self, trees: int, longest: int, floor: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        n = trees * depth
-        self.trees, self.depth = trees, depth
+        n = trees * longest
+        self.trees, self.longest, self.floor = trees, longest, floor
         self.factors = rng.integers(0, 1 << 32, n, "u4", endpoint=False) | np.uint32(1)
         self.shifts = rng.integers(0, 1 << 32, n, "u4", endpoint=False)
-        self.mix = rng.integers(0, 1 << 63, (trees, depth), "u8") | np.uint64(1)
+        self.mix = rng.integers(0, 1 << 63, (trees, floor), "u8") | np.uint64(1)
         self.salt = rng.integers(0, 1 << 63, trees, "u8")
 
-    def prefixes(self, x: np.ndarray) -> np.ndarray:
-        """A hash of each tree's prefix, as signed 64-bit numbers."""
+    def strings(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(trees,) keys as signed numbers, and (trees, longest - floor) other values."""
         halves, least = (x.astype("u4"), (x >> np.uint64(32)).astype("u4")), None
         for at in range(0, len(x), 512):
             # Half the functions see the low bits of a hash and half the high ones.
             part = np.concatenate([(h[at : at + 512, None] * self.factors[i::2] + self.shifts[i::2]).min(axis=0) for i, h in enumerate(halves)])
             least = part if least is None else np.minimum(least, part)
-        values = least.reshape(self.trees, self.depth).astype("u8")
-        h = (values * self.mix).sum(axis=1, dtype="u8") + self.salt
+        values = least.reshape(self.trees, self.longest)
+        h = (values[:, : self.floor].astype("u8") * self.mix).sum(axis=1, dtype="u8") + self.salt
         h ^= h >> np.uint64(32)
-        return (h * np.uint64(0xD6E8FEB86659FD93)).view("i8")
+        return (h * np.uint64(0xD6E8FEB86659FD93)).view("i8"), values[:, self.floor :]
+
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """Rows of 32-bit values, two to a signed 64-bit number, the last one alone if they are odd in number."""
+    if values.shape[1] % 2:
+        values = np.concatenate([values, np.zeros((len(values), 1), "u4")], axis=1)
+    wide = values.astype("u8")
+    return (wide[:, ::2] << np.uint64(32) | wide[:, 1::2]).view("i8")
 
-def signatures(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
+
+def signatures(docs: DataFrame, words: int, trees: int, longest: int, floor: int) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, mark (a hash of the
     text), c1 and c2 (128 bits that stand for its set of n-grams), n of them,
-    and the prefixes, null without n-grams."""
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("prefixes", pa.list_(pa.int64()))])
+    and its strings: keys, and the packed other values one tree after the
+    other. Both are null without n-grams."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, rows = Forest(trees, depth), Rows(schema)
+        forest, rows = Forest(trees, longest, floor), Rows(schema)
         for doc, mark, text in values(batches, "doc_id", "mark", "text"):
             x = shingles(text, words)
             if len(x):
                 whole = xxhash.xxh3_128_intdigest(x.tobytes())
-                rows.add(doc, mark, _signed(whole >> 64), _signed(whole), len(x), forest.prefixes(x))
+                keys, rest = forest.strings(x)
+                rows.add(doc, mark, _signed(whole >> 64), _signed(whole), len(x), keys, packed(rest).ravel())
             else:
-                rows.add(doc, mark, 0, 0, 0, None)
+                rows.add(doc, mark, 0, 0, 0, None, None)
             if rows.full():
                 yield rows.batch()
         yield rows.batch()
 
-    return docs.mapInArrow(run, "doc_id bigint, mark bigint, c1 bigint, c2 bigint, n bigint, prefixes array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, mark bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, rest array<bigint>")
 
 
 def _signed(x: int) -> int:
@@ -101,17 +146,86 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def candidate_components(signed: DataFrame) -> DataFrame:
-    """(c1, root) of the classes that share a trie's node with another one."""
-    nodes = signed.where("n > 0").select("c1", F.explode("prefixes").alias("prefix"))
-    shared = nodes.groupBy("prefix").agg(F.min("c1").alias("least"), F.max("c1").alias("most")).where("least < most").drop("most")
-    edges = nodes.join(shared, "prefix").where("c1 <> least").select(F.col("c1").alias("a"), F.col("least").alias("b")).distinct()
-    return connected_components(edges).withColumnRenamed("node", "c1")
+def prefix_links(classes: DataFrame, trees: int, longest: int, floor: int) -> DataFrame:
+    """(a, b, depth), a > b: classes (number, keys, rest) that share a prefix of
+    ``depth`` values, ``floor`` at least, in some tree. The classes under one
+    node of length d are connected by links of depth d or more.
 
+    A pass over the sorted strings. A string's longest match is with the one
+    before it; it is linked to the first of the run that shares this match. The
+    ends of each range meet those of the next in a table of two rows a range.
+    """
+    width = -(-(longest - floor) // 2)
+    parts = [f"r{i}" for i in range(width)]
+    one = F.explode(F.arrays_zip(F.col("keys").alias("key"), F.sequence(F.lit(0), F.lit(trees - 1)).alias("tree"))).alias("at")
+    other = [F.get(F.col("rest"), F.col("at.tree") * width + i).alias(p) for i, p in enumerate(parts)]
+    strings = classes.select("number", "rest", one).select(F.col("at.key").alias("key"), *other, "number")
+    order = ["key", *parts, "number"]
+    ranges = max(2, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("depth", pa.int32()), *[(c, pa.int64()) for c in order]])
+
+    def matched(columns: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+        """How many values each string shares with the one before it: 0, or ``floor`` and more."""
+        alive = columns[0] == before[0]
+        depth = np.where(alive, floor, 0).astype("i4")
+        for i in range(width):
+            x, y = columns[1 + i], before[1 + i]
+            alive = alive & (x >> 32 == y >> 32)
+            depth += alive
+            if 2 * i + 1 < longest - floor:
+                alive = alive & (x == y)
+                depth += alive
+        return depth
 
-def _linked(sets: list[np.ndarray], sizes: np.ndarray, cut: int | None, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        starts = dict.fromkeys(range(floor, longest + 1), 0)  # the first class of the present run of each depth
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in order]
+            if first is None:
+                first = [c[0] for c in columns]
+            ahead = [np.concatenate([[c[0] if last is None else v], c[:-1]]) for c, v in zip(columns, last or columns)]
+            depth, number = matched(columns, ahead), columns[-1]
+            if last is None:
+                depth[0] = 0
+            parent, at = number.copy(), np.arange(len(number))
+            for d in range(floor, longest + 1):
+                begun = np.maximum.accumulate(np.where(depth < d, at, -1))
+                head = np.where(begun < 0, starts[d], number[np.maximum(begun, 0)])
+                parent = np.where(depth == d, head, parent)
+                starts[d] = int(head[-1])
+            last = [c[-1] for c in columns]
+            keep = parent != number
+            a, b = np.maximum(parent, number)[keep], np.minimum(parent, number)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(depth[keep]), *[pa.nulls(len(a), pa.int64()) for _ in order]], schema=schema)
+        if first is not None:
+            ends = [[int(v) for v in pair] for pair in zip(first, last)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(2, pa.int64()), pa.nulls(2, pa.int64()), pa.nulls(2, pa.int32()), *[pa.array(c, pa.int64()) for c in ends]], schema=schema)
+
+    dealt = strings.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    found = written(dealt.mapInArrow(run, "a bigint, b bigint, depth int, " + ", ".join(f"{c} bigint" for c in order)), "prefixes")
+    # The ends of the ranges, two rows each, are matched on the driver's terms: a window over that many rows.
+    ends = Window.orderBy(*order)
+    lag = lambda c: F.lag(c).over(ends)
+    alive, depth = F.col("key") == lag("key"), F.lit(0)
+    depth = F.when(alive, floor).otherwise(0)
+    for i, p in enumerate(parts):
+        alive = alive & (F.shiftright(p, 32) == F.shiftright(lag(p), 32))
+        depth = depth + F.when(alive, 1).otherwise(0)
+        if 2 * i + 1 < longest - floor:
+            alive = alive & (F.col(p) == lag(p))
+            depth = depth + F.when(alive, 1).otherwise(0)
+    met = found.where("a is null").select("number", lag("number").alias("before"), depth.alias("depth")).where("depth > 0 and number <> before")
+    met = met.select(F.greatest("number", "before").alias("a"), F.least("number", "before").alias("b"), F.col("depth").cast("int").alias("depth"))
+    return found.where("a is not null").select("a", "b", "depth").unionByName(met).groupBy("a", "b").agg(F.max("depth").alias("depth"))
+
+
+def _linked(sets: list[np.ndarray], sizes: np.ndarray, cut: int | None, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (i < j) of sets with a Jaccard similarity of at least the
-    threshold; with ``cut``, only pairs from either side of it."""
+    threshold, and this similarity in steps, rounded down; with ``cut``, only
+    pairs from either side of it."""
     m = len(sets)
     if m <= 6:
         pairs = [(i, j, len(np.intersect1d(sets[i], sets[j], assume_unique=True))) for i in range(m) for j in range(i + 1, m)]
@@ -136,7 +250,7 @@ def _linked(sets: list[np.ndarray], sizes: np.ndarray, cut: int | None, threshol
     good = both * threshold.denominator >= union * threshold.numerator
     if cut is not None:
         good &= (i < cut) & (j >= cut)
-    return i[good], j[good]
+    return i[good], j[good], both[good] * STEPS // union[good]
 
 
 def _roots(m: int, i: np.ndarray, j: np.ndarray) -> list[int]:
@@ -154,23 +268,73 @@ def _roots(m: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return [find(x) for x in range(m)]
 
 
-def links(docs: DataFrame, signed: DataFrame, words: int, threshold: float) -> DataFrame:
+def _similarity(a: np.ndarray, b: np.ndarray) -> Fraction:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return Fraction(both, len(a) + len(b) - both)
+
+
+def _step(similarity: Fraction) -> int:
+    return similarity.numerator * STEPS // similarity.denominator
+
+
+def sampled_links(docs: DataFrame, classes: DataFrame, edges: DataFrame, words: int, exact: Fraction, most: int = FIT_PAIRS) -> dict[float, int]:
+    """How many of a sample of at most ``most`` matched pairs (a, b) are links, by similarity rounded down."""
+    picked = written(edges.orderBy(F.xxhash64("a", "b"), "a", "b").limit(most).select("a", "b", F.explode(F.array("a", "b")).alias("number")), "sample")
+    named = picked.join(classes.select("number", "at", "mark"), "number").select("a", "b", "at", "mark")
+    # At most 2 * most rows of four numbers.
+    texts = docs.select(F.coalesce("doc_id", F.col("mark")).alias("at"), "mark", "text").join(F.broadcast(named), ["at", "mark"]).select("a", "b", "mark", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [shingles(t, words) for t in dict(zip(table.column("mark").to_pylist(), table.column("text").to_pylist())).values()]
+        got = _similarity(*sets) if len(sets) == 2 else Fraction(0)
+        return pa.table({"step": pa.array([_step(got)] if got >= exact else [], pa.int32())})
+
+    return {r.step / STEPS: r.n for r in texts.groupBy("a", "b").applyInArrow(compare, "step int").groupBy("step").agg(F.count("*").alias("n")).collect()}
+
+
+def links(docs: DataFrame, signed: DataFrame, words: int, threshold: float, trees: int, longest: int, recall: float) -> DataFrame:
     """(c1, c2, top, links) of the classes that have links: the smallest number
     of their component, and the documents of the classes they are linked to."""
-    spark = docs.sparkSession
-    comps = candidate_components(signed)
+    floor, exact = prefix_length(threshold, trees, longest, recall), Fraction(threshold).limit_denominator(10_000)
     speaker = F.min(F.struct(F.coalesce("doc_id", F.col("mark")).alias("at"), "mark")).alias("speaker")
     # Copies are merged before anything is joined, so a class of very many is one row.
-    classes = signed.where("n > 0").groupBy("c1", "c2").agg(speaker, F.count("*").alias("copies"), F.first("n").alias("n"))
-    members = classes.join(comps, "c1")
-    chosen = written(members.select(F.monotonically_increasing_id().alias("number"), "root", "c1", "c2", "speaker.at", "speaker.mark", "copies", "n"), "classes")
+    merged = signed.where("n > 0").groupBy("c1", "c2").agg(speaker, F.count("*").alias("copies"), F.first("n").alias("n"), F.first(F.struct("keys", "rest")).alias("strings"))
+    classes = written(merged.select(F.monotonically_increasing_id().alias("number"), "c1", "c2", "speaker.at", "speaker.mark", "copies", "n", "strings.keys", "strings.rest"), "classes")
+    edges = written(prefix_links(classes, trees, longest, floor), "links")
+    classes = classes.drop("keys", "rest")
+    depth = longest
+    if longest > floor:
+        depth = shortened(sampled_links(docs, classes, edges.where(F.col("depth") >= longest), words, exact), longest, floor, trees, recall)
+    while True:
+        found = verified(docs, classes, connected_components(edges.where(F.col("depth") >= depth).select("a", "b")), words, exact)
+        counts = {r.number / STEPS: r.n for r in found.where("mate is null").groupBy("number").agg(F.sum("links").alias("n")).collect()}  # a row per step
+        if depth == floor or estimated_recall(counts, depth, depth, trees) >= recall:
+            break
+        depth = min(depth - 1, shortened(counts, depth, floor, trees, recall))
+    found = found.where("mate is not null")
+    top = found.where("whole").select("number", F.col("mate").alias("top"))
+    pieces = found.where("not whole")
+    if not pieces.isEmpty():  # components of several blocks
+        roots = connected_components(pieces.select(F.col("number").alias("a"), F.col("mate").alias("b")).where("a <> b"))
+        top = top.unionByName(roots.select(F.col("node").alias("number"), F.col("root").alias("top")))
+    counted = found.groupBy("number").agg(F.sum("links").alias("links"))
+    return classes.select("number", "c1", "c2").join(counted, "number").join(top, "number").select("c1", "c2", "top", "links")
 
+
+def verified(docs: DataFrame, classes: DataFrame, comps: DataFrame, words: int, exact: Fraction) -> DataFrame:
+    """All pairs of classes in a component, compared exactly: (number, mate,
+    links, whole) says to which smallest class of its task a class is linked,
+    how many documents it is linked to there, and whether the task saw the
+    whole component. Rows without a mate count pairs by similarity (number:
+    in steps of 1 / STEPS, rounded down)."""
+    members = classes.join(comps.withColumnRenamed("node", "number"), "number")
     weight = F.col("n") + EACH
-    blocks = chosen.groupBy("root").agg(F.ceil(F.sum(weight) / BLOCK).cast("int").alias("blocks"))
-    bins = max(1, -(-int(chosen.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]) // BLOCK))
+    sized = members.groupBy("root").agg(F.sum(weight).alias("weight"))
+    blocks = sized.select("root", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
+    bins = max(1, -(-int(sized.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]) // BLOCK))
     block = F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")
-    placed = chosen.join(blocks, "root").select("number", "root", "at", "mark", "copies", "blocks", block.alias("block"))
-    # Always a shuffle: the chosen classes grow with the corpus, so a broadcast that small inputs allow would only hide the cost.
+    placed = members.join(blocks, "root").select("number", "root", "at", "mark", "copies", "blocks", block.alias("block"))
+    # Always a shuffle: the classes in question grow with the corpus, so a broadcast that small inputs allow would only hide the cost.
     texts = docs.select(F.coalesce("doc_id", F.col("mark")).alias("at"), "mark", "text").join(placed.hint("merge"), ["at", "mark"])
 
     # A component of one block shares a task with others; of a larger one each pair of blocks is a task.
@@ -181,7 +345,6 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: float) -> D
         F.when(F.col("blocks") == 1, -1).otherwise(low).alias("low"), F.when(F.col("blocks") == 1, -1).otherwise(high).alias("high"),
         "number", "root", "copies", "block", "x",
     )
-    exact = Fraction(threshold).limit_denominator(10_000)
 
     def compare(table: pa.Table) -> pa.Table:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
@@ -191,29 +354,25 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: float) -> D
         for k, (number, root, copies, block) in enumerate(zip(*(table.column(c).to_pylist() for c in ("number", "root", "copies", "block")))):
             begin = int(ends[k - 1]) if k else 0
             by_root.setdefault(root, {})[number] = (block, copies, flat[begin : int(ends[k])])  # a repeated row counts once
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int | None, int]] = []
+        steps = np.zeros(STEPS + 1, "i8")
         for members in by_root.values():
             numbers = sorted(members, key=lambda k: (members[k][0], k))
             sets = [members[k][2] for k in numbers]
             cut = None if low == high else sum(members[k][0] == low for k in numbers)
-            i, j = _linked(sets, np.array([len(s) for s in sets], "i8"), cut, exact)
+            i, j, step = _linked(sets, np.array([len(s) for s in sets], "i8"), cut, exact)
+            steps += np.bincount(step, minlength=STEPS + 1)
             copies, count = np.array([members[k][1] for k in numbers], "i8"), np.zeros(len(numbers), "i8")
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
             for k, r in enumerate(_roots(len(numbers), i, j)):
                 if count[k]:
                     out.append((numbers[k], numbers[r], int(count[k])))
+        out += [(int(k), None, int(steps[k])) for k in np.flatnonzero(steps)]
         a, b, n = zip(*out) if out else ((), (), ())
         return pa.table({"number": pa.array(a, pa.int64()), "mate": pa.array(b, pa.int64()), "links": pa.array(n, pa.int64()), "whole": pa.array([low < 0] * len(a), pa.bool_())})
 
-    found = written(dealt.groupBy("group", "low", "high").applyInArrow(compare, "number bigint, mate bigint, links bigint, whole boolean"), "links")
-    top = found.where("whole").select("number", F.col("mate").alias("top"))
-    pieces = found.where("not whole")
-    if not pieces.isEmpty():  # components of several blocks
-        roots = connected_components(pieces.select(F.col("number").alias("a"), F.col("mate").alias("b")).where("a <> b"))
-        top = top.unionByName(roots.select(F.col("node").alias("number"), F.col("root").alias("top")))
-    counts = found.groupBy("number").agg(F.sum("links").alias("links"))
-    return chosen.select("number", "c1", "c2").join(counts, "number").join(top, "number").select("c1", "c2", "top", "links")
+    return written(dealt.groupBy("group", "low", "high").applyInArrow(compare, "number bigint, mate bigint, links bigint, whole boolean"), "verified")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -259,11 +418,10 @@ def jaccard_join(
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
     """The rows of ``jaccard_join`` with mark, the hash of the text, and n, its runs."""
-    depth = prefix_length(threshold, trees, longest, recall)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
-    signed = written(signatures(source, words, trees, depth), "signatures")
+    signed = written(signatures(source, words, trees, longest, prefix_length(threshold, trees, longest, recall)), "signatures")
     classes = signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    linked = links(source, signed, words, threshold)
+    linked = links(source, signed, words, threshold, trees, longest, recall)
     known = classes.join(linked, ["c1", "c2"], "left")
     tops = known.where("top is not null").groupBy("top").agg(F.min("first").alias("lead"))
     known = known.join(tops, "top", "left").select(
@@ -278,8 +436,8 @@ def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(mark, page): for the hash of each text, null as an empty one, a number
     that it shares with all texts it is linked to directly or through others."""
     # A key for each id and text: a group of copies stays as many keys as it has ids.
-    keyed = docs.select(F.xxhash64(id_col, text_col).alias("_at"), F.col(text_col).alias("_text"))
-    return _classed(keyed, "_at", "_text", **options).groupBy("mark").agg(F.min("class_id").alias("page"))
+    keyed = docs.select(F.xxhash64(id_col, text_col).alias("at"), F.col(text_col).alias("text"))
+    return _classed(keyed, "at", "text", **options).groupBy("mark").agg(F.min("class_id").alias("page"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -291,14 +449,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all stay.
     """
     ident = F.col(id_col).cast("bigint")
-    keyed = docs.withColumn("_at", F.xxhash64(ident, F.col(text_col)))  # an id may come with several texts
-    ids = keyed.groupBy("_at").agg(F.max(ident).alias("id"), F.count("*").alias("rows"))
-    joined = _classed(keyed.select("_at", F.col(text_col).alias("_text")), "_at", "_text", **options)
-    found = joined.groupBy("doc_id").agg(F.max("class_id").alias("class_id"), F.max("n").alias("n"))
-    classes = written(found.join(ids, F.col("doc_id") == F.col("_at")).select("_at", "class_id", "n", "id", "rows"), "members")
-    leads = classes.where("id is not null").groupBy("class_id").agg(F.min(F.struct("id", "_at")).alias("lead"))
-    goes = classes.join(leads, "class_id").where("lead._at <> _at").select("_at")
-    kept = keyed.join(goes, "_at", "left_anti")
-    again = classes.where("id is not null and n > 0 and rows > 1").select("_at")
-    one = kept.join(again, "_at", "left_semi").dropDuplicates(["_at"])
-    return kept.join(again, "_at", "left_anti").unionByName(one).select(*docs.columns)
+    (at,) = free_names(docs.columns, "_at")
+    own = docs.select(F.xxhash64(ident, F.col(text_col)).alias("at"), ident.alias("id"), F.col(text_col).alias("text"))  # an id may come with several texts
+    ids = own.groupBy("at").agg(F.max("id").alias("id"), F.count("*").alias("rows"))
+    found = _classed(own, "at", "text", **options).groupBy("doc_id").agg(F.max("class_id").alias("class_id"), F.max("n").alias("n"))
+    classes = written(found.join(ids, F.col("doc_id") == F.col("at")).select("at", "class_id", "n", "id", "rows"), "members")
+    leads = classes.where("id is not null").groupBy("class_id").agg(F.min(F.struct("id", "at")).alias("lead"))
+    goes = classes.join(leads, "class_id").where("lead.at <> at").select(F.col("at").alias(at))
+    kept = docs.withColumn(at, F.xxhash64(ident, F.col(text_col))).join(goes, at, "left_anti")
+    again = classes.where("id is not null and n > 0 and rows > 1").select(F.col("at").alias(at))
+    one = kept.join(again, at, "left_semi").dropDuplicates([at])
+    return kept.join(again, at, "left_anti").unionByName(one).select(*docs.columns)
