@@ -38,7 +38,7 @@ def corpus(seed):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("key", "size", "starts", "anchors", "at", "mark", "n", "h1", "prefix", "root")})
+    return spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("key", "size", "starts", "anchors", "at", "_at", "mark", "n", "h1", "packed", "root", "number", "copies")})
 
 
 # substrings
@@ -96,10 +96,13 @@ def brute_links(rows, words=5):
             x = parent[x]
         return x
 
+    holders = defaultdict(list)
     for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a and b and len(a & b) * 5 >= 4 * len(a | b):
+        shared = Counter(j for x in a for j in holders[x])
+        for x in a:
+            holders[x].append(i)
+        for j, both in shared.items():
+            if both * 5 >= 4 * (len(a) + len(sets[j]) - both):
                 links[i] += 1
                 links[j] += 1
                 parent[max(find(i), find(j))] = min(find(i), find(j))
@@ -121,14 +124,65 @@ def test_links(spark, monkeypatch, seed, block):
 
 
 def test_forest_recall():
-    depth = jaccard_join.prefix_length()
-    assert 1 - (1 - 0.8**depth) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** jaccard_join.TREES
-    rng, forest, found = np.random.default_rng(3), jaccard_join.Forest(jaccard_join.TREES, depth), 0
-    for _ in range(300):  # pairs just at the threshold: 160 of 200 shared
+    """Pairs just at the threshold, 160 of 200 shared, are found at the shortest prefix, and as often as expected at the longest."""
+    floor = jaccard_join.prefix_length()
+    assert jaccard_join.found_share(0.8, floor) >= jaccard_join.RECALL > jaccard_join.found_share(0.8, floor + 1)
+    rng, forest = np.random.default_rng(3), jaccard_join.Forest(jaccard_join.TREES, jaccard_join.LONGEST, floor)
+    found = Counter()
+    for _ in range(300):
         both = rng.integers(0, 1 << 63, 160, "u8")
-        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 20, "u8")])) for _ in range(2))
-        found += bool((forest.prefixes(a) == forest.prefixes(b)).any())
-    assert found >= 297
+        (k, x), (m, y) = (forest.strings(np.unique(np.concatenate([both, rng.integers(0, 1 << 63, 20, "u8")]))) for _ in range(2))
+        shared = np.where(k == m, floor + np.cumprod(x == y, axis=1).sum(axis=1), 0).max()
+        found.update(range(floor, shared + 1))
+    assert found[floor] >= 297 and abs(found[jaccard_join.LONGEST] / 300 - jaccard_join.found_share(0.8, jaccard_join.LONGEST)) < 0.05
+
+
+def test_prefixes_shorten_as_the_data_ask():
+    shorten = lambda counts: jaccard_join.shortened(counts, 10, 6, 32, 0.9999)
+    assert shorten({0.98: 500}) == 10 and shorten({0.8: 5, 0.98: 500}) < 10 and shorten({0.8: 500}) == 6 and shorten({}) == 6
+    # Of links at one similarity the estimate is the chance itself.
+    assert abs(jaccard_join.estimated_recall({0.8: 7}, 10, 8) - jaccard_join.found_share(0.8, 8)) < 1e-12
+
+
+@pytest.mark.parametrize(("longest", "floor"), [(7, 4), (6, 4), (4, 4)])
+def test_prefix_links(spark, longest, floor):
+    """At each length the links connect just the strings under one node of a trie."""
+    rng, trees, rows = random.Random(longest), 3, []
+    for number in range(200):
+        rest = [[rng.choice([7, 2**31 + 3, 2**32 - 1]) for _ in range(longest - floor)] for _ in range(trees)]
+        keys = [t * 10 + rng.randrange(3) for t in range(trees)]
+        rows.append((number, keys, jaccard_join.packed(np.array(rest, "u4").reshape(trees, -1)).ravel().tolist(), rest))
+    df = spark.createDataFrame([r[:3] for r in rows], "number long, keys array<long>, rest array<long>").repartition(3)
+    links = jaccard_join.prefix_links(df, trees, longest, floor).collect()
+    for depth in range(floor, longest + 1):
+        want, got = {}, {}
+        for parent, edges in ((got, [(r.a, r.b) for r in links if r.depth >= depth]), (want, [])):
+            if parent is want:
+                first = {}
+                for number, keys, _, rest in rows:
+                    for t in range(trees):
+                        edges.append((number, first.setdefault((keys[t], *rest[t][: depth - floor]), number)))
+
+            def find(x):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for a, b in edges:
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+            for x in range(200):
+                parent[x] = find(x)
+        assert got == want
+
+
+def test_recall_on_documents(spark):
+    """All pairs of the driver's documents, by brute force."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = Counter(map(tuple, jaccard_join.jaccard_join(docs).collect()))
+    assert sum((got & brute_links(rows)).values()) == len(rows)
 
 
 def test_one_of_each(spark):

@@ -277,6 +277,25 @@ def test_trigram_queries():
                 assert all(any(a <= there for a in clause) for clause in q(r.pattern))
 
 
+def test_redact_beside_other_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdefghijklmnop"), (1, None), (2, "")], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_key", "_kinds", "_spans", "key", "kinds", "spans", "t0")})
+    got = secret_scan.redact(df)
+    assert got.columns == df.columns and Counter((r.text, r["_key"], r["_spans"]) for r in got.collect()) == Counter((t, "_key", "_spans") for t in ("[SECRET]", None, ""))
+
+
+def test_spans_of_a_long_text(spark):
+    """Thousands of spans, some of which overlap, by the regexes alone."""
+    text = " ".join(f"é{'0123456789abcdef' * (1 + i % 3)}g" + ("token=" + "ab" * 9 if i % 7 == 0 else "日") for i in range(6000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secret_scan.secret_report(df).first().spans == brute_spans(text)
+    masked, at, out = sorted((int(a), int(b)) for a, b in (x.split(":")[1:] for x in brute_spans(text).split(","))), 0, []
+    for a, b in masked:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert secret_scan.redact(df).first().text == "".join(out) + text[at:]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghijklmnop b", "keep"), (2, "clean", None), (3, None, None)], "doc_id long, text string, lang string")
     assert {r.doc_id: r.text for r in secret_scan.redact(df).collect()} == {1: "a [SECRET] b", 2: "clean", 3: None}
@@ -297,6 +316,50 @@ def test_forward_backward_is_exact():
     assert np.allclose(m.marginals(gains), want)
 
 
+def test_long_chains_by_brute_force():
+    """Sparse chains, whose messages settle between words with a weight, against log-space passes over every token."""
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        m = toxicity.Model({}, -abs(rng.normal(2, 1)), rng.normal(), tuple(map(tuple, rng.normal(0, 1.5, (2, 2)).tolist())))
+        n = int(rng.integers(1, 400))
+        gains = {int(i): float(rng.normal(2, 2)) for i in rng.choice(n, int(rng.integers(0, min(n, 8) + 1)), replace=False)}
+        gain = np.array([[gains.get(i, m.bias) for i in range(n)]])
+        ahead, behind = toxicity._passes(gain, np.ones((1, n), bool), m.first, np.array(m.moves))
+        both = (ahead + behind)[0]
+        want = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+        values, ends = m.sparse_marginals(n, gains)
+        assert ends[-1] == n and np.allclose(np.repeat(values, np.diff([0, *ends])), want, atol=1e-9)
+
+
+def test_score_by_brute_force(spark):
+    """A document's score and spans from the marginals of its whole chain."""
+    model = toxicity.fit(*made_up(400, 1))
+    texts = [" ".join(["word"] * 300 + ["clown", "idiot"] + ["w1"] * 500 + ["scumbag"]), "clown", "", "w1 w2 w3"] + made_up(20, 5)[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.tag_spans(df, model).collect():
+        words = texts[r.doc_id].split()
+        gains = [max((g for w in toxicity.WORD.findall(x) if (g := model.gain(w.lower())) is not None), default=model.bias) for x in words]
+        ahead, behind = toxicity._passes(np.array([gains]).reshape(1, -1), np.ones((1, len(gains)), bool), model.first, np.array(model.moves)) if words else (np.zeros((1, 0, 2)),) * 2
+        both = (ahead + behind)[0]
+        p = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
+        evidence = np.log1p((p - p.min(initial=1)).sum()) if words else 0.0
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.offset + model.slope * evidence))), abs=1e-6)
+        assert r.predicted == int(r.score >= 0.7) and {w for s in r.spans for w in texts[r.doc_id][s.start : s.end].split()} == {w for w, v in zip(words, p) if v >= 0.5}
+
+
+def test_toxicity_of_nulls_and_nothing(spark, none):
+    texts, labels = made_up(200, 4)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(500, None, 1), (500, None, 1), (None, "", 1)], "doc_id long, text string, score int")
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, marks)
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect() if r.doc_id is None or r.doc_id >= 500) == Counter([500, 500, None])
+    assert toxicity.drop_toxic(docs, marks.limit(0)).count() == 203 and toxicity.drop_toxic(none, marks).count() == 0
+    # The bounds of the sample: the first rows by the hash, whole texts, up to the characters allowed.
+    rows = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 50, 10**9)
+    few = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 50, sum(len(t) for _, t, _ in rows) // 2)
+    assert len(rows) == 50 and 10 < len(few) < 50 and set(few) < set(rows) and all(t == texts[i] for i, t, _ in rows)
+
+
 def made_up(n, seed):
     rng = np.random.default_rng(seed)
     words = [f"w{i}" for i in range(400)]
@@ -366,14 +429,16 @@ def test_reputation(spark):
 
 def test_line_dedup(spark):
     rows = [(i, f"menu\nown line {i}\n\n menu \nrare{i % 40}", "en", None if i % 2 else "a", 1) for i in range(400)] + [(900, None, "en", "a", 0), (901, "", None, "b", 0), (5, "menu", "en", "b", 1)]
-    df = spark.createDataFrame(rows, DOCS).withColumns({"keys": F.lit(9), "pages": F.lit(9)})
-    got = line_dedup.drop_boilerplate(df).collect()
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(9) for c in ("keys", "pages", "_keys", "_host", "_lines", "_kept", "_met", "host")})
+    done = line_dedup.drop_boilerplate(df)
+    got = done.collect()
+    assert done.columns == df.columns and all(r["_keys"] == r["_lines"] == r.host == 9 for r in got)
     assert len(got) == 403
     pages = Counter(r[3] for r in rows)
     seen = Counter((r[3], line) for r in rows for line in {x.strip(" ") for x in (r[1] or "").split("\n")})
     want = Counter()
     for r in rows:
-        kept = [x for x in (r[1] or "").split("\n") if not x.strip(" ") or not (seen[r[3], x.strip(" ")] >= 5 and seen[r[3], x.strip(" ")] > 0.02 * pages[r[3]])]
+        kept = [x for x in (r[1] or "").split("\n") if not x.strip(" ") or not 1 < seen[r[3], x.strip(" ")] > 0.05 * pages[r[3]]]
         want[r[0], None if r[1] is None else "\n".join(kept)] += 1
     assert Counter((r.doc_id, r.text) for r in got) == want
     assert line_dedup.line_report(df.limit(0)).count() == 0
