@@ -99,7 +99,11 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """The image in ``data``; MediaError, whatever is wrong with the bytes."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (ValueError, OverflowError, struct.error) as e:
+        raise e if isinstance(e, MediaError) else MediaError(str(e)) from e
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -186,7 +190,7 @@ def decode_media(df: DataFrame, id_col: str, bytes_col: str, tile: int = 256, th
                     rows.add(key, image.shape[1], image.shape[0], r, c, block, mark, whole, None if r or c else small, None, weight=len(block))
                     if rows.full():
                         yield rows.batch()
-            except (MediaError, struct.error) as e:
+            except MediaError as e:
                 rows.add(key, *[None] * 8, str(e))
         yield rows.batch()
 
