@@ -15,6 +15,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -28,6 +30,14 @@ class Rule(NamedTuple):
         return self.host + self.path
 
 
+#: Public suffixes of two labels under which anyone registers names; a parameter, as the public list is longer and grows.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.id", "co.il", "co.in", "ac.jp", "co.jp", "ne.jp", "or.jp", "co.kr", "com.mx", "co.nz", "com.sg", "com.tr",
+    "com.tw", "com.ua", "co.za",
+)
+ADDRESS = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
+
+
 class Prior(NamedTuple):
     """Pseudo-counts of the whole table: bad and good pages."""
 
@@ -59,7 +69,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
     planned as one expression, which suits up to a few thousand rules.
     """
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: len(r.name)):  # later ones are asked first
+    for r in sorted(reversed(rules), key=lambda r: len(r.name)):  # later ones are asked first
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         name, verdict = F.when(fits, r.name).otherwise(name), F.when(fits, r.verdict).otherwise(verdict)
     return name, verdict
@@ -85,18 +95,31 @@ def _strength(groups: DataFrame, least: float, most: float) -> float:
     return most if rho <= 0 else min(most, max(least, 1 / rho - 1))
 
 
+def registered(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """Public suffix and registered domain of a host, which may have a user
+    before it and a port after it. The suffix is the last label, or the last
+    two if these are in ``suffixes``; the domain has one label more. An
+    address of four numbers is a domain under the suffix ''."""
+    site = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    labels = F.split(site, "\\.")
+    last = lambda n: F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), n), ".")
+    two, address = last(2).isin(*suffixes), site.rlike(ADDRESS)
+    return F.when(address, "").when(two, last(2)).otherwise(last(1)), F.when(address, site).when(two, last(3)).otherwise(last(2))
+
+
 def host_reputation(
-    outcomes: DataFrame, prior: Prior = Prior(), z: float = 1.645, least: float = 1.0, most: float = 1000.0
+    outcomes: DataFrame, prior: Prior = Prior(), z: float = 1.645, least: float = 1.0, most: float = 1000.0, suffixes: Sequence[str] = SUFFIXES
 ) -> DataFrame:
     """A row per host of ``outcomes`` (host, n labelled pages, bad ones).
 
     Returns host, n, bad, posterior ``mean`` and its bounds ``low`` and
     ``high``: mean minus and plus z standard deviations of the beta posterior,
-    cut to 0..1. A host without labels has its domain's posterior mean; a
+    cut to 0..1 (the normal bounds of a beta posterior). A host without labels has its domain's posterior mean; a
     domain or suffix without labels that of the level above.
     """
-    labels = F.split(F.col("host"), "\\.")
-    hosts = outcomes.withColumns({"suffix": F.element_at(labels, -1), "domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")})
+    suffix, domain = registered(F.col("host"), suffixes)
+    # A row per host, read by the sums of each level: written once.
+    hosts = written(outcomes.withColumns({"suffix": suffix, "domain": domain}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
@@ -133,6 +156,7 @@ def judge_urls(
     bad_rate: float = 0.25,
     prior: Prior = Prior(),
     z: float = 1.645,
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """A row per row of ``pages``: page_id, host, path, rule, verdict and the
     host's posterior mean and lower bound.
@@ -156,7 +180,7 @@ def judge_urls(
         .groupBy("host")
         .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).cast("double").alias("bad"))
     )
-    seen = host_reputation(outcomes, prior, z).select("host", "mean", "low")
+    seen = host_reputation(outcomes, prior, z, suffixes=suffixes).select("host", "mean", "low")
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("low") > bad_rate, "block").otherwise("allow")
     # A host may hold a third of all pages: a join that adaptive execution can split, or broadcast once it has seen the size.
@@ -165,7 +189,7 @@ def judge_urls(
     )
 
 
-def oracle_sql(rules: Sequence[Rule], bad_rate: float = 0.25, prior: Prior = Prior(), z: float = 1.645, least: float = 1.0, most: float = 1000.0) -> str:
+def oracle_sql(rules: Sequence[Rule], bad_rate: float = 0.25, prior: Prior = Prior(), z: float = 1.645, least: float = 1.0, most: float = 1000.0, suffixes: Sequence[str] = SUFFIXES) -> str:
     """``judge_urls`` with its defaults in DuckDB SQL."""
 
     def strength(name: str, groups: str) -> str:
@@ -178,6 +202,7 @@ def oracle_sql(rules: Sequence[Rule], bad_rate: float = 0.25, prior: Prior = Pri
 )"""
 
     ordered = sorted(rules, key=lambda r: -len(r.name))
+    two = ", ".join(f"'{x}'" for x in suffixes)
     fits = [f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for r in ordered]
     case = lambda attr: "CASE " + " ".join(f"WHEN {f} THEN '{getattr(r, attr)}'" for f, r in zip(fits, ordered)) + " END" if rules else "NULL"
     return f"""
@@ -187,10 +212,15 @@ WITH own AS (
   FROM (SELECT page_id, coalesce(instr(url, '://'), 0) AS pos, substr(url, instr(url, '://') + 3) AS rest FROM pages)
 ), marks AS (
   SELECT doc_id, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(quality = 0 AS INT)) AS DOUBLE) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
-), hosts AS (
-  SELECT host, coalesce(sum(n), 0.0::DOUBLE) AS n, coalesce(sum(bad), 0.0::DOUBLE) AS bad, string_split(host, '.')[-1] AS suffix,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain
+), sites AS (
+  SELECT host, coalesce(sum(n), 0.0::DOUBLE) AS n, coalesce(sum(bad), 0.0::DOUBLE) AS bad,
+         regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site, string_split(site, '.') AS parts,
+         regexp_matches(site, '{ADDRESS}') AS address, array_to_string(parts[-2:], '.') IN ({two}) AS two
   FROM own LEFT JOIN marks ON page_id = doc_id GROUP BY host
+), hosts AS (
+  SELECT host, n, bad, CASE WHEN address THEN '' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix,
+         CASE WHEN address THEN site WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain
+  FROM sites
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 whole AS (SELECT sum(n) AS n, sum(bad) AS bad FROM suffixes),
