@@ -72,8 +72,10 @@ def test_netpbm_and_bmp_kinds():
     assert media.decode(b"P5 1 1 1000\n\x01\x02").tolist() == [[258]]
     bmp24 = struct.pack("<2sIHHI", b"BM", 62, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 1, -2, 1, 24, 0, 8, 0, 0, 0, 0) + b"\x03\x02\x01\0\x06\x05\x04\0"
     assert media.decode(bmp24).tolist() == [[[1, 2, 3]], [[4, 5, 6]]]
-    for bad in (b"", b"P5", b"P5 2 2 255\nabc", b"BM" + b"\0" * 60, b"P5 0 1 255\n"):
-        with pytest.raises((media.MediaError, struct.error)):
+    colours = bytearray(media.encode_bmp(np.zeros((1, 1), "u1")))
+    colours[46:50] = b"\xff" * 4
+    for bad in (b"", b"P5", b"P5 2 2 255\nabc", b"BM" + b"\0" * 60, b"P5 0 1 255\n", b"P4 8 1", b"P2 1 1 9\nx", b"P5 " + b"9" * 5000, bytes(colours)):
+        with pytest.raises(media.MediaError):
             media.decode(bad)
 
 
@@ -91,9 +93,11 @@ def test_area_resize():
 
 def test_decode_media(spark):
     x = (np.arange(300) % 256).astype("u1").reshape(10, 30)
-    rows = spark.createDataFrame([(1, bytearray(media.encode_pgm(x))), (2, None), (3, bytearray(b"junk"))], "id long, data binary")
+    broken = [(3, bytearray(b"junk")), (4, bytearray(b"P4 8 1")), (5, bytearray(b"P2 1 1 9\nx")), (6, bytearray())]
+    rows = spark.createDataFrame([(1, bytearray(media.encode_pgm(x)))] * 2 + [(2, None), *broken], "id long, data binary").withColumn("npy", F.lit(1))
     got = media.decode_media(rows, "id", "data", tile=16).collect()
-    assert len([r for r in got if r.id == 1]) == 2 and {r.id for r in got if r.error} == {2, 3}
+    assert len([r for r in got if r.id == 1]) == 4 and {r.id for r in got if r.error} == {2, 3, 4, 5, 6}
+    assert media.decode_media(rows.limit(0), "id", "data").count() == 0
 
 
 # pieces
@@ -416,6 +420,16 @@ def test_hosts_and_rules(spark):
     assert url_filter.judge_urls(pages.limit(0), labels, URL_RULES).count() == 0
 
 
+def test_rule_ties_and_registered_names(spark):
+    rules = [url_filter.Rule("net", "/ab", "block"), url_filter.Rule("a.net", "/", "allow"), url_filter.Rule("net", "/", "allow")]
+    pages = spark.createDataFrame([(1, "http://a.net/ab")], "page_id long, url string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame([], "doc_id long, quality int"), rules).first()
+    assert (got.rule, got.verdict) == ("net/ab", "block")
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com:80": ("com", "y.com"), "me@y.com": ("com", "y.com"), "10.0.0.1:8080": ("", "10.0.0.1"), "": ("", ""), "net": ("net", "net")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", *url_filter.registered(F.col("host"))).collect()} == hosts
+
+
 def test_reputation(spark):
     rows = [(i, f"http://{h}/x") for i, h in enumerate(["bad.site.com"] * 60 + ["good.site.com"] * 60 + ["new.site.com"] + ["other.fine.org"] * 60)]
     labels = spark.createDataFrame([(i, 0 if i < 60 else 1) for i in range(181) if i != 120] + [(i, None) for i in range(5)], "doc_id long, quality int")
