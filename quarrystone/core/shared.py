@@ -6,22 +6,29 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+    """The folder named in ``spark.checkpoint.dir``, or else the one set as the context's checkpoint folder.
 
-    Only where the session leaves it unset (tests on one machine) a folder of
-    our own is made and set.
+    Only a session on one machine (a local master) may have neither: a folder
+    of our own is made and set there. Anywhere else that is an error, as
+    executors would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    context = spark.sparkContext
     if "dir" not in _OWN:
+        if known := context.getCheckpointDir():
+            return known.rstrip("/")
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         _OWN["dir"] = tempfile.mkdtemp(prefix="quarrystone-")
-        spark.sparkContext.setCheckpointDir(_OWN["dir"])
+        context.setCheckpointDir(_OWN["dir"])
     return _OWN["dir"]
 
 
@@ -39,9 +46,9 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 
 def written_bytes(df: DataFrame) -> int:
     """Bytes on disk of the files that ``df`` (see ``written``) reads."""
-    spark = df.sparkSession
-    total = 0
-    for f in df.inputFiles():
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
-    return total
+    files = df.inputFiles()
+    if not files:
+        return 0
+    # The listing alone: the column with the files' contents is not read.
+    sizes = df.sparkSession.read.format("binaryFile").load(files).select("length")
+    return int(sizes.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
