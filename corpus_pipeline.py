@@ -6,6 +6,9 @@ count as one page there); of documents
 linked as near-duplicates one stays; secrets are masked in place; the rest is
 packed. All but the last return the columns of ``documents``, with ``n_chars``
 that of the new text.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows
+and empty tables; what becomes of them is said with each stage.
 """
 
 from __future__ import annotations
@@ -27,23 +30,36 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without toxic ones. Null and empty texts stay; repeated rows go
+    or stay together; without labels all stay; an empty table stays empty."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without boilerplate lines of their source; no row goes. A null
+    text stays null, an empty one empty; a null source is a source of its own;
+    repeated rows count as one page; an empty table stays empty."""
     # Copies and near copies are one page: else a large group of them makes all its own lines boilerplate.
     return _measured(drop_boilerplate(docs, classes=written(copy_classes(docs), "copy_classes")), docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of linked documents: the one of the smallest id. Null,
+    empty and blank texts all stay; a repeated row of one id and text stays
+    once; an empty table stays empty."""
     return one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with secrets masked; no row goes. Null and empty texts stay as
+    they are, repeated rows are each masked; an empty table stays empty."""
     return _measured(redact(docs), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens. A null or empty
+    text is its end token alone; repeated rows are each packed; an empty table
+    gives no piece."""
     return pack(docs, tokenizer=tokenizer_path("byte_bpe_50k.json"))
 
 
