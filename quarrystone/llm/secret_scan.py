@@ -132,10 +132,9 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
 
 
 def postings(docs: DataFrame, key: Column, text: Column, trigrams: Sequence[str]) -> DataFrame:
-    """(key, there): the documents that hold some of the trigrams, case aside, and which."""
-    lowered = docs.select(key.alias("key"), F.lower(text).alias("lower"))
-    there = F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("lower"), t))
-    return lowered.select("key", there.alias("there")).where(F.size("there") > 0)
+    """(key, there): the documents, and which of the trigrams they hold, case aside."""
+    there = _once(F.lower(text), lambda low: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(low, t)))
+    return docs.select(key.alias("key"), there.alias("there"))
 
 
 def posting_lists(there: DataFrame, trigrams: Sequence[str], blocks: int) -> DataFrame:
@@ -233,7 +232,7 @@ def scan(docs: DataFrame, text_col: str = "text", *, key: Column, rules: Sequenc
     joined, (own, kinds) = docs, free_names([*docs.columns, spans], "_key", "_kinds")
     if trigrams:
         there = written(postings(docs, key, F.col(text_col), trigrams), "postings")
-        lists = posting_lists(there, trigrams, -(-there.count() // BLOCK) or 1)
+        lists = posting_lists(there, trigrams, -(-there.where(F.size("there") > 0).count() // BLOCK) or 1)
         found = written(candidates(lists, trigrams, queries), "candidates").select(F.col("key").alias(own), F.col("kinds").alias(kinds))
         if written_bytes(found) <= BROADCAST_BYTES:
             found = F.broadcast(found)
