@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,7 +154,7 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
     n_bad = sum(toxic)
     n_good = len(texts) - n_bad
     pool: dict[str, str] = {}
-    split = [[pool.setdefault(w, w) for w in tokens(t)] for t in texts]  # equal words are one object
+    split = [tuple(pool.setdefault(w, w) for w in tokens(t)) for t in texts]  # equal words are one object
     del pool
     bad = Counter(f for words, y in zip(split, toxic) if y for f in {f for w in set(words) for f in features(w)})
     bad = {f: k for f, k in bad.items() if k >= least}
@@ -187,31 +186,42 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
             labels.append((part[:, 0] > 0) & bool(y))
     weights, bias, first, moves = np.zeros(len(index) + 1), 0.0, 0.0, np.zeros((2, 2))
     n = max(map(len, chains), default=1)
-    mask, gold, ids = np.zeros((len(chains), n), bool), np.zeros((len(chains), n), "i1"), np.zeros((len(chains), n, per), "i4")
+    mask, gold, ids = np.zeros((len(chains), n), bool), np.zeros((len(chains), n), bool), np.zeros((len(chains), n, per), "i4")
     for i, (c, g) in enumerate(zip(chains, labels)):
         mask[i, : len(c)], ids[i, : len(c)], gold[i, : len(c)] = True, c, g
-    pair = mask[:, 1:] & mask[:, :-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (gold[:, :-1][pair], gold[:, 1:][pair]), 1)
-
-    def by_feature(x: np.ndarray) -> np.ndarray:
-        return np.bincount(ids.ravel(), weights=np.repeat(x.ravel(), per), minlength=len(weights))
-
-    count, gold_feature, total = by_feature(mask * 1.0), by_feature(gold * mask * 1.0), max(1, len(chains))
-    for _ in range(rounds if chains else 0):
-        gain = bias + weights[ids].sum(axis=2)
-        ahead, behind = _passes(gain, mask, first, moves)
-        z = np.logaddexp(ahead[:, 0, 0] + behind[:, 0, 0], ahead[:, 0, 1] + behind[:, 0, 1])
-        p = np.exp(np.clip(ahead[:, :, 1] + behind[:, :, 1] - z[:, None], -700, 0)) * mask
-        got = np.zeros((2, 2))
-        for a in range(2):
-            for b in range(2):
-                both = ahead[:, :-1, a] + moves[a, b] + b * gain[:, 1:] + behind[:, 1:, b] - z[:, None]
-                got[a, b] = np.exp(np.clip(both, -700, 0))[pair].sum()
-        weights += rate * (gold_feature - by_feature(p) - prior * weights) / (count + prior)
+    total = max(1, len(chains))
+    del chains, labels, split
+    # Chains are gone through some thousand at a time: the passes' memory is bounded, however many there are.
+    parts = [slice(at, at + 4096) for at in range(0, len(mask), 4096)]
+    seen, count, gold_feature = np.zeros((2, 2)), np.zeros(len(weights)), np.zeros(len(weights))
+
+    def by_feature(which: slice, x: np.ndarray) -> np.ndarray:
+        return np.bincount(ids[which].ravel(), weights=np.repeat(x.ravel(), per), minlength=len(weights))
+
+    for part in parts:
+        pair, g = mask[part, 1:] & mask[part, :-1], gold[part].astype(int)
+        np.add.at(seen, (g[:, :-1][pair], g[:, 1:][pair]), 1)
+        count += by_feature(part, mask[part] * 1.0)
+        gold_feature += by_feature(part, (gold[part] & mask[part]) * 1.0)
+    for _ in range(rounds):
+        expected, got, level, begin = np.zeros(len(weights)), np.zeros((2, 2)), 0.0, 0.0
+        for part in parts:
+            here, pair = mask[part], mask[part, 1:] & mask[part, :-1]
+            gain = bias + weights[ids[part]].sum(axis=2)
+            ahead, behind = _passes(gain, here, first, moves)
+            z = np.logaddexp(ahead[:, 0, 0] + behind[:, 0, 0], ahead[:, 0, 1] + behind[:, 0, 1])
+            p = np.exp(np.clip(ahead[:, :, 1] + behind[:, :, 1] - z[:, None], -700, 0)) * here
+            for a in range(2):
+                for b in range(2):
+                    both = ahead[:, :-1, a] + moves[a, b] + b * gain[:, 1:] + behind[:, 1:, b] - z[:, None]
+                    got[a, b] += np.exp(np.clip(both, -700, 0))[pair].sum()
+            expected += by_feature(part, p)
+            level += p[here].sum()
+            begin += p[:, 0][here[:, 0]].sum()
+        weights += rate * (gold_feature - expected - prior * weights) / (count + prior)
         weights[0] = 0.0
-        bias += rate * (4 * (gold[mask].sum() - p[mask].sum()) / max(1, mask.sum()) - decay * bias)
-        first += rate * ((gold[:, 0] - p[:, 0])[mask[:, 0]].sum() / total - decay * first)
+        bias += rate * (4 * (gold[mask].sum() - level) / max(1, mask.sum()) - decay * bias)
+        first += rate * ((gold[:, 0][mask[:, 0]].sum() - begin) / total - decay * first)
         moves += rate * ((seen - got) / np.maximum(1, seen.sum(axis=1, keepdims=True)) - decay * moves)
     model = Model(
         {f: float(weights[i]) for f, i in index.items()}, float(bias), float(first), tuple(map(tuple, moves.tolist())),
@@ -302,8 +312,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         chosen[r.id] = int(r.y)
     if not chosen:
         return []
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id bigint")  # at most ``most`` numbers
-    rows = texts.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).collect()
+    # All labelled rows up to the last one chosen, in the same order: no list of ids is sent anywhere.
+    last = list(chosen)[-1]
+    upto = (order < F.xxhash64(F.lit(last).cast("bigint"))) | ((order == F.xxhash64(F.lit(last).cast("bigint"))) & (F.col("id") <= last))
+    rows = texts.where(upto).join(marks.where(upto).select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).collect()
     return sorted((r.id, r.text, chosen[r.id]) for r in rows)
 
 
@@ -366,11 +378,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", thres
     alike; without labels nothing is toxic. An empty table stays empty.
     """
     model = train(docs, labels, text_col=text_col)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for texts in parts:
-            yield texts.map(lambda t: scorer.judge(t or "")[0]).astype("float64")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                calm = [scorer.judge(t or "")[0] < threshold for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(calm, pa.bool_()))
 
-    return docs.where(score(F.col(text_col)) < threshold)
+    return docs.mapInArrow(run, docs.schema)
