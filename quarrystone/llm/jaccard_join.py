@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, words: int, trees: int, longest: int, floor: int
             if len(x):
                 whole = xxhash.xxh3_128_intdigest(x.tobytes())
                 keys, rest = forest.strings(x)
-                rows.add(doc, mark, _signed(whole >> 64), _signed(whole), len(x), keys, packed(rest).ravel())
+                rows.add(doc, mark, _signed(whole >> 64), _signed(whole), len(x), keys, packed(rest).ravel(), weight=2000)
             else:
                 rows.add(doc, mark, 0, 0, 0, None, None)
             if rows.full():
@@ -304,7 +304,8 @@ def links(docs: DataFrame, signed: DataFrame, words: int, threshold: float, tree
     classes = classes.drop("keys", "rest")
     depth = longest
     if longest > floor:
-        depth = shortened(sampled_links(docs, classes, edges.where(F.col("depth") >= longest), words, exact), longest, floor, trees, recall)
+        # The sample has to miss half as much as allowed, so that the full pass seldom falls short and is seldom repeated.
+        depth = shortened(sampled_links(docs, classes, edges.where(F.col("depth") >= longest), words, exact), longest, floor, trees, 1 - (1 - recall) / 2)
     while True:
         found = verified(docs, classes, connected_components(edges.where(F.col("depth") >= depth).select("a", "b")), words, exact)
         counts = {r.number / STEPS: r.n for r in found.where("mate is null").groupBy("number").agg(F.sum("links").alias("n")).collect()}  # a row per step
