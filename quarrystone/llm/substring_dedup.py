@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,6 +111,27 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.withColumns({"key": F.xxhash64(body), "size": F.hash(body).bitwiseAND(0x7FFFFFFF)})
 
 
+def _travelling(source: DataFrame) -> DataFrame:
+    """doc_id, key, size and the text as ``packed`` (zstd), the form in which it is shuffled; null stays null."""
+    schema = pa.schema([("doc_id", pa.int64()), pa.field("key", pa.int64(), False), pa.field("size", pa.int32(), False), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, packer = Rows(schema), zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        for doc, key, size, text in values(batches, "doc_id", "key", "size", "text"):
+            packed = None if text is None else packer.compress(text.encode("utf-8", "surrogatepass"))
+            rows.add(doc, key, size, packed, weight=len(packed or b""))
+            if rows.full():
+                yield rows.batch()
+        yield rows.batch()
+
+    # The keys are never null; else only one of the two joins would drop nulls first, and they would not share an exchange.
+    return source.mapInArrow(run, "doc_id bigint, key bigint NOT NULL, size int NOT NULL, packed binary")
+
+
+def _words_in(packed: bytes | None) -> list[bytes]:
+    return [] if packed is None else zstandard.decompress(packed).split()
+
+
 def _combined(hashes: list[np.ndarray], own: list[np.ndarray]) -> np.ndarray:
     """For each row 0 if its hash (one or two columns) occurs once here, 1 if it
     is the first of several, 2 if it is one of the others.
@@ -214,8 +236,8 @@ def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
             yield (*last, copies)
 
     def made(row: tuple) -> tuple | None:
-        key, size, text, anchors, copies = row
-        words = words_of(text)
+        key, size, packed, anchors, copies = row
+        words = _words_in(packed)
         n = len(words)
         if n < window:
             return None
@@ -233,7 +255,7 @@ def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
         return h1, h2, whole(key), starts, whole(size), whole(copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = one_of_copies(values(batches, "key", "size", "text", "anchors"))
+        rows = one_of_copies(values(batches, "key", "size", "packed", "anchors"))
         for h1, h2, key, at, size, copies in _chunks(rows, made, 200_000):
             kind = _combined([h1, h2], [key, size, at])
             alone = (kind == 2) | (at == ALL)
@@ -247,14 +269,15 @@ def _windows(joined: DataFrame, window: int, period: int) -> DataFrame:
     return joined.mapInArrow(run, "h1 bigint, h2 bigint, key bigint, place bigint")
 
 
-def repeated_windows(source: DataFrame, *, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
-    """(key, size, starts): for each text with repeated windows the places
-    where these start, or ALL. A row per text, bounded by its length."""
+def repeated_windows(source: DataFrame, packed: DataFrame, *, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
+    """(key, size, starts): for each text of ``source`` with repeated windows the
+    places where these start, or ALL. A row per text, bounded by its length.
+    ``packed`` has the same texts in the form that is shuffled."""
     # Python has merged equal hashes of each batch, so a partition gets few rows of any one.
     often = lambda rows, *by: _unpacked(rows.withColumn("n", F.count("*").over(Window.partitionBy(*by)))).where("n > 1 or settled")
     anchors = often(_anchors(source, window, period), "h").groupBy("key", "size").agg(F.collect_set("at").alias("anchors"))
     # All columns, so that this join and the last one share one exchange of the texts.
-    joined = source.join(anchors, ["key", "size"]).select("key", "size", "text", "anchors", "doc_id")
+    joined = packed.join(anchors, ["key", "size"]).select("key", "size", "packed", "anchors", "doc_id")
     windows = often(_windows(joined, window, period), "h1", "h2").where("size >= 0")
     return windows.groupBy("key", "size").agg(F.collect_set("at").alias("starts"))
 
@@ -273,14 +296,15 @@ def remove_repeats(
     if not 0 < period <= window:
         raise ValueError("the period must be from 1 to the window")
     source = _keyed(docs, id_col, text_col)
-    starts = repeated_windows(source, window=window, period=period)
-    joined = source.join(starts, ["key", "size"], "left").select("doc_id", "text", "starts")
+    packed = _travelling(source)
+    starts = repeated_windows(source, packed, window=window, period=period)
+    joined = packed.join(starts, ["key", "size"], "left").select("doc_id", "packed", "starts")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept", pa.string())] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(schema)
-        for doc, text, repeated in values(batches, "doc_id", "text", "starts"):
-            words = words_of(text)
+        for doc, body, repeated in values(batches, "doc_id", "packed", "starts"):
+            words = _words_in(body)
             n = len(words)
             if repeated and n >= window:
                 mark = np.zeros(n + 1, "i8")
