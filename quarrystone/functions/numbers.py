@@ -34,7 +34,3 @@ def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
 
 def neg_log10(x: Column, floor: float = 1e-50, cap: float = 50.0) -> Column:
     return F.least(F.lit(cap), -F.log10(F.greatest(x, F.lit(floor))))
-
-
-def half_up(x: Column, digits: int) -> Column:
-    return F.round(x, digits)

@@ -11,55 +11,73 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrystone.core.shared import written
 
-def _buckets(df: DataFrame, value: str, count: int) -> tuple[DataFrame, str]:
-    """``df`` with ``_bucket``: ranges of ``value`` of about equal size, by fixed bounds."""
-    bounds = sorted(set(df.approxQuantile(value, [i / count for i in range(1, count)], 0.01)))
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(value))) if bounds else F.lit(0)
-    return df.withColumn("_bucket", at), "_bucket"
 
+def _dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` in the shared folder, dealt out by ranges of ``order``: with
+    ``_part``, the number of a row's range, and ``_at``, its place in it from 0.
 
-def benjamini_hochberg(df: DataFrame, p: str, out: str, by: Sequence[str] = (), parts: int = 32) -> DataFrame:
-    """``df`` with the adjusted p-values as ``out``, null where p is null or not finite.
+    Ranges follow what the order's columns hold, ties included; a value that
+    most rows share is split by the columns after it.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": at}), "ranges")
+
+
+def _running(dealt: DataFrame, by: Sequence[str], value: str, order: Column | str, n: str) -> DataFrame:
+    """``dealt`` rows of distinct (by, value) with ``_upto``, the sum of ``n`` over
+    the rows of their group up to them, and ``_all``, that over the group.
 
-    Of sorted p, q_i is the smallest p_j m / j over j >= i, at most 1. Within
-    groups it is a window. Over the whole table it is two levels of windows:
-    ranges of p, and a row per range; so no task gets all rows.
+    A window inside each range of a group, and one over a row per group and
+    range: no task gets a whole group.
     """
-    good = F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
-    if by:
-        up = Window.partitionBy(*by, good).orderBy(p)
-        ranked = df.withColumns({"_m": F.count("*").over(Window.partitionBy(*by, good)), "_r": F.row_number().over(up)})
-        q = F.min(F.col(p) * F.col("_m") / F.col("_r")).over(Window.partitionBy(*by, good).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-        return ranked.withColumn(out, F.when(good, F.least(F.lit(1.0), q))).drop("_m", "_r")
-    dealt, _ = _buckets(df.where(good), p, parts)
-    sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    starts = F.broadcast(sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    ranked = dealt.join(starts, "_bucket").withColumn("_r", F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(p)))
-    ranked = ranked.withColumn("_q", F.col(p) * F.lit(float(total)) / F.col("_r"))
-    least = ranked.groupBy("_bucket").agg(F.min("_q").alias("_least"))
-    after = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    later = F.broadcast(least.select("_bucket", F.min("_least").over(after).alias("_later")))
-    inside = F.min("_q").over(Window.partitionBy("_bucket").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))
-    done = ranked.join(later, "_bucket").withColumn(out, F.least(F.lit(1.0), inside, F.coalesce("_later", F.lit(1.0))))
-    done = done.drop("_bucket", "_start", "_r", "_q", "_later")
-    return done.unionByName(df.where(~good | F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
-
-
-def places(df: DataFrame, first: Column, value: str, *ties: Column, out: str = "place", parts: int = 32) -> DataFrame:
-    """``df``, read several times, with each row's place from 1: by ``first``
-    upwards, then ``value`` downwards, then ``ties``.
-
-    As in ``benjamini_hochberg``: ranges of ``value``, and a row per range.
+    own = [F.col(c) for c in by]
+    sizes = dealt.groupBy(*by, "_part").agg(F.sum(n).alias("_n"))
+    whole = Window.partitionBy(*own)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("_all"))
+    match = F.col("_part") == F.col("_p")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.sum(n).over(Window.partitionBy(*own, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("_in", inside).join(starts, match).withColumn("_upto", F.col("_start") + F.col("_in")).drop("_in", "_start", "_p", *[f"_{c}" for c in by])
+
+
+def benjamini_hochberg(df: DataFrame, p: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df``, read twice, with the adjusted p-values as ``out``, null where p is null or not finite.
+
+    Of sorted p, q_i is the smallest p_j m / j over j >= i, at most 1, within
+    groups if there are any. Equal p have one q, that of their last place, so
+    all is done on distinct values with counts, in ranges of the value, and
+    joined back: neither ties nor a large group make a large task.
     """
-    dealt = _buckets(df, value, parts)[0].withColumn("_first", first)
-    sizes = dealt.groupBy("_first", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_first", F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    starts = F.broadcast(sizes.select("_first", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
-    inside = F.row_number().over(Window.partitionBy("_first", "_bucket").orderBy(F.desc(value), *ties))
-    return dealt.join(starts, ["_first", "_bucket"]).withColumn(out, F.col("_start") + inside).drop("_first", "_bucket", "_start")
+    good = F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
+    counts = df.where(good).groupBy(*by, p).agg(F.count("*").alias("_n"))
+    ranked = _running(_dealt(counts, *by, p), by, p, F.col(p), "_n").withColumn("_q", F.col(p) * F.col("_all") / F.col("_upto"))
+    own = [F.col(c) for c in by]
+    least = ranked.groupBy(*by, "_part").agg(F.min("_q").alias("_least"))
+    after = Window.partitionBy(*own).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    later = least.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.min("_least").over(after).alias("_later"))
+    match = F.col("_part") == F.col("_p")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.min("_q").over(Window.partitionBy(*own, "_part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    done = ranked.withColumn("_in", inside).join(later, match)
+    adjusted = done.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(p).alias("_value"), F.least(F.lit(1.0), F.col("_in"), F.coalesce("_later", F.lit(1.0))).alias(out))
+    same = F.col(p) == F.col("_value")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(adjusted, same, "left").drop("_value", *[f"_{c}" for c in by])
+
+
+def places(df: DataFrame, *order: Column | str, out: str = "place") -> DataFrame:
+    """``df`` with each row's place from 1 in the whole table by ``order``,
+    which must not tie: sorted in ranges, whose sizes are added up."""
+    rows = _dealt(df, *order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_part").withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
 
 
 def average_rank(value: Column, by: Sequence[str | Column] = (), descending: bool = False) -> Column:
@@ -77,27 +95,29 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((n < 2) | (var <= 1e-12), F.lit(float("nan"))).otherwise(F.try_divide(cov, F.sqrt(F.greatest(var, F.lit(0.0)))))
 
 
-def log_factorials(most: int) -> Column:
-    """ln 0!, ln 1!, ... ln most! as an array literal."""
-    return F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)])
-
-
 @F.pandas_udf(T.DoubleType())
 def hypergeometric_tail(population: pd.Series, marked: pd.Series, drawn: pd.Series, hits: pd.Series) -> pd.Series:
     """P(X >= hits) of ``drawn`` from ``population`` with ``marked``; sums of exponentials, at most 1."""
 
-    def tail(n: int, k: int, d: int, x: int) -> float:
-        high = min(k, d)
-        if x > high:
-            return 0.0
-        low = max(x, 0, d - (n - k))
-        c = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-        base = c(n, d)
-        logs = np.array([c(k, i) + c(n - k, d - i) - base for i in range(low, high + 1)])
-        top = logs.max()
-        return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
-
-    return pd.Series([tail(*map(int, r)) for r in zip(population, marked, drawn, hits)], dtype="float64")
+    n, k, d, x = (c.to_numpy("i8") for c in (population, marked, drawn, hits))
+    most = int(max(n.max(initial=0), 1))
+    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))]) if most <= 1_000_000 else None
+    log = (lambda v: table[v]) if table is not None else np.vectorize(lambda v: math.lgamma(v + 1), otypes=["f8"])
+    low, high = np.maximum(np.maximum(x, 0), d - (n - k)), np.minimum(k, d)
+    out = np.zeros(len(n))
+    rows = np.flatnonzero(high >= low)
+    # The terms of some rows at a time, one after the other, so that memory is bounded.
+    for part in np.array_split(rows, max(1, int((high - low + 1)[rows].sum() // 2_000_000))):
+        if not len(part):
+            continue
+        size = (high - low + 1)[part]
+        of = np.repeat(np.arange(len(part)), size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[part][of]
+        a, b, c = n[part][of], k[part][of], d[part][of]
+        logs = log(b) - log(at) - log(b - at) + log(a - b) - log(c - at) - log(a - b - c + at) - (log(a) - log(c) - log(a - c))
+        top = np.maximum.reduceat(logs, np.cumsum(size) - size)
+        out[part] = np.exp(top) * np.add.reduceat(np.exp(logs - top[of]), np.cumsum(size) - size)
+    return pd.Series(np.minimum(1.0, out), dtype="float64")
 
 
 def fold_enrichment(hits: Column, drawn: Column, marked: Column, population: Column) -> Column:
@@ -169,8 +189,7 @@ def rank_sum_test(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     come from counts of the distinct values, not from sorting all rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"), F.sum(is_first.cast("bigint")).alias("_a"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0)
+    ranked = _running(_dealt(counts, value), [], value, F.col(value), "_n").withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / 2.0)
     s = ranked.agg(
         F.sum(F.col("_a") * F.col("_rank")).alias("r"), F.sum("_a").cast("double").alias("a"), F.sum("_n").cast("double").alias("n"),
         F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("ties"),
@@ -190,8 +209,7 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(v: str) -> DataFrame:
         counts = rows.groupBy(v).agg(F.count("*").alias("_n"))
-        before = Window.orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(F.col(v), (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(f"_{v}_rank"))
+        return _running(_dealt(counts, v), [], v, F.col(v), "_n").select(F.col(v), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"_{v}_rank"))
 
     ranked = rows.join(ranks(x), x).join(ranks(y), y)
     got = ranked.agg(F.count("*").cast("double").alias("n"), pearson(F.col(f"_{x}_rank"), F.col(f"_{y}_rank")).alias("rho"))
@@ -200,6 +218,11 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
     return got.withColumn("t", t).select("n", "rho", two_sided_student("t", F.col("n") - 2).alias("p_value"))
 
 
+def described_share(df: DataFrame, metric: Column, count: Column, of: Column) -> DataFrame:
+    """(metric, fraction, p_value): shares that are stated without a test, so p is null."""
+    return df.select(metric.alias("metric"), F.try_divide(count.cast("double"), of.cast("double")).alias("fraction"), F.lit(None).cast("double").alias("p_value"))
+
+
 @F.pandas_udf(T.StructType([T.StructField("p_value", T.DoubleType()), T.StructField("odds_ratio", T.DoubleType())]))
 def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
     """Two-sided p and the conditional maximum-likelihood odds ratio of 2 x 2 tables."""

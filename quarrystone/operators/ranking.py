@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.functions.stats import places
+
 
 def best_per(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each group."""
@@ -52,5 +54,14 @@ def winners_log(df: DataFrame, by: str, length: str, ident: str, *order: Column)
 
 
 def global_and_group_rank(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
-    """``overall_rank`` over all rows and ``group_rank`` within groups. For tables of scores, not of raw rows."""
-    return df.withColumns({"overall_rank": F.row_number().over(Window.orderBy(*order)), "group_rank": F.row_number().over(Window.partitionBy(*by).orderBy(*order))})
+    """``overall_rank`` over all rows and ``group_rank`` within groups by ``order``, which must not tie.
+
+    Both are places in a table sorted in ranges, so neither the whole table nor
+    a large group is ranked in one task.
+    """
+    ranked = places(places(df, *order, out="overall_rank"), *by, *order, out="_place")
+    first = ranked.groupBy(*by).agg((F.min("_place") - 1).alias("_before")).select(*[F.col(c).alias(f"_{c}") for c in by], "_before")
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ranked.join(first, match).withColumn("group_rank", F.col("_place") - F.col("_before")).drop("_place", "_before", *[f"_{c}" for c in by])

@@ -37,15 +37,16 @@ def _yearly(spark, sf_dir):
     return supplied(spark, sf_dir).groupBy(F.col("l_partkey").alias("family"), "species", F.year("l_shipdate").alias("node")).agg(F.count("*").alias("child"))
 
 
-def _family_q(spark, sf_dir):
+def _family_q(yearly):
     p = 1.0 / (1 + F.sum("child") % 97) / (1 + F.count("*"))
-    return benjamini_hochberg(_yearly(spark, sf_dir).groupBy("family").agg(p.alias("fp")), "fp", "q")
+    return benjamini_hochberg(written(yearly.groupBy("family").agg(p.alias("fp")), "family_p"), "fp", "q")
 
 
 def _events(spark, sf_dir):
     before = F.lag("child").over(Window.partitionBy("family", "species").orderBy("node"))
-    changes = _yearly(spark, sf_dir).withColumn("change", F.col("child") - F.coalesce(before, F.lit(0)))
-    rows = changes.join(_family_q(spark, sf_dir), "family").withColumns(
+    yearly = written(_yearly(spark, sf_dir), "yearly")  # read by the events and twice by the families
+    changes = yearly.withColumn("change", F.col("child") - F.coalesce(before, F.lit(0)))
+    rows = changes.join(_family_q(yearly), "family").withColumns(
         {"p": 1.0 / (1 + F.abs("change") * 13 + F.col("node") % 50), "terminal": F.col("species").isin("ASIA", "EUROPE")}
     )
     found = ev.derive(rows)
@@ -76,10 +77,16 @@ fam AS (
 
 @query(f"""WITH {FAMILIES}, o AS (SELECT family, tier, score, high_events, candidate_events, terminal_expansions, terminal_contractions,
 row_number() OVER (ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'fdr_supported' THEN 1 WHEN 'candidate' THEN 2 ELSE 3 END, score DESC, family) AS place FROM families)
-SELECT * FROM o WHERE place <= 100""")
+SELECT * FROM o""")
 def family_ranked(spark, sf_dir):
     f = ev.families(_events(spark, sf_dir)).select("family", "tier", "score", "high_events", "candidate_events", "terminal_expansions", "terminal_contractions")
-    return places(written(f, "families"), ev.order_of(F.col("tier"), ev.FAMILY_ORDER), "score", F.col("family"))
+    return places(f, ev.order_of(F.col("tier"), ev.FAMILY_ORDER), F.desc("score"), "family")
+
+
+@query(f"""WITH {CHANGES} SELECT family, species, node, row_number() OVER (ORDER BY CASE tier WHEN 'high' THEN 0 WHEN 'candidate' THEN 1 ELSE 2 END, score DESC, family, node, species) AS place FROM tiered""")
+def sorted_events(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("family", "species", "node", "tier", "score")
+    return places(rows, ev.order_of(F.col("tier"), ev.EVENT_ORDER), F.desc("score"), "family", "node", "species").select("family", "species", "node", "place")
 
 
 @query(f"""WITH {CHANGES}, b AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, node, direction DESC, change DESC) AS rn FROM tiered)
