@@ -70,5 +70,24 @@ def with_fallback(df: DataFrame, mapping: DataFrame, key: str, new: str) -> Data
     return df.join(mapping, key, "left").withColumn(key, F.coalesce(new, key)).drop(new)
 
 
+def two_hop(df: DataFrame, key: str, merged: DataFrame, known: DataFrame) -> DataFrame:
+    """Left join with ``known`` by what ``merged`` (old, new) makes of the key, or by the key itself."""
+    now = df.join(merged.select(F.col("old").alias("_old"), F.col("new").alias("_new")), F.col(key) == F.col("_old"), "left").withColumn("_key", F.coalesce("_new", key)).drop("_old", "_new")
+    return now.join(known.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
+def renamed(df: DataFrame, mapping: DataFrame, key: str, new: str) -> DataFrame:
+    """The key replaced by ``mapping`` (key, new); a key that it lacks is an error when the rows are read."""
+    joined = df.join(mapping, key, "left")
+    return joined.withColumn(key, F.when(F.col(new).isNull(), F.raise_error(F.concat(F.lit("no name for "), F.col(key).cast("string"))).cast(mapping.schema[new].dataType)).otherwise(F.col(new))).drop(new)
+
+
+def with_counts(df: DataFrame, key: str, **counted: DataFrame) -> DataFrame:
+    """A column per named table: how many of its rows have the key, 0 where none."""
+    for name, rows in counted.items():
+        df = df.join(rows.groupBy(key).agg(F.count("*").alias(name)), key, "left")
+    return df.na.fill(0, list(counted))
+
+
 def exists(condition: Column) -> Column:
     return F.coalesce(F.bool_or(condition), F.lit(False))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.numbers import clamp, ratio
 
-# The most that each component can give.
+# The most that each component can give, points of a status, least score, domains and acceptable share of each tier.
+# Those inside the component functions (points, thresholds) are fixed as well.
 MAXIMA = {"change": 25.0, "annotation": 10.0, "sequence": 20.0, "tree": 10.0, "reconciliation": 10.0, "evolution": 20.0, "expression": 5.0}
 STATUS_POINTS = {"pass": 20.0, "review": 14.0, "review_high": 6.0, "exclude_recommended": 0.0}
 TIERS = ((75, 6, 0.50, "tier1_high_confidence"), (60, 5, 0.35, "tier2_supported"), (45, 4, None, "tier3_provisional"))
@@ -45,7 +46,7 @@ def evolution_component(available: Column, busted: Column, branches: Column, rel
 
 
 def expression_component(available: Column, detected: Column, copies: Column, most: Column) -> Column:
-    top = F.when(most >= 10, 2.0).when(most >= 1, 1.5).when(most > 0, 1.0).otherwise(0.0)
+    top = F.when(most >= 10, 2.0).when(most >= 1, 1.5).when(most >= 0.1, 1.0).otherwise(0.0)
     return F.when(available, 3 * clamp(ratio(detected, copies)) + top)
 
 

@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.numbers import clamp
+from quarrystone.functions.numbers import clamp, whole
 from quarrystone.functions.stats import average_rank, pearson
+from quarrystone.operators.joins import longest_prefix
 from quarrystone.operators.scoring import MAXIMA
 
 # Weights of the scenarios that set their own.
@@ -35,7 +36,7 @@ def scenarios() -> dict[str, tuple[Column, Column]]:
     components (ratios of their most, null where missing) and: base, critical,
     acceptable, passed, pfam, high_risk, excluded (shares), flags, domains,
     annotation_share and quality (a factor)."""
-    r = {n: F.col(n) for n in MAXIMA}
+    r = {n: F.when(F.col(n).isNotNull(), clamp(F.col(n))) for n in MAXIMA}
     calm = ~F.col("critical")
     out: dict[str, tuple[Column, Column]] = {"baseline": (F.col("base"), calm)}
     for name, part in WITHOUT.items():
@@ -50,7 +51,7 @@ def scenarios() -> dict[str, tuple[Column, Column]]:
     out["complete_case_only"] = c("base"), calm & (c("domains") >= 7)
     out["eggnog_annotation_only"] = weighted(r | {"annotation": c("annotation_share")}, MAXIMA), calm
     out["direct_pfam_annotation_only"] = weighted(r | {"annotation": c("pfam")}, MAXIMA), calm
-    out["proteome_quality_adjusted"] = weighted(r | {"change": F.coalesce(c("change"), F.lit(0.0)) * c("quality")}, MAXIMA), calm
+    out["proteome_quality_adjusted"] = weighted(r | {"change": F.coalesce(r["change"], F.lit(0.0)) * c("quality")}, MAXIMA), calm
     return out
 
 
@@ -58,6 +59,25 @@ def quality_factor(complete: Column, duplicated: Column) -> Column:
     return clamp(complete / 100) * F.greatest(F.lit(0.0), 1 - duplicated / 100)
 
 
+def group_means(members: DataFrame, species: DataFrame) -> DataFrame:
+    """(grp, complete, duplicated): means over the members (grp, species) that ``species`` (species, complete, duplicated) has."""
+    return members.join(species, "species").groupBy("grp").agg(F.avg("complete").alias("complete"), F.avg("duplicated").alias("duplicated"))
+
+
+def proteome_quality(df: DataFrame, node: str, species: DataFrame, members: DataFrame) -> DataFrame:
+    """``df`` (grp, node) with event_species, complete, duplicated and quality:
+    those of the species that the node names, else the means of the group."""
+    named = longest_prefix(df, node, species, "species").join(species, "species", "left")
+    means = group_means(members, species).select("grp", F.col("complete").alias("_c"), F.col("duplicated").alias("_d"))
+    rows = named.join(means, "grp", "left").withColumns({"complete": F.coalesce("complete", "_c"), "duplicated": F.coalesce("duplicated", "_d"), "event_species": F.coalesce("species", F.lit(""))})
+    return rows.withColumn("quality", quality_factor(F.col("complete"), F.col("duplicated"))).drop("_c", "_d", "species")
+
+
+def risk_count(*counters: Column) -> Column:
+    """The sum of counters given as text or numbers; what is no number counts 0."""
+    return reduce(lambda a, b: a + b, [whole(c.cast("string"), 0) for c in counters])
+
+
 def tier(score: Column, domains: Column, eligible: Column) -> Column:
     return (
         F.when(~eligible, "manual_review_or_filtered")
@@ -75,7 +95,9 @@ def rankings(families: DataFrame) -> DataFrame:
     ``families`` has what ``scenarios`` reads, and grp, family, base_rank and
     base_tier. One pass makes all scenarios: no join with a scenario table.
     """
-    rows = F.array(*[F.struct(F.lit(n).alias("scenario"), F.round(s, 6).alias("score"), e.alias("eligible")) for n, (s, e) in scenarios().items()])
+    # Six places, half up from twelve: the last bits of a sum decide no tie.
+    shown = lambda s: F.round(s.cast("decimal(24,12)"), 6).cast("double")
+    rows = F.array(*[F.struct(F.lit(n).alias("scenario"), shown(s).alias("score"), e.alias("eligible")) for n, (s, e) in scenarios().items()])
     long = families.select("grp", "family", "base", "base_rank", "base_tier", "domains", F.inline(rows))
     order = Window.partitionBy("scenario", "grp").orderBy(F.desc("eligible"), F.desc("score"), "family")
     is_base = F.col("scenario") == "baseline"

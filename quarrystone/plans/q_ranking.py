@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import written
 from quarrystone.functions.numbers import clamp, ratio
 from quarrystone.functions.stats import average_rank
 from quarrystone.operators import joins as jn
@@ -16,15 +17,16 @@ from quarrystone.plans.register import query
 
 STAR = """
 li AS (SELECT l_partkey AS family, count(*) AS size, count(*) FILTER (l_returnflag = 'N') AS passed, count(*) FILTER (l_returnflag = 'R') AS reviewed,
-       count(*) FILTER (l_discount > 0.08) AS excluded, count(*) FILTER (l_tax > 0.07) AS flags, round(avg(l_discount) * 10, 6) AS pfam FROM lineitem GROUP BY 1),
+       count(*) FILTER (l_discount > 0.08) AS excluded, count(*) FILTER (l_tax > 0.07) AS flags, round(avg(l_discount) * 10, 6) AS pfam, count(*) FILTER (l_quantity > 45) AS strong, count(*) FILTER (l_linenumber = 4) AS lost FROM lineitem GROUP BY 1),
 od AS (SELECT l_partkey AS family, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) AS orders, min(o_totalprice) AS cheapest FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
 ex AS (SELECT user_id AS family, count(*) AS copies, count(*) FILTER (value >= 10) AS detected, max(value) AS most FROM events GROUP BY 1),
 st AS (
   SELECT p_partkey AS family, p_type AS grp, coalesce(size, 0) AS size, coalesce(passed, 0) AS passed, coalesce(reviewed, 0) AS reviewed, coalesce(excluded, 0) AS excluded, coalesce(flags, 0) AS flags,
-         coalesce(pfam, 0.0) AS pfam, 25 * greatest(1.0::DOUBLE / 30, (31 - least(p_size, 30)) / 30.0::DOUBLE) AS change,
+         coalesce(pfam, 0.0) AS pfam, p_size, CASE WHEN p_size % 3 > 0 THEN 6 ELSE 0 END + CASE WHEN p_size % 4 = 0 THEN 4 WHEN p_size % 4 = 1 THEN 2 ELSE 0 END + 0.0::DOUBLE AS tree,
+         CASE WHEN size IS NULL THEN 0.0 ELSE 4 + 3 * least(1.0::DOUBLE, (passed + reviewed) / size::DOUBLE) + CASE WHEN (p_size % 2 = 0 AND strong > 0) OR (p_size % 2 = 1 AND lost > 0) THEN 3 ELSE 0 END END AS reconciliation, 25 * greatest(1.0::DOUBLE / 30, (31 - least(p_size, 30)) / 30.0::DOUBLE) AS change,
          4 * (p_size / 50.0::DOUBLE) + CASE WHEN contains(p_name, 'red') THEN 2 ELSE 0 END + CASE WHEN contains(p_name, 'ring') THEN 1 ELSE 0 END AS annotation,
          CASE WHEN orders IS NOT NULL THEN CASE WHEN cheapest < 5000 THEN 8 ELSE 0 END + CASE WHEN done > 0 THEN 6 ELSE 0 END + 0.0::DOUBLE END AS evolution,
-         CASE WHEN copies IS NOT NULL THEN 3 * (detected / copies::DOUBLE) + CASE WHEN most >= 10 THEN 2.0 WHEN most >= 1 THEN 1.5 WHEN most > 0 THEN 1.0 ELSE 0.0 END::DOUBLE END AS expression
+         CASE WHEN copies IS NOT NULL THEN 3 * (detected / copies::DOUBLE) + CASE WHEN most >= 10 THEN 2.0 WHEN most >= 1 THEN 1.5 WHEN most >= 0.1 THEN 1.0 ELSE 0.0 END::DOUBLE END AS expression
   FROM part LEFT JOIN li ON li.family = p_partkey LEFT JOIN od ON od.family = p_partkey LEFT JOIN ex ON ex.family = p_partkey
 ), cp AS (
   SELECT *, CASE WHEN size = 0 THEN 0.0 ELSE least(1.0::DOUBLE, (passed + reviewed) / size::DOUBLE) END AS ok FROM st
@@ -32,7 +34,7 @@ st AS (
   SELECT *, 8 * ok + 4 * CASE WHEN size = 0 THEN 0.0 ELSE passed / size::DOUBLE END + 3 * least(1.0::DOUBLE, pfam) + 5 * (1 - CASE WHEN size = 0 THEN 0.0 ELSE flags / size::DOUBLE END) AS sequence,
          CASE WHEN size = 0 THEN false ELSE excluded / size::DOUBLE > 0.25 OR flags / size::DOUBLE > 0.5 END AS critical FROM cp
 ), scored AS (
-  SELECT *, round(100 * (change + annotation + sequence + coalesce(evolution, 0) + coalesce(expression, 0)) / (55 + CASE WHEN evolution IS NULL THEN 0 ELSE 20 END + CASE WHEN expression IS NULL THEN 0 ELSE 5 END), 3) AS base,
+  SELECT *, round(100 * (change + annotation + sequence + tree + reconciliation + coalesce(evolution, 0) + coalesce(expression, 0)) / (75 + CASE WHEN evolution IS NULL THEN 0 ELSE 20 END + CASE WHEN expression IS NULL THEN 0 ELSE 5 END), 3) AS base,
          4 + CASE WHEN annotation > 0 THEN 1 ELSE 0 END + CASE WHEN evolution IS NULL THEN 0 ELSE 1 END + CASE WHEN expression IS NULL THEN 0 ELSE 1 END AS domains FROM sq
 ), tiered AS (
   SELECT *, CASE WHEN critical THEN 'manual_review_required' WHEN base >= 75 AND domains >= 6 AND ok >= 0.5 THEN 'tier1_high_confidence' WHEN base >= 60 AND domains >= 5 AND ok >= 0.35 THEN 'tier2_supported'
@@ -42,11 +44,12 @@ st AS (
 
 
 def _families(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("family"), F.col("p_type").alias("grp"), "p_name", "p_size")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("family"), F.col("p_type").alias("grp"), "p_name", "p_size", "p_brand")
     lines = table(spark, sf_dir, "lineitem")
     li = lines.groupBy(F.col("l_partkey").alias("family")).agg(
         F.count("*").alias("size"), F.count_if(F.col("l_returnflag") == "N").alias("passed"), F.count_if(F.col("l_returnflag") == "R").alias("reviewed"),
         F.count_if(F.col("l_discount") > 0.08).alias("excluded"), F.count_if(F.col("l_tax") > 0.07).alias("flags"), F.round(F.avg("l_discount") * 10, 6).alias("pfam"),
+        F.count_if(F.col("l_quantity") > 45).alias("strong"), F.count_if(F.col("l_linenumber") == 4).alias("lost"), F.lit(True).alias("reconciled"),
     )
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     od = lines.join(o, lines.l_orderkey == o.o_orderkey).groupBy(F.col("l_partkey").alias("family")).agg(
@@ -60,6 +63,8 @@ def _families(spark, sf_dir):
         "change": sc.change_component(F.least(c("p_size"), F.lit(30))),
         "annotation": sc.annotation_component(c("p_size") / 50.0, (F.contains(name, F.lit("red")), 2), (F.contains(name, F.lit("ring")), 1)),
         "sequence": sc.sequence_component(c("passed"), c("reviewed"), c("size"), c("pfam"), ratio(c("flags"), c("size"))),
+        "tree": sc.tree_component(c("p_size") % 3 > 0, F.when(c("p_size") % 4 == 0, "ufboot1000_alrt1000").when(c("p_size") % 4 == 1, "alrt1000").otherwise("")),
+        "reconciliation": sc.reconciliation_component(c("reconciled").isNotNull(), c("passed") + c("reviewed"), c("size"), F.when(c("p_size") % 2 == 0, c("strong") > 0).otherwise(c("lost") > 0)),
         "evolution": sc.evolution_component(c("orders").isNotNull(), F.when(c("cheapest") < 5000, 0.0), c("done"), F.lit(None).cast("double")),
         "expression": sc.expression_component(c("copies").isNotNull(), c("detected"), c("copies"), c("most")),
     }
@@ -71,7 +76,8 @@ def _families(spark, sf_dir):
         "domains": sc.domain_count(c("annotation"), c("evolution"), c("expression")),
     })
     rows = rows.withColumn("base_tier", sc.family_tier(c("base"), c("domains"), c("critical"), c("ok")))
-    return rows.withColumn("base_rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("base"), "family")))
+    # A row per family, read by many queries' parts: written once, ranked within its group.
+    return written(rows.withColumn("base_rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("base"), "family"))), "scored")
 
 
 @query(f"WITH {STAR} SELECT family, grp, base, domains, critical FROM tiered")
@@ -97,29 +103,34 @@ GENES = f"""{STAR}, genes AS (
 
 
 @query(f"""WITH {GENES} SELECT family, gene, copy, score, CASE WHEN critical THEN 'manual_review_or_exclude' WHEN score >= 75 AND status = 'pass' THEN 'tier1_high_confidence' WHEN score >= 60 AND status IN ('pass', 'review') THEN 'tier2_supported'
-WHEN score >= 45 THEN 'tier3_provisional' ELSE 'lower_priority' END AS tier, row_number() OVER (PARTITION BY grp ORDER BY score DESC, family, gene, copy) AS place FROM gs""")
+WHEN score >= 45 THEN 'tier3_provisional' ELSE 'lower_priority' END AS tier, row_number() OVER (PARTITION BY grp ORDER BY score DESC, family, gene, copy) AS place, row_number() OVER (ORDER BY score DESC, grp, family, gene, copy) AS overall FROM gs""")
 def gene_rank(spark, sf_dir):
     top = _families(spark, sf_dir).where("base_rank <= 10").select("family", "grp", "base", "critical", F.col("most").alias("tpm"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("family"), F.col("l_orderkey").alias("gene"), F.col("l_linenumber").alias("copy"), "l_returnflag")
     status = F.when(F.col("l_returnflag") == "N", "pass").when(F.col("l_returnflag") == "A", "review").otherwise("review_high")
     g = li.join(top, "family").withColumn("status", status).withColumn("score", F.round(sc.gene_score(F.col("base"), F.col("status"), F.col("tpm")), 3))
     g = g.withColumn("tier", sc.gene_tier(F.col("score"), F.col("status"), F.col("critical")))
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "family", "gene", "copy"))
-    return g.select("family", "gene", "copy", "score", "tier", place.alias("place"))
+    ranked = rk.global_and_group_rank(g.select("family", "grp", "gene", "copy", "score", "tier"), ["grp"], F.desc("score"), F.col("grp"), F.col("family"), F.col("gene"), F.col("copy"))
+    return ranked.select("family", "gene", "copy", "score", "tier", F.col("group_rank").alias("place"), F.col("overall_rank").alias("overall"))
 
 
-def _ranked(spark, sf_dir):
+def ranked_families(spark, sf_dir):
     c, most = F.col, sc.MAXIMA
-    f = _families(spark, sf_dir).withColumns({n: c(n) / most[n] for n in ("change", "annotation", "sequence", "evolution", "expression")})
+    f = _families(spark, sf_dir).withColumns({n: c(n) / most[n] for n in most})
     f = f.withColumns({
-        "tree": F.lit(0.6), "reconciliation": F.lit(0.7), "acceptable": c("ok"), "passed": ratio(c("passed"), c("size")), "high_risk": ratio(c("flags"), c("size")),
-        "excluded": ratio(c("excluded"), c("size")), "pfam": clamp(c("pfam")), "annotation_share": c("p_size") / 50.0, "quality": se.quality_factor(F.lit(90.0), F.lit(5.0)),
+        "acceptable": c("ok"), "passed": ratio(c("passed"), c("size")), "high_risk": ratio(c("flags"), c("size")),
+        "excluded": ratio(c("excluded"), c("size")), "pfam": clamp(c("pfam")), "annotation_share": c("p_size") / 50.0,
     })
-    return se.rankings(f)
+    # The proteome of a family's event is that of its brand, if the node names one; the brands with an even number have no report.
+    k = F.regexp_extract("species", "([0-9]+)$", 1).try_cast("int")
+    brands = table(spark, sf_dir, "part").select(F.col("p_type").alias("grp"), F.col("p_brand").alias("species")).distinct()
+    reports = brands.select("species").distinct().where(k % 2 == 1).select("species", (90.0 + k).alias("complete"), (k * 2.0).alias("duplicated"))
+    node = F.when(c("p_size") % 2 == 0, F.concat("p_brand", F.lit("<"), c("p_size").cast("string"), F.lit(">"))).otherwise("<1>")
+    return se.rankings(se.proteome_quality(f.withColumn("node", node), "node", reports, brands))
 
 
 _W = {n: m for n, m in sc.MAXIMA.items()}
-_R = {n: f"{n} / {m}" for n, m in sc.MAXIMA.items()} | {"tree": "0.6::DOUBLE", "reconciliation": "0.7::DOUBLE"}
+_R = {n: f"least(1.0, greatest(0.0, {n} / {m}))" if n not in ("evolution", "expression") else f"CASE WHEN {n} IS NOT NULL THEN least(1.0, greatest(0.0, {n} / {m})) END" for n, m in sc.MAXIMA.items()}
 
 
 def _weighted(ratios, weights):
@@ -137,24 +148,29 @@ _SCENES = {
     "strict_sequence_quality": (_weighted(_R | {"sequence": _STRICT}, _W), f"ok >= 0.75 AND excluded = 0 AND {_SHARE('flags')} <= 0.1"),
     "strict_contamination_risk": ("base", "flags = 0"),
     "complete_case_only": ("base", "domains >= 7"),
-    "eggnog_annotation_only": (_weighted(_R | {"annotation": "(p_size / 50.0::DOUBLE)"}, _W), "true"),
+    "eggnog_annotation_only": (_weighted(_R | {"annotation": "(t.p_size / 50.0::DOUBLE)"}, _W), "true"),
     "direct_pfam_annotation_only": (_weighted(_R | {"annotation": "least(1.0, pfam)"}, _W), "true"),
-    "proteome_quality_adjusted": (_weighted(_R | {"change": f"(coalesce({_R['change']}, 0) * 0.9 * 0.95)"}, _W), "true"),
+    "proteome_quality_adjusted": (_weighted(_R | {"change": f"(coalesce({_R['change']}, 0) * quality)"}, _W), "true"),
 }
-RANKED = f"""{STAR}, long AS ({" UNION ALL ".join(f"SELECT '{n}' AS scenario, grp, t.family, base, base_rank, base_tier, domains, round({s}, 6) AS score, NOT critical AND ({e}) AS eligible FROM tiered t JOIN part ON p_partkey = t.family" for n, (s, e) in _SCENES.items())}),
+QUALITY = """reports AS (SELECT DISTINCT p_brand AS species, 90.0::DOUBLE + CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS complete, 2.0::DOUBLE * CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS duplicated
+FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) % 2 = 1),
+means AS (SELECT p_type, avg(complete) AS c, avg(duplicated) AS d FROM (SELECT DISTINCT p_type, p_brand FROM part) JOIN reports ON p_brand = species GROUP BY 1),
+quality AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND species IS NOT NULL THEN complete ELSE c END AS complete, CASE WHEN p_size % 2 = 0 AND species IS NOT NULL THEN duplicated ELSE d END AS duplicated FROM part LEFT JOIN reports ON species = p_brand LEFT JOIN means USING (p_type)),
+factors AS (SELECT p_partkey, least(1.0, greatest(0.0, complete / 100)) * greatest(0.0, 1 - duplicated / 100) AS quality FROM quality)"""
+RANKED = f"""{STAR}, {QUALITY}, long AS ({" UNION ALL ".join(f"SELECT '{n}' AS scenario, grp, t.family, base, base_rank, base_tier, domains, CAST(round(CAST({s} AS DECIMAL(24,12)), 6) AS DOUBLE) AS score, NOT critical AND ({e}) AS eligible FROM tiered t JOIN factors ON p_partkey = t.family" for n, (s, e) in _SCENES.items())}),
 ranked AS (SELECT *, CASE WHEN scenario = 'baseline' THEN base_rank ELSE row_number() OVER (PARTITION BY scenario, grp ORDER BY eligible DESC, score DESC, family) END AS rank FROM long),
 shifted AS (SELECT *, base_rank - rank AS shift, CASE WHEN scenario = 'baseline' THEN base_tier WHEN NOT eligible THEN 'manual_review_or_filtered' WHEN score >= 75 AND domains >= 6 THEN 'tier1_high_confidence'
 WHEN score >= 60 AND domains >= 5 THEN 'tier2_supported' WHEN score >= 45 AND domains >= 4 THEN 'tier3_exploratory' ELSE 'lower_priority' END AS tier FROM ranked)"""
 
 
-@query(f"WITH {RANKED} SELECT scenario, grp, family, CAST(floor(score + 0.00037) AS BIGINT) AS score, eligible, tier FROM shifted")
+@query(f"WITH {RANKED} SELECT scenario, grp, family, score, eligible, tier FROM shifted")
 def scenario_scores(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("scenario", "grp", "family", F.floor(F.col("score") + 0.00037).alias("score"), "eligible", "tier")
+    return ranked_families(spark, sf_dir).select("scenario", "grp", "family", "score", "eligible", "tier")
 
 
 @query(f"""WITH {RANKED} SELECT scenario, grp, round(corr(base_rank, rank), 6) AS rho, max(abs(shift)) AS largest_shift FROM shifted GROUP BY 1, 2""")
 def scenario_spearman(spark, sf_dir):
-    return se.comparison(_ranked(spark, sf_dir)).select("scenario", "grp", "rho", "largest_shift")
+    return se.comparison(ranked_families(spark, sf_dir)).select("scenario", "grp", "rho", "largest_shift")
 
 
 _NOW = lambda k: f"rank <= {k} AND (eligible OR scenario = 'baseline')"
@@ -163,14 +179,14 @@ _NOW = lambda k: f"rank <= {k} AND (eligible OR scenario = 'baseline')"  # noqa:
 @query(f"""WITH {RANKED} SELECT scenario, grp, count(*) FILTER (eligible) AS eligible, {", ".join(f"count(*) FILTER (base_rank <= {k} AND {_NOW(k)}) AS top{k}_overlap, round(count(*) FILTER (base_rank <= {k} AND {_NOW(k)}) / greatest(1, count(*) FILTER (base_rank <= {k} OR ({_NOW(k)})))::DOUBLE, 6) AS top{k}_jaccard" for k in (10, 20))},
 count(*) FILTER (base_tier = 'tier1_high_confidence' AND tier = 'tier1_high_confidence') AS tier1_retained FROM shifted GROUP BY 1, 2""")
 def topk_overlap(spark, sf_dir):
-    return se.comparison(_ranked(spark, sf_dir)).select("scenario", "grp", "eligible", "top10_overlap", "top10_jaccard", "top20_overlap", "top20_jaccard", "tier1_retained")
+    return se.comparison(ranked_families(spark, sf_dir)).select("scenario", "grp", "eligible", "top10_overlap", "top10_jaccard", "top20_overlap", "top20_jaccard", "tier1_retained")
 
 
 @query(f"""WITH {RANKED}, g AS (SELECT grp, family, round(avg(rank), 3) AS mean_rank, round(stddev_pop(rank), 3) AS rank_sd, min(rank) AS best_rank, max(rank) AS worst_rank, max(abs(shift)) AS largest_shift,
 count(*) FILTER (eligible) AS eligible, count(*) FILTER (eligible AND rank <= 10) AS top10, count(*) FILTER (eligible AND rank <= 20) AS top20 FROM shifted GROUP BY 1, 2)
 SELECT *, CASE WHEN top10 >= 11 AND largest_shift <= 5 THEN 'stable_high' WHEN largest_shift >= 10 OR eligible < 11 THEN 'sensitive' ELSE 'moderately_stable' END AS stability FROM g""")
 def rank_stability(spark, sf_dir):
-    return se.stability(_ranked(spark, sf_dir))
+    return se.stability(ranked_families(spark, sf_dir))
 
 
 @query(f"""WITH {STAR}, x AS (SELECT grp, family, domains >= 6 AS matched, base AS value, base_rank, t AS threshold FROM tiered CROSS JOIN (SELECT unnest([40, 50, 60]) AS t))
