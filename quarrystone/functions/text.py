@@ -48,6 +48,21 @@ def without_version(x: Column) -> Column:
     return F.regexp_replace(x, r"\.[^.]*$", "")
 
 
+def safe_text(raw: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(raw.cast("string"))
+
+
+def display_label(x: Column) -> Column:
+    """Underscores as spaces, each word with a capital."""
+    return F.initcap(F.replace(x, F.lit("_"), F.lit(" ")))
+
+
+def iso_utc(ts: Column) -> Column:
+    """A timestamp as ISO-8601 text in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def reasons(*pairs: tuple[Column, str]) -> Column:
     """The texts whose condition holds, joined by semicolons."""
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in pairs])), ";")

@@ -39,8 +39,10 @@ def node_table(df: DataFrame, ident: str = "tree_id", text: str = "newick") -> D
 def closure(edges: DataFrame) -> DataFrame:
     """(node, ancestor, steps) of a table (node, parent), each node its own ancestor at 0 steps.
 
-    Paths double each round, so the rounds are the logarithm of the depth.
+    Paths double each round, so the rounds are the logarithm of the depth. A
+    path longer than the table has rows is a cycle, and an error.
     """
+    most = edges.count()
     one = edges.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
     reach, step = one, 1
     while True:
@@ -49,6 +51,8 @@ def closure(edges: DataFrame) -> DataFrame:
         longer = written(longer, "paths")  # else each round would walk all rounds before it again
         if longer.isEmpty():
             break
+        if step > most:
+            raise ValueError("the parents form a cycle")
         reach, step = reach.unionByName(longer), step * 2
     own = edges.select("node").unionByName(edges.select(F.col("parent").alias("node")).where("node is not null")).distinct()
     return reach.unionByName(own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")))
@@ -69,6 +73,21 @@ def ultrametric(nodes: DataFrame, age: float = 100.0) -> DataFrame:
     return nodes.join(top, "tree_id").withColumn("branch_length", F.when(F.col("parent_id").isNotNull(), length * age / F.col("_top"))).drop("_top")
 
 
+def uneven(nodes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(tree_id, uneven): whether tips of a tree (node_id, parent_id, branch_length) differ in height by more than ``tolerance``, or a branch is negative.
+
+    A tree's rows are summed along its own paths, as many rounds as it is deep.
+    """
+    up = written(nodes.select("tree_id", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("length"), "is_leaf"), "heights")
+    now = up.where("is_leaf").select("tree_id", F.col("node_id").alias("leaf"), F.col("parent_id").alias("at"), F.col("length").alias("height"))
+    step = up.select(F.col("tree_id"), F.col("node_id").alias("at"), F.col("parent_id").alias("next"), "length")
+    while not now.where("at is not null").isEmpty():
+        now = written(now.join(step, ["tree_id", "at"], "left").select("tree_id", "leaf", F.col("next").alias("at"), (F.col("height") + F.coalesce("length", F.lit(0.0))).alias("height")), "heights")
+    spread = now.groupBy("tree_id").agg((F.max("height") - F.min("height")).alias("spread"))
+    negative = up.groupBy("tree_id").agg(F.min("length").alias("least"))
+    return spread.join(negative, "tree_id").select("tree_id", ((F.col("spread") > tolerance) | (F.col("least") < 0)).alias("uneven"))
+
+
 class SpeciesTree:
     """Ancestors and names of a rooted species tree."""
 
@@ -149,8 +168,9 @@ def reconcile(tree: Tree, species_of: dict[str, str], species: SpeciesTree) -> d
 
 
 def _signature(tree: Tree) -> str:
+    """The split at the root: its sides by size, then by their names."""
     sets = tree.leaf_sets()
-    return "||".join(sorted("|".join(sorted(sets[c])) for c in tree.down[0]))
+    return "||".join("|".join(side) for side in sorted((sorted(sets[c]) for c in tree.down[0]), key=lambda side: (len(side), side)))
 
 
 def best_rooting(text: str, species_of: dict[str, str], species: SpeciesTree, duplication: float = 1.0, loss: float = 1.0) -> dict:
@@ -215,31 +235,41 @@ def reconciled_rows(family: str, text: str, genes: dict[str, str], species: Spec
 def pruned(text: str, keep: set[str], tags: dict[str, str] | None = None) -> str:
     """The tree of the kept leaves without inner labels; nodes with one child are joined; leaves get {tag} if they have one."""
     tree = newick.parse(text)
-    out = Tree()
-
-    def build(node: int, length: float) -> list[tuple]:
-        parts = [p for c in tree.down[node] for p in build(c, tree.length[c] or 0.0)]
+    # What is kept below each node, as (name, length, parts), from the leaves up: no recursion, so trees may be deep.
+    below: dict[int, list[tuple]] = {}
+    for node in tree.postorder():
+        length = (tree.length[node] or 0.0) if node else 0.0
+        parts = [p for c in tree.down[node] for p in below.pop(c)]
         if not tree.down[node]:
-            return [(tree.name[node], length, [])] if tree.name[node] in keep else []
-        if len(parts) == 1:
-            name, below, inner = parts[0]
-            return [(name, length + below, inner)]
-        return [("", length, parts)] if parts else []
-
-    def put(up: int, part: tuple) -> None:
-        name, length, inner = part
+            below[node] = [(tree.name[node], length, [])] if tree.name[node] in keep else []
+        elif len(parts) == 1:
+            name, under, inner = parts[0]
+            below[node] = [(name, length + under, inner)]
+        else:
+            below[node] = [("", length, parts)] if parts else []
+    if not below[0]:
+        raise ValueError("no leaf is kept")
+    out, stack = Tree(), [(-1, below[0][0])]
+    while stack:
+        up, (name, length, inner) = stack.pop()
         tag = (tags or {}).get(name)
         node = out.add(up, f"{name}{{{tag}}}" if tag else name, length)
-        for p in inner:
-            put(node, p)
-
-    parts = build(0, 0.0)
-    if not parts:
-        raise ValueError("no leaf is kept")
-    put(-1, parts[0])
+        stack.extend((node, p) for p in reversed(inner))
     return newick.write(out)
 
 
+def tag_counts(text: str) -> dict[str, int]:
+    """How many leaves carry each {tag}."""
+    tree = newick.parse(text)
+    return dict(Counter(n[n.index("{") + 1 : -1] for n in (tree.name[i] for i in tree.leaves()) if n.endswith("}")))
+
+
+def can_relax(text: str, least: int = 2) -> bool:
+    """Whether a tagged tree has at least ``least`` test and as many reference leaves."""
+    counts = tag_counts(text)
+    return counts.get("test", 0) >= least and counts.get("reference", 0) >= least
+
+
 def rooted_like(text: str, reference: str) -> str:
     """The tree rooted so that its root parts the leaves as the reference's does."""
     tree, other = newick.parse(text), newick.parse(reference)

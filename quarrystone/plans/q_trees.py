@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.functions import arrays as arr
 from quarrystone.operators import trees as tr
 from quarrystone.plans.base import table
 from quarrystone.plans.register import query
@@ -53,38 +52,50 @@ def leaf_counts(spark, sf_dir):
     return reach.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("leaves"))
 
 
-# Literal trees: the gene families of the reconciliation query.
+# Gene families of three forms, named by their customer; what each must give follows from its few leaves.
 SPECIES = "((A:1,B:1):1,(C:1,D:1):1);"
-GENES = [
-    ("f1", "((a1:1,a2:1)90/97:1,(b1:1,c1:1)70/60:1);", {"a1": "A", "a2": "A", "b1": "B", "c1": "C"}),
-    ("f2", "((a1:1,b1:1):1,(c1:1,d1:1):1);", {"a1": "A", "b1": "B", "c1": "C", "d1": "D"}),
-    ("f3", "((a1:1,c1:1):1,(b1:1,d1:1):1,a2:1);", {"a1": "A", "c1": "C", "b1": "B", "d1": "D", "a2": "A"}),
-    ("f4", "((a1:1,b1:1):1,x:1);", {"a1": "A", "b1": "B"}),
-]
 
 
-@query()
+def _families(spark, sf_dir):
+    """Four genes as their species; two genes of one species beside another; three genes of one species."""
+    k, n = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
+    leaf = lambda x: F.concat(F.lit(x), n)
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text = (
+        F.when(k == 0, join("((", leaf("a"), ":1,", leaf("b"), ":1)90/97:1,(", leaf("c"), ":1,", leaf("d"), ":1):1);"))
+        .when(k == 1, join("((", leaf("a"), ":1,", leaf("x"), ":1)90/97:1,", leaf("b"), ":1);"))
+        .otherwise(join("(", leaf("a"), ":1,", leaf("x"), ":1,", leaf("y"), ":1);"))
+    )
+    genes = (
+        F.when(k == 0, F.create_map(leaf("a"), F.lit("A"), leaf("b"), F.lit("B"), leaf("c"), F.lit("C"), leaf("d"), F.lit("D")))
+        .when(k == 1, F.create_map(leaf("a"), F.lit("A"), leaf("x"), F.lit("A"), leaf("b"), F.lit("B")))
+        .otherwise(F.create_map(leaf("a"), F.lit("A"), leaf("x"), F.lit("A"), leaf("y"), F.lit("A")))
+    )
+    return table(spark, sf_dir, "customer").select(n.alias("family"), text.alias("newick"), genes.alias("genes"))
+
+
+@query("""WITH f AS (SELECT CAST(c_custkey AS VARCHAR) AS family, c_custkey % 3 AS k FROM customer),
+t AS (SELECT * FROM (VALUES (0, 'family', '', 'SROOT', 0, 0, 3, 1, NULL, -1), (1, 'family', '', 'S001', 1, 0, 1, 1, NULL, -1), (1, 'duplication', 'G0001', 'A', -1, -1, -1, -1, '90/97', 1.0), (2, 'family', '', 'A', 2, 0, 0, 3, NULL, -1),
+(2, 'duplication', 'G0001', 'A', -1, -1, -1, -1, '', 1.0), (2, 'duplication', 'G0002', 'A', -1, -1, -1, -1, 'root_induced', 1.0)) v(k, kind, node, species_node, duplications, losses, speciations, optimal_roots, support, robustness))
+SELECT family, kind, node, species_node, duplications, losses, speciations, optimal_roots, support, round(robustness, 6)::DOUBLE AS robustness FROM f JOIN t USING (k)""")
 def reconcile_dl(spark, sf_dir):
-    families = spark.createDataFrame(GENES, "family string, newick string, genes map<string,string>")
-    return tr.reconcile_families(families, SPECIES)
+    got = tr.reconcile_families(_families(spark, sf_dir), SPECIES)
+    known = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return got.select("family", "kind", F.coalesce("node", F.lit("")).alias("node"), "species_node", *map(known, ("duplications", "losses", "speciations", "optimal_roots")), "support", F.round(F.coalesce("robustness", F.lit(-1.0)), 6).alias("robustness"))
 
 
-@query()
+@query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS tree_id, c_custkey % 9 + 1.0::DOUBLE AS b FROM customer), h AS (SELECT *, greatest(3.0, 1 + b) AS top FROM t)
+SELECT tree_id, name, round(CASE name WHEN 'A' THEN 100.0 WHEN '' THEN 100 / top ELSE 100 * (top - 1) / top END, 6) AS branch_length, CASE name WHEN 'A' THEN 1 WHEN '' THEN 1 ELSE 2 END AS depth, CASE name WHEN 'A' THEN 1 WHEN '' THEN 1 WHEN 'B' THEN 1 + b ELSE 3 END::DOUBLE AS distance FROM h CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('')) v(name)""")
 def newick_nodes(spark, sf_dir):
-    trees = spark.createDataFrame([(f, t) for f, t, _ in GENES], "tree_id string, newick string")
-    return tr.ultrametric(tr.node_table(trees))
-
-
-@query("""SELECT * FROM (VALUES ('s1', 'MKA', 'ATGAAAGCN'), ('s2', 'MK', 'ATGAAATAA'), ('s3', NULL, 'ATGA')) t(id, protein, cds)""")
-def translate_check(spark, sf_dir):
-    rows = spark.createDataFrame([("s1", "atgaaagcn"), ("s2", "AUGAAAUAA"), ("s3", "ATGA")], "id string, raw string")
-    cds = arr.clean_cds(F.col("raw"))
-    return rows.select("id", arr.translated(cds).alias("protein"), cds.alias("cds"))
-
-
-@query("""SELECT * FROM (VALUES ('g1', 'ATGAAA'), ('g2', 'ATG---'), ('g3', 'ATGAAC')) t(id, kept)""")
-def codon_column_filter(spark, sf_dir):
-    from quarrystone.operators.evolution import kept_codons
-
-    rows = spark.createDataFrame([("f", "g1", "ATG---AAANNN"), ("f", "g2", "ATGTAA---NNA"), ("f", "g3", "ATG---AACTAA")], "family string, id string, seq string")
-    return kept_codons(rows, least=2).select("id", "kept")
+    """Tips are moved out to one height, which is scaled to 100."""
+    b = (F.col("c_custkey") % 9 + 1).cast("string")
+    trees = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("tree_id"), F.concat(F.lit("(A:1,(B:"), b, F.lit(",C:2):1);")).alias("newick"))
+    nodes = tr.ultrametric(tr.node_table(trees)).where("parent_id is not null")
+    return nodes.select("tree_id", "name", F.round("branch_length", 6).alias("branch_length"), "depth", "distance")
+
+
+@query("""SELECT count(*) AS trees, 0 AS uneven FROM customer""")
+def ultrametric_check(spark, sf_dir):
+    """No tip of a scaled tree is off the common height, no branch is negative."""
+    trees = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("tree_id"), F.concat(F.lit("(A:1,(B:"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(",C:2):1);")).alias("newick"))
+    return tr.uneven(tr.ultrametric(tr.node_table(trees))).agg(F.count("*").alias("trees"), F.count_if("uneven").cast("int").alias("uneven"))
