@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrystone.core.shared import written
 from quarrystone.functions.arrays import wrapped
 
 
@@ -55,6 +56,18 @@ def manifest(spark: SparkSession, path: str, digest: str | None = None) -> DataF
     return rows.select("name", F.col("length").alias("bytes"), *sums).orderBy("name")
 
 
+def digests(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """(path, sha256 or md5) of every file below a folder but markers."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("_"))
+    return rows.select("path", (F.md5("content") if kind == "md5" else F.sha2("content", 256)).alias(kind))
+
+
+def against(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, status, expected, found): PASS where both sides have the same digest; what one side lacks fails."""
+    both = expected.join(found, key, "full")
+    return both.select(key, F.when(F.col("expected") == F.col("found"), "PASS").otherwise("FAIL").alias("status"), "expected", "found")
+
+
 def step_sizes(spark: SparkSession, path: str) -> DataFrame:
     """(step, files, bytes) of each folder right below ``path``."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
@@ -70,18 +83,34 @@ def blocked_content(spark: SparkSession, path: str, patterns: Mapping[str, str])
 
 
 def commit(df: DataFrame, folder: str, run: str) -> DataFrame:
-    """Writes a run of its own and then points ``latest`` to it; a run is never overwritten."""
+    """Writes a run of its own, marks it complete, and then names it in the log
+    of commits. A run is never overwritten and the log only grows, so readers
+    see the old run or the new one, never none."""
     spark = df.sparkSession
     df.write.mode("errorifexists").parquet(f"{folder}/run_{run}")
-    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").json(f"{folder}/latest")
+    done = spark.createDataFrame([(run,)], "run string").withColumn("at", F.current_timestamp()).coalesce(1)
+    done.write.mode("errorifexists").json(f"{folder}/run_{run}/COMPLETE")
+    done.write.mode("append").json(f"{folder}/commits")
     return spark.read.parquet(f"{folder}/run_{run}")
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    run = spark.read.schema("run string").json(f"{folder}/latest").first()[0]
+    """The run that was committed last; one without its marker is an error."""
+    run = spark.read.schema("run string, at timestamp").json(f"{folder}/commits").agg(F.max_by("run", "at")).first()[0]
+    if spark.read.schema("run string").json(f"{folder}/run_{run}/COMPLETE").first()[0] != run:
+        raise ValueError(f"run {run} is not complete")
     return spark.read.parquet(f"{folder}/run_{run}")
 
 
+def sync(source: DataFrame, target: str, key: str) -> int:
+    """Rows of ``source`` whose key the table at ``target`` lacks are appended; how many. Again, it appends none."""
+    spark = source.sparkSession
+    known = written(spark.read.parquet(target).select(key).distinct(), "known")
+    fresh = written(source.join(known, key, "left_anti"), "fresh")
+    fresh.write.mode("append").parquet(target)
+    return fresh.count()
+
+
 def checks(spark: SparkSession, named: Mapping[str, tuple[object, object]]) -> DataFrame:
     """(check, status, observed, expected), PASS where both agree."""
     rows = [(n, "PASS" if a == b else "FAIL", str(a), str(b)) for n, (a, b) in named.items()]

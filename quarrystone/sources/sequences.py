@@ -19,6 +19,10 @@ def fasta(spark: SparkSession, path: str, mode: str = "raw") -> DataFrame:
     tasks. Text before the first record fails when it is read.
     """
     rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    # Just the first record of a file keeps its >, or is blank; a row per file says whether it does.
+    begins = F.bool_or((F.trim(F.regexp_replace("value", r"\s", "")) == "") | F.col("value").startswith(">"))
+    checked = rows.groupBy("path").agg(begins.alias("good"))
+    rows = rows.join(checked.select("path", F.when(~F.col("good"), F.raise_error(F.lit("text before the first record"))).otherwise(True).alias("good")), "path").where("good")
     text = F.regexp_replace("value", "\r", "")
     head = F.regexp_replace(F.split_part(text, F.lit("\n"), F.lit(1)), "^>", "")
     body = F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"\s", "")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import shared_folder
 from quarrystone.functions.numbers import finite
 
 
@@ -14,9 +16,13 @@ def tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, qu
     """A table with a header, every cell text; ``quoted`` off reads quotes as letters.
 
     With ``columns`` the header must have them all, and just these are kept.
+    A file without a header is an error; bytes that are no UTF-8 become the
+    replacement character.
     """
     reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"' if quoted else "").option("escape", '"')
     df = reader.csv(path)
+    if not df.columns:
+        raise ValueError(f"{path} has no header")
     if columns is not None:
         lacking = [c for c in columns if c not in df.columns]
         if lacking:
@@ -168,9 +174,15 @@ def first_lines(df: DataFrame, by: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:
-    """Rows of a query over an SQLite file that the driver can open; for lookup tables, staged once as Parquet."""
+def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str, rows: int = 50_000) -> DataFrame:
+    """Rows of a query over an SQLite file that the driver can open, staged as
+    Parquet in the shared folder, ``rows`` at a time."""
     import sqlite3
 
+    target = f"{shared_folder(spark)}/quarrystone/sqlite-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(target)
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        return spark.createDataFrame(db.execute(sql).fetchall(), schema)
+        found = db.execute(sql)
+        while part := found.fetchmany(rows):
+            spark.createDataFrame(part, schema).write.mode("append").parquet(target)
+    return spark.read.parquet(target)
