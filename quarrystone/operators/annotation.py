@@ -39,6 +39,12 @@ def coverage(df: DataFrame, metrics: Mapping[str, Column]) -> DataFrame:
     return counts.unpivot("total", list(metrics), "metric", "n").select("metric", "n", "total", ratio(F.col("n"), F.col("total")).alias("share"))
 
 
+def family_coverage(df: DataFrame, by: str, annotated: Column) -> DataFrame:
+    """(by, n, annotated, share) of each family."""
+    got = df.groupBy(by).agg(F.count("*").alias("n"), F.count_if(annotated).alias("annotated"))
+    return got.withColumn("share", ratio(F.col("annotated"), F.col("n")))
+
+
 def comparison_sets(df: DataFrame, by: Sequence[str], item: str, least: int = 5) -> DataFrame:
     """Items of each comparison that has at least ``least`` of them."""
     rows = df.select(*by, item).distinct()

@@ -44,6 +44,13 @@ def family_tier(high: Column, candidate: Column, q: Column) -> Column:
     return F.when(high > 0, "high").when(q <= FDR, "fdr_supported").when(candidate > 0, "candidate").otherwise("family_only")
 
 
+def with_all(found: DataFrame, every: DataFrame, family: str = "family") -> DataFrame:
+    """``families`` of every row of ``every`` (family, q): those without an event have zero counts, no best event and a tier by q alone."""
+    counts = ["high_events", "candidate_events", "terminal_expansions", "terminal_contractions"]
+    rows = every.select(family, F.round("q", 9).alias("q")).join(found.drop("q", "tier"), family, "left").na.fill(0, counts)
+    return rows.withColumn("tier", family_tier(F.col("high_events"), F.col("candidate_events"), F.col("q")))
+
+
 def families(events: DataFrame, family: str = "family") -> DataFrame:
     """Events (tier, direction, terminal, score, node, change, p, q) by family:
     counts, the best event (highest score, then first node) and the tier."""

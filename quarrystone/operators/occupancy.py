@@ -65,6 +65,16 @@ def category_summary(stats: DataFrame) -> DataFrame:
     return filled.select("category", "families", share("families").alias("percent_families"), "copies", share("copies").alias("percent_copies"))
 
 
+def comma_items(cell: Column) -> Column:
+    """How many items a cell lists that are not blank."""
+    return F.size(F.filter(F.split(F.coalesce(cell, F.lit("")), ","), lambda x: F.trim(x) != "")).cast("bigint")
+
+
+def group_summary(stats: DataFrame, by: str) -> DataFrame:
+    """A row per group: its families, their copies, and a count of each category."""
+    return stats.groupBy(by).agg(F.count("*").alias("families"), F.sum("total").alias("copies"), *[F.count_if(F.col("category") == c).alias(c) for c in CATEGORIES])
+
+
 def class_presence(copies: DataFrame, in_first: Column, names: tuple[str, str], family: str = "family", n: str = "n") -> DataFrame:
     """Copies and species of each family in two classes of species, and whether it is shared."""
     first, second = names

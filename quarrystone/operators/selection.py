@@ -19,6 +19,12 @@ def longest_isoforms(records: DataFrame) -> DataFrame:
     )
 
 
+def longest_per(df: DataFrame, by: list[str], seq: str, ident: str) -> DataFrame:
+    """(by, longest, ident): the longest sequence of each group without its stops, then the larger id."""
+    length = F.length(F.replace(seq, F.lit("*"), F.lit(""))).cast("bigint")
+    return df.groupBy(*by).agg(F.max(length).alias("longest"), F.max_by(ident, F.struct(length, F.col(ident))).alias(ident))
+
+
 def rule_counts(isoforms: DataFrame) -> DataFrame:
     """(species, rules): how many genes each rule named, as rule:n joined by semicolons."""
     counts = isoforms.groupBy("species", "rule").agg(F.count("*").alias("n"))
@@ -61,3 +67,14 @@ def run_status(selected: DataFrame, done: DataFrame, failed: DataFrame, key: str
     """Selected rows with ``status`` from the markers found: failed, complete or missing."""
     rows = selected.join(done.select(key, F.lit(True).alias("_done")).distinct(), key, "left").join(failed.select(key, F.lit(True).alias("_failed")).distinct(), key, "left")
     return rows.withColumn("status", F.when(F.col("_failed"), "failed").when(F.col("_done"), "complete").otherwise("missing")).drop("_done", "_failed")
+
+
+def status_summary(rows: DataFrame, by: str) -> DataFrame:
+    """Families of each group, and how many are complete, failed or missing."""
+    return rows.groupBy(by).agg(F.count("*").alias("families"), *[F.count_if(F.col("status") == s).alias(s) for s in ("complete", "failed", "missing")])
+
+
+def ranges_or_zero(df: DataFrame, every: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, smallest, largest) of every group, 0 where ``df`` has no row of it."""
+    got = df.groupBy(by).agg(F.min(value).alias("smallest"), F.max(value).alias("largest"))
+    return every.join(got, by, "left").na.fill(0, ["smallest", "largest"])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from quarrystone.functions.stats import shannon_bits
+from quarrystone.functions.stats import places, shannon_bits
 
 # Statuses by severity.
 SEVERITY = ("pass", "review", "review_high", "exclude_recommended")
@@ -30,13 +30,29 @@ def with_length_ratio(df: DataFrame, family: str, length: str) -> DataFrame:
     return df.join(stats, family).withColumn("length_ratio", F.try_divide(F.col(length), F.col("family_median")))
 
 
-def duplicate_groups(df: DataFrame) -> DataFrame:
-    """Groups of two or more rows (digest, family, species, item) with one digest, and their context."""
-    got = df.groupBy("digest").agg(
-        F.count("*").alias("members"), F.countDistinct("species").alias("_s"), F.countDistinct("family").alias("_f"), F.array_sort(F.collect_list("item")).alias("items")
-    )
+def duplicate_context(groups: GroupedData, *more: Column) -> DataFrame:
+    """(digest, members, context, …) of rows (digest, family, species) grouped by digest."""
+    got = groups.agg(F.count("*").alias("members"), F.countDistinct("species").alias("_s"), F.countDistinct("family").alias("_f"), *more)
     context = F.when(F.col("_f") > 1, "cross_orthogroup").when(F.col("_s") == 1, "within_species_family").otherwise("cross_species_family")
-    return got.where("members >= 2").select("digest", "members", context.alias("context"), "items")
+    return got.withColumn("context", context).drop("_s", "_f")
+
+
+def duplicate_groups(df: DataFrame) -> DataFrame:
+    """(duplicate_group, digest, members, context, first): groups of two or more
+    rows (digest, family, species, item) with one digest, numbered by digest,
+    and their smallest item. Members are a table of their own (``duplicate_members``)."""
+    got = duplicate_context(df.groupBy("digest"), F.min("item").alias("first")).where("members >= 2")
+    return places(got, "digest").withColumn("duplicate_group", F.concat(F.lit("DUP"), F.lpad(F.col("place").cast("string"), 6, "0"))).drop("place")
+
+
+def duplicate_members(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """(duplicate_group, item): a row per member, however many a group has."""
+    return df.join(groups.select("digest", "duplicate_group"), "digest").select("duplicate_group", "item")
+
+
+def repeated(df: DataFrame, ident: str) -> DataFrame:
+    """(ident, n) of ids that occur more than once."""
+    return df.groupBy(ident).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def entropy(df: DataFrame, ident: str, text: Column, kept: str) -> DataFrame:
@@ -51,10 +67,10 @@ def expression_bin(tpm: Column) -> Column:
 
 def rollup(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value: str, detected: float) -> DataFrame:
     """Two levels of sums: counts, detected ones, total and largest of each inner group, then of each outer one."""
-    a = df.groupBy(*inner).agg(F.count("*").alias("copies"), F.count_if(F.col(value) >= detected).alias("detected"), F.sum(value).alias("total"), F.max(value).alias("most"))
+    a = df.groupBy(*inner).agg(F.count("*").alias("copies"), F.count_if(F.col(value) >= detected).alias("detected"), F.sum(value).alias("total"), F.max(value).alias("most"), F.avg(value).alias("mean"))
     return a.groupBy(*outer).agg(
         F.count("*").alias("groups"), F.count_if(F.col("detected") > 0).alias("detected_groups"), F.sum("copies").alias("copies"),
-        F.sum("detected").alias("detected"), F.sum("total").alias("total"), F.max("most").alias("most"),
+        F.sum("detected").alias("detected"), F.sum("total").alias("total"), F.max("most").alias("most"), F.avg("mean").alias("mean"),
     )
 
 

@@ -27,17 +27,17 @@ def rule_counters(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT source AS species, round(100.0::DOUBLE * count(quality) / count(*), 1) AS complete_pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
-SELECT species, complete_pct, CASE WHEN complete_pct >= 40 THEN 'core' ELSE 'supplementary' END AS analysis_role FROM s""")
+SELECT species, complete_pct, CASE WHEN complete_pct >= 40 THEN 'core' ELSE 'supplementary' END AS analysis_role, 'BUSCO complete ' || format('{:.1f}', complete_pct) || CASE WHEN complete_pct >= 40 THEN '% >= 40.0%' ELSE '% < 40.0%' END AS reason FROM s""")
 def core_set(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     s = d.groupBy(F.col("source").alias("species")).agg(F.round(100.0 * F.count("quality") / F.count("*"), 1).alias("complete_pct"))
-    return se.core_set(s, least=40.0).drop("reason")
+    return se.core_set(s, least=40.0)
 
 
 @query("""WITH a AS (SELECT p_type AS family, count(*) AS original, count(*) FILTER (p_size > 5) AS kept, count(DISTINCT p_brand) FILTER (p_size > 5) AS species, count(DISTINCT p_name) FILTER (p_size > 5) AS uniq,
 count(*) FILTER (p_size > 40) AS direct, count(*) FILTER (p_size BETWEEN 6 AND 10) AS review, max(p_size) AS change FROM part GROUP BY 1)
 SELECT family, round(kept % 13 + least(abs(change), 100.0) * 0.1 + species * 2.0 + direct / greatest(kept, 1)::DOUBLE * 10 - review / greatest(kept, 1)::DOUBLE * 4 - (original - kept) / original::DOUBLE * 3, 6) AS score,
-kept >= 4 AND species >= 3 AND uniq >= 3 AS eligible FROM a""")
+kept >= 4 AND species >= 3 AND uniq >= 3 AS eligible, array_to_string(list_filter([CASE WHEN kept < 4 THEN 'too_few_strict_sequences' END, CASE WHEN species < 3 THEN 'too_few_species' END, CASE WHEN uniq < 3 THEN 'too_few_unique_sequences' END], lambda x: x IS NOT NULL), ';') AS why FROM a""")
 def selection_score(spark, sf_dir):
     big = F.col("p_size") > 5
     a = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("family")).agg(
@@ -45,8 +45,8 @@ def selection_score(spark, sf_dir):
         F.count_if(F.col("p_size") > 40).alias("direct"), F.count_if(F.col("p_size").between(6, 10)).alias("review"), F.max("p_size").alias("change"),
     )
     c = F.col
-    ok, _ = se.eligible(c("kept"), c("species"), c("uniq"))
-    return a.select("family", F.round(se.selection_score(c("kept") % 13, c("change"), c("species"), c("direct"), c("review"), c("kept"), c("original")), 6).alias("score"), ok.alias("eligible"))
+    ok, why = se.eligible(c("kept"), c("species"), c("uniq"))
+    return a.select("family", F.round(se.selection_score(c("kept") % 13, c("change"), c("species"), c("direct"), c("review"), c("kept"), c("original")), 6).alias("score"), ok.alias("eligible"), why.alias("why"))
 
 
 @query("""SELECT CASE WHEN n_regionkey < 2 THEN 'west' ELSE 'east' END AS grp, n_name AS species, CASE WHEN n_nationkey % 2 = 0 THEN 'available_single_library' ELSE 'unavailable' END AS status, CASE WHEN n_nationkey % 2 = 0 THEN 'R' || n_nationkey ELSE '' END AS accession FROM nation

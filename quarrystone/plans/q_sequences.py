@@ -8,6 +8,7 @@ from quarrystone.functions import arrays as arr
 from quarrystone.functions import stats as st
 from quarrystone.operators import annotation as an
 from quarrystone.operators import ranking as rk
+from quarrystone.operators import selection as sel
 from quarrystone.operators import validation as va
 from quarrystone.plans.base import table
 from quarrystone.plans.register import query
@@ -18,13 +19,13 @@ def _docs(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT md5(text) AS digest, count(*) AS members, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) >= 2)
-SELECT digest, members, first, CASE WHEN langs > 1 THEN 'cross_orthogroup' WHEN sources = 1 THEN 'within_species_family' ELSE 'cross_species_family' END AS context FROM g""")
+SELECT 'DUP' || lpad(CAST(row_number() OVER (ORDER BY digest) AS VARCHAR), 6, '0') AS duplicate_group, digest, members, first, CASE WHEN langs > 1 THEN 'cross_orthogroup' WHEN sources = 1 THEN 'within_species_family' ELSE 'cross_species_family' END AS context FROM g""")
 def dup_groups_md5(spark, sf_dir):
     d = _docs(spark, sf_dir).select(F.md5("text").alias("digest"), F.col("lang").alias("family"), F.col("source").alias("species"), F.col("doc_id").alias("item"))
-    return va.duplicate_groups(d).select("digest", "members", F.col("items")[0].alias("first"), "context")
+    return va.duplicate_groups(d).select("duplicate_group", "digest", "members", "first", "context")
 
 
-@query("""WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS ch FROM documents WHERE length(text) < 2000), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch >= 'a' AND ch <= 'z' AND length(ch) = 1 GROUP BY 1, 2),
+@query("""WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch >= 'a' AND ch <= 'z' AND length(ch) = 1 GROUP BY 1, 2),
 t AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id)::DOUBLE AS p FROM n) SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM t GROUP BY 1""")
 def entropy_bits(spark, sf_dir):
     return va.entropy(_docs(spark, sf_dir), "doc_id", F.lower("text"), "^[a-z]$").select("doc_id", F.round("bits", 6).alias("bits"))
@@ -36,9 +37,9 @@ def char_histogram(spark, sf_dir):
     return _docs(spark, sf_dir).select(F.explode(F.split(odd, "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
 
 
-@query("SELECT text, count(*) AS n FROM benchmark GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT p_name AS id, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def dup_ids(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").groupBy("text").agg(F.count("*").alias("n")).where("n > 1")
+    return va.repeated(table(spark, sf_dir, "part"), "p_name").withColumnRenamed("p_name", "id")
 
 
 @query("""WITH m AS (SELECT source, median(n_chars) AS med, count(*) AS size FROM documents GROUP BY 1), f AS (
@@ -117,7 +118,7 @@ def seq_ids(spark, sf_dir):
     return rk.serial(table(spark, sf_dir, "part"), "L", 4, "serial", ["p_brand"], F.col("p_partkey")).select("p_brand", "p_partkey", "serial")
 
 
-@query("""WITH u AS (SELECT doc_id AS id, text, 'documents' AS source FROM documents UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark UNION ALL SELECT conv_id, text, 'conversations' FROM conversations WHERE turn = 0)
+@query("""WITH u AS (SELECT doc_id AS id, text, 'documents' AS source FROM documents UNION ALL SELECT item_id, text, 'benchmark' FROM benchmark UNION ALL SELECT conv_id, text, 'conversations' FROM conversations)
 SELECT id, string_agg(DISTINCT source, ';' ORDER BY source) AS sources, count(DISTINCT text) - 1 AS conflicts FROM u GROUP BY 1""")
 def union_distinct_sources(spark, sf_dir):
     sources = {
@@ -128,9 +129,10 @@ def union_distinct_sources(spark, sf_dir):
     return an.union_distinct(sources, "id", "text").select("id", F.array_join("sources", ";").alias("sources"), "conflicts")
 
 
-@query("""SELECT source, max(n_chars) AS longest, arg_max(doc_id, n_chars * 1000000000 + doc_id) AS doc_id FROM documents GROUP BY 1""")
+@query("""SELECT lang, source, max(length(replace(text, '*', ''))) AS longest, arg_max(doc_id, length(replace(text, '*', ''))::BIGINT * 1000000000 + doc_id) AS doc_id FROM documents GROUP BY 1, 2""")
 def longest_per_key(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("source").agg(F.max("n_chars").alias("longest"), F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
+    """The longest text of each language and source, stops not counted; of equally long ones the larger id."""
+    return sel.longest_per(_docs(spark, sf_dir), ["lang", "source"], "text", "doc_id")
 
 
 @query("""SELECT doc_id, source, arg_max(doc_id, n_chars * 1000000000 + doc_id) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS winner_then FROM documents""")
@@ -150,11 +152,11 @@ def expression_bins(spark, sf_dir):
     return e.groupBy("bin").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("""WITH g AS (SELECT event_type, user_id, count(*) AS copies, count(*) FILTER (value >= 10) AS detected, sum(value) AS total, max(value) AS most FROM events GROUP BY 1, 2)
-SELECT event_type, count(*) AS users, count(*) FILTER (detected > 0) AS detected_users, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(detected) AS BIGINT) AS detected, round(sum(total), 4) AS total, max(most) AS most FROM g GROUP BY 1""")
+@query("""WITH g AS (SELECT event_type, user_id, count(*) AS copies, count(*) FILTER (value >= 10) AS detected, sum(value) AS total, max(value) AS most, avg(value) AS mean FROM events GROUP BY 1, 2)
+SELECT event_type, count(*) AS users, count(*) FILTER (detected > 0) AS detected_users, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(detected) AS BIGINT) AS detected, round(sum(total), 4) AS total, max(most) AS most, round(avg(mean), 4) AS mean FROM g GROUP BY 1""")
 def two_level_rollup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return va.rollup(e, ["event_type", "user_id"], ["event_type"], "value", 10.0).withColumnsRenamed({"groups": "users", "detected_groups": "detected_users"}).withColumn("total", F.round("total", 4))
+    return va.rollup(e, ["event_type", "user_id"], ["event_type"], "value", 10.0).withColumnsRenamed({"groups": "users", "detected_groups": "detected_users"}).withColumns({"total": F.round("total", 4), "mean": F.round("mean", 4)})
 
 
 @query("SELECT event_type, t AS threshold, count(*) FILTER (value >= t) AS detected FROM events CROSS JOIN (SELECT unnest([1.0::DOUBLE, 10.0::DOUBLE, 50.0::DOUBLE]) AS t) GROUP BY 1, 2")

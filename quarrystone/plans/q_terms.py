@@ -51,6 +51,12 @@ def coverage_metrics(spark, sf_dir):
     ).withColumn("share", F.round("share", 6))
 
 
+@query("""SELECT source AS family, count(*) AS n, count(quality) AS annotated, round(count(quality) / count(*)::DOUBLE, 6) AS share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def family_coverage(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return an.family_coverage(d.select(F.col("source").alias("family"), F.col("quality").isNotNull().alias("known")), "family", F.col("known")).withColumn("share", F.round("share", 6))
+
+
 ENRICH = f"""{WORDS},
 pop AS (SELECT count(DISTINCT p_partkey) AS population FROM words),
 target AS (SELECT DISTINCT p_brand AS comparison, p_partkey FROM words),
@@ -71,18 +77,22 @@ def contingency_counts(spark, sf_dir):
     return _cells(spark, sf_dir)
 
 
-@query(f"""WITH {ENRICH}, lf AS (SELECT list(lgamma(i + 1) ORDER BY i) AS lf FROM range(0, 200001) t(i)),
+ENRICHED = f"""WITH {ENRICH}, lf AS (SELECT list(lgamma(i + 1) ORDER BY i) AS lf FROM range(0, 200001) t(i)),
 tails AS (
   SELECT comparison, term, population, marked, drawn, hits,
          least(1.0, list_sum(list_transform(range(hits, least(marked, drawn) + 1), lambda i:
            exp(lf[marked + 1] - lf[i + 1] - lf[marked - i + 1] + lf[population - marked + 1] - lf[drawn - i + 1] - lf[population - marked - drawn + i + 1]
                - lf[population + 1] + lf[drawn + 1] + lf[population - drawn + 1])))) AS p
   FROM cells, lf
-), r AS (SELECT *, count(*) OVER (PARTITION BY comparison) AS m, row_number() OVER (PARTITION BY comparison ORDER BY p) AS rn FROM tails)
-SELECT comparison, term, hits, round(p, 9) AS p_value, round(least(1.0, min(p * m / rn) OVER (PARTITION BY comparison ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)), 9) AS q_bh,
+), r AS (SELECT *, count(*) OVER (PARTITION BY comparison) AS m, row_number() OVER (PARTITION BY comparison ORDER BY p) AS rn FROM tails),
+adjusted AS (SELECT *, least(1.0, min(p * m / rn) OVER (PARTITION BY comparison ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r)"""
+
+
+@query(ENRICHED + """
+SELECT comparison, term, hits, round(p, 9) AS p_value, round(q, 9) AS q_bh,
        round((hits / drawn::DOUBLE) / (marked / population::DOUBLE), 6) AS fold,
        round((hits + 0.5) * (population - drawn - (marked - hits) + 0.5) / ((drawn - hits + 0.5) * (marked - hits + 0.5)), 6) AS odds_ratio
-FROM r""")
+FROM adjusted""")
 def enrichment_hypergeom(spark, sf_dir):
     got = an.enrichment(_cells(spark, sf_dir), ["comparison"])
     return got.select("comparison", "term", "hits", F.round("p_value", 9).alias("p_value"), F.round("q_bh", 9).alias("q_bh"), F.round("fold", 6).alias("fold"), F.round("odds_ratio", 6).alias("odds_ratio"))
@@ -112,13 +122,6 @@ def jaccard_terms(spark, sf_dir):
     return p.join(o, p.p_partkey == o.k).select("p_partkey", "other", F.round(arr.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 
-@query("""SELECT doc_id, CASE WHEN quality IS NOT NULL THEN 'labelled' ELSE 'unlabelled' END AS status
-FROM documents LEFT JOIN labels USING (doc_id)""")
-def annotation_status(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.select("doc_id", F.when(F.col("quality").isNotNull(), "labelled").otherwise("unlabelled").alias("status"))
-
-
 @query("""SELECT o_orderpriority, round(ps.rho, 6) AS rho FROM (SELECT o_orderpriority, corr(rx, ry) AS rho FROM (
 SELECT o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0 AS rx,
 rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2.0 AS ry FROM orders) GROUP BY 1) ps""")
