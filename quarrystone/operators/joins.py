@@ -76,6 +76,13 @@ def two_hop(df: DataFrame, key: str, merged: DataFrame, known: DataFrame) -> Dat
     return now.join(known.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
 
 
+def matched(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of two tables that must have the same keys; a key that one side lacks is an error when the rows are read."""
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), list(keys), "full")
+    lacking = F.raise_error(F.concat(F.lit("only one table has "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("boolean")
+    return both.where(F.when(F.col("_a").isNull() | F.col("_b").isNull(), lacking).otherwise(True)).drop("_a", "_b")
+
+
 def renamed(df: DataFrame, mapping: DataFrame, key: str, new: str) -> DataFrame:
     """The key replaced by ``mapping`` (key, new); a key that it lacks is an error when the rows are read."""
     joined = df.join(mapping, key, "left")

@@ -311,6 +311,33 @@ def with_identical(text: str, sequences: dict[str, str]) -> str:
     return newick.write(out)
 
 
+def _text_column(df: DataFrame, out: str, ddl: str, work, *columns: str) -> DataFrame:
+    """``df`` with the column ``out`` that ``work`` makes of others, in Arrow batches; an error in a row is the job's."""
+    return df.withColumn(out, F.udf(work, ddl, useArrow=True)(*map(F.col, columns)))
+
+
+def pruned_column(df: DataFrame, text: str, keep: str, tags: str, out: str) -> DataFrame:
+    """``pruned`` of each row (text, array of leaves, map of tags), with the numbers of test and reference leaves and whether these suffice."""
+
+    def work(newick_text, kept, tag):
+        tree = pruned(newick_text, set(kept), dict(tag or ()))
+        counts = tag_counts(tree)
+        return {"tree": tree, "test": counts.get("test", 0), "reference": counts.get("reference", 0), "relax": can_relax(tree)}
+
+    done = _text_column(df, "_pruned", "tree string, test int, reference int, relax boolean", work, text, keep, tags)
+    return done.withColumns({out: F.col("_pruned.tree"), "test": F.col("_pruned.test"), "reference": F.col("_pruned.reference"), "can_relax": F.col("_pruned.relax")}).drop("_pruned")
+
+
+def rerooted_column(df: DataFrame, text: str, reference: str, out: str) -> DataFrame:
+    """``rooted_like`` of each row."""
+    return _text_column(df, out, "string", rooted_like, text, reference)
+
+
+def restored_column(df: DataFrame, text: str, sequences: str, out: str) -> DataFrame:
+    """``with_identical`` of each row (text, map of label to sequence)."""
+    return _text_column(df, out, "string", lambda t, s: with_identical(t, dict(s)), text, sequences)
+
+
 def priority(high: Column, strong: Column, duplications: Column, low: Column, optimal_roots: Column) -> Column:
     """How much a reconciled family deserves a look."""
     return 100 * high + 10 * strong + duplications - low - F.greatest(F.lit(0), optimal_roots - 1)

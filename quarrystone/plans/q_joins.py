@@ -187,3 +187,12 @@ def run_summary(spark, sf_dir):
     """How many families of each group are done."""
     p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), "p_partkey", "p_size")
     return se.status_summary(se.run_status(p, p.where("p_size % 3 = 0"), p.where("p_size % 3 = 1"), "p_partkey"), "grp")
+
+
+@query("SELECT p_partkey AS family, node, p_size AS change, p_size + CASE node WHEN 'A<1>' THEN 1 ELSE 2 END AS child FROM part CROSS JOIN (VALUES ('A<1>'), ('<2>')) t(node)")
+def aligned_nodes(spark, sf_dir):
+    """Changes and counts of every family and node; a pair that one of them lacks would be an error."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("family"), "p_size", F.explode(F.array(F.lit("A<1>"), F.lit("<2>"))).alias("node"))
+    change = p.select("family", "node", F.col("p_size").alias("change"))
+    count = p.select("family", "node", (F.col("p_size") + F.when(F.col("node") == "A<1>", 1).otherwise(2)).alias("child"))
+    return jn.matched(change, count, ["family", "node"])

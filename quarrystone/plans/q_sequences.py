@@ -80,6 +80,14 @@ def interval_union(spark, sf_dir):
     return arr.interval_union(rows, ["user_id"], "s", "e", "covered")
 
 
+@query("""SELECT l_orderkey, count(DISTINCT place) AS covered FROM (SELECT l_orderkey, unnest(range(greatest(1, l_linenumber * 10 - 15), least(60, l_linenumber * 10 - 15 + CAST(l_quantity AS BIGINT)) + 1)) AS place FROM lineitem) GROUP BY 1""")
+def clipped_coverage(spark, sf_dir):
+    """Places that hits cover on a sequence of 60, beyond whose ends some reach."""
+    start = F.col("l_linenumber") * 10 - 15
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", start.alias("s"), (start + F.col("l_quantity").cast("bigint")).alias("e"))
+    return arr.interval_union(rows, ["l_orderkey"], "s", "e", "covered", F.lit(60))
+
+
 @query("""SELECT lang, count(*) FILTER (quality = 1) AS pass, count(*) FILTER (quality = 0) AS review, count(*) FILTER (toxic = 1) AS high,
 10 * count(*) FILTER (toxic = 1) + count(*) FILTER (quality = 0) AS priority FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
 def crosstab_status(spark, sf_dir):
@@ -164,25 +172,33 @@ def detection_counts(spark, sf_dir):
     return va.detection(table(spark, sf_dir, "events"), ["event_type"], "value", (1.0, 10.0, 50.0))
 
 
-@query("""WITH r AS (SELECT quality, n_chars, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM documents JOIN labels USING (doc_id)),
+WILCOXON = """WITH r AS (SELECT quality, n_chars, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS rk FROM documents JOIN labels USING (doc_id)),
 t AS (SELECT sum(n * n * n - n) AS ties FROM (SELECT n_chars, count(*)::DOUBLE AS n FROM r GROUP BY 1)),
-s AS (SELECT sum(rk) FILTER (quality = 1) AS ra, count(*) FILTER (quality = 1)::DOUBLE AS a, count(*)::DOUBLE AS n FROM r)
-SELECT round(ra - a * (a + 1) / 2, 6) AS w, round((ra - a * (a + 1) / 2 - a * (n - a) / 2 - 0.5 * sign(ra - a * (a + 1) / 2 - a * (n - a) / 2)) / sqrt(a * (n - a) / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM s, t""")
+s AS (SELECT sum(rk) FILTER (quality = 1) AS ra, count(*) FILTER (quality = 1)::DOUBLE AS a, count(*)::DOUBLE AS n FROM r),
+result AS (SELECT ra - a * (a + 1) / 2 AS w, (ra - a * (a + 1) / 2 - a * (n - a) / 2 - 0.5 * sign(ra - a * (a + 1) / 2 - a * (n - a) / 2)) / sqrt(a * (n - a) / 12 * (n + 1 - ties / (n * (n - 1)))) AS z FROM s, t)"""
+
+
+@query(WILCOXON + " SELECT round(w, 6) AS w, round(z, 6) AS z FROM result")
 def wilcoxon_statistic(spark, sf_dir):
     d = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     return st.rank_sum_test(d, "n_chars", F.col("quality") == 1).select(F.round("w", 6).alias("w"), F.round("z", 6).alias("z"))
 
 
-@query()
+# The tail of the normal curve by Simpson's rule over twelve deviations.
+@query(WILCOXON + """, x AS (SELECT round(w, 6) AS w, abs(z) AS z FROM (SELECT * FROM result))
+SELECT w, round(2 * (12.0 / 4000 / 3) * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * (z + i * 12.0 / 4000) * (z + i * 12.0 / 4000)) / sqrt(2 * pi()))), 6) AS p_value FROM x""")
 def wilcoxon_p_value(spark, sf_dir):
     d = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    return st.rank_sum_test(d, "n_chars", F.col("quality") == 1)
+    return st.rank_sum_test(d, "n_chars", F.col("quality") == 1).select(F.round("w", 6).alias("w"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("""WITH r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS x, rank() OVER (ORDER BY doc_id) AS y FROM documents)
-SELECT count(*)::DOUBLE AS n, round(corr(x, y), 6) AS rho FROM r""")
+SELECT n, round(rho, 6) AS rho, round(list_sum(list_transform(range(0, 20001), lambda i: CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(0.0, cos(a + (pi() / 2 - a) * i / 20000)), n - 3))) * (pi() / 2 - a)
+ / (list_sum(list_transform(range(0, 20001), lambda i: CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(0.0, cos(pi() / 2 * i / 20000)), n - 3))) * (pi() / 2)), 6) AS p_value
+FROM (SELECT n, rho, atan(abs(rho) / sqrt(1 - rho * rho)) AS a FROM (SELECT count(*)::DOUBLE AS n, corr(x, y) AS rho FROM r))""")
 def spearman_statistic(spark, sf_dir):
-    return st.spearman_test(_docs(spark, sf_dir), "n_chars", "doc_id").select("n", F.round("rho", 6).alias("rho"))
+    """The tail of Student's t, in SQL by Simpson's rule over the angle whose tangent it is."""
+    return st.spearman_test(_docs(spark, sf_dir), "n_chars", "doc_id").select("n", F.round("rho", 6).alias("rho"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("""WITH c AS (SELECT lang, count(*) FILTER (toxic = 1 AND quality = 1)::BIGINT AS a, count(*) FILTER (toxic = 1 AND quality = 0)::BIGINT AS b, count(*) FILTER (toxic = 0 AND quality = 1)::BIGINT AS c, count(*) FILTER (toxic = 0 AND quality = 0)::BIGINT AS d

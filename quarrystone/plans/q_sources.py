@@ -349,3 +349,33 @@ def staged_table(spark, sf_dir):
             db.execute("CREATE TABLE species (taxid INT, region INT)")
             db.executemany("INSERT INTO species VALUES (?, ?)", rows)
         return tb.sqlite_table(spark, path, "SELECT taxid, region FROM species", "taxon bigint, region bigint", rows=10)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT n_nationkey) AS keys, count(*) FILTER (n_regionkey > 1) AS first, 0 AS again FROM nation")
+def synced_rows(spark, sf_dir):
+    """What an archive lacks is appended once."""
+    n, path = table(spark, sf_dir, "nation"), _place(spark, "archive")
+    n.where("n_regionkey <= 1").write.parquet(path)
+    first, again = sinks.sync(n, path, "n_nationkey"), sinks.sync(n, path, "n_nationkey")
+    return spark.read.parquet(path).agg(F.count("*").alias("n"), F.countDistinct("n_nationkey").alias("keys"), F.lit(first).cast("bigint").alias("first"), F.lit(again).alias("again"))
+
+
+@query("SELECT * FROM (VALUES ('interpreter', 'ok'), ('nothing', 'missing'), ('failing', 'exit_3')) t(tool, status)")
+def tool_versions(spark, sf_dir):
+    """Programs of the driver's machine and whether they answer."""
+    import sys
+
+    from quarrystone.operators.audit import versions
+
+    rows = versions([("interpreter", [sys.executable, "--version"]), ("nothing", ["no-such-program-here"]), ("failing", [sys.executable, "-c", "raise SystemExit(3)"])])
+    return spark.createDataFrame([r[:2] for r in rows], "tool string, status string")
+
+
+@query("SELECT count(*) AS bars, true AS titled FROM region")
+def region_chart(spark, sf_dir):
+    """A bar for each row of a summary, as SVG."""
+    from quarrystone.operators.audit import bar_chart
+
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n")).orderBy("n_regionkey").collect()  # a bar each
+    svg = bar_chart("Nations & regions", [(f"<{r.n_regionkey}>", r.n) for r in rows])
+    return spark.createDataFrame([(svg.count("<rect"), "Nations &amp; regions" in svg)], "bars bigint, titled boolean")

@@ -99,3 +99,28 @@ def ultrametric_check(spark, sf_dir):
     """No tip of a scaled tree is off the common height, no branch is negative."""
     trees = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("tree_id"), F.concat(F.lit("(A:1,(B:"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(",C:2):1);")).alias("newick"))
     return tr.uneven(tr.ultrametric(tr.node_table(trees))).agg(F.count("*").alias("trees"), F.count_if("uneven").cast("int").alias("uneven"))
+
+
+@query("""SELECT c_custkey, '(a' || c_custkey || '{test}:2,(c{reference}:1,d:1):2);' AS tree, 1 AS test, 1 AS reference, false AS can_relax FROM customer""")
+def pruned_trees(spark, sf_dir):
+    """Trees of the leaves that are kept, some of them tagged, and how many carry each tag."""
+    a = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
+    text = F.concat(F.lit("(("), a, F.lit(":1,b:2)90/97:1,(c:1,d:1)70:2);"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("newick"), F.array(a, F.lit("c"), F.lit("d")).alias("keep"), F.create_map(a, F.lit("test"), F.lit("c"), F.lit("reference")).alias("tags"))
+    return tr.pruned_column(rows, "newick", "keep", "tags", "tree").select("c_custkey", "tree", "test", "reference", "can_relax")
+
+
+@query("""SELECT c_custkey, '((a' || c_custkey || ':1,b:1):1,(c:1,d:1):1);' AS tree FROM customer""")
+def rerooted_trees(spark, sf_dir):
+    """Trees rooted where a reference parts their leaves."""
+    a = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("("), a, F.lit(":1,b:1,(c:1,d:1):2);")).alias("newick"), F.concat(F.lit("((d:9,c:9):9,(b:9,"), a, F.lit(":9):9);")).alias("reference"))
+    return tr.rerooted_column(rows, "newick", "reference", "tree").select("c_custkey", "tree")
+
+
+@query("""SELECT c_custkey, '((a' || c_custkey || ':0,c:0):1,b:2);' AS tree FROM customer""")
+def restored_leaves(spark, sf_dir):
+    """Leaves left out for an identical sequence stand beside it again."""
+    a = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("("), a, F.lit(":1,b:2);")).alias("newick"), F.create_map(a, F.lit("MKL"), F.lit("b"), F.lit("MKV"), F.lit("c"), F.lit("MKL")).alias("sequences"))
+    return tr.restored_column(rows, "newick", "sequences", "tree").select("c_custkey", "tree")
