@@ -195,19 +195,20 @@ def nearest(
     part, nor do rows without an id. Vectors of different lengths are never
     compared. A repeated row counts once; of several vectors with one id each
     is a candidate and a query, and none is a candidate of its own id. A tie
-    goes to the smaller id. With fewer than ``k`` others, all are returned.
+    goes to the smaller id. With fewer than ``k`` others, all are returned. An
+    empty table, or one without a query, gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     square = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v)
     vectors = written(valid_vectors(df, id_col, vector_col).withColumns({"dim": F.size("x"), "square": square}), "vectors")
     asked = F.col("vec_id") % every == 0
     sizes = {r.dim: r for r in vectors.groupBy("dim").agg(F.count("*").alias("n"), F.sum(asked.cast("bigint")).alias("q"), F.max("square").alias("most")).collect()}  # a row per length
+    sizes = {d: r for d, r in sizes.items() if r.q}
     if not sizes:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sizes = {d: r for d, r in sizes.items() if r.q}
 
     def by_dim(known: dict[int, float | int]) -> Column:
-        return F.element_at(F.create_map(*[F.lit(v) for pair in known.items() for v in pair]), F.col("dim")) if known else F.lit(None)
+        return F.element_at(F.create_map(*[F.lit(v) for pair in known.items() for v in pair]), F.col("dim"))
 
     samples = sampled(vectors, {d: r.n for d, r in sizes.items()})
     lengthen = lambda x, most: np.sqrt(np.maximum(0.0, most - (x * x).sum(axis=1)))
@@ -262,8 +263,6 @@ def nearest(
 def sampled(vectors: DataFrame, sizes: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of about ``SAMPLE`` vectors of each length, the first by a
     hash of the id; a length of no more vectors is taken whole."""
-    if not sizes:
-        return {}
     whole = 1 << 62
     most = F.element_at(F.create_map(*[F.lit(v) for d, n in sizes.items() for v in (d, min(whole, whole * SAMPLE // n))]), F.col("dim"))
     rows = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(whole)) < most).select("dim", "vec_id", "x").toPandas()

@@ -239,7 +239,18 @@ def test_nearest(spark):
         hits += len({v[1] for v in got[q]} & set(order))
     assert hits >= 0.9 * 45 * 20
     assert [v[1] for v in got[100]][:20] == list(range(101, 121))
-    assert hash_forest.nearest(df.limit(0)).count() == 0
+    assert hash_forest.nearest(df.limit(0)).count() == 0 and hash_forest.nearest(df.where("vec_id = 1")).count() == 0
+
+
+def test_nearest_of_unequal_lengths(spark):
+    """The inner product prefers long vectors, which angles alone do not find."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 24)) * rng.lognormal(0, 1, 3000)[:, None]
+    got = hash_forest.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    near = x @ x.T
+    np.fill_diagonal(near, -np.inf)
+    hits = sum(r.vec_id in set(np.argsort(-near[r.query_id])[:20].tolist()) for r in got)
+    assert len(got) == 3000 and hits >= 0.9 * 3000
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
