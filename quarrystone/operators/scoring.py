@@ -106,6 +106,15 @@ def relax_label(k: Column) -> Column:
     return F.when(k > 1, "intensified").when(k < 1, "relaxed").when(k == 1, "unchanged").otherwise("")
 
 
+def group_summary(scored: DataFrame) -> DataFrame:
+    """A row per group of scored families (grp, base, base_tier, critical, evolution, expression)."""
+    tier = lambda n: F.count_if(F.col("base_tier").startswith(f"tier{n}_")).alias(f"tier{n}")
+    return scored.groupBy("grp").agg(
+        F.count("*").alias("families"), F.avg("base").alias("mean_score"), F.max("base").alias("best_score"), *map(tier, (1, 2, 3)), F.count_if("critical").alias("critical"),
+        F.count("evolution").alias("with_evolution"), F.count("expression").alias("with_expression"),
+    )
+
+
 def star(base: DataFrame, sides: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
     """Left joins of keyed side tables; sizes decide between broadcast and shuffle."""
     for side, keys in sides:

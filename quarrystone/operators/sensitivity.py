@@ -20,6 +20,13 @@ OWN_WEIGHTS = {
     "family_change_dominant": {"change": 40.0, "annotation": 5.0, "sequence": 15.0, "tree": 8.0, "reconciliation": 8.0, "evolution": 20.0, "expression": 4.0},
     "annotation_dominant": {"change": 15.0, "annotation": 30.0, "sequence": 15.0, "tree": 8.0, "reconciliation": 8.0, "evolution": 20.0, "expression": 4.0},
 }
+# What is noted of each scenario.
+NOTES = {
+    "baseline": "step14_score", "no_rna": "expression_removed", "no_hyphy": "molecular_evolution_removed", "no_function_annotation": "functional_annotation_removed",
+    "phylogeny_sequence_only": "sequence_tree_reconciliation_only", "strict_sequence_quality": "strict_sequence_formula_and_gate", "strict_contamination_risk": "zero_high_risk_flags_required",
+    "family_change_dominant": "change_weight_40", "annotation_dominant": "annotation_weight_30", "complete_case_only": "seven_domains_required",
+    "eggnog_annotation_only": "annotation_from_eggnog_coverage", "direct_pfam_annotation_only": "annotation_from_direct_pfam_coverage",
+}
 WITHOUT = {"no_rna": "expression", "no_hyphy": "evolution", "no_function_annotation": "annotation"}
 
 
@@ -64,6 +71,12 @@ def group_means(members: DataFrame, species: DataFrame) -> DataFrame:
     return members.join(species, "species").groupBy("grp").agg(F.avg("complete").alias("complete"), F.avg("duplicated").alias("duplicated"))
 
 
+def quality_note() -> Column:
+    """Whose quality the adjusted scenario took, and which."""
+    species = F.coalesce(F.nullif("event_species", F.lit("")), F.lit("group_mean"))
+    return F.format_string("event_species=%s;C=%.1f;D=%.1f;factor=%.4f", species, "complete", "duplicated", "quality")
+
+
 def proteome_quality(df: DataFrame, node: str, species: DataFrame, members: DataFrame) -> DataFrame:
     """``df`` (grp, node) with event_species, complete, duplicated and quality:
     those of the species that the node names, else the means of the group."""
@@ -92,12 +105,12 @@ def rankings(families: DataFrame) -> DataFrame:
     """A row per (scenario, group, family): score, eligibility, rank within
     scenario and group (eligible first, score as shown, family), shift and tier.
 
-    ``families`` has what ``scenarios`` reads, and grp, family, base_rank and
-    base_tier. One pass makes all scenarios: no join with a scenario table.
+    ``families`` has what ``scenarios`` reads and ``proteome_quality`` gives, and
+    grp, family, base_rank and base_tier. One pass makes all scenarios: no join with a scenario table.
     """
     # Six places, half up from twelve: the last bits of a sum decide no tie.
     shown = lambda s: F.round(s.cast("decimal(24,12)"), 6).cast("double")
-    rows = F.array(*[F.struct(F.lit(n).alias("scenario"), shown(s).alias("score"), e.alias("eligible")) for n, (s, e) in scenarios().items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("scenario"), shown(s).alias("score"), e.alias("eligible"), (F.lit(NOTES[n]) if n in NOTES else quality_note()).alias("note")) for n, (s, e) in scenarios().items()])
     long = families.select("grp", "family", "base", "base_rank", "base_tier", "domains", F.inline(rows))
     order = Window.partitionBy("scenario", "grp").orderBy(F.desc("eligible"), F.desc("score"), "family")
     is_base = F.col("scenario") == "baseline"

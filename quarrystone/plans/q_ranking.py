@@ -12,6 +12,7 @@ from quarrystone.operators import joins as jn
 from quarrystone.operators import ranking as rk
 from quarrystone.operators import scoring as sc
 from quarrystone.operators import sensitivity as se
+from quarrystone.operators import validation as va
 from quarrystone.plans.base import table
 from quarrystone.plans.register import query
 
@@ -155,17 +156,17 @@ _SCENES = {
 QUALITY = """reports AS (SELECT DISTINCT p_brand AS species, 90.0::DOUBLE + CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS complete, 2.0::DOUBLE * CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS duplicated
 FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) % 2 = 1),
 means AS (SELECT p_type, avg(complete) AS c, avg(duplicated) AS d FROM (SELECT DISTINCT p_type, p_brand FROM part) JOIN reports ON p_brand = species GROUP BY 1),
-quality AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND species IS NOT NULL THEN complete ELSE c END AS complete, CASE WHEN p_size % 2 = 0 AND species IS NOT NULL THEN duplicated ELSE d END AS duplicated FROM part LEFT JOIN reports ON species = p_brand LEFT JOIN means USING (p_type)),
-factors AS (SELECT p_partkey, least(1.0, greatest(0.0, complete / 100)) * greatest(0.0, 1 - duplicated / 100) AS quality FROM quality)"""
+quality AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND species IS NOT NULL THEN species ELSE 'group_mean' END AS event, CASE WHEN p_size % 2 = 0 AND species IS NOT NULL THEN complete ELSE c END AS complete, CASE WHEN p_size % 2 = 0 AND species IS NOT NULL THEN duplicated ELSE d END AS duplicated FROM part LEFT JOIN reports ON species = p_brand LEFT JOIN means USING (p_type)),
+factors AS (SELECT p_partkey, event, complete, duplicated, least(1.0, greatest(0.0, complete / 100)) * greatest(0.0, 1 - duplicated / 100) AS quality FROM quality)"""
 RANKED = f"""{STAR}, {QUALITY}, long AS ({" UNION ALL ".join(f"SELECT '{n}' AS scenario, grp, t.family, base, base_rank, base_tier, domains, CAST(round(CAST({s} AS DECIMAL(24,12)), 6) AS DOUBLE) AS score, NOT critical AND ({e}) AS eligible FROM tiered t JOIN factors ON p_partkey = t.family" for n, (s, e) in _SCENES.items())}),
 ranked AS (SELECT *, CASE WHEN scenario = 'baseline' THEN base_rank ELSE row_number() OVER (PARTITION BY scenario, grp ORDER BY eligible DESC, score DESC, family) END AS rank FROM long),
 shifted AS (SELECT *, base_rank - rank AS shift, CASE WHEN scenario = 'baseline' THEN base_tier WHEN NOT eligible THEN 'manual_review_or_filtered' WHEN score >= 75 AND domains >= 6 THEN 'tier1_high_confidence'
 WHEN score >= 60 AND domains >= 5 THEN 'tier2_supported' WHEN score >= 45 AND domains >= 4 THEN 'tier3_exploratory' ELSE 'lower_priority' END AS tier FROM ranked)"""
 
 
-@query(f"WITH {RANKED} SELECT scenario, grp, family, score, eligible, tier FROM shifted")
+@query(f"WITH {RANKED} SELECT scenario, s.grp, s.family, score, eligible, tier, CASE {" ".join(f"WHEN scenario = '{n}' THEN '{t}'" for n, t in se.NOTES.items())} ELSE format('event_species={{}};C={{:.1f}};D={{:.1f}};factor={{:.4f}}', event, complete, duplicated, quality) END AS note FROM shifted s JOIN factors ON p_partkey = s.family")
 def scenario_scores(spark, sf_dir):
-    return ranked_families(spark, sf_dir).select("scenario", "grp", "family", "score", "eligible", "tier")
+    return ranked_families(spark, sf_dir).select("scenario", "grp", "family", "score", "eligible", "tier", "note")
 
 
 @query(f"""WITH {RANKED} SELECT scenario, grp, round(corr(base_rank, rank), 6) AS rho, max(abs(shift)) AS largest_shift FROM shifted GROUP BY 1, 2""")
@@ -197,6 +198,28 @@ def threshold_sensitivity(spark, sf_dir):
     return se.threshold_report(f, (40, 50, 60))
 
 
+@query(f"""WITH {STAR} SELECT grp, count(*) AS families, round(avg(base), 4) AS mean_score, max(base) AS best_score, count(*) FILTER (base_tier = 'tier1_high_confidence') AS tier1, count(*) FILTER (base_tier = 'tier2_supported') AS tier2,
+count(*) FILTER (base_tier = 'tier3_provisional') AS tier3, count(*) FILTER (critical) AS critical, count(*) FILTER (evolution IS NOT NULL) AS with_evolution, count(*) FILTER (expression IS NOT NULL) AS with_expression FROM tiered GROUP BY 1""")
+def group_scores(spark, sf_dir):
+    """A row per group of what its families' scores come to."""
+    return sc.group_summary(_families(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 4))
+
+
+@query("""WITH v AS (SELECT source AS species, doc_id AS gene, quality FROM documents JOIN labels USING (doc_id)), q AS (SELECT user_id AS gene, max(value) AS tpm FROM events GROUP BY 1), e AS (SELECT p_brand AS grp, p_type AS family, min(p_size) / 100.0::DOUBLE AS q_bh FROM part WHERE p_size > 10 GROUP BY 1, 2)
+SELECT p_partkey AS gene, coalesce(tpm, -1.0) AS tpm, CASE WHEN tpm IS NULL THEN 'not_quantified' WHEN tpm = 0 THEN 'undetected' WHEN tpm < 0.1 THEN 'trace' WHEN tpm < 1 THEN 'low' WHEN tpm < 10 THEN 'moderate' ELSE 'high' END AS expression,
+coalesce(CASE quality WHEN 1 THEN 'pass' WHEN 0 THEN 'review' END, '') AS status, coalesce(q_bh, -1.0) AS q_bh
+FROM part LEFT JOIN q ON q.gene = p_partkey LEFT JOIN v ON v.gene = p_partkey AND v.species = 'src' || (p_partkey % 20) LEFT JOIN e ON grp = p_brand AND family = p_type""")
+def candidate_expression(spark, sf_dir):
+    """Candidates with their quantity, the check of their sequence and their family's test, each by its own keys."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.concat(F.lit("src"), F.col("p_partkey") % 20).alias("species"), F.col("p_brand").alias("grp"), F.col("p_type").alias("family"))
+    quant = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("gene")).agg(F.max("value").alias("tpm"))
+    valid = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("source").alias("species"), F.col("doc_id").alias("gene"), F.when(F.col("quality") == 1, "pass").when(F.col("quality") == 0, "review").alias("status"))
+    tests = table(spark, sf_dir, "part").where("p_size > 10").groupBy(F.col("p_brand").alias("grp"), F.col("p_type").alias("family")).agg((F.min("p_size") / 100.0).alias("q_bh"))
+    rows = sc.star(p, [(quant, ["gene"]), (valid, ["species", "gene"]), (tests, ["grp", "family"])])
+    bins = F.when(F.col("tpm").isNull(), "not_quantified").otherwise(va.expression_bin(F.col("tpm")))
+    return rows.select("gene", F.coalesce("tpm", F.lit(-1.0)).alias("tpm"), bins.alias("expression"), F.coalesce("status", F.lit("")).alias("status"), F.coalesce("q_bh", F.lit(-1.0)).alias("q_bh"))
+
+
 @query("""SELECT o_orderpriority, o_orderkey, place FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 10""")
 def top10_per_group(spark, sf_dir):
     return rk.top_per(table(spark, sf_dir, "orders"), ["o_orderpriority"], 10, F.desc("o_totalprice"), F.col("o_orderkey")).select("o_orderpriority", "o_orderkey", "place")

@@ -337,18 +337,33 @@ def readable_text(spark, sf_dir):
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS taxon, n_regionkey AS region FROM nation")
 def staged_table(spark, sf_dir):
-    """A lookup table in an SQLite file that the driver holds, staged as Parquet."""
-    import os
+    """A lookup table in SQLite on the driver, staged as Parquet."""
     import sqlite3
-    import tempfile
 
     rows = [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()]  # 25 rows
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "lookup.db")
-        with sqlite3.connect(path) as db:
-            db.execute("CREATE TABLE species (taxid INT, region INT)")
-            db.executemany("INSERT INTO species VALUES (?, ?)", rows)
-        return tb.sqlite_table(spark, path, "SELECT taxid, region FROM species", "taxon bigint, region bigint", rows=10)
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE species (taxid INT, region INT)")
+    db.executemany("INSERT INTO species VALUES (?, ?)", rows)
+    return tb.sqlite_table(spark, db, "SELECT taxid, region FROM species", "taxon bigint, region bigint", rows=10)
+
+
+@query("SELECT 'a' || (p_partkey % 7) AS archive, 'P' || p_partkey AS id, repeat('ACG', p_size) AS seq FROM part")
+def archived_sequences(spark, sf_dir):
+    """Records of the one sequence member of each ZIP archive, among others."""
+    import io
+    import zipfile
+
+    def packed(records):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("data/readme.txt", "nothing")
+            z.writestr("data/x/cds_from_genomic.fna", "".join(sorted(records)))
+        return out.getvalue()
+
+    head = F.concat(F.lit(">lcl|1 [gene=g] [protein_id=P"), "p_partkey", F.lit("] [x=y]\n"), F.repeat(F.lit("ACG"), "p_size"), F.lit("\n"))
+    rows = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("a"), F.col("p_partkey") % 7).alias("path")).agg(F.collect_list(head).alias("records"))
+    archives = rows.select("path", F.udf(packed, "binary", useArrow=True)("records").alias("content"))
+    return sq.zipped_records(archives).withColumnRenamed("path", "archive")
 
 
 @query("SELECT count(*) AS n, count(DISTINCT n_nationkey) AS keys, count(*) FILTER (n_regionkey > 1) AS first, 0 AS again FROM nation")

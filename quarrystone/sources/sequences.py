@@ -51,6 +51,11 @@ def conflicts(df: DataFrame) -> DataFrame:
 
 def zipped_cds(spark: SparkSession, path: str, member: str = "cds_from_genomic.fna") -> DataFrame:
     """(path, id, seq) of the one member of each ZIP archive whose name ends with ``member``; the id is its [protein_id=…]."""
+    return zipped_records(spark.read.format("binaryFile").load(path), member)
+
+
+def zipped_records(archives: DataFrame, member: str = "cds_from_genomic.fna") -> DataFrame:
+    """``zipped_cds`` of archives given as (path, content)."""
     schema = pa.schema([("path", pa.string()), ("id", pa.string()), ("seq", pa.string())])
     tag = re.compile(r"\[protein_id=([^\]]+)\]")
 
@@ -69,4 +74,4 @@ def zipped_cds(spark: SparkSession, path: str, member: str = "cds_from_genomic.f
                         rows.append({"path": name, "id": m[1], "seq": "".join(seq.split())})
                 yield from pa.Table.from_pylist(rows, schema).to_batches()
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, id string, seq string")
+    return archives.select("path", "content").mapInArrow(run, "path string, id string, seq string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sqlite3
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -174,14 +175,12 @@ def first_lines(df: DataFrame, by: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def sqlite_table(spark: SparkSession, path: str, sql: str, schema: str, rows: int = 50_000) -> DataFrame:
-    """Rows of a query over an SQLite file that the driver can open, staged as
-    Parquet in the shared folder, ``rows`` at a time."""
-    import sqlite3
-
+def sqlite_table(spark: SparkSession, source: str | sqlite3.Connection, sql: str, schema: str, rows: int = 50_000) -> DataFrame:
+    """Rows of a query over an SQLite file that the driver can open, or over an
+    open connection, staged as Parquet in the shared folder, ``rows`` at a time."""
     target = f"{shared_folder(spark)}/quarrystone/sqlite-{uuid.uuid4().hex}"
     spark.createDataFrame([], schema).write.parquet(target)
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with source if isinstance(source, sqlite3.Connection) else sqlite3.connect(f"file:{source}?mode=ro", uri=True) as db:
         found = db.execute(sql)
         while part := found.fetchmany(rows):
             spark.createDataFrame(part, schema).write.mode("append").parquet(target)

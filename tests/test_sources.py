@@ -73,6 +73,13 @@ def test_sqlite(spark, tmp_path):
     assert tuple(tb.sqlite_table(spark, str(tmp_path / "t.db"), "SELECT * FROM merged", "old bigint, new bigint").first()) == (1, 2)
 
 
+def test_empty_and_broken_tables(spark, tmp_path):
+    with pytest.raises(Exception):
+        tb.tsv(spark, put(tmp_path / "empty.tsv", ""))
+    (tmp_path / "odd.tsv").write_bytes(b"a\tb\nx\xff\t1\n")
+    assert tb.tsv(spark, str(tmp_path / "odd.tsv")).first().a == "x\ufffd"
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5, "x"), ("b", None, "y")], "id string, v double, r string")
     sinks.write_tsv(df.coalesce(1), str(tmp_path / "t"), ["v", "id"], missing="NA")
