@@ -172,6 +172,9 @@ def test_encode_pieces(docs, none):
     rows = pieces.encode_pieces(docs, model=model, with_ids=True).collect()
     assert len(rows) == len(ROWS) and all(r.round_trip for r in rows) and pieces.encode_pieces(none, model=model).count() == 0
     assert all(r.decoded in {x[1] or "" for x in ROWS} for r in rows)
+    encoder = pieces.unigram(model)
+    want = Counter((x[0], tuple(np.frombuffer(encoder.encode_many([x[1] or ""])[0], "<u4").tolist())) for x in ROWS)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
 
 
 # packing
