@@ -31,9 +31,9 @@ def test_entropy_of_long_texts(spark, tmp_path):
 def test_places(spark):
     rows = [(i, i % 3, [1.5, 2.0, -1.0, 7.25, float(i)][i % 5]) for i in range(300)]
     df = spark.createDataFrame(rows, "family int, tier int, score double")
-    got = {r.family: r.place for r in st.places(df, F.col("tier"), "score", F.col("family"), parts=7).collect()}
+    got = {r.family: r.place for r in st.places(df, F.col("tier"), F.desc("score"), F.col("family")).collect()}
     assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[1], -r[2], r[0])), 1)}
-    assert st.places(df.limit(0), F.col("tier"), "score", F.col("family")).count() == 0
+    assert st.places(df.limit(0), F.col("tier"), F.desc("score"), F.col("family")).count() == 0
 
 
 def test_family_ranked_has_every_family(spark):
