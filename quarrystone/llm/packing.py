@@ -23,6 +23,8 @@ from quarrystone.core.shared import written
 from quarrystone.llm.arrow import Rows, values
 
 WINDOW = 1024
+#: Most slots that are broadcast, of six numbers each.
+BROADCAST_SLOTS = 50_000
 
 
 class Slot(NamedTuple):
@@ -213,15 +215,16 @@ def pack(
     spark = docs.sparkSession
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
+    found = best_fit_decreasing(total, window)
     slots = spark.createDataFrame(
-        best_fit_decreasing(total, window), "slot_length bigint, low bigint, high bigint, sequence bigint, each bigint, place bigint"
+        found, "slot_length bigint, low bigint, high bigint, sequence bigint, each bigint, place bigint"
     )
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
     ranked = pieces.join(ahead, ["length", "task"]).withColumn("rank", F.col("ahead") + F.col("nth"))
-    # The slots depend on the window alone, not on the corpus: a few thousand rows.
+    # The slots depend on the window alone, not on the corpus: some thousand rows; were there more, a join by length would do.
     placed = ranked.join(
-        F.broadcast(slots), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
+        F.broadcast(slots) if len(found) <= BROADCAST_SLOTS else slots, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     )
     inside = F.col("rank") - F.col("low")
     return placed.select(
