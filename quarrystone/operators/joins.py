@@ -94,7 +94,3 @@ def with_counts(df: DataFrame, key: str, **counted: DataFrame) -> DataFrame:
     for name, rows in counted.items():
         df = df.join(rows.groupBy(key).agg(F.count("*").alias(name)), key, "left")
     return df.na.fill(0, list(counted))
-
-
-def exists(condition: Column) -> Column:
-    return F.coalesce(F.bool_or(condition), F.lit(False))

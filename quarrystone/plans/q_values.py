@@ -199,3 +199,10 @@ def branch_attributes(spark, sf_dir):
     first = F.struct((F.col("value") / 100).alias("Corrected P-value"), F.col("value").alias("Baseline MG94 omega ratio"), F.lit(9.0).alias("Full omega"))
     doc = F.to_json(F.struct(F.struct(F.struct(first.alias("n1"), F.struct(F.lit(1.0).alias("Corrected P-value")).alias("n2")).alias("0"), F.struct(first.alias("n9")).alias("1")).alias("branch attributes")))
     return evo.branch_table(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "doc")
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS array_index FROM part")
+def array_indices(spark, sf_dir):
+    """Stable numbers of array tasks within each group."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_partkey").alias("rank"))
+    return evo.event_members(rows, "p_brand").select("p_partkey", "array_index")

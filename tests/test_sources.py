@@ -104,3 +104,12 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.agg(F.sum("n"), F.sum("detected_0")).first()[:] == (10, 5)
+
+
+def test_first_of_each_in_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"d{i % 4}") for i in range(12)], "s int, digest string").withColumn("ts", F.timestamp_seconds(F.col("s") * 60))
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = ev.committed(ev.first_of_each(stream, "digest"), str(tmp_path / "out"), str(tmp_path / "ck"), "append")
+    q.awaitTermination(120)
+    assert sorted(r.digest for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["d0", "d1", "d2", "d3"]
