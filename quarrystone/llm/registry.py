@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import line_dedup, secret_scan, url_filter
+from quarrystone.llm import line_dedup, secret_scan, spelling, url_filter, vector_codes
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,6 +86,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrystone.llm.token_counts import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), model=tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_media": op2_media,
@@ -97,10 +111,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_filter.oracle_sql(URL_RULES),
     "op8_secret_scan": secret_scan.oracle_sql(),
     "op9_line_dedup": line_dedup.ORACLE,
+    "op11_spelling": spelling.ORACLE,
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
