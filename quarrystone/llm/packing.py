@@ -116,7 +116,8 @@ class Encoder:
 
     The file's vocabulary and split pattern run in tiktoken, which gives the
     same ids several times faster; texts with a special token's string go to
-    ``tokenizers`` itself.
+    ``tokenizers`` itself, and so do those whose split gives up (a run of about
+    a million spaces). Files with another split or a normalizer are refused.
     """
 
     def __init__(self, path: str):
@@ -126,6 +127,9 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = {k: (spec.get("pre_tokenizer") or {}).get(k) for k in ("type", "add_prefix_space", "use_regex")}
+        if split != {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True} or spec.get("normalizer"):
+            raise ValueError(f"not a plain byte-level vocabulary: {path}")
         back = {c: b for b, c in _byte_letters().items()}
         self.path = path
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -135,15 +139,18 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if any(s in text for s in self.special):
-            if self.full is None:
-                from tokenizers import Tokenizer
-
-                self.full = Tokenizer.from_file(self.path)
-            import numpy as np
-
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        if not any(s in text for s in self.special):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # the split ran out of room for going back
+                pass
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.path)
+        import numpy as np
+
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 # Fixed value: the split pattern of the public byte-level BPE vocabulary.
