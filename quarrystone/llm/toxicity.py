@@ -30,6 +30,10 @@ WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 HEADS = (4, 5, 6, 7)
 
 
+#: Share of each parameter's own step that a round of the fit takes.
+RATE = 0.5
+
+
 def features(word: str) -> list[str]:
     """The word itself and, marked by a star, those of its heads that are shorter than it."""
     return [word, *[word[:n] + "*" for n in HEADS if len(word) > n]]
@@ -120,36 +124,134 @@ class Model:
         return values, ends
 
 
-def _passes(gain: np.ndarray, mask: np.ndarray, first: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward (with the token) and backward (after it) log messages; log Z is their sum at any token."""
-    docs, n = gain.shape
-    ahead, behind = np.zeros((docs, n, 2)), np.zeros((docs, n, 2))
-    emit = np.stack([np.zeros_like(gain), gain], axis=2)
-    for t in range(n):
-        if t == 0:
-            ahead[:, 0] = emit[:, 0] + np.array([0.0, first])
-        else:
-            ahead[:, t] = np.logaddexp(ahead[:, t - 1, :1] + moves[0], ahead[:, t - 1, 1:] + moves[1]) + emit[:, t]
-    for t in range(n - 2, -1, -1):
-        step = behind[:, t + 1] + emit[:, t + 1]
-        back = np.logaddexp(moves[:, 0] + step[:, :1], moves[:, 1] + step[:, 1:])
-        behind[:, t] = np.where(mask[:, t + 1, None], back, 0.0)
-    return ahead, behind
+class Chains:
+    """Whole texts as chains of which only some tokens, the marked ones, have features.
+
+    A token without any has the gain of the bias, so a run of m such tokens is
+    the m-th power of one 2x2 matrix: its passes and its expected counts come
+    from the matrix's two eigenvalues, however long it is. What is kept of a
+    chain is its first token, its marked ones (``ids``, 0 for no feature;
+    ``gold`` if toxic), the plain tokens before each (``gaps``) and after the
+    last (``tails``). Chains of like numbers of marked tokens are one block.
+    """
+
+    def __init__(self, chains: list[tuple[int, list[tuple[int, list[int]]], bool]], per: int):
+        """Of each chain its tokens, its marked ones (place, features) and whether these are toxic."""
+        self.blocks = []
+        by_size: dict[int, list] = {}
+        for n, marked, toxic in chains:
+            by_size.setdefault(len(marked).bit_length(), []).append((n, marked, toxic))
+        for _, some in sorted(by_size.items()):
+            for at in range(0, len(some), 4096):  # the passes' memory is bounded
+                self.blocks.append(self._block(some[at : at + 4096], per))
+        self.tokens = sum(n for n, _, _ in chains)
+        self.count = len(chains)
+
+    @staticmethod
+    def _block(some: list, per: int) -> tuple:
+        wide = max(len(m) for _, m, _ in some) + 1
+        ids, gold = np.zeros((len(some), wide, per), "i4"), np.zeros((len(some), wide), bool)
+        gaps, there, tails = np.zeros((len(some), wide), "i8"), np.zeros((len(some), wide), bool), np.zeros(len(some), "i8")
+        for i, (n, marked, toxic) in enumerate(some):
+            elements = marked if marked and marked[0][0] == 0 else [(0, [0] * per), *marked]
+            places = [p for p, _ in elements]
+            ids[i, : len(elements)], there[i, : len(elements)] = [f for _, f in elements], True
+            gold[i, : len(elements)] = ids[i, : len(elements)].any(axis=1) & toxic
+            gaps[i, 1 : len(elements)] = np.diff(places) - 1
+            tails[i] = n - 1 - places[-1]
+        return ids, gold, gaps, there, tails
+
+    def gold_moves(self) -> np.ndarray:
+        """How often each state of the labels follows each."""
+        seen = np.zeros((2, 2))
+        for _, gold, gaps, there, tails in self.blocks:
+            close = (gaps[:, 1:] == 0) & there[:, 1:]
+            seen[1, 1] += (gold[:, 1:] & gold[:, :-1] & close).sum()
+            seen[0, 1] += (gold[:, 1:] & ~(gold[:, :-1] & close)).sum()
+            last = there & np.column_stack([~there[:, 1:], np.ones(len(there), bool)])
+            seen[1, 0] += gold.sum() - (gold & last & (tails == 0)[:, None]).sum()  # all followed by a token, less those followed by a toxic one
+        seen[1, 0] -= seen[1, 1]
+        seen[0, 0] = self.tokens - self.count - seen.sum()
+        return seen
+
+    def expected(self, weights: np.ndarray, bias: float, first: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+        """Under a model: toxic tokens of each feature, moves, toxic tokens,
+        toxic first tokens, and the log likelihood of the labels' partition (log Z)."""
+        by_feature, got, level, begin, log_z = np.zeros(len(weights)), np.zeros((2, 2)), 0.0, 0.0, 0.0
+        move = np.exp(moves)
+        plain = move * np.array([1.0, math.exp(bias)])
+        values, right = np.linalg.eig(plain)
+        order = np.argsort(-values.real)
+        values, right = values.real[order], right.real[:, order]
+        left, ratio, top = np.linalg.inv(right), values[1] / values[0], values[0]
+
+        def power(row: np.ndarray, m: np.ndarray, into: np.ndarray, out: np.ndarray) -> np.ndarray:
+            x = row @ into
+            x[:, 1] *= ratio**m
+            return x @ out
+
+        for ids, _, gaps, there, tails in self.blocks:
+            docs, wide = there.shape
+            emit = np.stack([np.ones(there.shape), np.exp(np.minimum(50.0, bias + weights[ids].sum(axis=2)))], axis=2)
+            ahead, behind, over = np.ones((docs, wide, 2)), np.ones((docs, wide, 2)), np.ones((docs, wide, 2))
+            now = emit[:, 0] * np.array([1.0, math.exp(first)])
+            for j in range(wide):
+                if j:
+                    over[:, j] = power(ahead[:, j - 1], gaps[:, j], right, left)  # just before the token
+                    now = np.where(there[:, j, None], over[:, j] @ move * emit[:, j], ahead[:, j - 1])
+                size = now.sum(axis=1)
+                log_z += np.log(size[there[:, j]]).sum() + (gaps[there[:, j], j] * math.log(top)).sum()
+                ahead[:, j] = now / size[:, None]
+            last = there.sum(axis=1) - 1
+            ends = power(ahead[np.arange(docs), last], tails, right, left)
+            log_z += np.log(ends.sum(axis=1)).sum() + (tails * math.log(top)).sum()
+            now = power(np.ones((docs, 2)), tails, left.T, right.T)
+            after = np.ones((docs, wide, 2))  # just before the token, as seen from behind
+            for j in range(wide - 1, -1, -1):
+                behind[:, j] = now
+                if j:
+                    after[:, j] = (emit[:, j] * now) @ move.T
+                    step = power(after[:, j], gaps[:, j], left.T, right.T)
+                    now = np.where(there[:, j, None], step / step.sum(axis=1, keepdims=True), now)
+            both = ahead * behind
+            p = both[:, :, 1] / both.sum(axis=2) * there
+            by_feature += np.bincount(ids.ravel(), weights=np.repeat(p.ravel(), ids.shape[2]), minlength=len(weights))
+            level += p.sum()
+            begin += p[:, 0].sum()
+            # The move into each marked token, then those within the runs of plain ones: before a token, and after the last.
+            k, j = np.nonzero(there[:, 1:])
+            j += 1
+            into = over[k, j][:, :, None] * move * (emit[k, j] * behind[k, j])[:, None, :]
+            got += (into / into.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            rows = np.concatenate([ahead[k, j - 1], ahead[np.arange(docs), last]])
+            columns = np.concatenate([after[k, j], np.ones((docs, 2))])
+            m = np.concatenate([gaps[k, j], tails])
+            rows, columns, m = rows[m > 0], columns[m > 0], m[m > 0]
+            x, y = rows @ right, columns @ left.T
+            sums = np.empty((len(m), 2, 2))
+            sums[:, 0, 0], sums[:, 1, 1] = m, m * ratio ** (m - 1)
+            sums[:, 0, 1] = sums[:, 1, 0] = (1 - ratio**m) / (1 - ratio)
+            z = top * (x[:, 0] * y[:, 0] + ratio**m * x[:, 1] * y[:, 1])
+            weighed = (x[:, :, None] * y[:, None, :] * sums / z[:, None, None]).sum(axis=0)
+            inside = plain * (left.T @ weighed @ right.T)  # sum over eigenvectors i, j of left[i, a] weighed[i, j] right[b, j]
+            got += inside
+            level += inside[:, 1].sum()
+        return by_feature, got, level, begin, log_z
 
 
 def tokens(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12, rounds: int = 120, rate: float = 0.5, decay: float = 0.02, prior: float = 1.0) -> Model:
+def fit(texts: list[str], toxic: list[int], *, least: int = 3, rounds: int = 60, prior: float = 1.0) -> Model:
     """A model from labelled texts, whole.
 
     A feature is tied to toxicity if at least ``least`` toxic texts hold it and
     its log odds, with half a count on each side, lie two standard errors above
-    1. Windows of ``window`` tokens around the first place of each word with
-    such a feature, wherever in the text it lies, and one of each text without,
-    are the chains; in toxic texts these words are the toxic tokens. Weights and moves are fitted by gradient ascent on the
-    conditional likelihood with an L2 penalty.
+    1. Every text is one chain from its first token to its last; in toxic texts
+    the words with such a feature are the toxic tokens. Weights and moves are
+    fitted by gradient ascent on the conditional likelihood with an L2 penalty,
+    each step scaled by how often the parameter is seen.
     """
     n_bad = sum(toxic)
     n_good = len(texts) - n_bad
@@ -167,62 +269,28 @@ def fit(texts: list[str], toxic: list[int], *, least: int = 3, window: int = 12,
     index = {f: i + 1 for i, f in enumerate(sorted(tied))}  # 0: no feature
     per = 1 + len(HEADS)
     heads = frozenset(f.rstrip("*")[: HEADS[0]] for f in index)
-    nothing = [0] * per
-    chains, labels = [], []
 
     def numbers(word: str) -> list[int]:
-        if word[: HEADS[0]] not in heads:
-            return nothing
-        got = [index[f] for f in features(word) if f in index]
-        return got + [0] * (per - len(got))
-
-    for words, y in zip(split, toxic):
-        ids = np.array([numbers(w) for w in words] or [nothing], "i4")
-        _, firsts = np.unique(ids[:, 0], return_index=True)  # a word that a text repeats is shown once
-        hits = sorted(int(i) for i in firsts if ids[i, 0])
-        for at in hits if hits else [len(ids) // 2]:
-            part = ids[max(0, at - window // 2) : at + window // 2 + 1]
-            chains.append(part)
-            labels.append((part[:, 0] > 0) & bool(y))
+        got = [index[f] for f in features(word) if f in index] if word[: HEADS[0]] in heads else []
+        return got + [0] * (per - len(got)) if got else []
+
+    known = {w: got for words in split for w in words if (got := numbers(w))} if index else {}
+    chains = Chains([(len(words), [(i, known[w]) for i, w in enumerate(words) if w in known], bool(y)) for words, y in zip(split, toxic) if words], per)
+    del split
     weights, bias, first, moves = np.zeros(len(index) + 1), 0.0, 0.0, np.zeros((2, 2))
-    n = max(map(len, chains), default=1)
-    mask, gold, ids = np.zeros((len(chains), n), bool), np.zeros((len(chains), n), bool), np.zeros((len(chains), n, per), "i4")
-    for i, (c, g) in enumerate(zip(chains, labels)):
-        mask[i, : len(c)], ids[i, : len(c)], gold[i, : len(c)] = True, c, g
-    total = max(1, len(chains))
-    del chains, labels, split
-    # Chains are gone through some thousand at a time: the passes' memory is bounded, however many there are.
-    parts = [slice(at, at + 4096) for at in range(0, len(mask), 4096)]
-    seen, count, gold_feature = np.zeros((2, 2)), np.zeros(len(weights)), np.zeros(len(weights))
-
-    def by_feature(which: slice, x: np.ndarray) -> np.ndarray:
-        return np.bincount(ids[which].ravel(), weights=np.repeat(x.ravel(), per), minlength=len(weights))
-
-    for part in parts:
-        pair, g = mask[part, 1:] & mask[part, :-1], gold[part].astype(int)
-        np.add.at(seen, (g[:, :-1][pair], g[:, 1:][pair]), 1)
-        count += by_feature(part, mask[part] * 1.0)
-        gold_feature += by_feature(part, (gold[part] & mask[part]) * 1.0)
+    count, gold_feature, gold_level, gold_first = np.zeros(len(weights)), np.zeros(len(weights)), 0, 0
+    for ids, gold, _, there, _ in chains.blocks:
+        count += np.bincount(ids[there].ravel(), minlength=len(weights))
+        gold_feature += np.bincount(ids[gold].ravel(), minlength=len(weights))
+        gold_level, gold_first = gold_level + int(gold.sum()), gold_first + int(gold[:, 0].sum())
+    seen = chains.gold_moves()
     for _ in range(rounds):
-        expected, got, level, begin = np.zeros(len(weights)), np.zeros((2, 2)), 0.0, 0.0
-        for part in parts:
-            here, pair = mask[part], mask[part, 1:] & mask[part, :-1]
-            gain = bias + weights[ids[part]].sum(axis=2)
-            ahead, behind = _passes(gain, here, first, moves)
-            z = np.logaddexp(ahead[:, 0, 0] + behind[:, 0, 0], ahead[:, 0, 1] + behind[:, 0, 1])
-            p = np.exp(np.clip(ahead[:, :, 1] + behind[:, :, 1] - z[:, None], -700, 0)) * here
-            for a in range(2):
-                for b in range(2):
-                    both = ahead[:, :-1, a] + moves[a, b] + b * gain[:, 1:] + behind[:, 1:, b] - z[:, None]
-                    got[a, b] += np.exp(np.clip(both, -700, 0))[pair].sum()
-            expected += by_feature(part, p)
-            level += p[here].sum()
-            begin += p[:, 0][here[:, 0]].sum()
-        weights += rate * (gold_feature - expected - prior * weights) / (count + prior)
+        expected, got, level, begin, _ = chains.expected(weights, bias, first, moves)
+        weights += RATE * (gold_feature - expected - prior * weights) / (count + prior)
         weights[0] = 0.0
-        bias += rate * (4 * (gold[mask].sum() - level) / max(1, mask.sum()) - decay * bias)
-        first += rate * ((gold[:, 0][mask[:, 0]].sum() - begin) / total - decay * first)
-        moves += rate * ((seen - got) / np.maximum(1, seen.sum(axis=1, keepdims=True)) - decay * moves)
+        bias += RATE * float(np.clip((gold_level - level - prior * bias) / (gold_level + min(level, chains.tokens - level) + prior), -1, 1))
+        first += RATE * (gold_first - begin - prior * first) / (chains.count + prior)
+        moves += RATE * np.clip((seen - got - prior * moves) / (np.minimum(seen, got) + prior), -1, 1)
     model = Model(
         {f: float(weights[i]) for f, i in index.items()}, float(bias), float(first), tuple(map(tuple, moves.tolist())),
         heads,
@@ -293,9 +361,10 @@ class Scorer:
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> list[tuple[int, str, int]]:
     """Labelled rows outside the held-out third, whole texts: the first in the
-    order of a hash of the id, at most ``most`` of them, up to the one with
-    which they would exceed ``most_chars`` together. Only the fit is bounded;
-    every text is scored whole. An id that occurs several times counts with its
+    order of a hash of the id, at most ``most`` of them; one with which they
+    would exceed ``most_chars`` together is left out, the next ones are tried.
+    Only the fit is bounded; every text is scored whole. If none fits, that is
+    an error. An id that occurs several times counts with its
     smallest text and its largest label."""
     crc = F.crc32(F.col("id").cast("string").cast("binary"))
     marks = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
@@ -306,16 +375,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     first = texts.select("id", F.length("text").alias("n")).join(marks, "id").groupBy("id", "y").agg(F.max("n").alias("n")).orderBy(order, "id").limit(most).collect()
     chosen, total = {}, 0
     for r in first:
-        total += r.n
-        if total > most_chars:
-            break
-        chosen[r.id] = int(r.y)
+        if total + r.n <= most_chars:
+            total += r.n
+            chosen[r.id] = int(r.y)
     if not chosen:
+        if first:
+            raise ValueError(f"none of the {len(first)} labelled texts has at most {most_chars} characters")
         return []
-    # All labelled rows up to the last one chosen, in the same order: no list of ids is sent anywhere.
-    last = list(chosen)[-1]
-    upto = (order < F.xxhash64(F.lit(last).cast("bigint"))) | ((order == F.xxhash64(F.lit(last).cast("bigint"))) & (F.col("id") <= last))
-    rows = texts.where(upto).join(marks.where(upto).select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).collect()
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id bigint")  # at most ``most``
+    rows = texts.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).collect()
     return sorted((r.id, r.text, chosen[r.id]) for r in rows)
 
 
