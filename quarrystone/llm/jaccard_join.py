@@ -418,7 +418,7 @@ def jaccard_join(
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL) -> DataFrame:
-    """The rows of ``jaccard_join`` with mark, the hash of the text, and n, its runs."""
+    """The rows of ``jaccard_join`` with mark, the hash of the text, n, its runs, and k1 and k2, which name its class also where ids repeat or are null."""
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     signed = written(signatures(source, words, trees, longest, prefix_length(threshold, trees, longest, recall)), "signatures")
     classes = signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
@@ -426,11 +426,11 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, th
     known = classes.join(linked, ["c1", "c2"], "left")
     tops = known.where("top is not null").groupBy("top").agg(F.min("first").alias("lead"))
     known = known.join(tops, "top", "left").select(
-        "c1", "c2", F.coalesce("lead", F.when(F.col("top").isNull(), F.col("first"))).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "c1", "c2", F.coalesce("top", "c1").alias("k1"), F.when(F.col("top").isNull(), F.col("c2")).otherwise(-1).alias("k2"), F.coalesce("lead", F.when(F.col("top").isNull(), F.col("first"))).alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     done = signed.select("doc_id", "mark", "c1", "c2", "n").join(known, ["c1", "c2"], "left")
     alone = F.col("n") == 0
-    return done.select("doc_id", "mark", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+    return done.select("doc_id", "mark", "n", "k1", "k2", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
 
 
 def copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -449,15 +449,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without an id goes if its class holds an id; rows of a class of nulls alone
     all stay.
     """
-    ident = F.col(id_col).cast("bigint")
-    (at,) = free_names(docs.columns, "_at")
-    own = docs.select(F.xxhash64(ident, F.col(text_col)).alias("at"), ident.alias("id"), F.col(text_col).alias("text"))  # an id may come with several texts
-    ids = own.groupBy("at").agg(F.max("id").alias("id"), F.count("*").alias("rows"))
-    found = _classed(own, "at", "text", **options).groupBy("doc_id").agg(F.max("class_id").alias("class_id"), F.max("n").alias("n"))
-    classes = written(found.join(ids, F.col("doc_id") == F.col("at")).select("at", "class_id", "n", "id", "rows"), "members")
-    leads = classes.where("id is not null").groupBy("class_id").agg(F.min(F.struct("id", "at")).alias("lead"))
-    goes = classes.join(leads, "class_id").where("lead.at <> at").select(F.col("at").alias(at))
-    kept = docs.withColumn(at, F.xxhash64(ident, F.col(text_col))).join(goes, at, "left_anti")
-    again = classes.where("id is not null and n > 0 and rows > 1").select(F.col("at").alias(at))
-    one = kept.join(again, at, "left_semi").dropDuplicates([at])
-    return kept.join(again, at, "left_anti").unionByName(one).select(*docs.columns)
+    ident, mark = F.col(id_col).cast("bigint"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    # A document is its id and the hash of its text: hashes alone would meet by chance among enough documents.
+    found = _classed(docs, id_col, text_col, **options).where("n > 0")
+    classes = written(found.groupBy("doc_id", "mark").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.count("*").alias("rows")), "members")
+    leads = classes.where("doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("lead"))
+    goes = classes.join(leads, ["k1", "k2"]).where(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("mark") == F.col("lead.mark"))))
+    own, text, own_2, text_2 = free_names(docs.columns, "_own", "_mark", "_own_2", "_mark_2")
+    named = lambda part: part.select(F.col("doc_id").alias(own_2), F.col("mark").alias(text_2))
+    same = F.col(own).eqNullSafe(F.col(own_2)) & (F.col(text) == F.col(text_2))
+    kept = docs.withColumns({own: ident, text: mark}).join(named(goes), same, "left_anti")
+    again = named(classes.where("doc_id is not null and rows > 1"))
+    one = kept.join(again, same, "left_semi").dropDuplicates([own, text])
+    return kept.join(again, same, "left_anti").unionByName(one).select(*docs.columns)
