@@ -29,7 +29,7 @@ def corpus():
         rows.append((i, "\n".join(lines), "en", f"s{i % 3}", 1))
     rows += [(200 + k, rows[k][1], "en", rows[k][3], 1) for k in (1, 2, 4)]  # exact copies
     rows += [(300 + k, rows[k][1] + " changed", "en", rows[k][3], 1) for k in (1, 5)]  # near copies
-    rows += [(400, None, "en", "s0", None), (401, "", None, None, 0), (402, " \n ", "en", "s1", 3), (403, prose(20_000), "en", "s2", 1), (1, rows[1][1], "en", "s1", 1)]
+    rows += [(400, None, "en", "s0", None), (401, "", None, None, 0), (402, " \n ", "en", "s1", 3), (403, prose(20_000), "en", "s2", 1), (404, "w1" + " " * 2_000_000 + "w2", "en", "s2", 1), (1, rows[1][1], "en", "s1", 1)]
     return rows
 
 

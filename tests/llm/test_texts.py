@@ -242,6 +242,26 @@ def test_encoder_is_the_tokenizer():
         assert np.frombuffer(e.ids(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_pack_of_long_runs(spark):
+    """Runs of white space beyond what the split pattern can go back over."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 1_200_000 + "c"), (3, "plain")]
+    got, want = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=path).collect(), Counter()
+    for i, text in rows:
+        ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [0]
+        for at in range(0, len(ids), 1024):
+            want[i, at, zlib.crc32(np.array(ids[at : at + 1024], "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got) == want
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    (tmp_path / "t.json").write_text('{"model": {"vocab": {}}, "pre_tokenizer": {"type": "Whitespace"}}')
+    with pytest.raises(ValueError, match="byte-level"):
+        packing.Encoder(str(tmp_path / "t.json"))
+
+
 # secrets
 
 
@@ -323,6 +343,23 @@ def test_forward_backward_is_exact():
     assert np.allclose(m.marginals(gains), want)
 
 
+def passes(gain: np.ndarray, mask: np.ndarray, first: float, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward (with the token) and backward (after it) log messages; log Z is their sum at any token."""
+    docs, n = gain.shape
+    ahead, behind = np.zeros((docs, n, 2)), np.zeros((docs, n, 2))
+    emit = np.stack([np.zeros_like(gain), gain], axis=2)
+    for t in range(n):
+        if t == 0:
+            ahead[:, 0] = emit[:, 0] + np.array([0.0, first])
+        else:
+            ahead[:, t] = np.logaddexp(ahead[:, t - 1, :1] + moves[0], ahead[:, t - 1, 1:] + moves[1]) + emit[:, t]
+    for t in range(n - 2, -1, -1):
+        step = behind[:, t + 1] + emit[:, t + 1]
+        back = np.logaddexp(moves[:, 0] + step[:, :1], moves[:, 1] + step[:, 1:])
+        behind[:, t] = np.where(mask[:, t + 1, None], back, 0.0)
+    return ahead, behind
+
+
 def test_long_chains_by_brute_force():
     """Sparse chains, whose messages settle between words with a weight, against log-space passes over every token."""
     rng = np.random.default_rng(1)
@@ -331,13 +368,41 @@ def test_long_chains_by_brute_force():
         n = int(rng.integers(1, 400))
         gains = {int(i): float(rng.normal(2, 2)) for i in rng.choice(n, int(rng.integers(0, min(n, 8) + 1)), replace=False)}
         gain = np.array([[gains.get(i, m.bias) for i in range(n)]])
-        ahead, behind = toxicity._passes(gain, np.ones((1, n), bool), m.first, np.array(m.moves))
+        ahead, behind = passes(gain, np.ones((1, n), bool), m.first, np.array(m.moves))
         both = (ahead + behind)[0]
         want = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
         values, ends = m.sparse_marginals(n, gains)
         assert ends[-1] == n and np.allclose(np.repeat(values, np.diff([0, *ends])), want, atol=1e-9)
 
 
+def test_expected_counts_by_brute_force():
+    """What the fit expects of whole chains, its runs of plain tokens in closed form, against passes over every token."""
+    rng = np.random.default_rng(1)
+    weights, bias, first, moves = np.r_[0, rng.normal(0, 1, 5)], -1.3, 0.4, rng.normal(0, 1, (2, 2))
+    chains = []
+    for n in [1, 1, 2, *rng.integers(1, 60, 60).tolist()]:
+        places = sorted(rng.choice(n, int(rng.integers(0, min(n, 9) + 1)), replace=False).tolist())
+        chains.append((n, [(p, [int(rng.integers(1, 6)), int(rng.integers(0, 6))]) for p in places], bool(rng.integers(0, 2))))
+    by_feature, got, level, begin, log_z, seen = np.zeros(6), np.zeros((2, 2)), 0.0, 0.0, 0.0, np.zeros((2, 2))
+    for n, marked, toxic in chains:
+        gain, states = np.full(n, bias), np.zeros(n, int)
+        for p, f in marked:
+            gain[p], states[p] = bias + weights[f].sum(), toxic
+        ahead, behind = (x[0] for x in passes(gain[None], np.ones((1, n), bool), first, moves))
+        z = np.logaddexp(*(ahead[0] + behind[0]))
+        p1 = np.exp(ahead[:, 1] + behind[:, 1] - z)
+        log_z, level, begin = log_z + z, level + p1.sum(), begin + p1[0]
+        for p, f in marked:
+            np.add.at(by_feature, f, p1[p])
+        for a, b in ((a, b) for a in range(2) for b in range(2)):
+            got[a, b] += np.exp(ahead[:-1, a] + moves[a, b] + b * gain[1:] + behind[1:, b] - z).sum()
+        np.add.at(seen, (states[:-1], states[1:]), 1)
+    chained = toxicity.Chains(chains, 2)
+    found = chained.expected(weights, bias, first, moves)
+    assert np.allclose(found[0][1:], by_feature[1:]) and np.allclose(found[1], got) and np.allclose(found[2:], (level, begin, log_z))
+    assert (chained.gold_moves() == seen).all()
+
+
 def test_score_by_brute_force(spark):
     """A document's score and spans from the marginals of its whole chain."""
     model = toxicity.fit(*made_up(400, 1))
@@ -346,7 +411,7 @@ def test_score_by_brute_force(spark):
     for r in toxicity.tag_spans(df, model).collect():
         words = texts[r.doc_id].split()
         gains = [max((g for w in toxicity.WORD.findall(x) if (g := model.gain(w.lower())) is not None), default=model.bias) for x in words]
-        ahead, behind = toxicity._passes(np.array([gains]).reshape(1, -1), np.ones((1, len(gains)), bool), model.first, np.array(model.moves)) if words else (np.zeros((1, 0, 2)),) * 2
+        ahead, behind = passes(np.array([gains]).reshape(1, -1), np.ones((1, len(gains)), bool), model.first, np.array(model.moves)) if words else (np.zeros((1, 0, 2)),) * 2
         both = (ahead + behind)[0]
         p = 1 / (1 + np.exp(both[:, 0] - both[:, 1]))
         evidence = np.log1p((p - p.min(initial=1)).sum()) if words else 0.0
@@ -361,12 +426,25 @@ def test_toxicity_of_nulls_and_nothing(spark, none):
     kept = toxicity.drop_toxic(docs, marks)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect() if r.doc_id is None or r.doc_id >= 500) == Counter([500, 500, None])
     assert toxicity.drop_toxic(docs, marks.limit(0)).count() == 203 and toxicity.drop_toxic(none, marks).count() == 0
-    # The bounds of the sample: the first rows by the hash, whole texts, up to the characters allowed.
+    # The bounds of the sample: the first rows by the hash, whole texts, as far as the characters allowed reach.
     rows = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 50, 10**9)
     few = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 50, sum(len(t) for _, t, _ in rows) // 2)
     assert len(rows) == 50 and 10 < len(few) < 50 and set(few) < set(rows) and all(t == texts[i] for i, t, _ in rows)
 
 
+def test_long_labelled_texts_do_not_empty_the_sample(spark):
+    """Those beyond the bound of characters are left out wherever they stand in the order; if none fits, that is said."""
+    texts, labels = made_up(60, 4)
+    texts = [t + " word" * 20_000 if i % 2 else t for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    open_ids = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1}
+    rows = toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 100, 50_000)
+    assert {i for i, _, _ in rows} == {i for i in open_ids if i % 2 == 0}
+    with pytest.raises(ValueError, match="none of the"):
+        toxicity.training_rows(docs, marks, "doc_id", "text", "toxic", 100, 50)
+
+
 def made_up(n, seed):
     rng = np.random.default_rng(seed)
     words = [f"w{i}" for i in range(400)]
