@@ -48,6 +48,12 @@ class Tree:
             out[self.up[i]] |= out[i]
         return [frozenset(s) for s in out]
 
+    def leaf_counts(self) -> list[int]:
+        out = [int(not d) for d in self.down]
+        for i in range(len(self.up) - 1, 0, -1):
+            out[self.up[i]] += out[i]
+        return out
+
     def postorder(self) -> list[int]:
         out, stack = [], [(0, False)] if self.up else []
         while stack:

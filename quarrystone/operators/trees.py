@@ -1,8 +1,8 @@
 """Trees as tables, and reconciliation of gene trees with a species tree.
 
 Closures, common ancestors and distances are joins and recursive queries over
-(node, parent) tables. What visits every rooting of a tree runs as a grouped
-function, a family at a time; a family is one row of Newick text.
+(node, parent) tables. What needs a whole tree runs a family at a time, in
+time linear in its nodes (see ``rooting``); a family is one row of Newick text.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from quarrystone.core.shared import written
 from quarrystone.functions import newick
 from quarrystone.functions.newick import Tree
+from quarrystone.operators.rooting import Costs, Unrooted, smallest_signature
+from quarrystone.operators.splits import FULL, leaf_sums
 
 
 def node_table(df: DataFrame, ident: str = "tree_id", text: str = "newick") -> DataFrame:
@@ -115,33 +117,6 @@ class SpeciesTree:
         return [s for k, node in enumerate(way) if k >= skip for s in self.tree.down[self.tree.up[node]] if s != node]
 
 
-def rootings(tree: Tree) -> Iterator[tuple[Tree, list[int]]]:
-    """The tree rooted at the middle of each edge, with each node's number in the unrooted one (-1 for the new root)."""
-    near: list[list[tuple[int, float]]] = [[] for _ in tree.up]
-    for i, u in enumerate(tree.up):
-        if u >= 0:
-            near[i].append((u, tree.length[i] or 0.0))
-            near[u].append((i, tree.length[i] or 0.0))
-    if len(near[0]) == 2:  # a root that only joins two edges is no node of the unrooted tree
-        (a, x), (b, y) = near[0]
-        near[0] = []
-        near[a] = [(b, x + y) if n == 0 else (n, v) for n, v in near[a]]
-        near[b] = [(a, x + y) if n == 0 else (n, v) for n, v in near[b]]
-    for a in range(len(near)):
-        for b, x in near[a]:
-            if a > b:
-                continue
-            out, origin = Tree(), [-1]
-            out.add(-1)
-            stack = [(b, a, 0, x / 2), (a, b, 0, x / 2)]
-            while stack:
-                node, source, up, long = stack.pop()
-                new = out.add(up, tree.name[node], long)
-                origin.append(node)
-                stack.extend((n, node, new, v) for n, v in reversed(near[node]) if n != source)
-            yield out, origin
-
-
 def reconcile(tree: Tree, species_of: dict[str, str], species: SpeciesTree) -> dict:
     """Duplications, losses and speciations of a rooted gene tree, by common ancestors."""
     n = len(tree.up)
@@ -167,12 +142,6 @@ def reconcile(tree: Tree, species_of: dict[str, str], species: SpeciesTree) -> d
     return {"at": at, "event": event, "losses": losses, "n_dup": counts["duplication"], "n_spec": counts["speciation"], "n_loss": counts["losses"]}
 
 
-def _signature(tree: Tree) -> str:
-    """The split at the root: its sides by size, then by their names."""
-    sets = tree.leaf_sets()
-    return "||".join("|".join(side) for side in sorted((sorted(sets[c]) for c in tree.down[0]), key=lambda side: (len(side), side)))
-
-
 def best_rooting(text: str, species_of: dict[str, str], species: SpeciesTree, duplication: float = 1.0, loss: float = 1.0) -> dict:
     """The rooting of least cost, ties by duplications, losses and the split at
     the root; and how many optimal rootings share each duplication."""
@@ -180,15 +149,20 @@ def best_rooting(text: str, species_of: dict[str, str], species: SpeciesTree, du
     names = [tree.name[i] for i in tree.leaves()]
     if len(names) != len(set(names)) or set(names) != set(species_of):
         raise ValueError("leaves and map differ")
-    found = []
-    for rooted, origin in rootings(tree):
-        r = reconcile(rooted, species_of, species)
-        found.append((duplication * r["n_dup"] + loss * r["n_loss"], r["n_dup"], r["n_loss"], _signature(rooted), rooted, origin, r))
-    found.sort(key=lambda x: x[:4])
-    optimal = [x for x in found if abs(x[0] - found[0][0]) < 1e-9]
-    shared = Counter((origin[i], r["at"][i]) for *_, rooted, origin, r in optimal for i in range(len(rooted.up)) if r["event"][i] == "duplication")
-    cost, _, _, signature, rooted, origin, r = found[0]
-    return r | {"tree": rooted, "origin": origin, "cost": cost, "signature": signature, "optimal": len(optimal), "rootings": len(found), "shared": shared}
+    graph = Unrooted(tree)
+    if len(graph.order) < 2:
+        raise ValueError("a single leaf has no root")
+    costs = Costs(graph, species_of, species)
+    found = {}
+    for x in graph.order[1:]:
+        r = costs.rooting(x)
+        found[x] = (duplication * r.dups + loss * r.losses, r.dups, r.losses)
+    least = min(found.values())
+    optimal = [x for x, cost in found.items() if abs(cost[0] - least[0]) < 1e-9]
+    edge, split = smallest_signature(graph, [x for x, cost in found.items() if cost == least])
+    rooted, origin = next(graph.rooted(a, b, x) for a, b, x in graph.edges() if graph.lower(a, b) == edge)
+    r = reconcile(rooted, species_of, species)
+    return r | {"tree": rooted, "origin": origin, "cost": least[0], "signature": split, "optimal": len(optimal), "rootings": len(found), "shared": costs.shared_duplications(optimal)}
 
 
 RECONCILED = "family string, kind string, node string, species_node string, n_genes int, robustness double, support string, duplications int, losses int, speciations int, optimal_roots int, newick string, error string"
@@ -218,15 +192,15 @@ def reconciled_rows(family: str, text: str, genes: dict[str, str], species: Spec
         r = best_rooting(text or "", genes, species, duplication, loss)
     except (ValueError, KeyError, IndexError) as e:
         return [{"family": family, "kind": "family", "error": str(e)}]
-    t, sets, event, at = r["tree"], r["tree"].leaf_sets(), r["event"], r["at"]
+    t, sizes, event, at = r["tree"], r["tree"].leaf_counts(), r["event"], r["at"]
     numbers = {i: f"G{n:04d}" for n, i in enumerate((i for i in t.postorder() if t.down[i]), 1)}
     names = [f"{event[i][0].upper()}@{species.ids[at[i]]}" if t.down[i] else t.name[i] for i in range(len(t.up))]
     totals = {"duplications": r["n_dup"], "losses": r["n_loss"], "speciations": r["n_spec"], "optimal_roots": r["optimal"]}
-    rows = [{"family": family, "kind": "family", "species_node": species.ids[at[0]], "n_genes": len(sets[0]), "newick": newick.write(t, names)} | totals]
+    rows = [{"family": family, "kind": "family", "species_node": species.ids[at[0]], "n_genes": sizes[0], "newick": newick.write(t, names)} | totals]
     for i in range(len(t.up)):
         if event[i] == "duplication":
             robust, support = r["shared"][r["origin"][i], at[i]] / r["optimal"], "root_induced" if r["origin"][i] < 0 else t.name[i]
-            rows.append({"family": family, "kind": "duplication", "node": numbers[i], "species_node": species.ids[at[i]], "n_genes": len(sets[i]), "robustness": robust, "support": support})
+            rows.append({"family": family, "kind": "duplication", "node": numbers[i], "species_node": species.ids[at[i]], "n_genes": sizes[i], "robustness": robust, "support": support})
     for _, c, s in r["losses"]:
         rows.append({"family": family, "kind": "loss", "node": numbers.get(c, t.name[c]), "species_node": species.ids[s], "n_genes": len(species.sets[s]), "support": t.name[c]})
     return rows
@@ -273,18 +247,20 @@ def can_relax(text: str, least: int = 2) -> bool:
 def rooted_like(text: str, reference: str) -> str:
     """The tree rooted so that its root parts the leaves as the reference's does."""
     tree, other = newick.parse(text), newick.parse(reference)
-    sets, wanted = tree.leaf_sets(), other.leaf_sets()
-    if sets[0] != wanted[0]:
-        raise ValueError(f"leaves differ: {sorted(sets[0] ^ wanted[0])}")
+    names, wanted = ({t.name[i] for i in t.leaves()} for t in (tree, other))
+    if names != wanted:
+        raise ValueError(f"leaves differ: {sorted(names ^ wanted)}")
     if len(other.down[0]) != 2:
         raise ValueError("the reference is not rooted")
-    sides = {wanted[c] for c in other.down[0]}
-    if {sets[c] for c in tree.down[0]} == sides and len(tree.down[0]) == 2:
+    sides = {s for s, up in zip(leaf_sums(other), other.up) if up == 0}
+    if len(tree.down[0]) == 2 and {s for s, up in zip(leaf_sums(tree), tree.up) if up == 0} == sides:
         return newick.write(tree)
-    for rooted, _ in rootings(tree):
-        found = rooted.leaf_sets()
-        if {found[c] for c in rooted.down[0]} == sides:
-            return newick.write(rooted)
+    graph = Unrooted(tree)
+    below, whole = graph.sums()
+    for a, b, x in graph.edges():
+        one = below[graph.lower(a, b)]
+        if {one, (whole - one) & FULL} == sides:
+            return newick.write(graph.rooted(a, b, x)[0])
     raise ValueError("the tree has no such root")
 
 

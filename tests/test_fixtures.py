@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import newick, stats
-from quarrystone.operators import joins, quality, ranking, scoring, sensitivity, sinks, trees
+from quarrystone.operators import joins, quality, ranking, rooting, scoring, sensitivity, sinks, trees
 from quarrystone.sources import sequences
 
 
@@ -22,7 +22,7 @@ def test_root_ties_go_to_the_smaller_side():
     got = trees.best_rooting("(a:1,b:1,c:1);", {"a": "A", "b": "A", "c": "A"}, species)
     assert got["signature"] == "a||b|c" and got["optimal"] == 3 and (got["n_dup"], got["n_loss"]) == (2, 0)
     # A side of one leaf comes before one of two, whatever the names.
-    assert trees._signature(newick.parse("((a,b),z);")) == "z||a|b"
+    assert rooting.signature([["b", "a"], ["z"]]) == "z||a|b"
 
 
 def test_text_before_the_first_record_fails(spark, tmp_path):
