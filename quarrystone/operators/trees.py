@@ -60,14 +60,6 @@ def closure(edges: DataFrame) -> DataFrame:
     return reach.unionByName(own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")))
 
 
-def common_ancestor(pairs: DataFrame, reach: DataFrame) -> DataFrame:
-    """(a, b, lca, distance) of pairs of nodes: the shared ancestor with the fewest steps."""
-    up = lambda side: reach.select(F.col("node").alias(side), F.col("ancestor").alias("lca"), F.col("steps").alias(f"_{side}"))
-    both = pairs.join(up("a"), "a").join(up("b"), ["b", "lca"])
-    best = F.min_by(F.struct("lca", (F.col("_a") + F.col("_b")).alias("distance")), F.col("_a") + F.col("_b")).alias("_best")
-    return both.groupBy("a", "b").agg(best).select("a", "b", "_best.lca", "_best.distance")
-
-
 def ultrametric(nodes: DataFrame, age: float = 100.0) -> DataFrame:
     """Tips moved out to the largest distance of their tree, all lengths scaled to ``age``."""
     top = nodes.where("is_leaf").groupBy("tree_id").agg(F.max("distance").alias("_top"))

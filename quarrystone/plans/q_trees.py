@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators import ancestors as an
+from quarrystone.operators import splits
 from quarrystone.operators import trees as tr
 from quarrystone.plans.base import table
 from quarrystone.plans.register import query
@@ -32,7 +35,7 @@ def tree_closure(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {EDGES} SELECT node, steps AS depth FROM reach WHERE ancestor = 'root'")
 def tree_distance(spark, sf_dir):
-    return tr.closure(_edges(spark, sf_dir)).where("ancestor = 'root'").select("node", F.col("steps").alias("depth"))
+    return an.lifting(_edges(spark, sf_dir)).places.where("depth > 0 or node = 'root'").select("node", "depth")
 
 
 @query(f"""WITH RECURSIVE {EDGES}, pairs AS (SELECT 'C' || c_custkey AS a, 'C' || (c_custkey + 1) AS b FROM customer WHERE c_custkey + 1 < (SELECT count(*) FROM customer)),
@@ -43,7 +46,45 @@ def lca_pairs(spark, sf_dir):
     last = c.agg(F.max("c_custkey")).first()[0]
     name = lambda x: F.concat(F.lit("C"), x.cast("string"))
     pairs = c.where(F.col("c_custkey") < last).select(name(F.col("c_custkey")).alias("a"), name(F.col("c_custkey") + 1).alias("b"))
-    return tr.common_ancestor(pairs, tr.closure(_edges(spark, sf_dir)))
+    return an.common_ancestor(pairs, an.lifting(_edges(spark, sf_dir))).select("a", "b", "lca", "distance")
+
+
+# A chain of orders: each hangs from the one before it of the same customer, all of them from the customer; a branch is as long as the days between.
+CHAINS = """dated AS (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderkey) OVER w AS before, lag(o_orderdate) OVER w AS earlier FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+links AS (SELECT o_orderkey AS node, coalesce(before, -1 - o_custkey) AS parent, CAST(coalesce(date_diff('day', CAST(earlier AS DATE), CAST(o_orderdate AS DATE)), 1) AS DOUBLE) AS length FROM dated),
+tree AS (SELECT DISTINCT parent AS node, 0 AS depth, 0.0::DOUBLE AS far FROM links WHERE parent < 0 UNION ALL SELECT l.node, t.depth + 1, t.far + l.length FROM tree t JOIN links l ON l.parent = t.node)"""
+
+
+def _chains(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    dated = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.lag("o_orderkey").over(w).alias("before"), F.lag("o_orderdate").over(w).alias("earlier"))
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.col("earlier").cast("date"))
+    return dated.select(F.col("o_orderkey").alias("node"), F.coalesce("before", -1 - F.col("o_custkey")).alias("parent"), F.coalesce(days, F.lit(1)).cast("double").alias("length"))
+
+
+@query(f"""WITH RECURSIVE {CHAINS} SELECT node, depth, far AS distance FROM tree""")
+def root_distance(spark, sf_dir):
+    """Steps and branch lengths from the root to each node of deep chains."""
+    return an.lifting(_chains(spark, sf_dir)).places.select("node", "depth", "distance")
+
+
+@query(f"""WITH RECURSIVE {CHAINS}, pair AS (SELECT o_custkey, max(o_orderkey) AS a, min(o_orderkey) AS b FROM orders GROUP BY 1 HAVING count(*) > 1),
+met AS (SELECT a, b, x.depth AS dx, y.depth AS dy, x.far AS fx, y.far AS fy FROM pair JOIN tree x ON x.node = a JOIN tree y ON y.node = b)
+SELECT a, b, CASE WHEN dx < dy THEN a ELSE b END AS lca, abs(dx - dy) AS distance, abs(fx - fy) AS length FROM met""")
+def lca_lengths(spark, sf_dir):
+    """Common ancestors in chains, with the branch lengths between."""
+    pairs = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("a"), F.min("o_orderkey").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return an.common_ancestor(pairs, an.lifting(_chains(spark, sf_dir))).select("a", "b", "lca", "distance", "length")
+
+
+@query(f"""WITH RECURSIVE {CHAINS}, pair AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 3 = 0 THEN max(o_orderkey) OVER w ELSE -1 - o_custkey END AS ancestor FROM orders WINDOW w AS (PARTITION BY o_custkey))
+SELECT p.node, p.ancestor, CASE WHEN a.depth <= t.depth THEN t.depth - a.depth END AS steps, CASE WHEN a.depth <= t.depth THEN t.far - a.far END AS length FROM pair p JOIN tree t ON t.node = p.node JOIN tree a ON a.node = p.ancestor""")
+def ancestor_distances(spark, sf_dir):
+    """The way up to an ancestor; none where the other node is no ancestor."""
+    orders = table(spark, sf_dir, "orders")
+    last = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
+    pairs = orders.join(last, "o_custkey").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 3 == 0, F.col("last")).otherwise(-1 - F.col("o_custkey")).alias("ancestor"))
+    return an.ancestor_distance(pairs, an.lifting(_chains(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {EDGES} SELECT ancestor AS node, count(*) AS leaves FROM reach WHERE starts_with(node, 'C') GROUP BY 1""")
@@ -52,36 +93,88 @@ def leaf_counts(spark, sf_dir):
     return reach.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("leaves"))
 
 
-# Gene families of three forms, named by their customer; what each must give follows from its few leaves.
-SPECIES = "((A:1,B:1):1,(C:1,D:1):1);"
-
-
-def _families(spark, sf_dir):
-    """Four genes as their species; two genes of one species beside another; three genes of one species."""
-    k, n = F.col("c_custkey") % 3, F.col("c_custkey").cast("string")
-    leaf = lambda x: F.concat(F.lit(x), n)
-    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    text = (
-        F.when(k == 0, join("((", leaf("a"), ":1,", leaf("b"), ":1)90/97:1,(", leaf("c"), ":1,", leaf("d"), ":1):1);"))
-        .when(k == 1, join("((", leaf("a"), ":1,", leaf("x"), ":1)90/97:1,", leaf("b"), ":1);"))
-        .otherwise(join("(", leaf("a"), ":1,", leaf("x"), ":1,", leaf("y"), ":1);"))
-    )
-    genes = (
-        F.when(k == 0, F.create_map(leaf("a"), F.lit("A"), leaf("b"), F.lit("B"), leaf("c"), F.lit("C"), leaf("d"), F.lit("D")))
-        .when(k == 1, F.create_map(leaf("a"), F.lit("A"), leaf("x"), F.lit("A"), leaf("b"), F.lit("B")))
-        .otherwise(F.create_map(leaf("a"), F.lit("A"), leaf("x"), F.lit("A"), leaf("y"), F.lit("A")))
-    )
-    return table(spark, sf_dir, "customer").select(n.alias("family"), text.alias("newick"), genes.alias("genes"))
-
-
-@query("""WITH f AS (SELECT CAST(c_custkey AS VARCHAR) AS family, c_custkey % 3 AS k FROM customer),
-t AS (SELECT * FROM (VALUES (0, 'family', '', 'SROOT', 0, 0, 3, 1, NULL, -1), (1, 'family', '', 'S001', 1, 0, 1, 1, NULL, -1), (1, 'duplication', 'G0001', 'A', -1, -1, -1, -1, '90/97', 1.0), (2, 'family', '', 'A', 2, 0, 0, 3, NULL, -1),
-(2, 'duplication', 'G0001', 'A', -1, -1, -1, -1, '', 1.0), (2, 'duplication', 'G0002', 'A', -1, -1, -1, -1, 'root_induced', 1.0)) v(k, kind, node, species_node, duplications, losses, speciations, optimal_roots, support, robustness))
-SELECT family, kind, node, species_node, duplications, losses, speciations, optimal_roots, support, round(robustness, 6)::DOUBLE AS robustness FROM f JOIN t USING (k)""")
+# Gene families: ten customers each, their species by nation. A family's number shapes its tree: three to five inner nodes, polytomies
+# among them, roots of two or more children; customers of the last nation are in no map, so their families cannot be reconciled.
+SPECIES = "((A:1,B:1):1,(C:1,D:1,E:1):1);"
+_INNER = 5
+
+
+def families(spark, sf_dir):
+    """(family, f, n, newick, genes): node j's parent is (f + j * j) % j, leaf i hangs from node i / 2; node 0 of every fourth family has none."""
+    member = F.struct("c_custkey", F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.when(F.col("c_nationkey") != 24, F.substring(F.lit("ABCDE"), F.col("c_nationkey") % 5 + 1, 1)).alias("species"))
+    f, n = F.col("f"), F.col("n")
+    rows = table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 10).alias("f")).agg(F.sort_array(F.collect_list(member)).alias("leaves"), F.count("*").alias("n"))
+    rows = rows.withColumn("m", F.greatest(F.lit(1), F.least(3 + f % 3, F.floor(n / 2))))
+    m = F.col("m")
+    at = lambda i: F.when((f % 4 == 0) & (m > 2) & (i < 2), 1).otherwise(F.least(F.floor(i / 2), m - 1))
+    leaves_at = lambda j: F.transform(F.filter("leaves", lambda x, i: at(i) == j), lambda x: F.concat(x["name"], F.lit(":1")))
+    text: dict[int, Column] = {}
+    for j in reversed(range(_INNER)):
+        own = leaves_at(j)
+        below = [F.when((F.lit(k) < m) & ((f + k * k) % k == j), text[k]) for k in range(j + 1, _INNER)]
+        tail = F.concat(((f * 13 + j * 7) % 100).cast("string"), F.lit(f":{j + 1}")) if j else F.lit(";")
+        text[j] = F.concat(F.lit("("), F.concat_ws(",", own, *below), F.lit(")"), tail)
+    mapped = F.filter("leaves", lambda x: x["species"].isNotNull())
+    genes = F.map_from_arrays(F.transform(mapped, lambda x: x["name"]), F.transform(mapped, lambda x: x["species"]))
+    return rows.select(f.cast("string").alias("family"), "f", "n", text[0].alias("newick"), genes.alias("genes"))
+
+
+#: The same trees as edges; ``reach`` goes from an edge's one end away from the other, so (at, prev) are the nodes of that side as a root there sees them.
+FAMILIES = """leaf AS (SELECT c_custkey // 10 AS f, 'c' || c_custkey AS name, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY c_custkey // 10) AS n,
+  CASE WHEN c_nationkey <> 24 THEN substr('ABCDE', CAST(c_nationkey % 5 + 1 AS INTEGER), 1) END AS species FROM customer WINDOW w AS (PARTITION BY c_custkey // 10 ORDER BY c_custkey)
+), shape AS (SELECT f, n, greatest(1, least(3 + f % 3, n // 2)) AS m, bool_or(species IS NULL) AS bad FROM leaf GROUP BY f, n
+), link AS (
+  SELECT l.f, 'L' || i AS a, 'N' || (CASE WHEN l.f % 4 = 0 AND m > 2 AND i < 2 THEN 1 ELSE least(i // 2, m - 1) END) AS b FROM leaf l JOIN shape s ON l.f = s.f
+  UNION ALL SELECT f, 'N' || j, 'N' || ((f + j * j) % j) FROM shape, range(1, 5) AS r(j) WHERE j < m
+), twin AS (SELECT f, min(a) AS a, max(a) AS b FROM link WHERE b = 'N0' GROUP BY f HAVING count(*) = 2
+), edge AS (SELECT l.* FROM link l LEFT JOIN twin t ON t.f = l.f AND l.b = 'N0' WHERE t.f IS NULL UNION ALL SELECT * FROM twin
+), view AS MATERIALIZED (SELECT f, a AS x, b AS y FROM edge UNION ALL SELECT f, b, a FROM edge
+), reach AS (
+  SELECT f, x, y, x AS cur, y AS prev FROM view
+  UNION ALL SELECT r.f, r.x, r.y, v.x, v.y FROM reach r JOIN view v ON v.f = r.f AND v.y = r.cur AND v.x <> r.prev
+)"""
+
+RECONCILED = f"""WITH RECURSIVE {FAMILIES}, side AS MATERIALIZED (
+  SELECT r.f, r.x, r.y, list(l.name ORDER BY l.name) AS names, list(DISTINCT l.species) AS kinds FROM reach r JOIN leaf l ON l.f = r.f AND r.cur = 'L' || l.i GROUP BY ALL
+), place(kinds_of, node, depth, size) AS (VALUES (['A'], 'A', 2, 1), (['B'], 'B', 2, 1), (['C'], 'C', 2, 1), (['D'], 'D', 2, 1), (['E'], 'E', 2, 1), (['A', 'B'], 'S001', 1, 2), (['C', 'D', 'E'], 'S002', 1, 3), (['A', 'B', 'C', 'D', 'E'], 'SROOT', 0, 5)
+), lost(top, low, gone, step) AS (VALUES ('SROOT', 'S001', 'S002', 0), ('SROOT', 'S002', 'S001', 0), ('S001', 'A', 'B', 0), ('S001', 'B', 'A', 0), ('S002', 'C', 'D', 0), ('S002', 'C', 'E', 0), ('S002', 'D', 'C', 0), ('S002', 'D', 'E', 0), ('S002', 'E', 'C', 0), ('S002', 'E', 'D', 0),
+  ('SROOT', 'A', 'S002', 0), ('SROOT', 'A', 'B', 1), ('SROOT', 'B', 'S002', 0), ('SROOT', 'B', 'A', 1), ('SROOT', 'C', 'S001', 0), ('SROOT', 'C', 'D', 1), ('SROOT', 'C', 'E', 1), ('SROOT', 'D', 'S001', 0), ('SROOT', 'D', 'C', 1), ('SROOT', 'D', 'E', 1), ('SROOT', 'E', 'S001', 0), ('SROOT', 'E', 'C', 1), ('SROOT', 'E', 'D', 1)
+), seen AS MATERIALIZED (SELECT s.f, x, y, names, arg_min(node, size) AS node, arg_min(depth, size) AS depth FROM side s JOIN shape h ON h.f = s.f AND NOT h.bad JOIN place ON list_has_all(kinds_of, kinds) GROUP BY ALL
+), parts AS ( -- what hangs from a node as seen from y; a root on an edge is a node of its own
+  SELECT v.f, v.x, v.y, v.node, v.depth, v.names, k.x AS kid, k.node AS kid_node, k.depth AS kid_depth FROM seen v JOIN seen k ON k.f = v.f AND k.y = v.x AND k.x <> v.y
+), whole AS (SELECT h.f, arg_min(node, size) AS node, arg_min(depth, size) AS depth FROM (SELECT f, list(DISTINCT species) AS kinds FROM leaf GROUP BY f) h JOIN place ON list_has_all(kinds_of, kinds) GROUP BY h.f
+), roots AS MATERIALIZED (SELECT a.f, a.x, a.y, a.names AS one, b.names AS other, w.node, w.depth FROM seen a JOIN seen b ON b.f = a.f AND b.x = a.y AND b.y = a.x AND a.x < a.y JOIN whole w ON w.f = a.f
+), joint AS MATERIALIZED (
+  SELECT f, x, y, node, depth, len(names) AS n, kid, kid_node, kid_depth FROM parts
+  UNION ALL SELECT r.f, 'root:' || r.x, r.y, r.node, r.depth, len(one) + len(other), s.x, s.node, s.depth FROM roots r JOIN seen s ON s.f = r.f AND ((s.x = r.x AND s.y = r.y) OR (s.x = r.y AND s.y = r.x))
+), event AS MATERIALIZED (SELECT f, x, y, node, n, bool_or(kid_node = node) AS dup, sum(kid_depth - depth) - CASE WHEN bool_or(kid_node = node) THEN 0 ELSE count(*) END AS losses FROM joint GROUP BY f, x, y, node, depth, n
+), rooted AS MATERIALIZED ( -- the nodes of each rooting, as it sees them
+  SELECT r.f, r.x AS rx, r.y AS ry, t.cur AS x, t.prev AS y FROM roots r JOIN reach t ON t.f = r.f AND ((t.x = r.x AND t.y = r.y) OR (t.x = r.y AND t.y = r.x)) WHERE t.cur LIKE 'N%'
+  UNION ALL SELECT f, x, y, 'root:' || x, y FROM roots
+), cost AS (SELECT r.f, rx, ry, count_if(dup) AS dups, sum(losses) AS losses, count_if(NOT dup) AS specs FROM rooted r JOIN event e USING (f, x, y) GROUP BY r.f, rx, ry
+), ranked AS MATERIALIZED (
+  SELECT c.*, r.node, dups + losses AS total, min(dups + losses) OVER (PARTITION BY c.f) AS least,
+    row_number() OVER (PARTITION BY c.f ORDER BY dups + losses, dups, losses, CASE WHEN (len(one), one) < (len(other), other) THEN array_to_string(one, '|') || '||' || array_to_string(other, '|') ELSE array_to_string(other, '|') || '||' || array_to_string(one, '|') END) AS nth
+  FROM cost c JOIN roots r ON r.f = c.f AND r.x = rx AND r.y = ry
+), optimal AS (SELECT f, count(*) AS roots FROM ranked WHERE total = least GROUP BY f
+), shared AS (SELECT r.f, CASE WHEN r.x LIKE 'root:%' THEN 'root' ELSE r.x END AS x, e.node, count(*) AS times FROM rooted r JOIN ranked k ON k.f = r.f AND k.rx = r.rx AND k.ry = r.ry AND total = least JOIN event e ON e.f = r.f AND e.x = r.x AND e.y = r.y WHERE e.dup GROUP BY ALL
+), best AS MATERIALIZED (SELECT r.*, e.node, e.n, e.dup, CASE WHEN r.x LIKE 'root:%' THEN 'root' ELSE r.x END AS name FROM rooted r JOIN ranked k ON k.f = r.f AND k.rx = r.rx AND k.ry = r.ry AND k.nth = 1 JOIN event e ON e.f = r.f AND e.x = r.x AND e.y = r.y
+), label AS (SELECT f, 'L' || i AS x, name FROM leaf UNION ALL SELECT f, 'N' || j, CASE WHEN j = 0 THEN '' ELSE CAST((f * 13 + j * 7) % 100 AS VARCHAR) END FROM shape, range(5) AS r(j) UNION ALL SELECT f, 'root', 'root_induced' FROM shape)
+SELECT CAST(h.f AS VARCHAR) AS family, 'family' AS kind, k.node AS species_node, CASE WHEN NOT bad THEN CAST(n AS INTEGER) END AS n_genes, NULL::DOUBLE AS robustness, NULL AS support, CAST(dups AS INTEGER) AS duplications, CAST(losses AS INTEGER) AS losses, CAST(specs AS INTEGER) AS speciations, CAST(roots AS INTEGER) AS optimal_roots,
+  (SELECT string_agg(CASE WHEN dup THEN 'D@' ELSE 'S@' END || b.node, ' ' ORDER BY dup DESC, b.node) FROM best b WHERE b.f = h.f) AS labels, CASE WHEN bad THEN 'leaves and map differ' END AS error
+FROM shape h LEFT JOIN ranked k ON k.f = h.f AND k.nth = 1 LEFT JOIN optimal o ON o.f = h.f
+UNION ALL SELECT CAST(b.f AS VARCHAR), 'duplication', b.node, CAST(b.n AS INTEGER), round(times / roots, 6), l.name, NULL, NULL, NULL, NULL, NULL, NULL
+FROM best b JOIN optimal o ON o.f = b.f JOIN shared s ON s.f = b.f AND s.x = b.name AND s.node = b.node JOIN label l ON l.f = b.f AND l.x = b.name WHERE dup
+UNION ALL SELECT CAST(b.f AS VARCHAR), 'loss', gone, CAST(p.size AS INTEGER), NULL, l.name, NULL, NULL, NULL, NULL, NULL, NULL
+FROM best b JOIN joint j ON j.f = b.f AND j.x = b.x AND j.y = b.y JOIN lost ON top = b.node AND low = j.kid_node AND (dup OR step > 0) JOIN place p ON p.node = gone JOIN label l ON l.f = b.f AND l.x = j.kid"""
+
+
+@query(RECONCILED)
 def reconcile_dl(spark, sf_dir):
-    got = tr.reconcile_families(_families(spark, sf_dir), SPECIES)
-    known = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
-    return got.select("family", "kind", F.coalesce("node", F.lit("")).alias("node"), "species_node", *map(known, ("duplications", "losses", "speciations", "optimal_roots")), "support", F.round(F.coalesce("robustness", F.lit(-1.0)), 6).alias("robustness"))
+    """All rows of every family: totals with the labels of the tree written, duplications, lost branches, and what could not be reconciled."""
+    got = tr.reconcile_families(families(spark, sf_dir), SPECIES)
+    labels = F.array_join(F.array_sort(F.regexp_extract_all("newick", F.lit(r"\)([DS]@[A-Z0-9]+)"))), " ")
+    return got.select("family", "kind", "species_node", "n_genes", F.round("robustness", 6).alias("robustness"), "support", "duplications", "losses", "speciations", "optimal_roots", labels.alias("labels"), "error")
 
 
 @query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS tree_id, c_custkey % 9 + 1.0::DOUBLE AS b FROM customer), h AS (SELECT *, greatest(3.0, 1 + b) AS top FROM t)
@@ -124,3 +217,23 @@ def restored_leaves(spark, sf_dir):
     a = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("("), a, F.lit(":1,b:2);")).alias("newick"), F.create_map(a, F.lit("MKL"), F.lit("b"), F.lit("MKV"), F.lit("c"), F.lit("MKL")).alias("sequences"))
     return tr.restored_column(rows, "newick", "sequences", "tree").select("c_custkey", "tree")
+
+
+@query("""WITH groups AS (SELECT c_custkey // 12 AS tree_id, c_custkey, c_mktsegment AS seg, c_custkey % 2 AS half, c_nationkey % 2 AS nation FROM customer),
+sides AS (
+  SELECT tree_id, 'own' AS side, list(c_custkey ORDER BY c_custkey) AS part FROM groups GROUP BY tree_id, seg UNION SELECT tree_id, 'own', list(c_custkey ORDER BY c_custkey) FROM groups GROUP BY tree_id, seg, half
+  UNION SELECT tree_id, 'other', list(c_custkey ORDER BY c_custkey) FROM groups GROUP BY tree_id, seg UNION SELECT tree_id, 'other', list(c_custkey ORDER BY c_custkey) FROM groups GROUP BY tree_id, seg, nation
+), known AS (SELECT tree_id, list(c_custkey ORDER BY c_custkey) AS every FROM groups GROUP BY tree_id),
+named AS (SELECT DISTINCT tree_id, side, CASE WHEN part[1] = every[1] THEN list_filter(every, lambda x: NOT list_contains(part, x)) ELSE part END AS part FROM sides JOIN known USING (tree_id) WHERE len(part) > 1 AND len(part) < len(every) - 1),
+met AS (SELECT coalesce(a.tree_id, b.tree_id) AS tree_id, a.part AS x, b.part AS y FROM (FROM named WHERE side = 'own') a FULL JOIN (FROM named WHERE side = 'other') b ON a.tree_id = b.tree_id AND a.part = b.part)
+SELECT CAST(tree_id AS VARCHAR) AS tree_id, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (y IS NULL) AS extra, count(*) FILTER (x IS NULL OR y IS NULL) = 0 AS equal FROM met GROUP BY 1""")
+def bipartition_agreement(spark, sf_dir):
+    """Trees of twelve customers, grouped by segment and within by number, against those grouped within by nation: splits that both have, and that one lacks."""
+    c = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 12).alias("tree_id"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.col("c_mktsegment").alias("seg"), (F.col("c_custkey") % 2).alias("half"), (F.col("c_nationkey") % 2).alias("nation"))
+    nested = lambda df, by, x: df.groupBy(*by).agg(F.concat(F.lit("("), F.array_join(F.collect_list(x), ","), F.lit(")")).alias("text"))
+
+    def tree(by: str) -> DataFrame:
+        inner = nested(nested(c, ["tree_id", "seg", by], "name"), ["tree_id", "seg"], "text")
+        return nested(inner, ["tree_id"], "text").withColumn("newick", F.concat("text", F.lit(";")))
+
+    return splits.agreement(splits.compared(splits.bipartitions(tree("half")), splits.bipartitions(tree("nation"))))

@@ -5,10 +5,11 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.functions import newick
 from quarrystone.functions.newick import Tree
-from quarrystone.operators import rooting, splits, trees
+from quarrystone.operators import ancestors, rooting, splits, trees
 
 SPECIES = "((A:1,(B:1,C:1)bc:1):1,((D:1,E:1,F:1):1,G:1):1);"
 
@@ -124,3 +125,52 @@ def test_bipartitions_by_sets(spark):
     assert {r[2:] for r in splits.splits_of("((a:1,b:1):2,(c:1,d:1):3);") if r[2] == 2} == {(2, 4, 5.0)}
     with pytest.raises(ValueError, match="repeat"):
         splits.splits_of("((a,a),b);")
+
+
+def climbed(parent, node):
+    out = [node]
+    while parent.get(out[-1]) is not None:
+        out.append(parent[out[-1]])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ancestors_by_climbing(spark, seed):
+    rng = random.Random(seed)
+    parent = {i: rng.randrange(max(0, i - 5), i) if i % 60 else None for i in range(300)}
+    length = {i: rng.randrange(100) / 4 for i in parent}
+    rows = [(i, p, length[i] if i % 11 else None) for i, p in parent.items()]
+    far = lambda way, top: sum(length[x] if x % 11 else 0.0 for x in way[: way.index(top)])
+    tree = ancestors.lifting(spark.createDataFrame(rows, "node long, parent long, length double"))
+    ways = {i: climbed(parent, i) for i in parent}
+    got = {r.node: (r.root, r.depth, r.distance) for r in tree.places.collect()}
+    assert got == {i: (w[-1], len(w) - 1, far(w, w[-1])) for i, w in ways.items()}
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(400)] + [(7, 7), (0, 0), (5, 999)]
+    want = Counter()
+    for a, b in pairs:
+        for top in [x for x in ways.get(a, []) if x in ways.get(b, [])][:1]:
+            want[a, b, top, ways[a].index(top) + ways[b].index(top), far(ways[a], top) + far(ways[b], top)] += 1
+    table = spark.createDataFrame(pairs, "a long, b long")
+    assert Counter(map(tuple, ancestors.common_ancestor(table, tree).collect())) == want
+    up = {(r.node, r.ancestor): (r.steps, r.length) for r in ancestors.ancestor_distance(table.toDF("node", "ancestor"), tree).collect()}
+    assert up == {(a, b): (ways[a].index(b), far(ways[a], b)) if b in ways.get(a, []) else (None, None) for a, b in pairs}
+
+
+def test_chain_of_a_hundred_thousand(spark):
+    n = 100_000
+    chain = spark.range(n).select((F.col("id") * 7919 % n).alias("node")).select("node", F.when(F.col("node") > 0, F.col("node") - 1).alias("parent"), (F.col("node") % 3).cast("double").alias("length"))
+    tree = ancestors.lifting(chain)
+    assert len(tree.levels) == 17 and sum(level.count() for level in tree.levels) < 17 * n
+    assert tree.places.where("depth <> node or root <> 0").isEmpty() and tree.places.count() == n
+    pairs = spark.range(50).select((F.col("id") * 1999).alias("a"), (F.col("id") * 17 + 90_000).alias("b"))
+    for r in ancestors.common_ancestor(pairs, tree).collect():
+        assert (r.lca, r.distance, r.length) == (min(r.a, r.b), abs(r.b - r.a), float(sum(x % 3 for x in range(min(r.a, r.b) + 1, max(r.a, r.b) + 1))))
+
+
+def test_cycles_and_two_parents_are_errors(spark):
+    edges = lambda *rows: spark.createDataFrame(rows, "node string, parent string")
+    with pytest.raises(ValueError, match="cycle"):
+        ancestors.lifting(edges(("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")))
+    with pytest.raises(ValueError, match="two parents"):
+        ancestors.lifting(edges(("a", "b"), ("a", "c")))
+    assert ancestors.lifting(edges(("a", "b")).limit(0)).places.count() == 0
