@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions.stats import running_max
+
 
 def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
     """Shared share of two arrays as sets; ``empty`` if both have nothing."""
@@ -17,17 +19,24 @@ def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
 
 def interval_union(df: DataFrame, by: Sequence[str], start: str, end: str, out: str, length: Column | None = None) -> DataFrame:
     """Places covered by the intervals of each group, ends included, cut to
-    1..length; overlapping and adjacent ones merge."""
+    1..length; overlapping and adjacent ones merge.
+
+    A sweep in ranges of (group, start): each range counts what lies beyond the
+    largest end so far, and takes from the ranges before it only the largest of
+    their ends, a row per group and range. An interval that starts earlier
+    covers all up to its end, so nothing counts twice.
+    """
     low, high = F.col(start), F.col(end)
     if length is not None:
         low, high = F.greatest(low, F.lit(1)), F.least(high, length)
-    rows = df.select(*by, low.alias("_s"), high.alias("_e")).where("_e >= _s")
-    order = Window.partitionBy(*by).orderBy("_s", "_e")
-    reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = rows.withColumn("_new", F.when(reach.isNull() | (F.col("_s") > reach + 1), 1).otherwise(0))
-    islands = new.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(*by, "_island").agg((F.max("_e") - F.min("_s") + 1).alias("_long"))
-    return merged.groupBy(*by).agg(F.sum("_long").cast("bigint").alias(out))
+    rows = df.select(*by, low.cast("bigint").alias("_s"), high.cast("bigint").alias("_e")).where("_e >= _s")
+    swept = running_max(rows, by, F.col("_e"), "_s", "_e", out="_reach", before=True)
+    return swept.groupBy(*by).agg(F.sum(F.greatest(F.lit(0), F.col("_e") - F.greatest(F.col("_s") - 1, F.coalesce("_reach", F.col("_s") - 1)))).cast("bigint").alias(out))
+
+
+def letter_counts(text: Column, letters: str) -> Column:
+    """How often ``text`` holds each of ``letters``: by what is left without it, so no row and no array per character."""
+    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in letters])
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrystone.core.shared import written
+from quarrystone.functions.tails import two_sided_normal, two_sided_student
 
 
 def _dealt(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -80,6 +77,35 @@ def places(df: DataFrame, *order: Column | str, out: str = "place") -> DataFrame
     return rows.join(starts, "_part").withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
 
 
+def group_places(df: DataFrame, by: Sequence[str], *order: Column | str, out: str = "place") -> DataFrame:
+    """``df`` with each row's place from 1 in its group by ``order``, which must
+    not tie: the place in the whole table less those of the groups before, so
+    that no group is numbered in one task."""
+    ranked = places(df, *by, *order, out="_place")
+    first = ranked.groupBy(*by).agg((F.min("_place") - 1).alias("_before")).select(*[F.col(c).alias(f"_{c}") for c in by], "_before")
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return ranked.join(first, match).withColumn(out, F.col("_place") - F.col("_before")).drop("_place", "_before", *[f"_{c}" for c in by])
+
+
+def running_max(df: DataFrame, by: Sequence[str], value: Column, *order: Column | str, out: str, before: bool = False) -> DataFrame:
+    """``df`` with the largest ``value`` of its group up to each row by ``order``
+    (if ``before``, of the rows before it; null at a group's first): inside ranges of the order, and beyond them by what the
+    ranges before hold (a row per group and range)."""
+    rows = _dealt(df.withColumn("_v", value), *by, *order)
+    own = [F.col(c) for c in by]
+    most = rows.groupBy(*by, "_part").agg(F.max("_v").alias("_most"))
+    earlier = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = most.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), F.max("_most").over(earlier).alias("_carried"))
+    match = F.col("_part") == F.col("_p")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.max("_v").over(Window.partitionBy(*own, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+    joined = rows.withColumn("_in", inside).join(carried, match)
+    return joined.withColumn(out, F.greatest("_in", "_carried")).drop("_v", "_part", "_at", "_in", "_p", "_carried", *[f"_{c}" for c in by])
+
+
 def average_rank(value: Column, by: Sequence[str | Column] = (), descending: bool = False) -> Column:
     """Fractional rank: ties share the mean of their places."""
     same = Window.partitionBy(*by, value)
@@ -95,31 +121,6 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when((n < 2) | (var <= 1e-12), F.lit(float("nan"))).otherwise(F.try_divide(cov, F.sqrt(F.greatest(var, F.lit(0.0)))))
 
 
-@F.pandas_udf(T.DoubleType())
-def hypergeometric_tail(population: pd.Series, marked: pd.Series, drawn: pd.Series, hits: pd.Series) -> pd.Series:
-    """P(X >= hits) of ``drawn`` from ``population`` with ``marked``; sums of exponentials, at most 1."""
-
-    n, k, d, x = (c.to_numpy("i8") for c in (population, marked, drawn, hits))
-    most = int(max(n.max(initial=0), 1))
-    table = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most + 1)))]) if most <= 1_000_000 else None
-    log = (lambda v: table[v]) if table is not None else np.vectorize(lambda v: math.lgamma(v + 1), otypes=["f8"])
-    low, high = np.maximum(np.maximum(x, 0), d - (n - k)), np.minimum(k, d)
-    out = np.zeros(len(n))
-    rows = np.flatnonzero(high >= low)
-    # The terms of some rows at a time, one after the other, so that memory is bounded.
-    for part in np.array_split(rows, max(1, int((high - low + 1)[rows].sum() // 2_000_000))):
-        if not len(part):
-            continue
-        size = (high - low + 1)[part]
-        of = np.repeat(np.arange(len(part)), size)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[part][of]
-        a, b, c = n[part][of], k[part][of], d[part][of]
-        logs = log(b) - log(at) - log(b - at) + log(a - b) - log(c - at) - log(a - b - c + at) - (log(a) - log(c) - log(a - c))
-        top = np.maximum.reduceat(logs, np.cumsum(size) - size)
-        out[part] = np.exp(top) * np.add.reduceat(np.exp(logs - top[of]), np.cumsum(size) - size)
-    return pd.Series(np.minimum(1.0, out), dtype="float64")
-
-
 def fold_enrichment(hits: Column, drawn: Column, marked: Column, population: Column) -> Column:
     return F.try_divide(hits / drawn, marked / population)
 
@@ -131,55 +132,11 @@ def haldane_odds(hits: Column, drawn: Column, marked: Column, population: Column
     return (a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))
 
 
-def shannon_bits(counts: DataFrame, by: Sequence[str], n: str, out: str) -> DataFrame:
-    """Entropy in bits of the counts of each group."""
-    total = F.sum(n).over(Window.partitionBy(*by))
-    share = counts.withColumn("_p", F.col(n) / total)
-    return share.groupBy(*by).agg((-F.sum(F.col("_p") * F.log2("_p"))).alias(out))
-
-
-def _normal_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def _t_tail(t: float, df: float) -> float:
-    """P(T > t) of Student's t by the incomplete beta's continued fraction."""
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if 0 < x < 1 else 0.0
-
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d, h = 1.0, 1 - (a + b) * x / (a + 1), 0.0
-        d = 1 / (d if abs(d) > 1e-30 else 1e-30)
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + num * d
-                d = 1 / (d if abs(d) > 1e-30 else 1e-30)
-                c = 1 + num / c
-                c = c if abs(c) > 1e-30 else 1e-30
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return h
-
-    if x >= 1:
-        tail = 1.0
-    elif x < (a + 1) / (a + b + 2):
-        tail = front * fraction(a, b, x) / a
-    else:
-        tail = 1 - front * fraction(b, a, 1 - x) / b
-    return tail / 2 if t > 0 else 1 - tail / 2
-
-
-@F.pandas_udf(T.DoubleType())
-def two_sided_normal(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if v is None or v != v else min(1.0, 2 * _normal_tail(abs(v)))).astype("float64")
-
-
-@F.pandas_udf(T.DoubleType())
-def two_sided_student(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([float("nan") if a != a or b != b or b <= 0 else 0.0 if math.isinf(a) else min(1.0, 2 * _t_tail(abs(a), b)) for a, b in zip(t, df)], dtype="float64")
+def shannon_bits(counts: Column) -> Column:
+    """Entropy in bits of an array of counts; null if they are all 0."""
+    total = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n)
+    terms = F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0))
+    return F.when(total > 0, F.greatest(F.lit(0.0), F.log2(total) - terms / total))
 
 
 def rank_sum_test(df: DataFrame, value: str, is_first: Column) -> DataFrame:
@@ -221,32 +178,3 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
 def described_share(df: DataFrame, metric: Column, count: Column, of: Column) -> DataFrame:
     """(metric, fraction, p_value): shares that are stated without a test, so p is null."""
     return df.select(metric.alias("metric"), F.try_divide(count.cast("double"), of.cast("double")).alias("fraction"), F.lit(None).cast("double").alias("p_value"))
-
-
-@F.pandas_udf(T.StructType([T.StructField("p_value", T.DoubleType()), T.StructField("odds_ratio", T.DoubleType())]))
-def fisher_exact(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
-    """Two-sided p and the conditional maximum-likelihood odds ratio of 2 x 2 tables."""
-
-    def one(a: int, b: int, c: int, d: int) -> tuple[float, float]:
-        m, n, k = a + b, c + d, a + c
-        low, high = max(0, k - n), min(k, m)
-        support = np.arange(low, high + 1)
-        choose = lambda x, y: math.lgamma(x + 1) - math.lgamma(y + 1) - math.lgamma(x - y + 1)
-        logs = np.array([choose(m, i) + choose(n, k - i) for i in support])
-        density = lambda theta: np.exp(logs + support * theta - (logs + support * theta).max())
-        p = density(0.0)
-        p /= p.sum()
-        value = float(p[p <= p[a - low] * (1 + 1e-7)].sum())
-        if a == low:
-            return min(1.0, value), 0.0
-        if a == high:
-            return min(1.0, value), math.inf
-        left, right = -40.0, 40.0
-        for _ in range(200):
-            mid = (left + right) / 2
-            w = density(mid)
-            left, right = (mid, right) if (w * support).sum() / w.sum() < a else (left, mid)
-        return min(1.0, value), math.exp((left + right) / 2)
-
-    rows = [one(*map(int, r)) for r in zip(a, b, c, d)]
-    return pd.DataFrame(rows, columns=["p_value", "odds_ratio"])

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.numbers import ratio
-from quarrystone.functions.stats import benjamini_hochberg, fold_enrichment, haldane_odds, hypergeometric_tail
+from quarrystone.functions.stats import benjamini_hochberg, fold_enrichment, haldane_odds
+from quarrystone.functions.tails import hypergeometric_tail
 from quarrystone.functions.text import any_present, present
 
 

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.stats import places
+from quarrystone.functions.stats import group_places, places, running_max
+
+#: Slices of a group whose first rows are found on their own before they are merged.
+_SLICES = 32
 
 
 def best_per(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
@@ -16,8 +19,18 @@ def best_per(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
 
 
 def top_per(df: DataFrame, by: Sequence[str], k: int, *order: Column) -> DataFrame:
-    """The first ``k`` rows of each group, numbered by ``place``."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
+    """The first ``k`` rows of each group, numbered by ``place``.
+
+    A bounded top-k that merges: the first ``k`` of each group and ``_SLICES``
+    slices of its rows, then the first of these. However large a group is, a
+    task sorts a slice of it or ``k * _SLICES`` rows, and up to a ``k`` of 1000
+    Spark keeps no more than ``k`` rows of a group in a task before it shuffles.
+    """
+    number = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    hashed = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = df.withColumn("_slice", F.pmod(F.xxhash64(*hashed), F.lit(_SLICES)))
+    some = dealt.withColumn("place", number(*by, "_slice")).where(F.col("place") <= k).drop("_slice", "place")
+    return some.withColumn("place", number(*by)).where(F.col("place") <= k)
 
 
 def capped(df: DataFrame, inner: Sequence[str], outer: Sequence[str], per_inner: int, per_outer: int, *order: Column) -> DataFrame:
@@ -27,30 +40,35 @@ def capped(df: DataFrame, inner: Sequence[str], outer: Sequence[str], per_inner:
 
 def quota(df: DataFrame, by: Sequence[str], wanted: Column, least: int, total: int, first: Sequence[Column], final: Sequence[Column]) -> DataFrame:
     """``total`` rows of each group, of which up to ``least`` are wanted ones:
-    these are taken first, the rest by order, and all are numbered anew."""
-    some = Window.partitionBy(*by, wanted).orderBy(*first)
-    taken = df.withColumn("_taken", wanted & (F.row_number().over(some) <= min(least, total)))
+    these are taken first, the rest by order, and all are numbered anew.
+
+    All that can be chosen are the first ``total`` wanted rows and the first
+    ``total`` others; these two bounded sets are found first (see ``top_per``).
+    """
+    some = top_per(df.withColumn("_wanted", F.coalesce(wanted, F.lit(False))), [*by, "_wanted"], total, *first)
+    taken = some.withColumn("_taken", F.col("_wanted") & (F.col("place") <= min(least, total))).drop("_wanted", "place")
     fill = Window.partitionBy(*by).orderBy(F.desc("_taken"), *first)
     kept = taken.withColumn("_fill", F.row_number().over(fill)).where(F.col("_fill") <= total)
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*final))).drop("_taken", "_fill")
 
 
 def unique_labels(df: DataFrame, base: str, out: str, *order: Column) -> DataFrame:
-    """The label, with __2, __3 and so on from its second row on."""
-    n = F.row_number().over(Window.partitionBy(base).orderBy(*order))
-    return df.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("__", F.col(base), n.cast("string"))))
+    """The label, with __2, __3 and so on from its second row on by ``order``, which must not tie."""
+    n = F.col("_nth")
+    labelled = group_places(df, [base], *order, out="_nth")
+    return labelled.withColumn(out, F.when(n == 1, F.col(base)).otherwise(F.concat_ws("__", F.col(base), n.cast("string")))).drop("_nth")
 
 
 def serial(df: DataFrame, prefix: str, width: int, out: str, by: Sequence[str], *order: Column) -> DataFrame:
-    """Zero-padded numbers within each group, such as L0001."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn(out, F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0")))
+    """Zero-padded numbers within each group by ``order``, which must not tie, such as L0001; longer ones keep all digits."""
+    n = F.col("_nth").cast("string")
+    padded = F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)
+    return group_places(df, by, *order, out="_nth").withColumn(out, F.concat(F.lit(prefix), padded)).drop("_nth")
 
 
 def winners_log(df: DataFrame, by: str, length: str, ident: str, *order: Column) -> DataFrame:
     """Each row with the best of its group up to it (longest, then larger id): who had won at that time."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("winner_then", F.max(F.struct(length, ident)).over(w)[ident])
+    return running_max(df, [by], F.struct(length, ident), *order, out="_best").withColumn("winner_then", F.col("_best")[ident]).drop("_best")
 
 
 def global_and_group_rank(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
@@ -59,9 +77,4 @@ def global_and_group_rank(df: DataFrame, by: Sequence[str], *order: Column) -> D
     Both are places in a table sorted in ranges, so neither the whole table nor
     a large group is ranked in one task.
     """
-    ranked = places(places(df, *order, out="overall_rank"), *by, *order, out="_place")
-    first = ranked.groupBy(*by).agg((F.min("_place") - 1).alias("_before")).select(*[F.col(c).alias(f"_{c}") for c in by], "_before")
-    match = F.lit(True)
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return ranked.join(first, match).withColumn("group_rank", F.col("_place") - F.col("_before")).drop("_place", "_before", *[f"_{c}" for c in by])
+    return group_places(places(df, *order, out="overall_rank"), by, *order, out="group_rank")

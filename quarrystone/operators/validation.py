@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from quarrystone.functions.arrays import letter_counts
 from quarrystone.functions.stats import places, shannon_bits
+from quarrystone.functions.tails import let
 
 # Statuses by severity.
 SEVERITY = ("pass", "review", "review_high", "exclude_recommended")
@@ -55,10 +57,9 @@ def repeated(df: DataFrame, ident: str) -> DataFrame:
     return df.groupBy(ident).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def entropy(df: DataFrame, ident: str, text: Column, kept: str) -> DataFrame:
-    """(ident, bits): entropy of the characters that match ``kept``."""
-    chars = df.select(ident, F.explode(F.split(text, "")).alias("ch")).where(F.rlike("ch", F.lit(kept)))
-    return shannon_bits(chars.groupBy(ident, "ch").agg(F.count("*").alias("n")), [ident], "n", "bits")
+def entropy(text: Column, letters: str) -> Column:
+    """Entropy in bits of the ``letters`` of a text, counted inside the row; null if it has none of them."""
+    return let(text, lambda t: let(letter_counts(t, letters), shannon_bits))
 
 
 def expression_bin(tpm: Column) -> Column:

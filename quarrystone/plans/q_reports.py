@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from quarrystone.functions import arrays as arr
@@ -60,11 +62,10 @@ def _checked(spark, sf_dir):
     hits = d.where(k % 9 != 0).select(k.alias("item"), F.col("lang").alias("family"), F.explode(F.array(term(0), term(1))).alias("term")).distinct()
     domains = qu.domain_stats(rows.select("family", "item"), hits).drop("family_size")
     own = hits.groupBy("item").agg(F.collect_list("term").alias("terms"))
-    bits = va.entropy(rows, "item", F.col("seq"), "^[A-Z]$")
     full = va.with_length_ratio(rows.withColumn("length", F.length("seq")), "family", "length").withColumn("digest", F.md5("seq"))
-    full = qu.with_duplicates(full).join(domains, "family", "left").join(an.core_terms(hits), "family", "left").join(own, "item", "left").join(bits, "item", "left")
+    full = qu.with_duplicates(full).join(domains, "family", "left").join(an.core_terms(hits), "family", "left").join(own, "item", "left")
     none = F.array().cast("array<string>")
-    full = full.withColumns({"core": F.coalesce("core", none), "terms": F.coalesce("terms", none), "bits": F.coalesce("bits", F.lit(0.0)), "risks": qu.risk_categories(F.col("text"), F.col("go"))})
+    full = full.withColumns({"core": F.coalesce("core", none), "terms": F.coalesce("terms", none), "bits": F.coalesce(va.entropy(F.col("seq"), ascii_uppercase), F.lit(0.0)), "risks": qu.risk_categories(F.col("text"), F.col("go"))})
     full = full.withColumns({"n_hits": F.size("terms"), "n_core": F.size("core"), "core_jaccard": arr.jaccard(F.col("core"), F.col("terms"))})
     return qu.validated(full)
 

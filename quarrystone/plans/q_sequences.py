@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase
+
 from pyspark.sql import functions as F
 
 from quarrystone.functions import arrays as arr
 from quarrystone.functions import stats as st
+from quarrystone.functions.tails import fisher_exact
 from quarrystone.operators import annotation as an
 from quarrystone.operators import ranking as rk
 from quarrystone.operators import selection as sel
@@ -28,7 +31,8 @@ def dup_groups_md5(spark, sf_dir):
 @query("""WITH c AS (SELECT doc_id, unnest(string_split(lower(text), '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE ch >= 'a' AND ch <= 'z' AND length(ch) = 1 GROUP BY 1, 2),
 t AS (SELECT *, n / sum(n) OVER (PARTITION BY doc_id)::DOUBLE AS p FROM n) SELECT doc_id, round(-sum(p * log2(p)), 6) AS bits FROM t GROUP BY 1""")
 def entropy_bits(spark, sf_dir):
-    return va.entropy(_docs(spark, sf_dir), "doc_id", F.lower("text"), "^[a-z]$").select("doc_id", F.round("bits", 6).alias("bits"))
+    bits = va.entropy(F.lower("text"), ascii_lowercase)
+    return _docs(spark, sf_dir).select("doc_id", F.round(bits, 6).alias("bits")).where("bits is not null")
 
 
 @query("SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(lower(text), '')) AS ch FROM documents) WHERE ch IN ('!', '#', '$', '%', '&', '*', '|') GROUP BY 1")
@@ -204,12 +208,17 @@ def spearman_statistic(spark, sf_dir):
 @query("""WITH c AS (SELECT lang, count(*) FILTER (toxic = 1 AND quality = 1)::BIGINT AS a, count(*) FILTER (toxic = 1 AND quality = 0)::BIGINT AS b, count(*) FILTER (toxic = 0 AND quality = 1)::BIGINT AS c, count(*) FILTER (toxic = 0 AND quality = 0)::BIGINT AS d
 FROM documents JOIN labels USING (doc_id) GROUP BY 1),
 p AS (SELECT *, list_transform(range(greatest(0, a + c - (c + d)), least(a + c, a + b) + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) + lgamma(c + d + 1) - lgamma(a + c - i + 1) - lgamma(d + i - a + 1)
- - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1))) AS ps FROM c)
-SELECT lang, a, b, c, d, round(least(1.0, list_sum(list_filter(ps, lambda x: x <= ps[(a - greatest(0, a - d) + 1)::BIGINT] * (1 + 1e-7)))), 6) AS p_value FROM p""")
+ - lgamma(a + b + c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1))) AS ps, a - greatest(0, a - d) AS place FROM c),
+-- The odds at which the mean of the tilted distribution is the first cell, halved over its logarithm.
+o AS (SELECT lang, list_reduce(list_prepend([-6.0::DOUBLE, 6.0::DOUBLE], list_transform(range(55), lambda i: [0.0::DOUBLE, 0.0::DOUBLE])), lambda e, z: CASE WHEN
+ list_sum(list_transform(range(0, len(ps)), lambda i: i * ps[i + 1] * exp((i - place) * (e[1] + e[2]) / 2))) / list_sum(list_transform(range(0, len(ps)), lambda i: ps[i + 1] * exp((i - place) * (e[1] + e[2]) / 2))) < place
+ THEN [(e[1] + e[2]) / 2, e[2]] ELSE [e[1], (e[1] + e[2]) / 2] END) AS e FROM p)
+SELECT lang, a, b, c, d, round(least(1.0, list_sum(list_filter(ps, lambda x: x <= ps[place + 1] * (1 + 1e-7)))), 6) AS p_value,
+CASE WHEN place = 0 THEN 0.0 WHEN place = len(ps) - 1 THEN 'inf'::DOUBLE ELSE round(exp((e[1] + e[2]) / 2), 6) END AS odds_ratio FROM p JOIN o USING (lang)""")
 def fisher(spark, sf_dir):
     x = _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     cell = lambda t, q: F.count_if((F.col("toxic") == t) & (F.col("quality") == q))
     c = x.groupBy("lang").agg(cell(1, 1).alias("a"), cell(1, 0).alias("b"), cell(0, 1).alias("c"), cell(0, 0).alias("d"))
-    return c.withColumn("t", st.fisher_exact("a", "b", "c", "d")).select("lang", "a", "b", "c", "d", F.round("t.p_value", 6).alias("p_value"))
+    return c.withColumn("t", fisher_exact("a", "b", "c", "d")).select("lang", "a", "b", "c", "d", F.round("t.p_value", 6).alias("p_value"), F.round("t.odds_ratio", 6).alias("odds_ratio"))
 
 

@@ -6,7 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.functions import newick, stats
+from quarrystone.functions import newick, stats, tails
 from quarrystone.operators import joins, quality, ranking, rooting, scoring, sensitivity, sinks, trees
 from quarrystone.sources import sequences
 
@@ -105,7 +105,7 @@ def test_rank_tests_beside_definitions(spark):
 
 def test_hypergeometric_tail_exactly(spark):
     cases = [(50, 10, 12, 4), (50, 10, 12, 0), (20, 20, 5, 5), (30, 3, 4, 4), (1000, 40, 100, 12), (10, 0, 3, 0)]
-    df = spark.createDataFrame(cases, "n long, k long, d long, x long").withColumn("p", stats.hypergeometric_tail("n", "k", "d", "x"))
+    df = spark.createDataFrame(cases, "n long, k long, d long, x long").withColumn("p", tails.hypergeometric_tail("n", "k", "d", "x"))
     for r in df.collect():
         want = sum(Fraction(math.comb(r.k, i) * math.comb(r.n - r.k, r.d - i), math.comb(r.n, r.d)) for i in range(r.x, min(r.k, r.d) + 1))
         assert r.p == pytest.approx(float(want), rel=1e-9, abs=1e-300)
