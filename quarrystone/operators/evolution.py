@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrystone.functions.arrays import codons
+from quarrystone.functions.tails import let
 
 STOPS = ("TAA", "TAG", "TGA")  # fixed value: stop codons of the universal code
 
@@ -36,32 +32,70 @@ def eligibility(sequences: Column, species: Column, sites: Column, mapped: Colum
     return why == "", why
 
 
-def _walk(value: object, wanted: str) -> float | None:
-    """The first finite number whose key holds the text, depth first, case aside."""
-    pairs = value.items() if isinstance(value, dict) else ((("", v) for v in value) if isinstance(value, list) else ())
-    for key, inner in pairs:
-        if wanted in str(key).lower() and isinstance(inner, (int, float)) and not isinstance(inner, bool) and math.isfinite(inner):
-            return float(inner)
-        found = _walk(inner, wanted)
-        if found is not None:
-            return found
-    return None
-
-
-def find_number(document: Column, wanted: str) -> Column:
-    """``_walk`` over a JSON text; null if it is no JSON or holds none."""
-
-    @F.pandas_udf(T.DoubleType())
-    def find(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            try:
-                out.append(None if t is None else _walk(json.loads(t), wanted.lower()))
-            except ValueError:
-                out.append(None)
-        return pd.Series(out, dtype="float64")
-
-    return find(document)
+#: Levels of nesting that are searched; deeper documents are an error.
+DEPTH = 48
+
+
+def find_number(document: Column, wanted: str, depth: int = DEPTH) -> Column:
+    """The first finite number of a JSON text, depth first, whose key holds
+    ``wanted``, case aside; null if it is no JSON or holds none.
+
+    A level at a time: each object or list on it gives its members, with the
+    way that leads to them as an array of places. Of the numbers found the
+    least way is the first, and what lies beyond it is not opened. Objects are
+    read both as texts, which keep their inner order, and as variants, which
+    know a number from a text that looks like one. Of repeated keys the last
+    counts.
+    """
+    inside = "array<struct<way:array<int>,text:string>>"
+    zero = F.struct(
+        F.array(F.struct(F.array().cast("array<int>").alias("way"), document.alias("text"))).cast(inside).alias("level"),
+        F.lit(None).cast("array<int>").alias("way"), F.lit(None).cast("double").alias("value"),
+    )
+
+    def members(node: Column) -> Column:
+        """(way, key, kind, text, value) of what an object or list holds."""
+
+        def listed(keys: Column, texts: Column, values: Column) -> Column:
+            def one(key: Column, i: Column) -> Column:
+                value = F.get(values, i)
+                kind = F.schema_of_variant(value)
+                number = F.when(F.rlike(kind, F.lit("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")), F.try_variant_get(value, "$", "double"))
+                finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+                return F.struct(F.array_append(node["way"], i).alias("way"), key.alias("key"), kind.alias("kind"), F.get(texts, i).alias("text"), finite.alias("value"))
+
+            return F.transform(keys, one)
+
+        def of_map(m: Column) -> Column:
+            keys = F.map_keys(m["texts"])
+            some = listed(keys, F.map_values(m["texts"]), F.map_values(m["values"]))
+            last = F.filter(some, lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
+            return F.when(F.size(F.array_distinct(keys)) < F.size(keys), last).otherwise(some)
+
+        def of_list(m: Column) -> Column:
+            return listed(F.transform(m["texts"], lambda _: F.lit("")), m["texts"], m["values"])
+
+        both = lambda a, b: F.struct(F.from_json(node["text"], a).alias("texts"), F.from_json(node["text"], b).alias("values"))
+        is_object = F.startswith(F.ltrim(node["text"]), F.lit("{"))
+        return F.when(is_object, let(both("map<string,string>", "map<string,variant>"), of_map)).otherwise(let(both("array<string>", "array<variant>"), of_list))
+
+    def step(state: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(state["level"], lambda n: F.coalesce(members(n), F.array().cast("array<struct<way:array<int>,key:string,kind:string,text:string,value:double>>"))))
+
+        def next_state(held: Column) -> Column:
+            hits = F.filter(held, lambda m: m["value"].isNotNull() & F.contains(F.lower(m["key"]), F.lit(wanted.lower())))
+            best = F.array_min(F.array_append(F.transform(hits, lambda m: F.struct(m["way"].alias("way"), m["value"].alias("value"))), F.when(state["way"].isNotNull(), F.struct(state["way"].alias("way"), state["value"].alias("value")))))
+
+            def onward(b: Column) -> Column:
+                more = F.filter(held, lambda m: F.rlike(m["kind"], F.lit("^(OBJECT|ARRAY)")) & (b.isNull() | (m["way"] < b["way"])))
+                return F.struct(F.transform(more, lambda m: F.struct(m["way"].alias("way"), m["text"].alias("text"))).cast(inside).alias("level"), b["way"].alias("way"), b["value"].alias("value"))
+
+            return let(best, onward)
+
+        return F.when(F.size(state["level"]) == 0, state).otherwise(let(found, next_state))
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), zero, step, lambda s: F.when(F.size(s["level"]) > 0, F.raise_error(F.lit(f"JSON of more than {depth} levels"))).otherwise(s["value"]))
+    return F.when(document.isNotNull(), done)
 
 
 def test_result(document: Column, name: str) -> Column:

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrystone.core.names import free_names
 from quarrystone.core.shared import written
 from quarrystone.functions.arrays import wrapped
 
 
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str], missing: str = "", quoted: bool = True, line_end: str = "\n") -> None:
     """Just ``columns``, in this order, with a header; fails if the folder exists."""
-    writer = df.select(*columns).write.option("sep", "\t").option("header", True).option("nullValue", missing).option("emptyValue", "").option("lineSep", line_end)
+    writer = df.select(*columns).write.option("sep", "\t").option("header", True).option("nullValue", missing).option("emptyValue", "").option("lineSep", line_end).option("escape", '"')
     if not quoted:
         writer = writer.option("quote", "")
     writer.mode("errorifexists").csv(path)
@@ -34,12 +35,23 @@ def write_fasta(df: DataFrame, path: str, ident: str = "id", seq: str = "seq", w
     df.select(F.concat(F.lit(">"), F.col(ident), F.lit("\n"), wrapped(F.col(seq), width))).write.mode("errorifexists").text(path)
 
 
+def observed_write(df: DataFrame, path: str, metrics: Mapping[str, Column], *by: str) -> dict[str, object]:
+    """Writes ``df`` as Parquet, in folders ``by`` columns if there are any, and
+    gives ``metrics``, aggregates of the rows taken while they are written: one
+    job, and nothing is read again to be counted."""
+    seen = Observation()
+    writer = df.observe(seen, *[c.alias(name) for name, c in metrics.items()]).write.mode("errorifexists")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return dict(seen.get)
+
+
 def write_routed(df: DataFrame, path: str, route: str) -> dict[str, int]:
-    """A folder per route in one pass, and the rows of each; they must add up to all."""
-    df.write.mode("errorifexists").partitionBy(route).parquet(path)
-    counts = {r[route]: r["n"] for r in df.sparkSession.read.parquet(path).groupBy(route).agg(F.count("*").alias("n")).collect()}
-    if sum(counts.values()) != df.count():
-        raise ValueError("routed rows do not add up")
+    """A folder per route in one pass, and the rows of each, as the files state them; they must add up to what was written."""
+    total = observed_write(df, path, {"n": F.count("*")}, route)["n"]
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    counts = {r[route]: r["n"] for r in stored.groupBy(route).agg(F.count("*").alias("n")).collect()}  # a row per folder
+    if sum(counts.values()) != total:
+        raise ValueError(f"{sum(counts.values())} routed rows of {total}")
     return counts
 
 
@@ -112,11 +124,38 @@ def sync(source: DataFrame, target: str, key: str) -> int:
 
 
 def checks(spark: SparkSession, named: Mapping[str, tuple[object, object]]) -> DataFrame:
-    """(check, status, observed, expected), PASS where both agree."""
+    """(check, status, observed, expected) of numbers known on the driver, as ``observed_write`` gives them; PASS where both agree."""
     rows = [(n, "PASS" if a == b else "FAIL", str(a), str(b)) for n, (a, b) in named.items()]
     return spark.createDataFrame(rows, "check string, status string, observed string, expected string")
 
 
+def measured(named: Mapping[str, tuple[DataFrame, object]]) -> DataFrame:
+    """The same of tables of one row and one column beside what they must hold: all in one job, when the result is read."""
+    out = None
+    for name, (df, expected) in named.items():
+        value = F.col(f"`{df.columns[0]}`")
+        status = F.when(value.eqNullSafe(F.lit(expected)), "PASS").otherwise("FAIL")
+        row = df.select(F.lit(name).alias("check"), status.alias("status"), value.cast("string").alias("observed"), F.lit(str(expected)).alias("expected"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def required(df: DataFrame, check: DataFrame, message: str) -> DataFrame:
+    """``df``, which fails when it is read unless the one row of ``check`` (ok) holds true, be ``df`` empty or not."""
+    (ok,) = free_names(df.columns, "_ok")
+    one = check.select(F.when(F.col("ok"), True).otherwise(F.raise_error(F.lit(message))).alias(ok))
+    held = df.crossJoin(F.broadcast(one)).where(F.col(ok)).drop(ok)  # one row
+    nothing = one.where(~F.col(ok)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+    return held.unionByName(nothing)
+
+
+def exactly(df: DataFrame, by: Sequence[str], each: int, groups: int) -> DataFrame:
+    """``df``, which fails when it is read unless it has just ``groups`` groups of just ``each`` rows."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
+    check = sizes.agg(((F.count("*") == groups) & F.coalesce(F.bool_and(F.col("n") == each), F.lit(groups == 0))).alias("ok"))
+    return required(df, check, f"not {groups} groups of {each} rows each by {', '.join(by)}")
+
+
 def all_pass(df: DataFrame) -> DataFrame:
     failed = df.where("status <> 'PASS'").limit(10).collect()
     if failed:

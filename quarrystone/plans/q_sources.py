@@ -28,10 +28,12 @@ def _lines(spark, name, *parts):
     return path
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey = 0 THEN NULL ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation")
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name || chr(10) || 'second \"line\"' ELSE n_name END AS n_name, CASE WHEN n_regionkey = 0 THEN NULL ELSE CAST(n_regionkey AS VARCHAR) END AS n_regionkey FROM nation")
 def tsv_round_trip(spark, sf_dir):
+    """Cells with line breaks and quotes among them."""
     path = _place(spark, "tsv")
-    n = table(spark, sf_dir, "nation").withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(0)))
+    name = F.when(F.col("n_nationkey") % 3 == 0, F.concat("n_name", F.lit('\nsecond "line"'))).otherwise(F.col("n_name"))
+    n = table(spark, sf_dir, "nation").withColumns({"n_regionkey": F.nullif("n_regionkey", F.lit(0)), "n_name": name})
     sinks.write_tsv(n, path, ["n_name", "n_nationkey", "n_regionkey"])
     return tb.tsv(spark, path, ["n_nationkey", "n_name", "n_regionkey"])
 
@@ -93,10 +95,11 @@ def node_matrix_scan(spark, sf_dir):
 
 @query("SELECT n_name AS key, n_regionkey || ': x' AS value FROM nation UNION ALL SELECT 'again', 'first'")
 def key_values_scan(spark, sf_dir):
-    """Of a key that comes twice the first line counts."""
+    """Of a key that comes twice the first line counts, though it stands in the smaller of two files."""
     n = table(spark, sf_dir, "nation").select(F.concat(F.col("n_name"), F.lit("\t "), F.col("n_regionkey").cast("string"), F.lit(": x")).alias("line"))
-    more = spark.createDataFrame([("again\tfirst",), ("again\tsecond",), ("no value",)], "line string")
-    return tb.key_values(spark, _lines(spark, "keys", n.unionByName(more).coalesce(1)))
+    first = spark.createDataFrame([("again\tfirst",), ("no value",)], "line string").coalesce(1)
+    rest = spark.createDataFrame([("again\tsecond",), ("again\tthird",)], "line string").unionByName(n).coalesce(1)
+    return tb.key_values(spark, _lines(spark, "keys", first.unionByName(rest)))
 
 
 SEQUENCE = "repeat(translate(lpad(CAST(p_partkey AS VARCHAR), 6, '0'), '0123456789', 'ACDEFGHIKL'), 1 + p_size)"
@@ -319,6 +322,21 @@ def routed_rows(spark, sf_dir):
     return spark.createDataFrame(list(sinks.write_routed(p, _place(spark, "routed"), "route").items()), "route string, n bigint")
 
 
+@query("SELECT l_returnflag AS route, count(*) AS stored, (SELECT count(*) FROM lineitem) AS written, (SELECT CAST(sum(l_linenumber) AS BIGINT) FROM lineitem) AS line_numbers, (SELECT min(l_orderkey) FROM lineitem) AS first FROM lineitem GROUP BY 1")
+def observed_rows(spark, sf_dir):
+    """What the files of each route hold, beside metrics taken while they were written."""
+    path, rows = _place(spark, "observed"), table(spark, sf_dir, "lineitem")
+    seen = sinks.observed_write(rows, path, {"written": F.count("*"), "line_numbers": F.sum("l_linenumber"), "first": F.min("l_orderkey")}, "l_returnflag")
+    stored = spark.read.parquet(path).groupBy(F.col("l_returnflag").alias("route")).agg(F.count("*").alias("stored"))
+    return stored.select("route", "stored", *[F.lit(v).alias(name) for name, v in seen.items()])
+
+
+@query("SELECT n_regionkey, n_name FROM nation")
+def exact_selection(spark, sf_dir):
+    """Five nations of each of five regions, or the query fails."""
+    return sinks.exactly(table(spark, sf_dir, "nation").select("n_regionkey", "n_name"), ["n_regionkey"], 5, 5)
+
+
 @query("SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation")
 def committed_run(spark, sf_dir):
     """Two runs of which the pointer names the second; both carry their marker."""

@@ -12,30 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fasta(spark: SparkSession, path: str, mode: str = "raw") -> DataFrame:
-    """(path, id, description, seq) of FASTA files; ``mode`` raw, upper, or protein (upper without stops).
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, id, head, text) of each record of FASTA files, its sequence still in lines.
 
-    Records split at line starts with >, by the reader, so a large file is many
-    tasks. Text before the first record fails when it is read.
+    The reader parts files where a line begins with >, at any byte range, so one
+    large file is many tasks. Text before the first record fails when it is
+    read: of a file's records the first alone keeps its >, or is blank, and must
+    be there in the file's first range; one row for all files says whether it is.
     """
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    # Just the first record of a file keeps its >, or is blank; a row per file says whether it does.
-    begins = F.bool_or((F.trim(F.regexp_replace("value", r"\s", "")) == "") | F.col("value").startswith(">"))
-    checked = rows.groupBy("path").agg(begins.alias("good"))
-    rows = rows.join(checked.select("path", F.when(~F.col("good"), F.raise_error(F.lit("text before the first record"))).otherwise(True).alias("good")), "path").where("good")
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    blank = F.trim(F.regexp_replace("value", r"\s", "")) == ""
+    begins = rows.where("start = 0").groupBy("path").agg(F.bool_or(blank | F.col("value").startswith(">")).alias("good"))
+    good = begins.agg(F.coalesce(F.bool_and("good"), F.lit(True)).alias("good"))
     text = F.regexp_replace("value", "\r", "")
     head = F.regexp_replace(F.split_part(text, F.lit("\n"), F.lit(1)), "^>", "")
-    body = F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"\s", "")
+    ident = F.regexp_extract("head", r"^(\S+)", 1)
+    named = F.when(~F.col("good"), F.raise_error(F.lit("text before the first record"))).when(ident == "", F.raise_error(F.lit("sequence without an identifier"))).otherwise(ident)
+    records = rows.where(~blank).select("path", head.alias("head"), text.alias("text")).crossJoin(F.broadcast(good))  # one row
+    return records.select("path", named.alias("id"), "head", "text")
+
+
+def _built(records: DataFrame, mode: str) -> DataFrame:
+    body = F.regexp_replace(F.regexp_replace("text", r"^[^\n]*\n?", ""), r"\s", "")
     body = {"raw": body, "upper": F.upper(body), "protein": F.replace(F.upper(body), F.lit("*"), F.lit(""))}[mode]
-    ident = F.regexp_extract(head, r"^(\S+)", 1)
-    rest = F.regexp_extract(head, r"^\S+\s+(.*)$", 1)
-    good = F.when(ident == "", F.raise_error(F.lit("sequence without an identifier"))).otherwise(ident)
-    return rows.where(F.trim(text) != "").select("path", good.alias("id"), rest.alias("description"), body.alias("seq"))
+    return records.select("path", "id", F.regexp_extract("head", r"^\S+\s+(.*)$", 1).alias("description"), body.alias("seq"))
+
+
+def fasta(spark: SparkSession, path: str, mode: str = "raw") -> DataFrame:
+    """(path, id, description, seq) of FASTA files; ``mode`` raw, upper, or protein (upper without stops)."""
+    return _built(_records(spark, path), mode)
 
 
 def fasta_of(spark: SparkSession, path: str, wanted: DataFrame, mode: str = "raw") -> DataFrame:
-    """The records whose id is in ``wanted`` (id)."""
-    return fasta(spark, path, mode).join(wanted.select("id").distinct(), "id", "left_semi")
+    """The records whose id is in ``wanted`` (id). Ids meet before sequences are built: what is not wanted goes as it was read."""
+    ids = wanted.select("id").where("id is not null").distinct()
+    return _built(_records(spark, path).join(ids, "id", "left_semi"), mode)
 
 
 def fasta_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -16,11 +16,13 @@ from quarrystone.functions.numbers import finite
 def tsv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, quoted: bool = True) -> DataFrame:
     """A table with a header, every cell text; ``quoted`` off reads quotes as letters.
 
-    With ``columns`` the header must have them all, and just these are kept.
+    A quoted cell may hold line breaks, so a quoted file is read by one task;
+    files without quotes are split. With ``columns`` the header must have them
+    all, and just these are kept.
     A file without a header is an error; bytes that are no UTF-8 become the
     replacement character.
     """
-    reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"' if quoted else "").option("escape", '"')
+    reader = spark.read.option("sep", "\t").option("header", True).option("quote", '"' if quoted else "").option("escape", '"').option("multiLine", quoted)
     df = reader.csv(path)
     if not df.columns:
         raise ValueError(f"{path} has no header")
@@ -57,8 +59,10 @@ def node_matrix(spark: SparkSession, path: str, key: str = "FamilyID") -> DataFr
 
 
 def key_values(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
-    """(key, value): the first line of each key wins."""
-    lines = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
+    """(key, value): the first line of each key wins, files in the order of their names."""
+    # A task reads its ranges in order, so the number tells lines of one range apart; which ranges it reads first does not matter.
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("_n"))
     parts = F.split("value", separator, 2)
     rows = lines.where(F.size(parts) == 2).select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"), "_n")
     return rows.groupBy("key").agg(F.min_by("value", "_n").alias("value"))

@@ -113,3 +113,65 @@ def test_first_of_each_in_a_stream(spark, tmp_path):
     q = ev.committed(ev.first_of_each(stream, "digest"), str(tmp_path / "out"), str(tmp_path / "ck"), "append")
     q.awaitTermination(120)
     assert sorted(r.digest for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["d0", "d1", "d2", "d3"]
+
+
+def test_large_fasta_is_many_tasks(spark, tmp_path):
+    """Records, some longer than a range, parted at any byte; no shuffle of the rows, and no join but with one row."""
+    rows = {f"r{i}": "".join("ACDEFGHIKL"[(i * j) % 10] for j in range(20_000 if i % 50 == 0 else 300)) for i in range(2000)}
+    (tmp_path / "big.fa").write_text("".join(f">{k} d > {k}\n" + "\r\n".join(v[a : a + 60] for a in range(0, len(v), 60)) + "\n" for k, v in rows.items()))
+    (tmp_path / "small.fa").write_text(">only\nAC\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        got = sq.fasta(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 50
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastNestedLoopJoin" in plan
+        assert {r.id: r.seq for r in got.collect()} == rows | {"only": "AC"}
+        wanted = spark.createDataFrame([("r50",), ("r7",), (None,), ("no",)], "id string")
+        assert {r.id: r.description for r in sq.fasta_of(spark, str(tmp_path), wanted).collect()} == {"r50": "d > r50", "r7": "d > r7"}
+        (tmp_path / "bad.fa").write_text("ACGT\n" + (tmp_path / "big.fa").read_text())
+        with pytest.raises(Exception, match="before the first record"):
+            sq.fasta(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_value_wins_over_files(spark, tmp_path):
+    """Larger files are read first; their lines still come later if their names do."""
+    put(tmp_path / "a.txt", "k\tfirst\n")
+    put(tmp_path / "b.txt", "k\tsecond\nm\tb\n" + "x\ty\n" * 5000)
+    put(tmp_path / "c.txt", "m\tc\n" + "k\tthird\n" * 9000)
+    for size in ("128m", "1000"):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got = {r.key: r.value for r in tb.key_values(spark, str(tmp_path)).collect()}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == {"k": "first", "m": "b", "x": "y"}
+
+
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    path = put(tmp_path / "t.tsv", 'a\tb\n1\t"two\nlines ""x"""\n2\tplain\n')
+    assert [tuple(r) for r in tb.tsv(spark, path).collect()] == [("1", 'two\nlines "x"'), ("2", "plain")]
+    assert tb.tsv(spark, path, quoted=False).count() == 3
+
+
+def test_one_job_writes_and_counts(spark, tmp_path):
+    ran = []
+    rows = spark.range(1000).withColumn("r", F.col("id") % 3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("observed", "observed")
+    seen = sinks.observed_write(rows, str(tmp_path / "w"), {"n": F.count("*"), "most": F.max("id")}, "r")
+    ran = tracker.getJobIdsForGroup("observed")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert seen == {"n": 1000, "most": 999} and len(ran) == 1 and spark.read.parquet(str(tmp_path / "w")).count() == 1000
+
+
+def test_required_numbers(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4)], "g string, _ok int")
+    assert sinks.exactly(rows, ["g"], 2, 2).count() == 4 and sinks.exactly(rows, ["g"], 2, 2).columns == rows.columns
+    for bad in (rows.limit(3), rows.where("g = 'a'"), rows.limit(0)):
+        with pytest.raises(Exception, match="not 2 groups of 2 rows"):
+            sinks.exactly(bad, ["g"], 2, 2).collect()
+    got = sinks.measured({"n": (rows.agg(F.count("*")), 4), "none": (rows.where("_ok > 9").agg(F.max("_ok")), 9)})
+    assert {(r.check, r.status, r.observed) for r in got.collect()} == {("n", "PASS", "4"), ("none", "FAIL", None)}
