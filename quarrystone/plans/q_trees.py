@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import written
 from quarrystone.operators import ancestors as an
 from quarrystone.operators import splits
 from quarrystone.operators import trees as tr
@@ -124,9 +125,9 @@ FAMILIES = """leaf AS (SELECT c_custkey // 10 AS f, 'c' || c_custkey AS name, ro
   CASE WHEN c_nationkey <> 24 THEN substr('ABCDE', CAST(c_nationkey % 5 + 1 AS INTEGER), 1) END AS species FROM customer WINDOW w AS (PARTITION BY c_custkey // 10 ORDER BY c_custkey)
 ), shape AS (SELECT f, n, greatest(1, least(3 + f % 3, n // 2)) AS m, bool_or(species IS NULL) AS bad FROM leaf GROUP BY f, n
 ), link AS (
-  SELECT l.f, 'L' || i AS a, 'N' || (CASE WHEN l.f % 4 = 0 AND m > 2 AND i < 2 THEN 1 ELSE least(i // 2, m - 1) END) AS b FROM leaf l JOIN shape s ON l.f = s.f
-  UNION ALL SELECT f, 'N' || j, 'N' || ((f + j * j) % j) FROM shape, range(1, 5) AS r(j) WHERE j < m
-), twin AS (SELECT f, min(a) AS a, max(a) AS b FROM link WHERE b = 'N0' GROUP BY f HAVING count(*) = 2
+  SELECT l.f, 'L' || i AS a, 'N' || (CASE WHEN l.f % 4 = 0 AND m > 2 AND i < 2 THEN 1 ELSE least(i // 2, m - 1) END) AS b, 1 AS long FROM leaf l JOIN shape s ON l.f = s.f
+  UNION ALL SELECT f, 'N' || j, 'N' || ((f + j * j) % j), j + 1 FROM shape, range(1, 5) AS r(j) WHERE j < m
+), twin AS (SELECT f, min(a) AS a, max(a) AS b, sum(long) AS long FROM link WHERE b = 'N0' GROUP BY f HAVING count(*) = 2
 ), edge AS (SELECT l.* FROM link l LEFT JOIN twin t ON t.f = l.f AND l.b = 'N0' WHERE t.f IS NULL UNION ALL SELECT * FROM twin
 ), view AS MATERIALIZED (SELECT f, a AS x, b AS y FROM edge UNION ALL SELECT f, b, a FROM edge
 ), reach AS (
@@ -187,36 +188,72 @@ def newick_nodes(spark, sf_dir):
     return nodes.select("tree_id", "name", F.round("branch_length", 6).alias("branch_length"), "depth", "distance")
 
 
-@query("""SELECT count(*) AS trees, 0 AS uneven FROM customer""")
+@query(f"""WITH RECURSIVE {FAMILIES}, far AS (SELECT f, 'N0' AS node, 0 AS distance FROM shape UNION ALL SELECT k.f, k.a, distance + long FROM far r JOIN link k ON k.f = r.f AND k.b = r.node),
+tips AS (SELECT f, max(distance) AS top, min(distance) AS low, count(*) AS tips FROM far WHERE node LIKE 'L%' GROUP BY f)
+SELECT CAST(t.f AS VARCHAR) AS tree_id, tips, top::DOUBLE AS height, top > low AS uneven_before, false AS uneven_after, round(sum(long + CASE WHEN a LIKE 'L%' THEN top - distance ELSE 0 END) * 100 / top, 6) AS length
+FROM tips t JOIN link k ON k.f = t.f JOIN far d ON d.f = k.f AND d.node = k.a GROUP BY t.f, tips, top, low""")
 def ultrametric_check(spark, sf_dir):
-    """No tip of a scaled tree is off the common height, no branch is negative."""
-    trees = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("tree_id"), F.concat(F.lit("(A:1,(B:"), (F.col("c_custkey") % 9 + 1).cast("string"), F.lit(",C:2):1);")).alias("newick"))
-    return tr.uneven(tr.ultrametric(tr.node_table(trees))).agg(F.count("*").alias("trees"), F.count_if("uneven").cast("int").alias("uneven"))
+    """Families' trees before and after their tips are moved out to one height and all is scaled to 100."""
+    nodes = written(tr.node_table(families(spark, sf_dir), "family"), "nodes")
+    even = written(tr.ultrametric(nodes), "nodes")
+    leaf = F.col("is_leaf")
+    before = nodes.groupBy("tree_id").agg(F.count_if(leaf).alias("tips"), F.max(F.when(leaf, F.col("distance"))).alias("height"))
+    lengths = even.groupBy("tree_id").agg(F.round(F.sum("branch_length"), 6).alias("length"))
+    odd = lambda df, name: tr.uneven(df).select("tree_id", F.col("uneven").alias(name))
+    return before.join(odd(nodes, "uneven_before"), "tree_id").join(odd(even, "uneven_after"), "tree_id").join(lengths, "tree_id")
 
 
-@query("""SELECT c_custkey, '(a' || c_custkey || '{test}:2,(c{reference}:1,d:1):2);' AS tree, 1 AS test, 1 AS reference, false AS can_relax FROM customer""")
-def pruned_trees(spark, sf_dir):
-    """Trees of the leaves that are kept, some of them tagged, and how many carry each tag."""
-    a = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
-    text = F.concat(F.lit("(("), a, F.lit(":1,b:2)90/97:1,(c:1,d:1)70:2);"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", text.alias("newick"), F.array(a, F.lit("c"), F.lit("d")).alias("keep"), F.create_map(a, F.lit("test"), F.lit("c"), F.lit("reference")).alias("tags"))
-    return tr.pruned_column(rows, "newick", "keep", "tags", "tree").select("c_custkey", "tree", "test", "reference", "can_relax")
+#: What an edge parts of the leaves ``chosen`` (f, x, name), each standing for ``names``: its length, and the side without the first leaf.
+PARTED = """ends AS (SELECT r.f, r.x, r.y, list(s.name) AS few, list_sort(list_distinct(flatten(list(s.names)))) AS names FROM reach r JOIN chosen s ON s.f = r.f AND s.x = r.cur GROUP BY r.f, r.x, r.y),
+parted AS (SELECT a.f, e.long, a.few AS x, b.few AS y, CASE WHEN list_min(a.names) < list_min(b.names) THEN b.names ELSE a.names END AS part, len(a.names) AS n, len(b.names) AS k FROM edge e JOIN ends a ON a.f = e.f AND a.x = e.a AND a.y = e.b JOIN ends b ON b.f = e.f AND b.x = e.b AND b.y = e.a)"""
 
 
-@query("""SELECT c_custkey, '((a' || c_custkey || ':1,b:1):1,(c:1,d:1):1);' AS tree FROM customer""")
+@query(f"""WITH RECURSIVE {FAMILIES}, chosen AS (SELECT f, 'L' || i AS x, name, [name] AS names, species FROM leaf WHERE species IN ('A', 'B', 'C')), {PARTED},
+tree AS (SELECT f, CAST(sum(long) AS DOUBLE) AS length, count(DISTINCT part) FILTER (n > 1 AND k > 1) AS splits FROM parted GROUP BY f),
+tags AS (SELECT f, count(*) FILTER (species = 'A') AS test, count(*) FILTER (species = 'B') AS reference, string_agg(name || CASE species WHEN 'A' THEN '{{test}}' WHEN 'B' THEN '{{reference}}' ELSE '' END, ' ' ORDER BY name) AS leaves FROM chosen GROUP BY f)
+SELECT CAST(f AS VARCHAR) AS family, leaves, CAST(test AS INTEGER) AS test, CAST(reference AS INTEGER) AS reference, test >= 2 AND reference >= 2 AS can_relax, coalesce(splits, 0) AS splits, coalesce(length, 0.0) AS length FROM tags LEFT JOIN tree USING (f)""")
+def pruned_trees(spark, sf_dir):
+    """Families' trees of the leaves of three species, two of them tagged: who is left, how many carry each tag, whether that suffices, and what splits and length remain."""
+    of = lambda *kinds: F.map_keys(F.map_filter("genes", lambda k, v: v.isin(*kinds)))
+    tags = F.transform_values(F.map_filter("genes", lambda k, v: v.isin("A", "B")), lambda k, v: F.when(v == "A", "test").otherwise("reference"))
+    rows = families(spark, sf_dir).select("family", "newick", of("A", "B", "C").alias("keep"), tags.alias("tags")).where(F.size("keep") > 0)  # no tree without a leaf
+    trees = written(tr.pruned_column(rows, "newick", "keep", "tags", "tree").select("family", "tree", "test", "reference", "can_relax"), "pruned")
+    leaves = F.array_join(F.array_sort(F.regexp_extract_all("tree", F.lit(r"(c[0-9]+(?:\{[a-z]+\})?)"))), " ")
+    parts = splits.bipartitions(trees, "family", "tree", trivial=True).groupBy(F.col("tree_id").alias("family")).agg(F.count_if(F.col("size") > 1).alias("splits"), F.sum("length").alias("length"))
+    return trees.join(parts, "family", "left").select("family", leaves.alias("leaves"), "test", "reference", "can_relax", F.coalesce("splits", F.lit(0)).alias("splits"), F.coalesce("length", F.lit(0.0)).alias("length"))
+
+
+@query(RECONCILED[: RECONCILED.index(", optimal AS")].rstrip().removesuffix(")") + """)
+SELECT CAST(k.f AS VARCHAR) AS family, CASE WHEN (len(one), one) < (len(other), other) THEN array_to_string(one, '|') || '||' || array_to_string(other, '|') ELSE array_to_string(other, '|') || '||' || array_to_string(one, '|') END AS split
+FROM ranked k JOIN roots r ON r.f = k.f AND r.x = rx AND r.y = ry WHERE nth = 1""")
 def rerooted_trees(spark, sf_dir):
-    """Trees rooted where a reference parts their leaves."""
-    a = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("("), a, F.lit(":1,b:1,(c:1,d:1):2);")).alias("newick"), F.concat(F.lit("((d:9,c:9):9,(b:9,"), a, F.lit(":9):9);")).alias("reference"))
-    return tr.rerooted_column(rows, "newick", "reference", "tree").select("c_custkey", "tree")
-
-
-@query("""SELECT c_custkey, '((a' || c_custkey || ':0,c:0):1,b:2);' AS tree FROM customer""")
+    """Families' trees rooted where those of least cost are, of which only the split of the leaves is taken."""
+    known = families(spark, sf_dir)
+    best = tr.reconcile_families(known, SPECIES).where("kind = 'family' and error is null").select("family", F.regexp_replace("newick", r"\)[^:;,()]*", ")").alias("reference"))
+    trees = tr.rerooted_column(known.join(best, "family"), "newick", "reference", "tree").select("family", "tree")
+    nodes = written(tr.node_table(trees, "family", "tree").withColumns({c: F.concat_ws("/", "tree_id", c) for c in ("node_id",)} | {"parent_id": F.when(F.col("parent_id").isNotNull(), F.concat_ws("/", "tree_id", "parent_id"))}), "nodes")
+    sides = nodes.where("depth = 1").select(F.col("node_id").alias("ancestor"))
+    reach = tr.closure(nodes.select(F.col("node_id").alias("node"), F.col("parent_id").alias("parent")))
+    below = nodes.where("is_leaf").join(reach, F.col("node") == F.col("node_id")).join(sides, "ancestor").groupBy("tree_id", "ancestor").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    both = below.groupBy(F.col("tree_id").alias("family")).agg(F.array_sort(F.collect_list(F.struct(F.size("names").alias("n"), "names"))).alias("sides"))
+    return both.select("family", F.array_join(F.transform("sides", lambda x: F.array_join(x["names"], "|")), "||").alias("split"))
+
+
+@query(f"""WITH RECURSIVE {FAMILIES}, kind AS (SELECT f, 'L' || i AS x, name, c_nationkey AS nation FROM leaf JOIN customer ON name = 'c' || c_custkey),
+groups AS (SELECT f, nation, list_sort(list(name)) AS names, arg_min(x, name) AS x, min(name) AS name FROM kind GROUP BY f, nation), chosen AS (SELECT f, x, name, names FROM groups), {PARTED},
+every AS (SELECT f, list_sort(list(name)) AS every FROM kind GROUP BY f),
+parts AS (SELECT f, part FROM parted WHERE n > 1 AND k > 1 UNION SELECT f, CASE WHEN names[1] = every[1] THEN list_filter(every, lambda x: NOT list_contains(names, x)) ELSE names END FROM groups JOIN every USING (f) WHERE len(names) > 1 AND len(names) < len(every) - 1)
+SELECT CAST(e.f AS VARCHAR) AS family, CAST(len(every) AS INTEGER) AS leaves, (SELECT count(DISTINCT part) FROM parts p WHERE p.f = e.f) AS splits, coalesce((SELECT CAST(sum(long) AS DOUBLE) FROM parted p WHERE p.f = e.f), 0.0) AS length FROM every e""")
 def restored_leaves(spark, sf_dir):
-    """Leaves left out for an identical sequence stand beside it again."""
-    a = F.concat(F.lit("a"), F.col("c_custkey").cast("string"))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("("), a, F.lit(":1,b:2);")).alias("newick"), F.create_map(a, F.lit("MKL"), F.lit("b"), F.lit("MKV"), F.lit("c"), F.lit("MKL")).alias("sequences"))
-    return tr.restored_column(rows, "newick", "sequences", "tree").select("c_custkey", "tree")
+    """Trees of one customer of each nation of a family, to which the others of the nation are put back."""
+    c = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 10).cast("string").alias("family"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), F.concat(F.lit("MKL"), F.col("c_nationkey").cast("string")).alias("seq"))
+    firsts = c.groupBy("family", "seq").agg(F.min("name").alias("name")).groupBy("family").agg(F.collect_list("name").alias("keep"))
+    sequences = c.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("name", "seq"))).alias("sequences"))
+    kept = tr.pruned_column(families(spark, sf_dir).join(firsts, "family").withColumn("tags", F.create_map().cast("map<string,string>")), "newick", "keep", "tags", "some").select("family", "some").join(sequences, "family")
+    trees = written(tr.restored_column(kept, "some", "sequences", "tree").select("family", "tree"), "restored")
+    leaves = F.size(F.regexp_extract_all("tree", F.lit(r"(c[0-9]+)")))
+    parts = splits.bipartitions(trees, "family", "tree", trivial=True).groupBy(F.col("tree_id").alias("family")).agg(F.count_if(F.col("size") > 1).alias("splits"), F.sum("length").alias("length"))
+    return trees.join(parts, "family", "left").select("family", leaves.alias("leaves"), F.coalesce("splits", F.lit(0)).alias("splits"), F.coalesce("length", F.lit(0.0)).alias("length"))
 
 
 @query("""WITH groups AS (SELECT c_custkey // 12 AS tree_id, c_custkey, c_mktsegment AS seg, c_custkey % 2 AS half, c_nationkey % 2 AS nation FROM customer),
