@@ -106,11 +106,18 @@ def running_max(df: DataFrame, by: Sequence[str], value: Column, *order: Column
     return joined.withColumn(out, F.greatest("_in", "_carried")).drop("_v", "_part", "_at", "_in", "_p", "_carried", *[f"_{c}" for c in by])
 
 
-def average_rank(value: Column, by: Sequence[str | Column] = (), descending: bool = False) -> Column:
-    """Fractional rank: ties share the mean of their places."""
-    same = Window.partitionBy(*by, value)
-    order = Window.partitionBy(*by).orderBy(value.desc() if descending else value.asc())
-    return F.rank().over(order) + (F.count("*").over(same) - 1) / 2.0
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """``df`` with the fractional rank of ``value`` in its group: ties share the
+    mean of their places. Ranks come from the counts of distinct values, added
+    up in ranges of the value, and are joined back; null values have no rank."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranked = _running(_dealt(counts, *by, value), by, value, F.col(value), "_n")
+    names = {c: f"_of_{c}" for c in [*by, value]}
+    found = ranked.select(*[F.col(c).alias(n) for c, n in names.items()], (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+    same = F.col(value) == F.col(names[value])
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(names[c]))
+    return df.join(found, same, "left").drop(*names.values())
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -163,12 +170,7 @@ def rank_sum_test(df: DataFrame, value: str, is_first: Column) -> DataFrame:
 def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: rho of average ranks, and its two-sided p by Student's t."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def ranks(v: str) -> DataFrame:
-        counts = rows.groupBy(v).agg(F.count("*").alias("_n"))
-        return _running(_dealt(counts, v), [], v, F.col(v), "_n").select(F.col(v), (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"_{v}_rank"))
-
-    ranked = rows.join(ranks(x), x).join(ranks(y), y)
+    ranked = average_ranks(average_ranks(rows, [], x, f"_{x}_rank"), [], y, f"_{y}_rank")
     got = ranked.agg(F.count("*").cast("double").alias("n"), pearson(F.col(f"_{x}_rank"), F.col(f"_{y}_rank")).alias("rho"))
     rest = F.greatest(1 - F.col("rho") * F.col("rho"), F.lit(0.0))
     t = F.when(rest == 0, F.lit(float("inf"))).otherwise(F.col("rho") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0.0))) / F.sqrt(F.greatest(rest, F.lit(1e-300))))

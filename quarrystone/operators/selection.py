@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.numbers import ratio
 from quarrystone.functions.text import gene_key, reasons
+from quarrystone.operators import sinks
 
 
 def longest_isoforms(records: DataFrame) -> DataFrame:
@@ -42,6 +43,15 @@ def core_set(summary: DataFrame, least: float = 80.0, least_core: int = 0) -> Da
     return out
 
 
+def write_core(rows: DataFrame, core: DataFrame, path: str, least_core: int = 1) -> int:
+    """Writes the ``rows`` (species, …) of the core species of ``core_set``, a
+    folder each, and nothing if fewer than ``least_core`` are core; how many rows."""
+    names = core.where("analysis_role = 'core'").select("species")
+    enough = names.agg((F.count("*") >= least_core).alias("ok"))
+    kept = sinks.required(rows.join(names, "species", "left_semi"), enough, f"fewer than {least_core} core species")
+    return sinks.observed_write(kept, path, {"n": F.count("*")}, "species")["n"]
+
+
 def eligible(sequences: Column, species: Column, unique: Column, least: tuple[int, int, int] = (4, 3, 3)) -> tuple[Column, Column]:
     """Whether a family has enough to build a tree, and why not."""
     why = reasons((sequences < least[0], "too_few_strict_sequences"), (species < least[1], "too_few_species"), (unique < least[2], "too_few_unique_sequences"))

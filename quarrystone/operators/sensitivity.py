@@ -6,11 +6,11 @@ import math
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.numbers import clamp, whole
-from quarrystone.functions.stats import average_rank, pearson
+from quarrystone.functions.stats import average_ranks, group_places, pearson
 from quarrystone.operators.joins import longest_prefix
 from quarrystone.operators.scoring import MAXIMA
 
@@ -112,16 +112,16 @@ def rankings(families: DataFrame) -> DataFrame:
     shown = lambda s: F.round(s.cast("decimal(24,12)"), 6).cast("double")
     rows = F.array(*[F.struct(F.lit(n).alias("scenario"), shown(s).alias("score"), e.alias("eligible"), (F.lit(NOTES[n]) if n in NOTES else quality_note()).alias("note")) for n, (s, e) in scenarios().items()])
     long = families.select("grp", "family", "base", "base_rank", "base_tier", "domains", F.inline(rows))
-    order = Window.partitionBy("scenario", "grp").orderBy(F.desc("eligible"), F.desc("score"), "family")
     is_base = F.col("scenario") == "baseline"
-    ranked = long.withColumn("rank", F.when(is_base, F.col("base_rank")).otherwise(F.row_number().over(order)))
+    placed = group_places(long, ["scenario", "grp"], F.desc("eligible"), F.desc("score"), "family", out="_nth")
+    ranked = placed.withColumn("rank", F.when(is_base, F.col("base_rank")).otherwise(F.col("_nth"))).drop("_nth")
     return ranked.withColumns({"shift": F.col("base_rank") - F.col("rank"), "tier": F.when(is_base, F.col("base_tier")).otherwise(tier(F.col("score"), F.col("domains"), F.col("eligible")))})
 
 
 def comparison(ranked: DataFrame) -> DataFrame:
     """Each scenario and group against the baseline: rank correlation, overlap of the best, tiers kept, largest shift."""
     by = ["scenario", "grp"]
-    withr = ranked.withColumns({"_x": average_rank(F.col("base_rank"), by), "_y": average_rank(F.col("rank"), by)})
+    withr = average_ranks(average_ranks(ranked, by, "base_rank", "_x"), by, "rank", "_y")
     counts = F.col("eligible") | (F.col("scenario") == "baseline")
     aggs = []
     for k in (10, 20):

@@ -61,11 +61,11 @@ def children(df: DataFrame, named: Mapping[str, Column]) -> dict[str, DataFrame]
 
 
 def manifest(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
-    """(name, bytes), and the contents' ``digest`` (sha256 or md5) if asked, of all files but markers, by name."""
+    """(path, name, bytes), and the contents' ``digest`` (sha256 or md5) if asked, of all files but markers, by name."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(~F.col("name").startswith("_") & (F.col("name") != "COMPLETE"))
     sums = {None: [], "sha256": [F.sha2("content", 256).alias("sha256")], "md5": [F.md5("content").alias("md5")]}[digest]
-    return rows.select("name", F.col("length").alias("bytes"), *sums).orderBy("name")
+    return rows.select("path", "name", F.col("length").alias("bytes"), *sums).orderBy("name")
 
 
 def digests(spark: SparkSession, path: str, kind: str) -> DataFrame:

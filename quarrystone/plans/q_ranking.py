@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrystone.core.shared import written
 from quarrystone.functions.numbers import clamp, ratio
-from quarrystone.functions.stats import average_rank
+from quarrystone.functions.stats import average_ranks as fractional_ranks
+from quarrystone.functions.stats import group_places
 from quarrystone.operators import joins as jn
 from quarrystone.operators import ranking as rk
 from quarrystone.operators import scoring as sc
@@ -78,7 +79,7 @@ def _families(spark, sf_dir):
     })
     rows = rows.withColumn("base_tier", sc.family_tier(c("base"), c("domains"), c("critical"), c("ok")))
     # A row per family, read by many queries' parts: written once, ranked within its group.
-    return written(rows.withColumn("base_rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("base"), "family"))), "scored")
+    return written(group_places(rows, ["grp"], F.desc("base"), "family", out="base_rank"), "scored")
 
 
 @query(f"WITH {STAR} SELECT family, grp, base, domains, critical FROM tiered")
@@ -233,7 +234,7 @@ def ratio_to_group(spark, sf_dir):
 
 @query("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0::DOUBLE AS place FROM part")
 def average_ranks(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", average_rank(F.col("p_size"), ["p_brand"]).alias("place"))
+    return fractional_ranks(table(spark, sf_dir, "part"), ["p_brand"], "p_size", "place").select("p_partkey", "place")
 
 
 @query("""SELECT 'union_all' AS op, count(*) AS n FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'union', count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)

@@ -127,5 +127,5 @@ SELECT o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_tot
 rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2.0 AS ry FROM orders) GROUP BY 1) ps""")
 def spearman_by_group(spark, sf_dir):
     o, by = table(spark, sf_dir, "orders"), ["o_orderpriority"]
-    ranked = o.select("o_orderpriority", st.average_rank(F.col("o_totalprice"), by).alias("rx"), st.average_rank(F.col("o_custkey"), by).alias("ry"))
+    ranked = st.average_ranks(st.average_ranks(o.select("o_orderpriority", "o_totalprice", "o_custkey"), by, "o_totalprice", "rx"), by, "o_custkey", "ry")
     return ranked.groupBy("o_orderpriority").agg(F.round(st.pearson(F.col("rx"), F.col("ry")), 6).alias("rho"))

@@ -53,7 +53,7 @@ def test_hypergeometric(spark):
 
 def test_ranks_and_tests(spark):
     rows = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double")
-    assert sorted(r[0] for r in rows.select(st.average_rank(F.col("v"))).collect()) == [1.0, 2.5, 2.5, 4.0]
+    assert sorted(r.rank for r in st.average_ranks(rows, [], "v", "rank").collect()) == [1.0, 2.5, 2.5, 4.0]
     xy = spark.createDataFrame([(i, float(i * i)) for i in range(10)], "x int, y double")
     r = st.spearman_test(xy, "x", "y").first()
     assert r.rho == pytest.approx(1.0) and r.p_value == pytest.approx(0.0, abs=1e-6)
@@ -186,3 +186,12 @@ def test_json_results(spark):
     assert got == {"f": (0.02, 4.5), "g": (None, None), "h": (None, None)}
     b = {r.branch: (r.corrected_p, r.omega) for r in evolution.branch_table(rows, "doc").collect()}
     assert b == {"n1": (0.01, 2.0), "n2": (None, None)}
+
+
+def test_core_rows_are_written_or_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "species string, n int")
+    core = selection.core_set(spark.createDataFrame([("a", 90.0), ("b", 10.0)], "species string, complete_pct double"))
+    assert selection.write_core(rows, core, str(tmp_path / "core")) == 2
+    assert {r.n for r in spark.read.parquet(str(tmp_path / "core")).collect()} == {1, 2}
+    with pytest.raises(Exception, match="fewer than 2 core species"):
+        selection.write_core(rows, core, str(tmp_path / "none"), least_core=2)
