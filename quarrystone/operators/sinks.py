@@ -55,9 +55,10 @@ def write_routed(df: DataFrame, path: str, route: str) -> dict[str, int]:
     return counts
 
 
-def children(df: DataFrame, named: Mapping[str, Column]) -> dict[str, DataFrame]:
-    """Filtered tables of one parent."""
-    return {name: df.where(c) for name, c in named.items()}
+def write_children(df: DataFrame, path: str, name: Column) -> None:
+    """A table of tab-separated text for each value of ``name``, in the folder output=name, all in one pass over their parent."""
+    rows = df.withColumn("output", name)
+    rows.write.mode("errorifexists").partitionBy("output").option("sep", "\t").option("header", True).option("escape", '"').csv(path)
 
 
 def manifest(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:

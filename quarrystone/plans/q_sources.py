@@ -306,14 +306,12 @@ def blocked_files(spark, sf_dir):
 
 @query("SELECT p_brand || '.tsv' AS output, count(*) AS n FROM part WHERE p_size > 40 GROUP BY 1")
 def child_tables(spark, sf_dir):
-    """Filtered tables of one parent, here one for each brand."""
-    p = table(spark, sf_dir, "part")
-    named = {r.p_brand: F.col("p_brand") == r.p_brand for r in p.select("p_brand").distinct().collect()}  # a table each
-    out = None
-    for name, rows in sinks.children(p.where("p_size > 40"), named).items():
-        one = rows.agg(F.count("*").alias("n")).select(F.lit(f"{name}.tsv").alias("output"), "n").where("n > 0")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Filtered tables of one parent, here one for each brand, all written in one pass."""
+    rows = table(spark, sf_dir, "part").where("p_size > 40")
+    path = _place(spark, "children")
+    sinks.write_children(rows, path, F.concat("p_brand", F.lit(".tsv")))
+    lines = spark.read.text(path).where(~F.col("value").startswith("p_partkey\t"))
+    return lines.groupBy(F.col("output")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CASE WHEN p_size > 40 THEN 'large' ELSE 'primary' END AS route, count(*) AS n FROM part GROUP BY 1")
@@ -365,9 +363,9 @@ def staged_table(spark, sf_dir):
     return tb.sqlite_table(spark, db, "SELECT taxid, region FROM species", "taxon bigint, region bigint", rows=10)
 
 
-@query("SELECT 'a' || (p_partkey % 7) AS archive, 'P' || p_partkey AS id, repeat('ACG', p_size) AS seq FROM part")
+@query("SELECT 'a' || (p_partkey // 100) AS archive, 'P' || p_partkey AS id, repeat('ACG', p_size) AS seq FROM part")
 def archived_sequences(spark, sf_dir):
-    """Records of the one sequence member of each ZIP archive, among others."""
+    """Records of the one sequence member of each ZIP archive, among others; an archive has a hundred records."""
     import io
     import zipfile
 
@@ -379,7 +377,7 @@ def archived_sequences(spark, sf_dir):
         return out.getvalue()
 
     head = F.concat(F.lit(">lcl|1 [gene=g] [protein_id=P"), "p_partkey", F.lit("] [x=y]\n"), F.repeat(F.lit("ACG"), "p_size"), F.lit("\n"))
-    rows = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("a"), F.col("p_partkey") % 7).alias("path")).agg(F.collect_list(head).alias("records"))
+    rows = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("a"), F.floor(F.col("p_partkey") / 100)).alias("path")).agg(F.collect_list(head).alias("records"))
     archives = rows.select("path", F.udf(packed, "binary", useArrow=True)("records").alias("content"))
     return sq.zipped_records(archives).withColumnRenamed("path", "archive")
 
