@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Folders made inside each open ``scratch``, the innermost last.
+_MADE: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +36,29 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing lies at yet."""
+    path = f"{shared_folder(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder inside goes at the end, by Spark's
+    own file systems. DataFrames made inside must be read or written out before
+    the end, as they are lazy and need their tables until then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+        for path in _MADE.pop():
+            p = hadoop.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again.
 
@@ -39,7 +66,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     same at every later read, even if ``df`` numbers rows by partition.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarrystone/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

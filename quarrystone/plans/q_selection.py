@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from quarrystone.core.shared import shared_folder
+from quarrystone.core.shared import place
 from quarrystone.operators import selection as se
 from quarrystone.operators import sinks
 from quarrystone.plans.base import table
@@ -76,7 +74,7 @@ def audit_manifest(spark, sf_dir):
 SELECT 'nation=' || c_nationkey AS folder, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS sha256 FROM t""")
 def file_manifest(spark, sf_dir):
     """Bytes and digests of a text file for each nation, its customers in order; markers are not listed."""
-    path = f"{shared_folder(spark)}/quarrystone/files-manifest-{uuid.uuid4().hex}"
+    path = place(spark, "files-manifest")
     line = F.concat_ws("\t", "c_custkey", "c_name")
     rows = table(spark, sf_dir, "customer").select(line.alias("line"), F.col("c_nationkey").alias("nation"), "c_custkey").repartition("nation").sortWithinPartitions("nation", "c_custkey")
     rows.drop("c_custkey").write.partitionBy("nation").text(path)
@@ -87,7 +85,7 @@ def file_manifest(spark, sf_dir):
 SELECT source AS species, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN s ON source = species WHERE round(pct, 1) >= 25 GROUP BY 1""")
 def core_rows(spark, sf_dir):
     """The rows of core species, written to a folder of their own and read back; without at least one of these it fails."""
-    path = f"{shared_folder(spark)}/quarrystone/files-core-{uuid.uuid4().hex}"
+    path = place(spark, "files-core")
     docs = table(spark, sf_dir, "documents")
     s = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy(F.col("source").alias("species")).agg(F.round(100.0 * F.count("quality") / F.count("*"), 1).alias("complete_pct"))
     se.write_core(docs.withColumnRenamed("source", "species"), se.core_set(s, least=25.0), path, least_core=1)

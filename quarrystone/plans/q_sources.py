@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from quarrystone.core.shared import shared_folder
+from quarrystone.core.shared import place
 from quarrystone.functions import text as tx
 from quarrystone.operators import joins as jn
 from quarrystone.operators import sinks
@@ -17,7 +15,7 @@ from quarrystone.sources import tables as tb
 
 
 def _place(spark, name):
-    return f"{shared_folder(spark)}/quarrystone/files-{name}-{uuid.uuid4().hex}"
+    return place(spark, f"files-{name}")
 
 
 def _lines(spark, name, *parts):

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import sqlite3
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.core.shared import shared_folder
+from quarrystone.core.shared import place
 from quarrystone.functions.numbers import finite
 
 
@@ -178,7 +177,7 @@ def elapsed_seconds(x: Column) -> Column:
 def sqlite_table(spark: SparkSession, source: str | sqlite3.Connection, sql: str, schema: str, rows: int = 50_000) -> DataFrame:
     """Rows of a query over an SQLite file that the driver can open, or over an
     open connection, staged as Parquet in the shared folder, ``rows`` at a time."""
-    target = f"{shared_folder(spark)}/quarrystone/sqlite-{uuid.uuid4().hex}"
+    target = place(spark, "sqlite")
     spark.createDataFrame([], schema).write.parquet(target)
     with source if isinstance(source, sqlite3.Connection) else sqlite3.connect(f"file:{source}?mode=ro", uri=True) as db:
         found = db.execute(sql)

@@ -1,13 +1,16 @@
 """Readers, writers and streams on files made here."""
 
 import gzip
+import os
 import sqlite3
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarrystone.core import shared
 from quarrystone.operators import sinks
+from quarrystone.plans import catalogue
 from quarrystone.sources import sequences as sq
 from quarrystone.sources import tables as tb
 from quarrystone.streaming import events as ev
@@ -175,3 +178,18 @@ def test_required_numbers(spark):
             sinks.exactly(bad, ["g"], 2, 2).collect()
     got = sinks.measured({"n": (rows.agg(F.count("*")), 4), "none": (rows.where("_ok > 9").agg(F.max("_ok")), 9)})
     assert {(r.check, r.status, r.observed) for r in got.collect()} == {("n", "PASS", "4"), ("none", "FAIL", None)}
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    with shared.scratch(spark):
+        kept = shared.written(spark.range(5), "outer")
+        with shared.scratch(spark):
+            inner = shared.written(spark.range(3), "inner")
+            assert inner.count() == 3 and kept.count() == 5
+        assert not os.path.exists(inner.inputFiles()[0].removeprefix("file:").removeprefix("//")) and kept.count() == 5
+        trees = catalogue.QUERIES["tree_closure"](spark, "/root/testdata/sf0.001")
+        trees.write.parquet(str(tmp_path / "out"))
+        folders = {os.path.dirname(f.removeprefix("file:").removeprefix("//")) for f in trees.inputFiles() if "/quarrystone/" in f}
+    assert folders and not any(map(os.path.exists, folders)) and spark.read.parquet(str(tmp_path / "out")).count() > 0
+    after = shared.written(spark.range(2), "after")
+    assert after.count() == 2
