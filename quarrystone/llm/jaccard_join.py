@@ -453,7 +453,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A document is its id and the hash of its text: hashes alone would meet by chance among enough documents.
     found = _classed(docs, id_col, text_col, **options).where("n > 0")
     classes = written(found.groupBy("doc_id", "mark").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.count("*").alias("rows")), "members")
-    leads = classes.where("doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("lead"))
+    # Written, so that the join of a class's members with their lead can be split, however many they are.
+    leads = written(classes.where("doc_id is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("lead")), "leads")
     goes = classes.join(leads, ["k1", "k2"]).where(~(F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("mark") == F.col("lead.mark"))))
     own, text, own_2, text_2 = free_names(docs.columns, "_own", "_mark", "_own_2", "_mark_2")
     named = lambda part: part.select(F.col("doc_id").alias(own_2), F.col("mark").alias(text_2))

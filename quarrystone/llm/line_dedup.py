@@ -28,20 +28,20 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     A host has at most (mean distinct lines of its pages) / ratio such lines,
     so ``keys`` is bounded however many pages the host has.
 
-    Every row is a page; with ``classes`` (mark, page; see ``copy_classes``) all
-    texts of a class are one page of a host, which holds the lines of each.
+    Equal texts of a host are one page of it, or its copies would make all
+    their own lines boilerplate; with ``classes`` (mark, page; see
+    ``copy_classes``) all texts of a class are, which holds the lines of each.
     Null hosts are a host of their own, and a null text is one empty line. An
     empty table gives no rows.
     """
     host, text = F.col(host_col), F.col(text_col)
     keys = F.array_distinct(F.transform(_lines(text), _key)).alias("keys")
+    own = docs.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), keys).dropDuplicates(["host", "mark"])
     if classes is None:
-        own = docs.select(host.alias("host"), keys)
         pages = own.groupBy("host").agg(F.count("*").alias("pages"))
         seen = own.select("host", F.explode("keys").alias("key"))
     else:
-        own = docs.select(host.alias("host"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), keys)
-        own = own.dropDuplicates(["host", "mark"]).join(classes, "mark")
+        own = own.join(classes, "mark")
         pages = own.groupBy("host").agg(F.countDistinct("page").alias("pages"))
         seen = own.select("host", "page", F.explode("keys").alias("key")).distinct()
     counts = seen.groupBy("host", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -66,9 +66,9 @@ def _judged(docs: DataFrame, host_col: str, text_col: str, ratio: float, classes
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", *, ratio: float = RATIO, classes: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``text_col`` free of boilerplate lines.
 
-    Lines are compared without spaces at either end; empty lines stay. Every
-    row is a page, repeated ones too, unless ``classes`` names the copies (see
-    ``boilerplate``); null hosts are a host of their own. A null text counts as
+    Lines are compared without spaces at either end; empty lines stay. Equal
+    texts of a host are one page, and so are copies that ``classes`` names (see
+    ``boilerplate``); all rows are cleaned. Null hosts are a host of their own. A null text counts as
     one empty line and stays null; all other columns, whatever their names,
     stay as they are. An empty table stays empty.
     """
@@ -94,10 +94,12 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source
 ORACLE = f"""
 WITH own AS (
   SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), page AS (
+  SELECT DISTINCT source, lines FROM own
 ), pages AS (
-  SELECT source, count(*) AS pages FROM own GROUP BY source
+  SELECT source, count(*) AS pages FROM page GROUP BY source
 ), seen AS (
-  SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM own
+  SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM page
 ), often AS (
   SELECT s.source, s.line FROM (SELECT source, line, count(*) AS n FROM seen GROUP BY source, line) s
   JOIN pages p ON s.source IS NOT DISTINCT FROM p.source

@@ -537,3 +537,10 @@ def test_line_dedup(spark):
         want[r[0], None if r[1] is None else "\n".join(kept)] += 1
     assert Counter((r.doc_id, r.text) for r in got) == want
     assert line_dedup.line_report(df.limit(0)).count() == 0
+
+
+def test_copies_on_a_small_host_stay(spark):
+    """Equal pages are one page: their lines are no boilerplate of a host of three."""
+    rows = [(1, "one\ntwo\nfoot", "h"), (2, "one\ntwo\nfoot", "h"), (3, "three\nfoot", "h")]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: "one\ntwo", 2: "one\ntwo", 3: "three"}
