@@ -111,7 +111,7 @@ def _vectors(column: pa.Array, rows: int, dim: int, parts: int) -> np.ndarray:
     return x.reshape(rows, parts, -1)
 
 
-_STATE = "vec_id bigint, label int, x array<int>, code binary, upper binary, lower binary, error bigint"
+_STATE = "vec_id bigint, label string, x array<int>, code binary, upper binary, lower binary, error bigint"
 
 
 def _pass(source: DataFrame, books: Codebooks, dim: int, parts: int, last: bool) -> DataFrame:
@@ -143,7 +143,7 @@ def _pass(source: DataFrame, books: Codebooks, dim: int, parts: int, last: bool)
                 bounds = [pa.array([v.tobytes() for v in b], pa.binary()) for b in (up, down)]
                 yield pa.RecordBatch.from_arrays([*columns, vectors, codes, *bounds, pa.array(error)], names=["vec_id", "label", "x", "code", "upper", "lower", "error"])
 
-    ddl = "vec_id bigint, label int, code binary, error bigint" if last else _STATE
+    ddl = "vec_id bigint, label string, code binary, error bigint" if last else _STATE
     return written(source.mapInArrow(run, ddl), "vector_codes")
 
 
@@ -200,7 +200,7 @@ def vector_codes(
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     whole = F.transform(v, lambda c: F.floor(c.cast("double") * F.lit(float(scale))))
     source = vectors.where(v.isNotNull() & (F.size(v) > 0) & ~bad)
-    source = source.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("int").alias("label"), whole.alias("x"))
+    source = source.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("string").alias("label"), whole.alias("x"))
     first = [r.x for r in source.select("vec_id", "x").orderBy(F.col("vec_id").asc_nulls_last(), "x").limit(entries).collect()]
     out = "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string"
     if not first:

@@ -13,6 +13,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarrystone.llm import spelling, token_counts, vector_codes
 from quarrystone.llm.registry import tokenizer_path
@@ -222,6 +223,8 @@ def test_codes(spark, seed, n, entries, spread):
     rows += [(3 * n + i, rows[0][1], 1) for i in range(n // 2)] + [(None, rows[1][1], 0)]
     rows += [(-1, None, 0), (-2, [], 0), (-3, [None] * 8, 0), (-4, [math.nan, *rows[0][1][1:]], 0), (-5, [math.inf, *rows[0][1][1:]], 0)]
     table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, x string").repartition(3)
+    if seed == 3:  # labels may be texts
+        table = table.withColumn("label", F.concat(F.lit("l"), F.col("label").cast("string")))
     got = vector_codes.vector_codes(table, parts=4, entries=entries)
     assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
     assert Counter(map(tuple, got.collect())) == Counter(brute_codes(rows, 4, entries, 2))
