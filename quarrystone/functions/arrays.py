@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.stats import running_max
+from quarrystone.functions.tails import let
 
 
 def jaccard(a: Column, b: Column, empty: float = 1.0) -> Column:
@@ -35,8 +36,16 @@ def interval_union(df: DataFrame, by: Sequence[str], start: str, end: str, out:
 
 
 def letter_counts(text: Column, letters: str) -> Column:
-    """How often ``text`` holds each of ``letters``: by what is left without it, so no row and no array per character."""
-    return F.array(*[F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in letters])
+    """How often ``text`` holds each of ``letters``, by what is left without it:
+    no row and no array per character. Each letter goes from the text in turn,
+    so the rest is shorter the sooner frequent ones come."""
+    zero = F.struct(text.alias("rest"), F.length(text).alias("left"), F.array().cast("array<int>").alias("counts"))
+
+    def step(state: Column, x: Column) -> Column:
+        shorter = lambda rest: let(F.length(rest), lambda n: F.struct(rest.alias("rest"), n.alias("left"), F.array_append(state["counts"], state["left"] - n).alias("counts")))
+        return let(F.replace(state["rest"], x, F.lit("")), shorter)
+
+    return F.aggregate(F.array(*map(F.lit, letters)), zero, step)["counts"]
 
 
 def reverse_complement(seq: Column) -> Column:

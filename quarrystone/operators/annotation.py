@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import written
 from quarrystone.functions.numbers import ratio
 from quarrystone.functions.stats import benjamini_hochberg, fold_enrichment, haldane_odds
 from quarrystone.functions.tails import hypergeometric_tail
@@ -60,7 +61,7 @@ def contingency(annotated: DataFrame, targets: DataFrame, least_hits: int = 3, l
     Only items with a term count as population or drawn. Counts come from
     distinct rows by joins, never from sets in memory.
     """
-    pairs = annotated.select("item", "term").distinct()
+    pairs = written(annotated.select("item", "term").distinct(), "pairs")  # read for each of the counts
     items = pairs.select("item").distinct()
     population = items.agg(F.count("*").alias("population"))
     chosen = targets.select("comparison", "item").distinct().join(items, "item", "left_semi")
@@ -75,7 +76,7 @@ def contingency(annotated: DataFrame, targets: DataFrame, least_hits: int = 3, l
 def enrichment(cells: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Tail probability, false discovery rate within ``scope``, fold and odds ratio of each cell."""
     k = [F.col(c) for c in ("population", "marked", "drawn", "hits")]
-    tested = cells.withColumn("p_value", hypergeometric_tail(*k))
+    tested = written(cells.withColumn("p_value", hypergeometric_tail(*k)), "tested")  # the adjustment reads it twice
     hits, drawn, marked, population = (F.col(c) for c in ("hits", "drawn", "marked", "population"))
     return benjamini_hochberg(tested, "p_value", "q_bh", scope).withColumns(
         {"fold": fold_enrichment(hits, drawn, marked, population), "odds_ratio": haldane_odds(hits, drawn, marked, population), "significant": F.col("q_bh") <= 0.05}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from string import ascii_uppercase
-
 from pyspark.sql import functions as F
 
 from quarrystone.functions import arrays as arr
@@ -18,6 +16,7 @@ from quarrystone.operators import trees as tr
 from quarrystone.operators import validation as va
 from quarrystone.plans import q_ranking, q_terms
 from quarrystone.plans.base import REGIONS, copies, table
+from quarrystone.plans.q_sequences import LETTERS
 from quarrystone.plans.register import query
 
 #: A document as a sequence: letters of its text in upper case, with a stop or a foreign sign in some.
@@ -65,7 +64,7 @@ def _checked(spark, sf_dir):
     full = va.with_length_ratio(rows.withColumn("length", F.length("seq")), "family", "length").withColumn("digest", F.md5("seq"))
     full = qu.with_duplicates(full).join(domains, "family", "left").join(an.core_terms(hits), "family", "left").join(own, "item", "left")
     none = F.array().cast("array<string>")
-    full = full.withColumns({"core": F.coalesce("core", none), "terms": F.coalesce("terms", none), "bits": F.coalesce(va.entropy(F.col("seq"), ascii_uppercase), F.lit(0.0)), "risks": qu.risk_categories(F.col("text"), F.col("go"))})
+    full = full.withColumns({"core": F.coalesce("core", none), "terms": F.coalesce("terms", none), "bits": F.coalesce(va.entropy(F.col("seq"), LETTERS.upper()), F.lit(0.0)), "risks": qu.risk_categories(F.col("text"), F.col("go"))})
     full = full.withColumns({"n_hits": F.size("terms"), "n_core": F.size("core"), "core_jaccard": arr.jaccard(F.col("core"), F.col("terms"))})
     return qu.validated(full)
 
