@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.core.shared import written
@@ -21,10 +21,10 @@ def status(functional: Sequence[Column], seed: Column) -> Column:
 def consensus(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """The most frequent value that is not missing, the smallest of tied ones, with its support, share and the number of values."""
     counts = df.where(present(F.col(value)) != "").groupBy(*by, present(F.col(value)).alias("consensus")).agg(F.count("*").alias("support"))
-    order = Window.partitionBy(*by).orderBy(F.desc("support"), "consensus")
-    whole = Window.partitionBy(*by)
-    got = counts.withColumns({"_n": F.row_number().over(order), "_all": F.sum("support").over(whole), "kinds": F.count("*").over(whole)}).where("_n = 1")
-    return got.select(*by, "consensus", "support", ratio(F.col("support"), F.col("_all")).alias("share"), "kinds")
+    best = F.min(F.struct((-F.col("support")).alias("less"), "consensus")).alias("_best")
+    got = counts.groupBy(*by).agg(best, F.sum("support").alias("_all"), F.count("*").alias("kinds"))
+    support = -F.col("_best.less")
+    return got.select(*by, F.col("_best.consensus").alias("consensus"), support.alias("support"), ratio(support, F.col("_all")).alias("share"), "kinds")
 
 
 def term_union(df: DataFrame, by: Sequence[str], term: str) -> DataFrame:

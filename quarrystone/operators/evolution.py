@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.arrays import codons
+from quarrystone.functions.stats import group_places
 from quarrystone.functions.tails import let
 
 STOPS = ("TAA", "TAG", "TGA")  # fixed value: stop codons of the universal code
@@ -116,5 +117,5 @@ def branch_table(df: DataFrame, document: str) -> DataFrame:
 
 
 def event_members(df: DataFrame, by: str) -> DataFrame:
-    """Rows numbered within each family, for stable array indices."""
-    return df.withColumn("array_index", F.row_number().over(Window.partitionBy(by).orderBy("rank")))
+    """Rows numbered within each family by ``rank``, which must not tie, for stable array indices."""
+    return group_places(df, [by], "rank", out="array_index")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import without_version
@@ -24,11 +24,15 @@ def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def versioned(df: DataFrame, other: DataFrame, key: str, ident: str) -> DataFrame:
-    """Left join on an id with a version: the full id first, else the smallest id of the same base."""
-    base = other.withColumn("_base", without_version(F.col(ident)))
-    order = Window.partitionBy(key).orderBy(F.desc(F.col(key) == F.col(ident)), ident)
-    rows = df.withColumn("_base", without_version(F.col(key))).join(base, "_base", "left")
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_base")
+    """Left join on an id with a version: the full id first, else the smallest id
+    of the same base. Every row of ``df`` stays once; of repeated ids in
+    ``other`` one row is taken."""
+    row = F.struct(*[F.col(c) for c in other.columns])
+    full = other.groupBy(F.col(ident).alias("_full")).agg(F.min(row).alias("_same"))
+    base = other.groupBy(without_version(F.col(ident)).alias("_base")).agg(F.min_by(row, ident).alias("_near"))
+    found = df.join(full, F.col(key) == F.col("_full"), "left").join(base, without_version(F.col(key)) == F.col("_base"), "left")
+    best = F.coalesce("_same", "_near")
+    return found.select(*df.columns, *[best[c].alias(c) for c in other.columns])
 
 
 def longest_prefix(df: DataFrame, node: str, prefixes: DataFrame, prefix: str, delimiter: str = "<") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.numbers import clamp, whole
 from quarrystone.functions.stats import average_ranks, group_places, pearson
+from quarrystone.operators.ranking import top_per
 from quarrystone.operators.joins import longest_prefix
 from quarrystone.operators.scoring import MAXIMA
 
@@ -148,12 +149,27 @@ def stability(ranked: DataFrame, n: int = 13) -> DataFrame:
     return got.withColumn("stability", F.when(stable, "stable_high").when(moves, "sensitive").otherwise("moderately_stable"))
 
 
-def threshold_report(df: DataFrame, thresholds: tuple[int, ...] = (80, 85, 90, 95)) -> DataFrame:
-    """For (grp, family, value, matched, base_rank): how many matched families lie below each threshold, and which, or none."""
+#: Families that a cell of ``threshold_report`` lists; all are in ``threshold_members``.
+LISTED = 1000
+
+
+def threshold_members(df: DataFrame, thresholds: tuple[int, ...] = (80, 85, 90, 95)) -> DataFrame:
+    """(grp, threshold, family, base_rank) of the matched families of (grp, family, value, matched, base_rank) below each threshold, a row each."""
     rows = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    below = F.col("matched") & (F.col("value") < F.col("threshold"))
-    ids = F.array_join(F.array_sort(F.collect_list(F.when(below, F.col("family")))), ",")
-    return rows.groupBy("grp", "threshold").agg(
-        F.count("*").alias("families"), F.count_if("matched").alias("matched"), F.count_if(below).alias("below"),
-        F.count_if(below & (F.col("base_rank") <= 10)).alias("top10_below"), F.coalesce(F.nullif(ids, F.lit("")), F.lit("none")).alias("below_families"),
-    )
+    return rows.where(F.col("matched") & (F.col("value") < F.col("threshold"))).select("grp", "threshold", "family", "base_rank")
+
+
+def threshold_report(df: DataFrame, thresholds: tuple[int, ...] = (80, 85, 90, 95), listed: int = LISTED) -> DataFrame:
+    """For (grp, family, value, matched, base_rank): how many matched families
+    lie below each threshold, and which, or none: the first ``listed`` by name,
+    with … after them if there are more."""
+    below = threshold_members(df, thresholds)
+    first = top_per(below, ["grp", "threshold"], listed, F.col("family"))
+    names = first.groupBy("grp", "threshold").agg(F.array_join(F.array_sort(F.collect_list("family")), ",").alias("_names"))
+    counts = below.groupBy("grp", "threshold").agg(F.count("*").alias("_below"), F.count_if(F.col("base_rank") <= 10).alias("_top"))
+    limits = F.array(*map(F.lit, thresholds))
+    sizes = df.groupBy("grp").agg(F.count("*").alias("families"), F.count_if("matched").alias("matched")).withColumn("threshold", F.explode(limits))
+    found = counts.join(names, ["grp", "threshold"]).select(F.col("grp").alias("_grp"), F.col("threshold").alias("_threshold"), "_below", "_top", F.concat("_names", F.when(F.col("_below") > listed, ",…").otherwise("")).alias("_names"))
+    rows = sizes.join(found, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("threshold") == F.col("_threshold")), "left")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return rows.select("grp", "threshold", "families", "matched", number("_below").alias("below"), number("_top").alias("top10_below"), F.coalesce("_names", F.lit("none")).alias("below_families"))

@@ -199,6 +199,13 @@ def threshold_sensitivity(spark, sf_dir):
     return se.threshold_report(f, (40, 50, 60))
 
 
+@query(f"WITH {STAR} SELECT grp, t AS threshold, family, base_rank FROM tiered CROSS JOIN (SELECT unnest([40, 50, 60]) AS t) WHERE domains >= 6 AND base < t")
+def threshold_families(spark, sf_dir):
+    """The matched families below each threshold."""
+    f = _families(spark, sf_dir).select("grp", "family", (F.col("domains") >= 6).alias("matched"), F.col("base").alias("value"), "base_rank")
+    return se.threshold_members(f, (40, 50, 60))
+
+
 @query(f"""WITH {STAR} SELECT grp, count(*) AS families, round(avg(base), 4) AS mean_score, max(base) AS best_score, count(*) FILTER (base_tier = 'tier1_high_confidence') AS tier1, count(*) FILTER (base_tier = 'tier2_supported') AS tier2,
 count(*) FILTER (base_tier = 'tier3_provisional') AS tier3, count(*) FILTER (critical) AS critical, count(*) FILTER (evolution IS NOT NULL) AS with_evolution, count(*) FILTER (expression IS NOT NULL) AS with_expression FROM tiered GROUP BY 1""")
 def group_scores(spark, sf_dir):
