@@ -79,13 +79,14 @@ def lca_lengths(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {CHAINS}, pair AS (SELECT o_orderkey AS node, CASE WHEN o_orderkey % 3 = 0 THEN max(o_orderkey) OVER w ELSE -1 - o_custkey END AS ancestor FROM orders WINDOW w AS (PARTITION BY o_custkey))
-SELECT p.node, p.ancestor, CASE WHEN a.depth <= t.depth THEN t.depth - a.depth END AS steps, CASE WHEN a.depth <= t.depth THEN t.far - a.far END AS length FROM pair p JOIN tree t ON t.node = p.node JOIN tree a ON a.node = p.ancestor""")
+SELECT p.node, p.ancestor, CASE WHEN a.depth <= t.depth THEN t.depth - a.depth ELSE -1 END AS steps, CASE WHEN a.depth <= t.depth THEN t.far - a.far ELSE -1.0 END AS length FROM pair p JOIN tree t ON t.node = p.node JOIN tree a ON a.node = p.ancestor""")
 def ancestor_distances(spark, sf_dir):
-    """The way up to an ancestor; none where the other node is no ancestor."""
+    """The way up to an ancestor; -1 where the other node is none."""
     orders = table(spark, sf_dir, "orders")
     last = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("last"))
     pairs = orders.join(last, "o_custkey").select(F.col("o_orderkey").alias("node"), F.when(F.col("o_orderkey") % 3 == 0, F.col("last")).otherwise(-1 - F.col("o_custkey")).alias("ancestor"))
-    return an.ancestor_distance(pairs, an.lifting(_chains(spark, sf_dir)))
+    found = an.ancestor_distance(pairs, an.lifting(_chains(spark, sf_dir)))
+    return found.select("node", "ancestor", F.coalesce("steps", F.lit(-1)).alias("steps"), F.coalesce("length", F.lit(-1.0)).alias("length"))
 
 
 @query(f"""WITH RECURSIVE {EDGES} SELECT ancestor AS node, count(*) AS leaves FROM reach WHERE starts_with(node, 'C') GROUP BY 1""")
@@ -161,12 +162,12 @@ RECONCILED = f"""WITH RECURSIVE {FAMILIES}, side AS MATERIALIZED (
 ), shared AS (SELECT r.f, CASE WHEN r.x LIKE 'root:%' THEN 'root' ELSE r.x END AS x, e.node, count(*) AS times FROM rooted r JOIN ranked k ON k.f = r.f AND k.rx = r.rx AND k.ry = r.ry AND total = least JOIN event e ON e.f = r.f AND e.x = r.x AND e.y = r.y WHERE e.dup GROUP BY ALL
 ), best AS MATERIALIZED (SELECT r.*, e.node, e.n, e.dup, CASE WHEN r.x LIKE 'root:%' THEN 'root' ELSE r.x END AS name FROM rooted r JOIN ranked k ON k.f = r.f AND k.rx = r.rx AND k.ry = r.ry AND k.nth = 1 JOIN event e ON e.f = r.f AND e.x = r.x AND e.y = r.y
 ), label AS (SELECT f, 'L' || i AS x, name FROM leaf UNION ALL SELECT f, 'N' || j, CASE WHEN j = 0 THEN '' ELSE CAST((f * 13 + j * 7) % 100 AS VARCHAR) END FROM shape, range(5) AS r(j) UNION ALL SELECT f, 'root', 'root_induced' FROM shape)
-SELECT CAST(h.f AS VARCHAR) AS family, 'family' AS kind, k.node AS species_node, CASE WHEN NOT bad THEN CAST(n AS INTEGER) END AS n_genes, NULL::DOUBLE AS robustness, NULL AS support, CAST(dups AS INTEGER) AS duplications, CAST(losses AS INTEGER) AS losses, CAST(specs AS INTEGER) AS speciations, CAST(roots AS INTEGER) AS optimal_roots,
+SELECT CAST(h.f AS VARCHAR) AS family, 'family' AS kind, k.node AS species_node, CASE WHEN NOT bad THEN CAST(n AS INTEGER) ELSE -1 END AS n_genes, NULL::DOUBLE AS robustness, NULL AS support, CAST(coalesce(dups, -1) AS INTEGER) AS duplications, CAST(coalesce(losses, -1) AS INTEGER) AS losses, CAST(coalesce(specs, -1) AS INTEGER) AS speciations, CAST(coalesce(roots, -1) AS INTEGER) AS optimal_roots,
   (SELECT string_agg(CASE WHEN dup THEN 'D@' ELSE 'S@' END || b.node, ' ' ORDER BY dup DESC, b.node) FROM best b WHERE b.f = h.f) AS labels, CASE WHEN bad THEN 'leaves and map differ' END AS error
 FROM shape h LEFT JOIN ranked k ON k.f = h.f AND k.nth = 1 LEFT JOIN optimal o ON o.f = h.f
-UNION ALL SELECT CAST(b.f AS VARCHAR), 'duplication', b.node, CAST(b.n AS INTEGER), round(times / roots, 6), l.name, NULL, NULL, NULL, NULL, NULL, NULL
+UNION ALL SELECT CAST(b.f AS VARCHAR), 'duplication', b.node, CAST(b.n AS INTEGER), round(times / roots, 6), l.name, -1, -1, -1, -1, NULL, NULL
 FROM best b JOIN optimal o ON o.f = b.f JOIN shared s ON s.f = b.f AND s.x = b.name AND s.node = b.node JOIN label l ON l.f = b.f AND l.x = b.name WHERE dup
-UNION ALL SELECT CAST(b.f AS VARCHAR), 'loss', gone, CAST(p.size AS INTEGER), NULL, l.name, NULL, NULL, NULL, NULL, NULL, NULL
+UNION ALL SELECT CAST(b.f AS VARCHAR), 'loss', gone, CAST(p.size AS INTEGER), NULL, l.name, -1, -1, -1, -1, NULL, NULL
 FROM best b JOIN joint j ON j.f = b.f AND j.x = b.x AND j.y = b.y JOIN lost ON top = b.node AND low = j.kid_node AND (dup OR step > 0) JOIN place p ON p.node = gone JOIN label l ON l.f = b.f AND l.x = j.kid"""
 
 
@@ -175,7 +176,8 @@ def reconcile_dl(spark, sf_dir):
     """All rows of every family: totals with the labels of the tree written, duplications, lost branches, and what could not be reconciled."""
     got = tr.reconcile_families(families(spark, sf_dir), SPECIES)
     labels = F.array_join(F.array_sort(F.regexp_extract_all("newick", F.lit(r"\)([DS]@[A-Z0-9]+)"))), " ")
-    return got.select("family", "kind", "species_node", "n_genes", F.round("robustness", 6).alias("robustness"), "support", "duplications", "losses", "speciations", "optimal_roots", labels.alias("labels"), "error")
+    known = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_genes", "duplications", "losses", "speciations", "optimal_roots")]
+    return got.select("family", "kind", "species_node", F.round("robustness", 6).alias("robustness"), "support", *known, labels.alias("labels"), "error")
 
 
 @query("""WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS tree_id, c_custkey % 9 + 1.0::DOUBLE AS b FROM customer), h AS (SELECT *, greatest(3.0, 1 + b) AS top FROM t)
