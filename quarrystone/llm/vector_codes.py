@@ -8,8 +8,8 @@ before. Bounds are shifted by how far the entries have moved since; an entry
 whose lower bound, or half of whose distance to the part's own entry, lies
 strictly above the upper bound is left out by the triangle inequality. The
 distances of the rest are compared as integers, and ties go to the lower
-index. Lower bounds are kept as bytes, rounded down, upper ones as floats,
-rounded up: they may prune less, never wrongly.
+index. Lower bounds are kept in half a byte each, rounded down, upper ones as
+floats, rounded up: they may prune less, never wrongly.
 
 New entries come from sums by (part, entry) that each task adds up, so what is
 shuffled and what the driver holds depends on the codebooks' size alone.
@@ -49,7 +49,7 @@ class Codebooks:
         others[:, range(others.shape[1]), range(others.shape[1])] = np.inf
         self.nearest_other = others.min(2)
         self.moved = np.zeros(entries.shape[:2]) if before is None else np.sqrt(((entries - before) ** 2).sum(2)) * (1 + SLACK)
-        self.unit = np.maximum(2 * self.half.max((1, 2)) / 250, 1e-3) if unit is None else unit
+        self.unit = np.maximum(2 * self.half.max((1, 2)) / 14, 1e-3) if unit is None else unit
         self.compared = 0
 
     def assign(self, x: np.ndarray, code: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -100,6 +100,16 @@ def _numbers(column: pa.Array, rows: int, dtype: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(rows, -1)
 
 
+def _packed(levels: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 15, two to a byte."""
+    even = np.pad(levels, [(0, 0)] * (levels.ndim - 1) + [(0, levels.shape[-1] % 2)])
+    return even[..., ::2] | even[..., 1::2] << 4
+
+
+def _unpacked(packed: np.ndarray, count: int) -> np.ndarray:
+    return np.stack([packed & 15, packed >> 4], axis=-1).reshape(*packed.shape[:-1], -1)[..., :count]
+
+
 def _vectors(column: pa.Array, rows: int, dim: int, parts: int) -> np.ndarray:
     lengths = np.diff(column.offsets.to_numpy())
     if (lengths != dim).any():
@@ -130,7 +140,7 @@ def _pass(source: DataFrame, books: Codebooks, dim: int, parts: int, last: bool)
                     code, upper, lower = np.zeros((n, parts), "i8"), np.full((n, parts), np.inf), np.zeros((n, parts, count))
                 else:
                     code, upper = _numbers(get("code"), n, "u1").astype("i8"), _numbers(get("upper"), n, "<f4").astype("f8")
-                    lower = _numbers(get("lower"), n, "u1").reshape(n, parts, count) * (books.unit[:, None] * (1 - SLACK))
+                    lower = _unpacked(_numbers(get("lower"), n, "u1").reshape(n, parts, -1), count) * (books.unit[:, None] * (1 - SLACK))
                 error = books.assign(x, code, upper, lower).sum(1)
                 columns = [get("vec_id"), get("label")]
                 codes = pa.array([c.tobytes() for c in code.astype("u1")], pa.binary())
@@ -138,7 +148,7 @@ def _pass(source: DataFrame, books: Codebooks, dim: int, parts: int, last: bool)
                     yield pa.RecordBatch.from_arrays([*columns, codes, pa.array(error)], names=["vec_id", "label", "code", "error"])
                     continue
                 up = np.nextafter(upper.astype("<f4"), np.float32(np.inf), dtype="<f4")
-                down = np.clip(np.floor(lower * (1 - SLACK) / books.unit[:, None]), 0, 255).astype("u1")
+                down = _packed(np.clip(np.floor(lower * (1 - SLACK) / books.unit[:, None]), 0, 15).astype("u1"))
                 vectors = pa.ListArray.from_arrays(np.arange(0, n * dim + 1, dim, dtype="i4"), pa.array(x.ravel().astype("i4")))
                 bounds = [pa.array([v.tobytes() for v in b], pa.binary()) for b in (up, down)]
                 yield pa.RecordBatch.from_arrays([*columns, vectors, codes, *bounds, pa.array(error)], names=["vec_id", "label", "x", "code", "upper", "lower", "error"])

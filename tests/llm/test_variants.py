@@ -240,6 +240,13 @@ def test_codes_of_nothing_and_of_odd_vectors(spark):
             vector_codes.vector_codes(table([1.0] * 16, odd)).collect()
 
 
+@pytest.mark.parametrize("count", [1, 2, 7, 64])
+def test_half_bytes(count):
+    levels = np.random.default_rng(count).integers(0, 16, (5, 3, count)).astype("u1")
+    packed = vector_codes._packed(levels)
+    assert packed.shape == (5, 3, (count + 1) // 2) and (vector_codes._unpacked(packed, count) == levels).all()
+
+
 def test_bounds_prune():
     """Bounds of the round before leave out most comparisons and change nothing."""
     rng = np.random.default_rng(5)
