@@ -34,3 +34,11 @@ def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
 
 def neg_log10(x: Column, floor: float = 1e-50, cap: float = 50.0) -> Column:
     return F.least(F.lit(cap), -F.log10(F.greatest(x, F.lit(floor))))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """``x`` times a power of ten rounded to a whole number, halves away from
+    zero, and divided again, as SQL engines round doubles: the product itself
+    decides which way a value goes whose next digit is a bare 5."""
+    scale = float(10**places)
+    return F.round(x * scale) / scale

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions.numbers import clamp, ratio
+from quarrystone.functions.numbers import clamp, ratio, rounded
 
 # The most that each component can give, points of a status, least score, domains and acceptable share of each tier.
 # Those inside the component functions (points, thresholds) are fixed as well.
@@ -88,7 +88,7 @@ def expression_points(tpm: Column) -> Column:
 def gene_score(family_score: Column, status: Column, tpm: Column) -> Column:
     """0.7 of the family's score (as shown, three places), points of the status, and of expression where measured."""
     available = tpm.isNotNull()
-    raw = 0.70 * F.round(family_score, 3) + status_points(status) + F.when(available, expression_points(tpm)).otherwise(0.0)
+    raw = 0.70 * rounded(family_score, 3) + status_points(status) + F.when(available, expression_points(tpm)).otherwise(0.0)
     return 100 * raw / (90 + F.when(available, 10).otherwise(0))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarrystone.core.shared import written
-from quarrystone.functions.numbers import clamp, ratio
+from quarrystone.functions.numbers import clamp, ratio, rounded
 from quarrystone.functions.stats import average_ranks as fractional_ranks
 from quarrystone.functions.stats import group_places
 from quarrystone.operators import joins as jn
@@ -50,7 +50,7 @@ def _families(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     li = lines.groupBy(F.col("l_partkey").alias("family")).agg(
         F.count("*").alias("size"), F.count_if(F.col("l_returnflag") == "N").alias("passed"), F.count_if(F.col("l_returnflag") == "R").alias("reviewed"),
-        F.count_if(F.col("l_discount") > 0.08).alias("excluded"), F.count_if(F.col("l_tax") > 0.07).alias("flags"), F.round(F.avg("l_discount") * 10, 6).alias("pfam"),
+        F.count_if(F.col("l_discount") > 0.08).alias("excluded"), F.count_if(F.col("l_tax") > 0.07).alias("flags"), rounded(F.avg("l_discount") * 10, 6).alias("pfam"),
         F.count_if(F.col("l_quantity") > 45).alias("strong"), F.count_if(F.col("l_linenumber") == 4).alias("lost"), F.lit(True).alias("reconciled"),
     )
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
@@ -74,7 +74,7 @@ def _families(spark, sf_dir):
     rows = rows.withColumns({
         "ok": F.least(F.lit(1.0), ratio(c("passed") + c("reviewed"), c("size"))),
         "critical": sc.risk_gate(c("excluded"), c("flags"), c("size")),
-        "base": F.round(sc.available_score({n: c(n) for n in parts}, sc.MAXIMA), 3),
+        "base": rounded(sc.available_score({n: c(n) for n in parts}, sc.MAXIMA), 3),
         "domains": sc.domain_count(c("annotation"), c("evolution"), c("expression")),
     })
     rows = rows.withColumn("base_tier", sc.family_tier(c("base"), c("domains"), c("critical"), c("ok")))
@@ -110,7 +110,7 @@ def gene_rank(spark, sf_dir):
     top = _families(spark, sf_dir).where("base_rank <= 10").select("family", "grp", "base", "critical", F.col("most").alias("tpm"))
     li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("family"), F.col("l_orderkey").alias("gene"), F.col("l_linenumber").alias("copy"), "l_returnflag")
     status = F.when(F.col("l_returnflag") == "N", "pass").when(F.col("l_returnflag") == "A", "review").otherwise("review_high")
-    g = li.join(top, "family").withColumn("status", status).withColumn("score", F.round(sc.gene_score(F.col("base"), F.col("status"), F.col("tpm")), 3))
+    g = li.join(top, "family").withColumn("status", status).withColumn("score", rounded(sc.gene_score(F.col("base"), F.col("status"), F.col("tpm")), 3))
     g = g.withColumn("tier", sc.gene_tier(F.col("score"), F.col("status"), F.col("critical")))
     ranked = rk.global_and_group_rank(g.select("family", "grp", "gene", "copy", "score", "tier"), ["grp"], F.desc("score"), F.col("grp"), F.col("family"), F.col("gene"), F.col("copy"))
     return ranked.select("family", "gene", "copy", "score", "tier", F.col("group_rank").alias("place"), F.col("overall_rank").alias("overall"))
