@@ -61,18 +61,24 @@ def _flag(name: Column, severity: str) -> Column:
     return F.struct(name.alias("name"), F.lit(SEVERITY.index(severity)).alias("severity"))
 
 
+def marks(seq: Column) -> dict[str, Column]:
+    """What ``flags`` needs to know of a sequence itself, by name: a few numbers in place of the letters."""
+    return {"length": F.length(seq), "foreign": F.size(invalid_residues(seq)), "inner_stop": inner_stop(seq), "end_stop": end_stop(seq), "unknown": unknown_share(seq)}
+
+
 def flags() -> Column:
-    """All flags of a row, in order, over the columns seq, bits (entropy), family_size, length_ratio, duplicate
+    """All flags of a row, in order, over the columns of ``marks``, bits (entropy), family_size, length_ratio, duplicate
     (its context or null), n_with_domains, domain_rich, n_hits, n_core, core_jaccard, lineage and risks."""
-    c, n = F.col, F.length("seq")
+    c, n = F.col, F.col("length")
     family = c("family_size") >= 5
     single = [
         _first((n < 30, "very_short_lt30aa", "exclude_recommended"), (n < 50, "short_lt50aa", "review_high"), (n < 100, "short_lt100aa", "review")),
-        _first((F.size(invalid_residues(c("seq"))) > 0, "invalid_amino_acid_characters", "exclude_recommended")),
-        _first((inner_stop(c("seq")), "internal_stop_codon", "exclude_recommended")),
-        _first((end_stop(c("seq")), "terminal_stop_symbol", "review")),
-        _first((unknown_share(c("seq")) > 0.05, "ambiguous_residue_fraction_gt5pct", "review")),
-        _first(((c("bits") < 2.0) & (n >= 50), "low_sequence_complexity", "review")),
+        _first((c("foreign") > 0, "invalid_amino_acid_characters", "exclude_recommended")),
+        _first((c("inner_stop"), "internal_stop_codon", "exclude_recommended")),
+        _first((c("end_stop"), "terminal_stop_symbol", "review")),
+        _first((c("unknown") > 0.05, "ambiguous_residue_fraction_gt5pct", "review")),
+        # Four letters as often as each other have 2 bits exactly, which the logarithms may miss by their last bit.
+        _first(((F.round("bits", 9) < 2.0) & (n >= 50), "low_sequence_complexity", "review")),
         _first((family & (c("length_ratio") < 0.50), "severe_short_length_outlier", "review_high"), (family & (c("length_ratio") < 0.67), "moderate_short_length_outlier", "review")),
         _first((family & (c("length_ratio") > 2.0), "severe_long_length_outlier", "review")),
         F.when(c("duplicate") == "cross_orthogroup", _flag(F.concat(F.lit("exact_duplicate_"), c("duplicate")), "review_high")).when(

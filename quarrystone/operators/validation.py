@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import written
 from quarrystone.functions.arrays import letter_counts
 from quarrystone.functions.stats import places, shannon_bits
 from quarrystone.functions.tails import let
@@ -27,8 +28,9 @@ def risks(df: DataFrame, text: Column, patterns: Mapping[str, str]) -> DataFrame
 
 
 def with_length_ratio(df: DataFrame, family: str, length: str) -> DataFrame:
-    """``family_size``, ``family_median`` and ``length_ratio``. The median comes by aggregation and a join, so no family is gathered in one task."""
-    stats = df.groupBy(family).agg(F.median(length).alias("family_median"), F.count("*").alias("family_size"))
+    """``family_size``, ``family_median`` and ``length_ratio``. The median comes by aggregation and a join, so no family is
+    gathered in one task; the few rows of it are written, so that the join is planned by their size."""
+    stats = written(df.groupBy(family).agg(F.median(length).alias("family_median"), F.count("*").alias("family_size")), "medians")
     return df.join(stats, family).withColumn("length_ratio", F.try_divide(F.col(length), F.col("family_median")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrystone.core.shared import written
 from quarrystone.functions import arrays as arr
 from quarrystone.functions import stats as st
 from quarrystone.operators import annotation as an
@@ -58,13 +59,16 @@ def _checked(spark, sf_dir):
     tracks = F.array(*map(F.lit, ("metazoa", "metazoa", "metazoa", "unassigned", "bacteria", "fungi", "unknown")))
     rows = d.select(k.alias("item"), F.col("lang").alias("family"), F.col("source").alias("species"), F.concat(cut, end).alias("seq"), text.alias("text"), F.when(k % 37 == 0, "GO:0000001,GO:0015979").otherwise("").alias("go"), F.get(tracks, (k % 7).cast("int")).alias("lineage"))
     term = lambda i: F.concat(F.lit("T"), ((k * 7 + i) % 3 + F.when(k % 41 == 0, 50).otherwise(0)).cast("string"))
+    # All that is asked of the letters, in one pass; what is joined and ranked is this narrow table.
+    known = {"digest": F.md5("seq"), "bits": F.coalesce(va.entropy(F.col("seq"), LETTERS.upper()), F.lit(0.0)), "risks": qu.risk_categories(F.col("text"), F.col("go"))}
+    rows = written(rows.select("item", "family", "species", "lineage", *[c.alias(n) for n, c in (qu.marks(F.col("seq")) | known).items()]), "marks")
     hits = d.where(k % 9 != 0).select(k.alias("item"), F.col("lang").alias("family"), F.explode(F.array(term(0), term(1))).alias("term")).distinct()
-    domains = qu.domain_stats(rows.select("family", "item"), hits).drop("family_size")
+    # A row per family, written: its size is known when the join is planned, so few families make no large tasks.
+    domains = written(qu.domain_stats(rows.select("family", "item"), hits).drop("family_size").join(an.core_terms(hits), "family", "left"), "domains")
     own = hits.groupBy("item").agg(F.collect_list("term").alias("terms"))
-    full = va.with_length_ratio(rows.withColumn("length", F.length("seq")), "family", "length").withColumn("digest", F.md5("seq"))
-    full = qu.with_duplicates(full).join(domains, "family", "left").join(an.core_terms(hits), "family", "left").join(own, "item", "left")
+    full = qu.with_duplicates(va.with_length_ratio(rows, "family", "length")).join(domains, "family", "left").join(own, "item", "left")
     none = F.array().cast("array<string>")
-    full = full.withColumns({"core": F.coalesce("core", none), "terms": F.coalesce("terms", none), "bits": F.coalesce(va.entropy(F.col("seq"), LETTERS.upper()), F.lit(0.0)), "risks": qu.risk_categories(F.col("text"), F.col("go"))})
+    full = full.withColumns({"core": F.coalesce("core", none), "terms": F.coalesce("terms", none)})
     full = full.withColumns({"n_hits": F.size("terms"), "n_core": F.size("core"), "core_jaccard": arr.jaccard(F.col("core"), F.col("terms"))})
     return qu.validated(full)
 
@@ -101,8 +105,8 @@ SELECT species, family, item, row_number() OVER (PARTITION BY species, family OR
 def member_priority(spark, sf_dir):
     """Which of a species' sequences stands for it: a passing one, of more domains, closer to the median, of the smaller id."""
     order = [F.col("status") != "pass", F.desc("n_hits"), F.abs(F.col("length") - F.col("family_median")), F.col("item")]
-    ranked = rk.global_and_group_rank(_checked(spark, sf_dir), ["species", "family"], *order)
-    return ranked.select("species", "family", "item", F.col("group_rank").alias("place"))
+    checked = _checked(spark, sf_dir).select("species", "family", "item", "status", "n_hits", "length", "family_median")
+    return st.group_places(checked, ["species", "family"], *order).select("species", "family", "item", "place")
 
 
 WORDS = q_terms.WORDS
