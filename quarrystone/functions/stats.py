@@ -11,7 +11,7 @@ from quarrystone.core.shared import written
 from quarrystone.functions.tails import two_sided_normal, two_sided_student
 
 
-def _dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     """``df`` in the shared folder, dealt out by ranges of ``order``: with
     ``_part``, the number of a row's range, and ``_at``, its place in it from 0.
 
@@ -22,6 +22,9 @@ def _dealt(df: DataFrame, *order: Column | str) -> DataFrame:
     return written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": at}), "ranges")
 
 
+_dealt = in_ranges
+
+
 def _running(dealt: DataFrame, by: Sequence[str], value: str, order: Column | str, n: str) -> DataFrame:
     """``dealt`` rows of distinct (by, value) with ``_upto``, the sum of ``n`` over
     the rows of their group up to them, and ``_all``, that over the group.
@@ -51,7 +54,7 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, by: Sequence[str] = ())
     """
     good = F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
     counts = df.where(good).groupBy(*by, p).agg(F.count("*").alias("_n"))
-    ranked = _running(_dealt(counts, *by, p), by, p, F.col(p), "_n").withColumn("_q", F.col(p) * F.col("_all") / F.col("_upto"))
+    ranked = _running(in_ranges(counts, *by, p), by, p, F.col(p), "_n").withColumn("_q", F.col(p) * F.col("_all") / F.col("_upto"))
     own = [F.col(c) for c in by]
     least = ranked.groupBy(*by, "_part").agg(F.min("_q").alias("_least"))
     after = Window.partitionBy(*own).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
@@ -71,7 +74,7 @@ def benjamini_hochberg(df: DataFrame, p: str, out: str, by: Sequence[str] = ())
 def places(df: DataFrame, *order: Column | str, out: str = "place") -> DataFrame:
     """``df`` with each row's place from 1 in the whole table by ``order``,
     which must not tie: sorted in ranges, whose sizes are added up."""
-    rows = _dealt(df, *order)
+    rows = in_ranges(df, *order)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return rows.join(starts, "_part").withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
@@ -93,7 +96,7 @@ def running_max(df: DataFrame, by: Sequence[str], value: Column, *order: Column
     """``df`` with the largest ``value`` of its group up to each row by ``order``
     (if ``before``, of the rows before it; null at a group's first): inside ranges of the order, and beyond them by what the
     ranges before hold (a row per group and range)."""
-    rows = _dealt(df.withColumn("_v", value), *by, *order)
+    rows = in_ranges(df.withColumn("_v", value), *by, *order)
     own = [F.col(c) for c in by]
     most = rows.groupBy(*by, "_part").agg(F.max("_v").alias("_most"))
     earlier = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +114,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> Dat
     mean of their places. Ranks come from the counts of distinct values, added
     up in ranges of the value, and are joined back; null values have no rank."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranked = _running(_dealt(counts, *by, value), by, value, F.col(value), "_n")
+    ranked = _running(in_ranges(counts, *by, value), by, value, F.col(value), "_n")
     names = {c: f"_of_{c}" for c in [*by, value]}
     found = ranked.select(*[F.col(c).alias(n) for c, n in names.items()], (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
     same = F.col(value) == F.col(names[value])
@@ -153,7 +156,7 @@ def rank_sum_test(df: DataFrame, value: str, is_first: Column) -> DataFrame:
     come from counts of the distinct values, not from sorting all rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"), F.sum(is_first.cast("bigint")).alias("_a"))
-    ranked = _running(_dealt(counts, value), [], value, F.col(value), "_n").withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / 2.0)
+    ranked = _running(in_ranges(counts, value), [], value, F.col(value), "_n").withColumn("_rank", F.col("_upto") - (F.col("_n") - 1) / 2.0)
     s = ranked.agg(
         F.sum(F.col("_a") * F.col("_rank")).alias("r"), F.sum("_a").cast("double").alias("a"), F.sum("_n").cast("double").alias("n"),
         F.sum(F.pow("_n", F.lit(3)) - F.col("_n")).alias("ties"),
