@@ -32,26 +32,29 @@ def lifting(edges: DataFrame) -> Lifting:
     length is 0). A parent that is no node itself is a root, as is a node with a
     null parent. A node with two parents and a cycle are errors."""
     length = F.coalesce(F.col("length").cast("double"), F.lit(0.0)) if "length" in edges.columns else F.lit(0.0)
-    one = written(edges.where("node is not null and parent is not null").select("node", F.col("parent").alias("ancestor"), length.alias("length")), "lifting")
+    base = written(edges.select("node", F.col("parent").alias("ancestor"), length.alias("length")).where("node is not null or ancestor is not null"), "lifting")
+    one = base.where("node is not null and ancestor is not null")
     n, different = one.agg(F.count("*"), F.count_distinct("node")).first()
     if n != different:
         raise ValueError("a node has two parents")
-    roots = edges.select(F.coalesce("parent", "node").alias("node")).where("node is not null").distinct().join(one, "node", "left_anti")
-    # Every node's jump, cut short at its root: what has gone the whole 2^k steps is the level.
-    jump = written(one.withColumn("steps", F.lit(1)).unionByName(roots.select("node", F.col("node").alias("ancestor"), F.lit(0.0).alias("length"), F.lit(0).alias("steps"))), "lifting")
+    roots = base.select(F.coalesce("ancestor", "node").alias("node")).distinct().join(one, "node", "left_anti")
+    # A node's jump ends at its root: jumps that have got there stay as they are, and only those that went all 2^k steps, the level, go on.
+    here = written(roots.select("node", F.col("node").alias("ancestor"), F.lit(0.0).alias("length"), F.lit(0).alias("steps")), "lifting")
+    going = one.select("node", "ancestor", "length", F.lit(1).alias("steps"))
     levels, size = [one], 1
     while True:
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = written(
+        a, b = going.alias("a"), here.unionByName(going).alias("b")
+        gone = written(
             a.join(b, F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.length") + F.col("b.length")).alias("length"), (F.col("a.steps") + F.col("b.steps")).alias("steps")), "lifting"
         )
         size *= 2
-        if jump.where(F.col("steps") == size).isEmpty():
+        here, going = here.unionByName(gone.where(F.col("steps") < size)), gone.where(F.col("steps") == size)
+        if going.isEmpty():
             break
         if size > n:
             raise ValueError("the parents form a cycle")
-        levels.append(jump.where(F.col("steps") == size).select("node", "ancestor", "length"))
-    return Lifting(levels, jump.select("node", F.col("ancestor").alias("root"), F.col("steps").alias("depth"), F.col("length").alias("distance")))
+        levels.append(going.select("node", "ancestor", "length"))
+    return Lifting(levels, here.select("node", F.col("ancestor").alias("root"), F.col("steps").alias("depth"), F.col("length").alias("distance")))
 
 
 def common_ancestor(pairs: DataFrame, tree: Lifting) -> DataFrame:
@@ -84,7 +87,22 @@ def common_ancestor(pairs: DataFrame, tree: Lifting) -> DataFrame:
 
 
 def ancestor_distance(pairs: DataFrame, tree: Lifting) -> DataFrame:
-    """(node, ancestor, steps, length) of pairs; where ``ancestor`` is none of the node's, steps and length are null."""
-    met = common_ancestor(pairs.select(F.col("node").alias("a"), F.col("ancestor").alias("b")).distinct(), tree).where("lca = b")
-    met = met.select(F.col("a").alias("node"), F.col("b").alias("ancestor"), F.col("distance").alias("steps"), "length")
-    return pairs.select("node", "ancestor").join(met, ["node", "ancestor"], "left")
+    """(node, ancestor, steps, length) of pairs; where ``ancestor`` is none of the node's, steps and length are null.
+
+    Depths say how far up the ancestor must be, so only the node climbs, and
+    only in pairs of one tree whose ancestor is neither the root nor too deep.
+    """
+    place = lambda x: tree.places.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "depth", "distance")])
+    both = pairs.select("node", "ancestor").join(place("node"), "node", "left").join(place("ancestor"), "ancestor", "left")
+    rest = F.when(F.col("root_node") == F.col("root_ancestor"), F.col("depth_node") - F.col("depth_ancestor"))
+    placed = written(both.select("node", "ancestor", rest.alias("steps"), (F.col("distance_node") - F.col("distance_ancestor")).alias("length"), F.col("depth_ancestor").alias("deep")), "placed")
+    climbs = F.coalesce((F.col("steps") > 0) & (F.col("deep") > 0), F.lit(False))
+    met = lambda rows, found: rows.select("node", "ancestor", F.when(found, F.col("steps")).alias("steps"), F.when(found, F.col("length")).alias("length"))
+    settled = met(placed.where(~climbs), ((F.col("steps") > 0) & (F.col("deep") == 0)) | ((F.col("steps") == 0) & (F.col("node") == F.col("ancestor"))))
+    rows = placed.where(climbs).select("node", "ancestor", "steps", "length", F.col("node").alias("x"))
+    for done, k in enumerate(reversed(range(len(tree.levels))), 1):
+        up = rows.join(tree.levels[k].select(F.col("node").alias("x"), F.col("ancestor").alias("x_up")), "x", "left")
+        rows = up.withColumn("x", F.when(F.shiftright("steps", k).bitwiseAND(F.lit(1)) == 1, F.col("x_up")).otherwise(F.col("x"))).drop("x_up")
+        if done % EVERY == 0:
+            rows = written(rows, "climbing")
+    return settled.unionByName(met(rows, F.col("x") == F.col("ancestor")))
