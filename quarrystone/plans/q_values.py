@@ -14,7 +14,7 @@ from quarrystone.operators import scoring as sc
 from quarrystone.operators import sensitivity as se
 from quarrystone.operators import sinks
 from quarrystone.operators import validation as va
-from quarrystone.plans.base import table
+from quarrystone.plans.base import spread, table
 from quarrystone.plans.register import query
 
 
@@ -190,7 +190,7 @@ def test_results(spark, sf_dir):
     """Numbers of nested results: one by any key that holds a text, others by their names."""
     doc = F.to_json(F.struct(F.struct((F.col("value") / 100).alias("p-value"), F.col("value").alias("LRT")).alias("test results")))
     nested = F.concat(F.lit('{"a": [{"b": "x"}, {"Inner Key": '), "props", F.lit("}]}"))
-    return table(spark, sf_dir, "events").select("event_id", evo.find_number(nested, "K").alias("found"), evo.test_result(doc, "p-value").alias("p_value"), evo.test_result(doc, "LRT").alias("lrt"))
+    return spread(table(spark, sf_dir, "events").select("event_id", "props", "value")).select("event_id", evo.find_number(nested, "K").alias("found"), evo.test_result(doc, "p-value").alias("p_value"), evo.test_result(doc, "LRT").alias("lrt"))
 
 
 @query("""SELECT event_id, branch, CASE branch WHEN 'n1' THEN value / 100 ELSE 1.0::DOUBLE END AS corrected_p, CASE branch WHEN 'n1' THEN value ELSE NULL END AS omega FROM events CROSS JOIN (VALUES ('n1'), ('n2')) t(branch)""")
@@ -198,7 +198,7 @@ def branch_attributes(spark, sf_dir):
     """The first partition of the branches' attributes."""
     first = F.struct((F.col("value") / 100).alias("Corrected P-value"), F.col("value").alias("Baseline MG94 omega ratio"), F.lit(9.0).alias("Full omega"))
     doc = F.to_json(F.struct(F.struct(F.struct(first.alias("n1"), F.struct(F.lit(1.0).alias("Corrected P-value")).alias("n2")).alias("0"), F.struct(first.alias("n9")).alias("1")).alias("branch attributes")))
-    return evo.branch_table(table(spark, sf_dir, "events").select("event_id", doc.alias("doc")), "doc")
+    return evo.branch_table(spread(table(spark, sf_dir, "events").select("event_id", "value")).select("event_id", doc.alias("doc")), "doc")
 
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS array_index FROM part")
