@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +21,32 @@ from quarrystone.operators.rooting import Costs, Unrooted, smallest_signature
 from quarrystone.operators.splits import FULL, leaf_sums
 
 
+#: Trees that a Python worker holds as objects at a time, however long Spark's batches are.
+TREES = 200
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TREES):
+            yield batch.slice(at, TREES)
+
+
 def node_table(df: DataFrame, ident: str = "tree_id", text: str = "newick") -> DataFrame:
     """(tree_id, node_id, parent_id, name, branch_length, depth, distance, is_leaf) of each row's Newick text."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+    schema = pa.schema([("tree_id", pa.string()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("name", pa.string()), ("branch_length", pa.float64()), ("depth", pa.int32()), ("distance", pa.float64()), ("is_leaf", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
             rows = []
-            for key, value in zip(pdf["tree_id"], pdf["newick"]):
+            for key, value in zip(part["tree_id"].to_pylist(), part["newick"].to_pylist()):
                 t = newick.parse(value)
                 for i, (depth, far) in enumerate(zip(t.depths(), t.distances())):
                     rows.append((key, i, t.up[i] if t.up[i] >= 0 else None, t.name[i], t.length[i], depth, far, not t.down[i]))
-            yield pd.DataFrame(rows, columns=["tree_id", "node_id", "parent_id", "name", "branch_length", "depth", "distance", "is_leaf"]).astype({"parent_id": "Int32"})
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     ddl = "tree_id string, node_id int, parent_id int, name string, branch_length double, depth int, distance double, is_leaf boolean"
-    return df.where(F.col(text).isNotNull()).select(F.col(ident).cast("string").alias("tree_id"), F.col(text).alias("newick")).mapInPandas(run, ddl)
+    return df.where(F.col(text).isNotNull()).select(F.col(ident).cast("string").alias("tree_id"), F.col(text).alias("newick")).mapInArrow(run, ddl)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -64,22 +75,24 @@ def ultrametric(nodes: DataFrame, age: float = 100.0) -> DataFrame:
     """Tips moved out to the largest distance of their tree, all lengths scaled to ``age``."""
     top = nodes.where("is_leaf").groupBy("tree_id").agg(F.max("distance").alias("_top"))
     length = F.coalesce("branch_length", F.lit(0.0)) + F.when(F.col("is_leaf"), F.col("_top") - F.col("distance")).otherwise(0.0)
-    return nodes.join(top, "tree_id").withColumn("branch_length", F.when(F.col("parent_id").isNotNull(), length * age / F.col("_top"))).drop("_top")
+    return nodes.join(top.hint("merge"), "tree_id").withColumn("branch_length", F.when(F.col("parent_id").isNotNull(), length * age / F.col("_top"))).drop("_top")
 
 
 def uneven(nodes: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """(tree_id, uneven): whether tips of a tree (node_id, parent_id, branch_length) differ in height by more than ``tolerance``, or a branch is negative.
 
     A tree's rows are summed along its own paths, as many rounds as it is deep.
+    All joins are of large tables: as they compress well, Spark would take some
+    for small and send them through the driver, once a round.
     """
     up = written(nodes.select("tree_id", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("length"), "is_leaf"), "heights")
     now = up.where("is_leaf").select("tree_id", F.col("node_id").alias("leaf"), F.col("parent_id").alias("at"), F.col("length").alias("height"))
     step = up.select(F.col("tree_id"), F.col("node_id").alias("at"), F.col("parent_id").alias("next"), "length")
     while not now.where("at is not null").isEmpty():
-        now = written(now.join(step, ["tree_id", "at"], "left").select("tree_id", "leaf", F.col("next").alias("at"), (F.col("height") + F.coalesce("length", F.lit(0.0))).alias("height")), "heights")
+        now = written(now.join(step.hint("merge"), ["tree_id", "at"], "left").select("tree_id", "leaf", F.col("next").alias("at"), (F.col("height") + F.coalesce("length", F.lit(0.0))).alias("height")), "heights")
     spread = now.groupBy("tree_id").agg((F.max("height") - F.min("height")).alias("spread"))
     negative = up.groupBy("tree_id").agg(F.min("length").alias("least"))
-    return spread.join(negative, "tree_id").select("tree_id", ((F.col("spread") > tolerance) | (F.col("least") < 0)).alias("uneven"))
+    return spread.join(negative.hint("merge"), "tree_id").select("tree_id", ((F.col("spread") > tolerance) | (F.col("least") < 0)).alias("uneven"))
 
 
 class SpeciesTree:
@@ -172,8 +185,8 @@ def reconcile_families(families: DataFrame, species_newick: str, duplication: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         species = SpeciesTree(species_newick)
-        for batch in batches:
-            rows = [r for f in batch.to_pylist() for r in reconciled_rows(f["family"], f["newick"], dict(f["genes"] or ()), species, duplication, loss)]
+        for part in _slices(batches):
+            rows = [r for f in part.to_pylist() for r in reconciled_rows(f["family"], f["newick"], dict(f["genes"] or ()), species, duplication, loss)]
             yield from pa.Table.from_pylist(rows, schema).to_batches()
 
     return families.select("family", "newick", "genes").mapInArrow(run, RECONCILED)
