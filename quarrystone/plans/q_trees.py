@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,7 +204,8 @@ def ultrametric_check(spark, sf_dir):
     before = nodes.groupBy("tree_id").agg(F.count_if(leaf).alias("tips"), F.max(F.when(leaf, F.col("distance"))).alias("height"))
     lengths = even.groupBy("tree_id").agg(F.round(F.sum("branch_length"), 6).alias("length"))
     odd = lambda df, name: tr.uneven(df).select("tree_id", F.col("uneven").alias(name))
-    return before.join(odd(nodes, "uneven_before"), "tree_id").join(odd(even, "uneven_after"), "tree_id").join(lengths, "tree_id")
+    sides = (odd(nodes, "uneven_before"), odd(even, "uneven_after"), lengths)
+    return reduce(lambda a, b: a.join(b.hint("merge"), "tree_id"), sides, before)
 
 
 #: What an edge parts of the leaves ``chosen`` (f, x, name), each standing for ``names``: its length, and the side without the first leaf.
