@@ -3,6 +3,8 @@
 Level k + 1 joins level k with itself, so a tree of n nodes and depth d takes
 log d joins and n log d rows, where every pair of a node and an ancestor would
 be n d. Depths, distances and common ancestors go up by descending levels.
+The tables of a large forest compress well, so that Spark would broadcast them
+by the size of their files; they are joined by shuffles.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ def lifting(edges: DataFrame) -> Lifting:
     going = one.select("node", "ancestor", "length", F.lit(1).alias("steps"))
     levels, size = [one], 1
     while True:
-        a, b = going.alias("a"), here.unionByName(going).alias("b")
+        a, b = going.alias("a"), here.unionByName(going).alias("b").hint("merge")
         gone = written(
             a.join(b, F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.length") + F.col("b.length")).alias("length"), (F.col("a.steps") + F.col("b.steps")).alias("steps")), "lifting"
         )
@@ -62,14 +64,14 @@ def common_ancestor(pairs: DataFrame, tree: Lifting) -> DataFrame:
     lengths from one to the other by way of ``lca``. Pairs of different trees,
     and of nodes that the forest lacks, are left out."""
     place = lambda x: tree.places.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"), F.col("depth").alias(f"depth_{x}"), F.col("distance").alias(f"far_{x}"))
-    both = pairs.select("a", "b").join(place("a"), "a").join(place("b"), "b").where("root_a = root_b").drop("root_a", "root_b")
+    both = pairs.select("a", "b").join(place("a").hint("merge"), "a").join(place("b").hint("merge"), "b").where("root_a = root_b").drop("root_a", "root_b")
     deeper, steps = F.col("depth_a") >= F.col("depth_b"), 0
     both = both.select("a", "b", "depth_a", "depth_b", "far_a", "far_b", F.when(deeper, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(deeper, F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("depth_a") - F.col("depth_b")).alias("rest"))
 
     def up(rows: DataFrame, k: int, *names: str) -> DataFrame:
         nonlocal steps
         for x in names:
-            rows = rows.join(tree.levels[k].select(F.col("node").alias(x), F.col("ancestor").alias(f"{x}_up")), x, "left")
+            rows = rows.join(tree.levels[k].select(F.col("node").alias(x), F.col("ancestor").alias(f"{x}_up")).hint("merge"), x, "left")
             steps += 1
         if steps >= EVERY:
             rows, steps = written(rows, "climbing"), 0
@@ -83,7 +85,7 @@ def common_ancestor(pairs: DataFrame, tree: Lifting) -> DataFrame:
         both = up(both, k, "x", "y").withColumns({c: F.when(apart, F.col(f"{c}_up")).otherwise(F.col(c)) for c in "xy"}).drop("x_up", "y_up")
     both = up(both, 0, "x").withColumn("lca", F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("x_up")))
     top = tree.places.select(F.col("node").alias("lca"), F.col("depth").alias("depth"), F.col("distance").alias("far"))
-    return both.join(top, "lca").select("a", "b", "lca", (F.col("depth_a") + F.col("depth_b") - 2 * F.col("depth")).alias("distance"), (F.col("far_a") + F.col("far_b") - 2 * F.col("far")).alias("length"))
+    return both.join(top.hint("merge"), "lca").select("a", "b", "lca", (F.col("depth_a") + F.col("depth_b") - 2 * F.col("depth")).alias("distance"), (F.col("far_a") + F.col("far_b") - 2 * F.col("far")).alias("length"))
 
 
 def ancestor_distance(pairs: DataFrame, tree: Lifting) -> DataFrame:
@@ -93,7 +95,7 @@ def ancestor_distance(pairs: DataFrame, tree: Lifting) -> DataFrame:
     only in pairs of one tree whose ancestor is neither the root nor too deep.
     """
     place = lambda x: tree.places.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "depth", "distance")])
-    both = pairs.select("node", "ancestor").join(place("node"), "node", "left").join(place("ancestor"), "ancestor", "left")
+    both = pairs.select("node", "ancestor").join(place("node").hint("merge"), "node", "left").join(place("ancestor").hint("merge"), "ancestor", "left")
     rest = F.when(F.col("root_node") == F.col("root_ancestor"), F.col("depth_node") - F.col("depth_ancestor"))
     placed = written(both.select("node", "ancestor", rest.alias("steps"), (F.col("distance_node") - F.col("distance_ancestor")).alias("length"), F.col("depth_ancestor").alias("deep")), "placed")
     climbs = F.coalesce((F.col("steps") > 0) & (F.col("deep") > 0), F.lit(False))
@@ -101,7 +103,7 @@ def ancestor_distance(pairs: DataFrame, tree: Lifting) -> DataFrame:
     settled = met(placed.where(~climbs), ((F.col("steps") > 0) & (F.col("deep") == 0)) | ((F.col("steps") == 0) & (F.col("node") == F.col("ancestor"))))
     rows = placed.where(climbs).select("node", "ancestor", "steps", "length", F.col("node").alias("x"))
     for done, k in enumerate(reversed(range(len(tree.levels))), 1):
-        up = rows.join(tree.levels[k].select(F.col("node").alias("x"), F.col("ancestor").alias("x_up")), "x", "left")
+        up = rows.join(tree.levels[k].select(F.col("node").alias("x"), F.col("ancestor").alias("x_up")).hint("merge"), "x", "left")
         rows = up.withColumn("x", F.when(F.shiftright("steps", k).bitwiseAND(F.lit(1)) == 1, F.col("x_up")).otherwise(F.col("x"))).drop("x_up")
         if done % EVERY == 0:
             rows = written(rows, "climbing")
