@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from quarrystone.core.names import free_names
 from quarrystone.core.shared import written
 from quarrystone.functions.arrays import wrapped
+from quarrystone.operators import contents
 
 
 def write_tsv(df: DataFrame, path: str, columns: Sequence[str], missing: str = "", quoted: bool = True, line_end: str = "\n") -> None:
@@ -63,16 +64,19 @@ def write_children(df: DataFrame, path: str, name: Column) -> None:
 
 def manifest(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
     """(path, name, bytes), and the contents' ``digest`` (sha256 or md5) if asked, of all files but markers, by name."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(~F.col("name").startswith("_") & (F.col("name") != "COMPLETE"))
-    sums = {None: [], "sha256": [F.sha2("content", 256).alias("sha256")], "md5": [F.md5("content").alias("md5")]}[digest]
-    return rows.select("path", "name", F.col("length").alias("bytes"), *sums).orderBy("name")
+    if digest is None:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    else:
+        rows = contents.digested(spark, path, digest).withColumnRenamed("digest", digest)
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = rows.select("path", name.alias("name"), F.col("length").alias("bytes"), *([digest] if digest else []))
+    return rows.where(~F.col("name").startswith("_") & (F.col("name") != "COMPLETE")).orderBy("name")
 
 
 def digests(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(path, sha256 or md5) of every file below a folder but markers."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.element_at(F.split("path", "/"), -1).startswith("_"))
-    return rows.select("path", (F.md5("content") if kind == "md5" else F.sha2("content", 256)).alias(kind))
+    rows = contents.digested(spark, path, kind).where(~F.element_at(F.split("path", "/"), -1).startswith("_"))
+    return rows.select("path", F.col("digest").alias(kind))
 
 
 def against(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
