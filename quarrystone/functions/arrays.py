@@ -38,11 +38,13 @@ def interval_union(df: DataFrame, by: Sequence[str], start: str, end: str, out:
 def letter_counts(text: Column, letters: str) -> Column:
     """How often ``text`` holds each of ``letters``, by what is left without it:
     no row and no array per character. Each letter goes from the text in turn,
-    so the rest is shorter the sooner frequent ones come."""
-    zero = F.struct(text.alias("rest"), F.length(text).alias("left"), F.array().cast("array<int>").alias("counts"))
+    so the rest is shorter the sooner frequent ones come. ASCII letters are a
+    byte each, so they are counted by the bytes left, which need no pass."""
+    size = F.octet_length if letters.isascii() else F.length
+    zero = F.struct(text.alias("rest"), size(text).alias("left"), F.array().cast("array<int>").alias("counts"))
 
     def step(state: Column, x: Column) -> Column:
-        shorter = lambda rest: let(F.length(rest), lambda n: F.struct(rest.alias("rest"), n.alias("left"), F.array_append(state["counts"], state["left"] - n).alias("counts")))
+        shorter = lambda rest: let(size(rest), lambda n: F.struct(rest.alias("rest"), n.alias("left"), F.array_append(state["counts"], state["left"] - n).alias("counts")))
         return let(F.replace(state["rest"], x, F.lit("")), shorter)
 
     return F.aggregate(F.array(*map(F.lit, letters)), zero, step)["counts"]

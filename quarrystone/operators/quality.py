@@ -23,13 +23,13 @@ FOREIGN, NOT_ANIMAL = ("bacteria", "archaea", "virus"), ("fungi", "viridiplantae
 
 def unknown_share(seq: Column) -> Column:
     """Share of residues that say nothing; 1 for an empty sequence."""
-    left = F.length(F.translate(seq, UNKNOWN, ""))
-    return F.when(F.length(seq) > 0, (F.length(seq) - left) / F.length(seq)).otherwise(1.0)
+    unknown = F.length(F.regexp_replace(seq, f"[^{UNKNOWN}]+", ""))  # by runs; translate looks every character up
+    return F.when(F.length(seq) > 0, unknown / F.length(seq)).otherwise(1.0)
 
 
 def invalid_residues(seq: Column) -> Column:
     """The distinct characters that are no residue, sorted."""
-    rest = F.translate(seq, RESIDUES, "")
+    rest = F.regexp_replace(seq, f"[{RESIDUES}]+", "")
     return F.array_sort(F.array_distinct(F.filter(F.split(rest, ""), lambda c: c != "")))
 
 
