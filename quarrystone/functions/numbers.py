@@ -32,6 +32,13 @@ def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(empty).cast("double"))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as floating-point arithmetic and SQL engines have it: by 0 infinite, and NaN for 0 / 0, not an error."""
+    a, b = a.cast("double"), b.cast("double")
+    by_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b == 0, F.when(F.isnan(a), a).otherwise(by_zero)).otherwise(F.try_divide(a, b))
+
+
 def neg_log10(x: Column, floor: float = 1e-50, cap: float = 50.0) -> Column:
     return F.least(F.lit(cap), -F.log10(F.greatest(x, F.lit(floor))))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import arrays as arr
 from quarrystone.functions import stats as st
+from quarrystone.functions.numbers import quotient, rounded
 from quarrystone.functions.tails import fisher_exact
 from quarrystone.operators import annotation as an
 from quarrystone.operators import ranking as rk
@@ -57,14 +58,15 @@ SELECT doc_id, length_ratio, array_to_string(flags, ';') AS flags,
 CASE WHEN list_contains(flags, 'very_short') THEN 'exclude_recommended' WHEN list_contains(flags, 'ambiguous') THEN 'review_high' WHEN len(flags) > 0 THEN 'review' ELSE 'pass' END AS status FROM f""")
 def qc_flags_severity(spark, sf_dir):
     d = va.with_length_ratio(_docs(spark, sf_dir), "source", "n_chars")
-    n, r = F.col("n_chars"), F.col("length_ratio")
-    hash_share = (F.length("text") - F.length(F.replace("text", F.lit("#"), F.lit("")))) / F.length("text")
+    n = F.col("n_chars")
+    r = quotient(n, F.col("family_median"))
+    hash_share = quotient(F.length("text") - F.length(F.replace("text", F.lit("#"), F.lit(""))), F.length("text"))
     big = F.col("family_size") >= 5
     flags = [
         ("very_short", n < 30, 3), ("short", (n >= 30) & (n < 100), 1), ("ambiguous", hash_share > 0.05, 2),
         ("short_for_family", big & (r < 0.5), 1), ("long_for_family", big & (r > 2.0), 1),
     ]
-    return va.flagged(d, flags).select("doc_id", F.round("length_ratio", 6).alias("length_ratio"), F.array_join("flags", ";").alias("flags"), "status")
+    return va.flagged(d, flags).select("doc_id", rounded(r, 6).alias("length_ratio"), F.array_join("flags", ";").alias("flags"), "status")
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)password|secret|token') THEN 'secret' END, CASE WHEN regexp_matches(text, '(?i)licen[cs]e|copyright') THEN 'licence' END,
