@@ -181,43 +181,80 @@ def two_sided_student(t: Column | str, df: Column | str) -> Column:
     return let(F.struct(F.abs(_column(t).cast("double")).alias("t"), _column(df).cast("double").alias("df")), value)
 
 
+#: The logarithm of a double that is not 0 is above this.
+_LEAST_LOG = -746.0
+
+
+def _furthest(near: Column, far: Column, good: Callable[[Column], Column]) -> Column:
+    """The last number from ``near`` on to ``far`` that is ``good``, by halving:
+    ``near`` is, and past the first that is not there are no more."""
+
+    def half(acc: Column, _: Column) -> Column:
+        def moved(mid: Column) -> Column:
+            return let(good(mid), lambda g: F.struct(F.when(g, mid).otherwise(acc["good"]).alias("good"), F.when(g, acc["bad"]).otherwise(mid).alias("bad")))
+
+        return let((acc["good"] + acc["bad"]).cast("bigint"), lambda both: let(F.floor(both / 2), lambda mid: F.when(F.abs(acc["bad"] - acc["good"]) > 1, moved(mid)).otherwise(acc)))
+
+    past = far + F.when(far < near, -1).otherwise(1)
+    state = F.struct(near.cast("bigint").alias("good"), past.cast("bigint").alias("bad"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), state, half)["good"]
+
+
 def fisher_exact(a: Column | str, b: Column | str, c: Column | str, d: Column | str) -> Column:
     """Two-sided p and the conditional maximum-likelihood odds ratio of 2 x 2 tables, as struct of ``p_value`` and ``odds_ratio``.
 
     The ratio is where the mean of the noncentral distribution meets the first
     cell, found by halving; 0 or infinite at the ends of the cell's range.
+
+    Log probabilities are concave in the cell, so those that are not 0 as
+    doubles are neighbours, some 40 standard deviations either way however
+    large the table; no others are worked out, as they would add nothing.
     """
 
     def value(s: Column) -> Column:
         a, b, c, d = (s[x] for x in "abcd")
         m, n, k = a + b, c + d, a + c
         low, high = F.greatest(F.lit(0).cast("bigint"), k - n), F.least(k, m)
-        logs = F.transform(F.sequence(low, high), lambda i: log_hypergeometric(i, m + n, m, k))
-        return let(F.struct(logs.alias("logs"), low.alias("low"), high.alias("high"), a.alias("a")), solved)
+        mode = F.least(high, F.greatest(low, F.floor((k + 1) * (m + 1) / (m + n + 2))))
+        return let(F.struct(*[x.cast("bigint").alias(name) for name, x in {"a": a, "m": m, "n": n, "k": k, "low": low, "high": high, "mode": mode}.items()]), solved)
 
     def solved(s: Column) -> Column:
-        logs, low, a = s["logs"], s["low"], s["a"]
-        seen = F.get(logs, (a - low).cast("int")) + math.log1p(1e-7)
-        p = F.aggregate(F.filter(logs, lambda v: v <= seen), F.lit(0.0), lambda acc, v: acc + F.exp(v))
-
-        def side(acc: Column, _: Column) -> Column:
-            def moved(mid: Column) -> Column:
-                weights = F.transform(logs, lambda v, i: v + i * mid)
-
-                def halves(w: Column) -> Column:
-                    top = F.array_max(w)
-                    mass = F.aggregate(w, F.lit(0.0), lambda x, v: x + F.exp(v - top))
-                    mean = F.aggregate(F.transform(w, lambda v, i: i * F.exp(v - top)), F.lit(0.0), lambda x, v: x + v) / mass
-                    under = mean < (a - low)
-                    return F.struct(F.when(under, mid).otherwise(acc["left"]).alias("left"), F.when(under, acc["right"]).otherwise(mid).alias("right"))
-
-                return let(weights, halves)
-
-            return let((acc["left"] + acc["right"]) / 2, moved)
-
-        ends = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(F.lit(-40.0).alias("left"), F.lit(40.0).alias("right")), side)
-        ratio = F.when(a == low, 0.0).when(a == s["high"], float("inf")).otherwise(let(ends, lambda e: F.exp((e["left"] + e["right"]) / 2)))
-        return F.struct(F.least(F.lit(1.0), p).alias("p_value"), ratio.alias("odds_ratio"))
+        a, m, n, k, low, high, mode = (s[x] for x in ("a", "m", "n", "k", "low", "high", "mode"))
+        log = lambda i: log_hypergeometric(i, m + n, m, k)
+        # The logarithm of the step from a place to the next; null beyond the ends.
+        step = lambda i: F.log((m - i).cast("double")) + F.log((k - i).cast("double")) - F.log((i + 1).cast("double")) - F.log((n - k + i + 1).cast("double"))
+
+        def spans(seen: Column) -> Column:
+            """The logarithms round the mode as they are, and round the cell as tilted by the log odds at which it is the
+            mode and its neighbours are as likely as each other. Both by one expression, for the plan's size."""
+            part = lambda middle, less, tilt: F.struct(middle.alias("middle"), less.alias("less"), tilt.alias("tilt"))
+            parts = F.array(part(mode, F.lit(0.0), F.lit(0.0)), part(a, seen, -(step(a - 1) + step(a)) / 2))
+
+            def terms(x: Column) -> Column:
+                at = lambda i: log(i) - x["less"] + (i - a) * x["tilt"]
+                ends = F.transform(F.array(low, high), lambda end: _furthest(x["middle"], end, lambda i: at(i) > _LEAST_LOG))
+                places = let(ends, lambda e: F.sequence(F.get(e, F.lit(0)), F.get(e, F.lit(1))))
+                return F.struct(x["tilt"].alias("tilt"), F.transform(places, lambda i: F.struct((i - a).cast("double").alias("i"), at(i).alias("log"))).alias("terms"))
+
+            return let(F.transform(parts, terms), lambda both: results(F.get(both, F.lit(0))["terms"], F.get(both, F.lit(1)), seen))
+
+        def results(plain: Column, tilted: Column, seen: Column) -> Column:
+            p = let(seen + math.log1p(1e-7), lambda most: F.aggregate(plain, F.lit(0.0), lambda acc, v: acc + F.when(v["log"] <= most, F.exp(v["log"])).otherwise(0.0)))
+
+            def half(acc: Column, _: Column) -> Column:
+                def moved(mid: Column) -> Column:
+                    short = F.aggregate(tilted["terms"], F.lit(0.0), lambda x, v: x + v["i"] * F.exp(v["log"] + v["i"] * mid)) < 0
+                    return let(short, lambda under: F.struct(F.when(under, mid).otherwise(acc["left"]).alias("left"), F.when(under, acc["right"]).otherwise(mid).alias("right")))
+
+                return let((acc["left"] + acc["right"]) / 2, moved)
+
+            # The mean meets the cell within a few units of the tilt.
+            ends = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.lit(-5.0).alias("left"), F.lit(5.0).alias("right")), half)
+            inside = let(ends, lambda e: F.exp(tilted["tilt"] + (e["left"] + e["right"]) / 2))
+            ratio = F.when(a == low, 0.0).when(a == high, float("inf")).otherwise(inside)
+            return F.struct(F.least(F.lit(1.0), p).alias("p_value"), ratio.alias("odds_ratio"))
+
+        return let(log(a), spans)
 
     cells = {"a": a, "b": b, "c": c, "d": d}
     return let(F.struct(*[_column(x).cast("bigint").alias(name) for name, x in cells.items()]), value)
